@@ -69,3 +69,262 @@ def q_print_time(spark, sf):
 def q_storage_partition(spark, sf):
     """O-37: date partition columns and location of every event time."""
     return table(spark, sf, "events").select("event_id", *timefmt.storage_partition(F.col("ts")))
+
+
+# -- selection (O-07 … O-16) ----------------------------------------------------------
+
+from pyspark.sql import Window  # noqa: E402
+
+from .functions.ranges import generate_urls, interval_to_list  # noqa: E402
+from .functions.text import contains_any, py_strip, refine  # noqa: E402
+from .operators.links import link_info, link_nodes  # noqa: E402
+from .operators.nodes import parse_nodes  # noqa: E402
+from .operators.select import content_value, match_rows, nodes_for  # noqa: E402
+
+# fixed values: selectors, black words and refine rules used by the checked queries
+TEXT_SELECTORS = [
+    ("title", "//title", "text"),
+    ("heading", "//article/h1", "text"),
+    ("nav", "//nav/ul/li/a", "text"),
+    ("footer", "//footer", "text"),
+]
+HTML_SELECTORS = [
+    ("title", "//title", "html"),
+    ("menu", "//nav/ul", "html"),
+    ("heading", "//h1", "html"),
+]
+ATTR_SELECTORS = [
+    ("href", "//a/@href", "text"),
+    ("first_href", "(//nav/ul/li/a)[1]/@href", "text"),
+    ("lang", "//html/@lang", "text"),
+    ("charset", "//meta/@charset", "text"),
+]
+TBODY_SELECTORS = [
+    ("nav", "//nav/tbody/ul/li/a", "text"),
+    ("heading", "//article/tbody/h1", "text"),
+    ("title", "//head/tbody/title", "text"),
+]
+COUNTED_XPATHS = [
+    "//title",
+    "/html/body/nav",
+    "//nav/ul/li/a",
+    "//nav/a",
+    "//div[@class='ad']",
+    '//div[@class="ad"]',
+    "//li[2]/a",
+    "//ul/*[3]",
+    "(//nav/ul/li/a)[1]",
+    "//p",
+    "//article/p",
+    "//p/b",
+    "//*[@href]",
+    "~something-wrong",
+    "",
+]
+BLACK_WORDS = ["casino", "free", "thing"]
+REFINE_RULES = ["<section .*?>", "<div class='archive-link'>"]
+
+
+def selected_values(spark, sf, selectors) -> DataFrame:
+    """Values of (key, xpath, data_type) selectors on every page, in document order:
+    ``page_id, key, value_rank, value`` (empty values dropped)."""
+    pages = read_pages(spark, sf)
+    xps = [s[1] for s in selectors]
+    rows = match_rows(nodes_for(pages, xps), xps)
+    key = F.lit(None).cast("string")
+    dtype = F.lit(None).cast("string")
+    for i, (k, _, t) in enumerate(selectors):
+        key = F.when(F.col("sel") == i, F.lit(k)).otherwise(key)
+        dtype = F.when(F.col("sel") == i, F.lit(t)).otherwise(dtype)
+    vals = rows.select("page_id", key.alias("key"), "ord", content_value(dtype).alias("value")).where(
+        F.col("value") != ""
+    )
+    w = Window.partitionBy("page_id", "key").orderBy("ord")
+    return vals.select("page_id", "key", F.row_number().over(w).cast("long").alias("value_rank"), "value")
+
+
+@register("parse_nodes")
+def q_parse_nodes(spark, sf):
+    """O-07: full parse of every page (all columns); element count per page and tag."""
+    nodes = parse_nodes(read_pages(spark, sf))
+    return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@register("xpath_select")
+def q_xpath_select(spark, sf):
+    """O-08: matches per page of a set of XPaths in one scan (invalid ones give nothing)."""
+    pages = read_pages(spark, sf)
+    rows = match_rows(nodes_for(pages, COUNTED_XPATHS, content=False), COUNTED_XPATHS)
+    name = F.lit(None).cast("string")
+    for i, x in enumerate(COUNTED_XPATHS):
+        name = F.when(F.col("sel") == i, F.lit(x)).otherwise(name)
+    return rows.groupBy("page_id", name.alias("xpath")).agg(F.count("*").alias("n"))
+
+
+@register("select_text")
+def q_select_text(spark, sf):
+    """O-10: stripped subtree text of selected elements, empties dropped."""
+    return selected_values(spark, sf, TEXT_SELECTORS)
+
+
+@register("select_html")
+def q_select_html(spark, sf):
+    """O-11: stripped source markup of selected elements."""
+    return selected_values(spark, sf, HTML_SELECTORS)
+
+
+@register("select_attr")
+def q_select_attr(spark, sf):
+    """O-12: attribute results (string results pass through unstripped)."""
+    return selected_values(spark, sf, ATTR_SELECTORS)
+
+
+@register("xpath_tbody")
+def q_xpath_tbody(spark, sf):
+    """O-09: XPaths with /tbody/ fall back, per page, to the XPath without it."""
+    return selected_values(spark, sf, TBODY_SELECTORS)
+
+
+@register("media_refs")
+def q_media_refs(spark, sf):
+    """O-16: binary selector results → absolute file URL, file name, '' description."""
+    pages = read_pages(spark, sf)
+    xp = ["//a/@href"]
+    rows = match_rows(nodes_for(pages, xp, content=False), xp).where(py_strip(F.col("value")) != "")
+    w = Window.partitionBy("page_id").orderBy("ord")
+    return rows.select(
+        "page_id",
+        F.row_number().over(w).cast("long").alias("value_rank"),
+        urls.complete_url(F.col("url"), py_strip(F.col("value"))).alias("file_url"),
+        urls.file_name(F.col("value")).alias("file_name"),
+        F.lit("").alias("description"),
+    )
+
+
+# -- links (O-20 … O-23), URLs (O-03) ---------------------------------------------------
+
+
+def _anchors(spark, sf) -> DataFrame:
+    pages = read_pages(spark, sf)
+    groups = [("links", ["//a"])]
+    return link_info(link_nodes(pages, groups), groups)
+
+
+@register("link_info")
+def q_link_info(spark, sf):
+    """O-20: href (stripped) and leading text of every anchor with an href."""
+    return _anchors(spark, sf).select("page_id", "href", "text")
+
+
+@register("link_key")
+def q_link_key(spark, sf):
+    """O-22: normalised key of every anchor href."""
+    return _anchors(spark, sf).select("page_id", "href", urls.link_key(F.col("href")).alias("key"))
+
+
+@register("resolve_links")
+def q_resolve_links(spark, sf):
+    """O-21: every anchor href completed against its page URL."""
+    a = _anchors(spark, sf)
+    return a.select("page_id", "href", urls.complete_url(F.col("page_url"), F.col("href")).alias("url"))
+
+
+def _href_variants(a: DataFrame) -> DataFrame:
+    """Stand-in hrefs in other schemes, derived from each anchor (input only)."""
+    host = urls.netloc(F.col("page_url"))
+    variants = F.array(
+        F.col("href"),
+        F.concat(F.lit("mailto:"), F.col("text"), F.lit("@"), host),
+        F.lit("javascript:void(0)"),
+        F.concat(F.lit("HTTPS://"), host, F.col("href")),
+        F.concat(F.lit("ftp://"), host, F.col("href")),
+        F.concat(F.lit("//"), host, F.col("href"), F.lit("/#top")),
+    )
+    return a.select("page_id", "page_url", F.explode(variants).alias("candidate"))
+
+
+@register("http_links")
+def q_http_links(spark, sf):
+    """O-23: only keys with scheme '', http or https survive."""
+    c = _href_variants(_anchors(spark, sf)).withColumn("key", urls.link_key(F.col("candidate")))
+    return c.where(urls.is_http(F.col("key"))).select("page_id", "candidate", "key")
+
+
+@register("valid_urls")
+def q_valid_urls(spark, sf):
+    """O-03: a URL needs a scheme and a network location."""
+    p = table(spark, sf, "pages")
+    cands = F.array(
+        F.col("url"),
+        F.split_part(F.col("url"), F.lit("://"), F.lit(2)),
+        F.concat(F.lit("mailto:"), urls.netloc(F.col("url"))),
+        F.concat(F.lit("//"), urls.netloc(F.col("url"))),
+    )
+    c = p.select("page_id", F.posexplode(cands).alias("variant", "candidate"))
+    return c.select(
+        "page_id", F.col("variant").cast("long").alias("variant"), "candidate",
+        urls.valid_url(F.col("candidate")).alias("valid"),
+    )
+
+
+# -- clean-up (O-27, O-28) -------------------------------------------------------------
+
+
+@register("black_words")
+def q_black_words(spark, sf):
+    """O-27 on documents: is any black word a substring of the lower-cased text."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", contains_any(F.col("text"), BLACK_WORDS).alias("blocked"))
+
+
+@register("blocked_pages")
+def q_blocked_pages(spark, sf):
+    """O-27 on pages: selected article text checked for black words, per page."""
+    pages = read_pages(spark, sf)
+    xp = ["//article"]
+    rows = match_rows(nodes_for(pages, xp), xp).select("page_id", content_value("text").alias("v"))
+    joined = rows.groupBy("page_id").agg(F.array_join(F.collect_list("v"), " ").alias("joined"))
+    return joined.select("page_id", contains_any(F.col("joined"), BLACK_WORDS).alias("blocked"))
+
+
+@register("refine_content")
+def q_refine_content(spark, sf):
+    """O-28: custom then default refine rules over every page."""
+    pages = read_pages(spark, sf)
+    return pages.select("page_id", refine(F.col("html"), REFINE_RULES).alias("refined"))
+
+
+# -- URL generation (O-06, O-06a) ------------------------------------------------------
+
+
+def _templates(spark, sf) -> DataFrame:
+    """Stand-in generator input derived from each page URL (template + value lists)."""
+    p = table(spark, sf, "pages")
+    lo = (F.col("page_id") % 3 + 1).cast("string")
+    hi = (F.col("page_id") % 4 + 1).cast("string")
+    return p.select(
+        "page_id",
+        F.concat(F.regexp_extract("url", r"^([^?#]*)", 1), F.lit("?page={0}&lang={1}")).alias("template"),
+        F.array(F.array(F.concat(lo, F.lit("-"), hi)), F.array(F.split_part("url", F.lit("/"), F.lit(4)), F.lit("en"))).alias(
+            "elements"
+        ),
+    )
+
+
+@register("generate_urls")
+def q_generate_urls(spark, sf):
+    """O-06: template × cartesian product of the value lists."""
+    return generate_urls(_templates(spark, sf)).select("page_id", "url_rank", "url")
+
+
+@register("interval_to_list")
+def q_interval_to_list(spark, sf):
+    """O-06a: interval strings expanded to numbers."""
+    p = table(spark, sf, "pages")
+    s = F.concat(
+        (F.col("page_id") % 5).cast("string"), F.lit("-"), (F.col("page_id") % 7).cast("string"),
+        F.lit(", "), (F.col("page_id") % 3).cast("string"), F.lit("-1-"), (F.col("page_id") % 4).cast("string"),
+    )
+    return p.select("page_id", F.posexplode(interval_to_list(s)).alias("idx", "n")).select(
+        "page_id", F.col("idx").cast("long").alias("idx"), F.col("n").cast("long").alias("n")
+    )
