@@ -34,6 +34,7 @@ PATH_T = T.ArrayType(
             T.StructField("attrs", ATTRS_T),
             T.StructField("sib", T.IntegerType()),
             T.StructField("pos", T.IntegerType()),
+            T.StructField("id", T.IntegerType()),
         ]
     )
 )
@@ -62,7 +63,7 @@ NODES_SCHEMA = T.StructType(
 
 _MAP = pa.map_(pa.string(), pa.string())
 _PATH_STRUCT = pa.struct(
-    [("tag", pa.string()), ("attrs", _MAP), ("sib", pa.int32()), ("pos", pa.int32())]
+    [("tag", pa.string()), ("attrs", _MAP), ("sib", pa.int32()), ("pos", pa.int32()), ("id", pa.int32())]
 )
 
 
@@ -74,7 +75,7 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags)
     for batch in batches:
         cols = batch.to_pydict()
         out = {f.name: [] for f in NODES_SCHEMA.fields}
-        p_off, p_tag, p_sib, p_pos = [0], [], [], []
+        p_off, p_tag, p_sib, p_pos, p_id = [0], [], [], [], []
         p_aoff, p_akey, p_aval = [0], [], []
         for page_id, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
             src, b = htmltree.build(html)
@@ -118,6 +119,7 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags)
                         p_tag.append(b.tag[j])
                         p_sib.append(b.sib[j])
                         p_pos.append(b.pos[j])
+                        p_id.append(j)
                         for k, v in kept[j].items():
                             p_akey.append(k)
                             p_aval.append(v)
@@ -131,6 +133,7 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags)
                 ),
                 pa.array(p_sib, pa.int32()),
                 pa.array(p_pos, pa.int32()),
+                pa.array(p_id, pa.int32()),
             ],
             fields=list(_PATH_STRUCT),
         )

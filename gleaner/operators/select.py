@@ -94,13 +94,13 @@ def nodes_for(pages: DataFrame, xpaths: Iterable[str], content: bool = True, ext
     return parse_nodes(pages, **parse_options(list(xpaths), content, extra_attrs, extra_tags))
 
 
-def match_rows(nodes: DataFrame, xpaths: list[str]) -> DataFrame:
+def match_rows(nodes: DataFrame, xpaths: list[str], with_ancestors: bool = False) -> DataFrame:
     """Rows selected by each XPath (``sel`` = index into ``xpaths``).
 
     Columns: ``page_id, url, sel, node_id`` (the element, or the owner of a
     text node), ``ord`` (document order of the result), ``is_string``,
     ``value`` (string results), and the element's ``tag, attrs, end_id,
-    lead_text, text, markup``.
+    lead_text, text, markup`` (+ ``anc``, the ancestor ids, on request).
     """
     entries = []
     for k, xp in enumerate(_compiled(xpaths)):
@@ -119,8 +119,14 @@ def match_rows(nodes: DataFrame, xpaths: list[str]) -> DataFrame:
         hits.append(F.when(element_match(xp), hit(k, f, 0)))
         if xp.terminal == ("text",):
             hits.append(F.when(parent_match(xp), hit(k, f, 1)))
+    anc = (
+        [F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda p: p["id"]).alias("anc")]
+        if with_ancestors
+        else []
+    )
     rows = nodes.select(
         "page_id", "url", "node_id", "parent_id", "tag", "attrs", "end_id", "lead_text", "tail", "text", "markup",
+        *anc,
         F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"),
     )
     sel, fb, part = F.col("h.sel"), F.col("h.fb"), F.col("h.part")
@@ -144,7 +150,7 @@ def match_rows(nodes: DataFrame, xpaths: list[str]) -> DataFrame:
         "page_id", "url", sel.alias("sel"), fb.alias("fb"), owner.alias("node_id"),
         (F.col("node_id").cast("long") * 2 + part).alias("ord"),
         is_string.alias("is_string"), value.alias("value"), is_textnode.alias("_tn"),
-        "tag", "attrs", "end_id", "lead_text", "text", "markup",
+        "tag", "attrs", "end_id", "lead_text", "text", "markup", *(["anc"] if with_ancestors else []),
     )
     # attribute results exist only where the attribute does; text nodes only when non-empty
     rows = rows.where(

@@ -328,3 +328,55 @@ def q_interval_to_list(spark, sf):
     return p.select("page_id", F.posexplode(interval_to_list(s)).alias("idx", "n")).select(
         "page_id", F.col("idx").cast("long").alias("idx"), F.col("n").cast("long").alias("n")
     )
+
+
+# -- content record (O-19, O-26) -------------------------------------------------------
+
+from .operators.content import collect_content  # noqa: E402
+
+# fixed values: the selectors and explore rules of the checked content queries
+CONTENT_SELECTORS = [
+    ("title", "//title", "text"),
+    ("heading", "//article/h1", "text"),
+    ("body", "//article", "html"),
+    ("menu", "//nav/ul/li/a", "text"),
+    ("missing", "//table", "text"),
+    ("files", "//a/@href", "binary"),
+]
+EXPLORE_RULES = {"target": ["//nav/ul/li[1]/a", "//li[3]/a"], "expand": ["//nav/ul/li/a"], "every": []}
+
+
+@register("collect_content")
+def q_collect_content(spark, sf):
+    """O-19 with O-27/O-28: content map per page (blocked pages dropped), flattened per key."""
+    rec = collect_content(
+        read_pages(spark, sf), CONTENT_SELECTORS, replace_rules=REFINE_RULES, black_words=BLACK_WORDS
+    )
+    kv = rec.where(~F.col("blocked")).select("page_id", F.explode("content").alias("key", "values"))
+    return kv.select(
+        "page_id", "key", F.size("values").cast("long").alias("n_values"),
+        F.array_join("values", "\n").alias("joined"),
+    )
+
+
+@register("content_media")
+def q_content_media(spark, sf):
+    """O-16 inside O-19: media list of every page record."""
+    rec = collect_content(read_pages(spark, sf), CONTENT_SELECTORS)
+    m = rec.select("page_id", F.posexplode("media").alias("pos", "m"))
+    return m.select(
+        "page_id", (F.col("pos") + 1).cast("long").alias("value_rank"), "m.file_url", "m.file_name", "m.description"
+    )
+
+
+@register("explore_links")
+def q_explore_links(spark, sf):
+    """O-26: per explore rule the URLs found on each page, in link order."""
+    rec = collect_content(read_pages(spark, sf), [], get_image=False, explore=EXPLORE_RULES)
+    parts = [
+        rec.select("page_id", F.lit(r).alias("rule"), F.posexplode(r).alias("pos", "url")) for r in EXPLORE_RULES
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("page_id", "rule", (F.col("pos") + 1).cast("long").alias("link_rank"), "url")
