@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import timefmt, urls
 from .operators.links import page_links
 from .session import table
-from .sources.pages import read_pages
+from .sources.pages import read_pages, read_pages_from
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,3 +380,96 @@ def q_explore_links(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("page_id", "rule", (F.col("pos") + 1).cast("long").alias("link_rank"), "url")
+
+
+# -- crawl (O-30 …) ---------------------------------------------------------------------
+
+from .operators.crawl import crawl, crawl_content, crawl_stats, link_edges, spider_rules  # noqa: E402
+
+# fixed values: the spider rules of the checked crawl (XPaths as in the collector's own tests)
+TARGET_XPATHS = ["//div[@class='post-title']/h2/a"]
+EXPAND_XPATHS = ['//a[@rel="next"]']
+CRAWL_DEPTH = 3
+
+
+def linked_web(spark, sf) -> DataFrame:
+    """Stand-in input only: every page of ``pages`` with a block of absolute links to
+    three other pages appended after its footer (two post-title links, one
+    rel=next link). The crawl itself knows nothing of how they were chosen: it
+    parses the HTML and follows what it finds."""
+    p = table(spark, sf, "pages")
+    n = p.count()
+    ids = p.select("page_id", "url")
+    pick = lambda col, name: ids.select(F.col("page_id").alias(col), F.col("url").alias(name))
+    links = (
+        ids.select(
+            "page_id",
+            ((F.col("page_id") * 3 + 1) % n).alias("j1"),
+            ((F.col("page_id") * 5 + 2) % n).alias("j2"),
+            ((F.col("page_id") + 1) % n).alias("j3"),
+        )
+        .join(pick("j1", "u1"), "j1")
+        .join(pick("j2", "u2"), "j2")
+        .join(pick("j3", "u3"), "j3")
+    )
+    block = F.concat(
+        F.lit('</footer><div class="post-title"><h2><a href="'), F.col("u1"), F.lit('">post</a></h2></div>'),
+        F.lit('<div class="post-title"><h2><a href="'), F.col("u2"), F.lit('">post</a></h2></div>'),
+        F.lit('<a rel="next" href="'), F.col("u3"), F.lit('">next</a>'),
+    )
+    web = p.join(links.select("page_id", "u1", "u2", "u3"), "page_id")
+    return web.select("page_id", "url", F.replace(F.col("html"), F.lit("</footer>"), block).alias("html"))
+
+
+def _spiders(spark, sf, every_page: bool) -> DataFrame:
+    """Spider configuration: one spider at page 0, or one per page (crawl_root on even ids)."""
+    p = table(spark, sf, "pages").select("page_id", "url")
+    if not every_page:
+        p = p.where(F.col("page_id") == 0)
+    return p.select(
+        F.col("page_id").alias("spider_id"), "url",
+        ((F.col("page_id") % 2) == 0).alias("crawl_root") if every_page else F.lit(False).alias("crawl_root"),
+        F.array(*[F.lit(x) for x in TARGET_XPATHS]).alias("target_links"),
+        F.array(*[F.lit(x) for x in EXPAND_XPATHS]).alias("expand_links"),
+        F.lit(CRAWL_DEPTH if not every_page else 2).alias("crawl_depth"),
+    )
+
+
+@register("link_edges")
+def q_link_edges(spark, sf):
+    """O-30a: target and expand links of every page of the linked web, one parse scan."""
+    web = read_pages_from(linked_web(spark, sf))
+    _, rules = spider_rules(_spiders(spark, sf, False))
+    e = link_edges(web, rules)
+    return e.select("src_url", "kind", "dst_url")
+
+
+@register("crawl")
+def q_crawl(spark, sf):
+    """O-30 / O-30b: one spider from page 0, depth 3, over the whole linked web."""
+    return crawl(_spiders(spark, sf, False), read_pages_from(linked_web(spark, sf)))
+
+
+@register("crawl_all_spiders")
+def q_crawl_all(spark, sf):
+    """O-30e / O-30c: every page is a spider's start (crawl_root on even ids), depth 2, one job."""
+    return crawl(_spiders(spark, sf, True), read_pages_from(linked_web(spark, sf)))
+
+
+@register("crawl_stats")
+def q_crawl_stats(spark, sf):
+    """O-30f: targets and expansions found per spider, kind and depth."""
+    return crawl_stats(crawl(_spiders(spark, sf, True), read_pages_from(linked_web(spark, sf))))
+
+
+@register("crawl_content")
+def q_crawl_content(spark, sf):
+    """O-30d: content of every crawled target (title and heading), flattened per key."""
+    web = read_pages_from(linked_web(spark, sf))
+    got = crawl(_spiders(spark, sf, False), web)
+    rec = crawl_content(got, web, TEXT_SELECTORS[:2], get_image=False)
+    kv = rec.select("spider_id", "url", "depth", F.explode("content").alias("key", "values"))
+    return kv.select(
+        "spider_id", "url", "depth", "key", F.size("values").cast("long").alias("n_values"),
+        F.array_join("values", "\n").alias("joined"),
+    )

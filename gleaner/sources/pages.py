@@ -32,6 +32,11 @@ def read_pages(spark: SparkSession, sf_dir: str | None = None, path: str | None
     return src.select("page_id", "url", normalise_html(F.col("html")).alias("html"))
 
 
+def read_pages_from(df: DataFrame) -> DataFrame:
+    """O-01 over any DataFrame with ``page_id, url, html``."""
+    return df.select("page_id", "url", normalise_html(F.col("html")).alias("html"))
+
+
 def read_page_files(spark: SparkSession, glob: str) -> DataFrame:
     """O-01 for a folder of HTML files: one page per file, the file URI as URL."""
     raw = spark.read.text(glob, wholetext=True).select(
