@@ -35,19 +35,26 @@ from .links import grouped_links, link_xpaths
 SPIDER_COLUMNS = ("spider_id", "url", "crawl_root", "target_links", "expand_links", "crawl_depth")
 
 
-def spider_rules(spiders: DataFrame) -> tuple[DataFrame, list[tuple[int, list[str], list[str]]]]:
+def spider_rules(spiders: DataFrame) -> tuple[DataFrame, list[tuple[int, list[str], list[str], int]]]:
     """Spiders with a ``rules_id`` per distinct (target XPaths, expand XPaths) pair.
 
+    Rules are ``(rules_id, target XPaths, expand XPaths, max crawl depth)``.
     The distinct XPath sets are configuration (a handful, independent of the
     data size), so they are brought to the driver to compile the XPaths.
     """
     distinct = (
-        spiders.select("target_links", "expand_links").distinct().orderBy("target_links", "expand_links").collect()
+        spiders.groupBy("target_links", "expand_links")
+        .agg(F.max(F.coalesce("crawl_depth", F.lit(1))).alias("max_depth"))
+        .orderBy("target_links", "expand_links")
+        .collect()
     )
-    rules = [(i, list(r["target_links"] or []), list(r["expand_links"] or [])) for i, r in enumerate(distinct)]
+    rules = [
+        (i, list(r["target_links"] or []), list(r["expand_links"] or []), int(r["max_depth"] or 0))
+        for i, r in enumerate(distinct)
+    ]
     spark = spiders.sparkSession
     table = spark.createDataFrame(
-        [(i, t, e) for i, t, e in rules], "rules_id int, target_links array<string>, expand_links array<string>"
+        [(i, t, e) for i, t, e, _ in rules], "rules_id int, target_links array<string>, expand_links array<string>"
     )
     keyed = spiders.join(
         F.broadcast(table),
@@ -61,7 +68,7 @@ def link_edges(pages: DataFrame, rules) -> DataFrame:
     """O-30a: ``rules_id, src_url, kind, dst_url`` — target and expand links of every page
     for every rule set, from one parse scan."""
     groups = []
-    for i, t, e in rules:
+    for i, t, e, *_ in rules:
         groups.append((f"{i}:target", link_xpaths(t)))
         groups.append((f"{i}:expand", link_xpaths(e)))
     links = grouped_links(pages, groups)
@@ -131,17 +138,20 @@ def crawl(spiders: DataFrame, pages: DataFrame, edges: DataFrame | None = None)
     seeds = seeds.where(valid_url(F.col("url")))
     seeds = seeds.groupBy("spider_id", "rules_id", "crawl_depth", "kind", "url").agg(F.min("depth").alias("depth"))
     level1 = seeds.join(root.select("spider_id", "kind", "url"), ["spider_id", "kind", "url"], "left_anti")
-    visited = root.unionByName(level1).checkpoint()
-    max_depth = sp.agg(F.max("crawl_depth")).first()[0] or 0
+    levels = [root.unionByName(level1).checkpoint()]
+    visited = levels[0]
+    max_depth = max((r[3] for r in rules), default=0)
 
     depth = 0
     while depth <= max_depth:
         frontier = visited.where(F.col("depth") == depth)
-        new = merge_frontier(_enter(frontier, edges), visited)
-        new = new.checkpoint()
-        if new.isEmpty() and depth >= 1:
+        new = merge_frontier(_enter(frontier, edges), visited).select(*visited.columns).checkpoint()
+        if depth >= 1 and new.isEmpty():
             break
-        visited = visited.unionByName(new.select(*visited.columns)).checkpoint()
+        levels.append(new)
+        visited = levels[0]
+        for lv in levels[1:]:
+            visited = visited.unionByName(lv)
         depth += 1
     return visited.select("spider_id", "kind", "url", F.col("depth").cast("int").alias("depth"))
 

@@ -373,12 +373,10 @@ def q_content_media(spark, sf):
 def q_explore_links(spark, sf):
     """O-26: per explore rule the URLs found on each page, in link order."""
     rec = collect_content(read_pages(spark, sf), [], get_image=False, explore=EXPLORE_RULES)
-    parts = [
-        rec.select("page_id", F.lit(r).alias("rule"), F.posexplode(r).alias("pos", "url")) for r in EXPLORE_RULES
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    per_rule = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("urls")) for r in EXPLORE_RULES])
+    out = rec.select("page_id", F.explode(per_rule).alias("r")).select(
+        "page_id", "r.rule", F.posexplode("r.urls").alias("pos", "url")
+    )
     return out.select("page_id", "rule", (F.col("pos") + 1).cast("long").alias("link_rank"), "url")
 
 
@@ -473,3 +471,121 @@ def q_crawl_content(spark, sf):
         "spider_id", "url", "depth", "key", F.size("values").cast("long").alias("n_values"),
         F.array_join("values", "\n").alias("joined"),
     )
+
+
+# -- article, results, sinks, stream (O-15, O-31 … O-42) -------------------------------
+
+from .operators.article import extract_article  # noqa: E402
+from .operators.results import assign_task_id, results_clean, results_json  # noqa: E402
+from .plans.operations import run_operations  # noqa: E402
+from .sources.store import collect_manifest, manifest_of, retire_content, skip_collected  # noqa: E402
+from .streaming.collect import collect_stream  # noqa: E402
+
+ALL_OPERATIONS = [
+    {"action": "get", "target": "page"},
+    {"action": "get", "target": "links"},
+    {"action": "get", "target": "article"},
+    {"action": "get", "target": "content"},
+    {"action": "crawl", "target": "content"},
+]
+# fixed value: the run time of the checked store queries (a run parameter)
+RUN_TS = "2024-01-02 03:04:05"
+
+
+@register("extract_article")
+def q_extract_article(spark, sf):
+    """O-15: title and readable body of every page."""
+    return extract_article(read_pages(spark, sf)).select("page_id", "title", "content")
+
+
+def _run(spark, sf, operations, **kw):
+    web = read_pages_from(linked_web(spark, sf))
+    return run_operations(_spiders(spark, sf, True), web, operations, TEXT_SELECTORS[:2], **kw)
+
+
+@register("build_results")
+def q_build_results(spark, sf):
+    """O-31: all five operations for every spider in one run; size of each datum's content."""
+    env = _run(spark, sf, ALL_OPERATIONS, get_image=False)
+    r = env.select("spider_id", F.posexplode("results").alias("op_index", "d"))
+    c = F.variant_get("d", "$.content", "variant")
+    size = F.coalesce(
+        F.size(F.try_variant_get(c, "$", "array<variant>")),
+        F.size(F.try_variant_get(c, "$", "map<string,variant>")),
+        F.length(F.try_variant_get(c, "$", "string")),
+    )
+    return r.select(
+        "spider_id", F.col("op_index").cast("long").alias("op_index"),
+        F.variant_get("d", "$.extras.action", "string").alias("action"),
+        F.variant_get("d", "$.extras.target", "string").alias("target"),
+        size.cast("long").alias("n_items"),
+    )
+
+
+@register("results_json")
+def q_results_json(spark, sf):
+    """O-32: every envelope as pretty JSON text (rows-only: contains run times)."""
+    env = _run(spark, sf, ALL_OPERATIONS[:2])
+    return env.select("spider_id", results_json(env).alias("json"))
+
+
+@register("results_clean")
+def q_results_clean(spark, sf):
+    """O-33: content items of every envelope (links, then the page), envelope dropped."""
+    env = _run(spark, sf, [ALL_OPERATIONS[1], ALL_OPERATIONS[0]])
+    items = results_clean(env)
+    return items.select(
+        "spider_id", F.col("op_index").cast("long").alias("op_index"),
+        F.col("item_index").cast("long").alias("item_index"),
+        F.get_json_object("item", "$.url").alias("item_url"),
+        F.coalesce(F.get_json_object("item", "$.text"), F.get_json_object("item", "$")).alias("item_text"),
+    )
+
+
+@register("assign_task_id")
+def q_assign_task_id(spark, sf):
+    """O-34: given task ids kept (even page ids here), others derived from run id and key."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("spider_id"))
+    given = F.when(F.col("spider_id") % 2 == 0, F.concat(F.lit("task-"), F.col("spider_id").cast("string")))
+    return assign_task_id(p.withColumn("task_id", given), "task_id", "auto-", "run")
+
+
+@register("collect_manifest")
+def q_collect_manifest(spark, sf):
+    """O-39: a manifest record for every stored result with files (get content runs)."""
+    env = _run(spark, sf, [ALL_OPERATIONS[3]], get_image=False)
+    return collect_manifest(env, "results", F.lit(RUN_TS).cast("timestamp"))
+
+
+@register("retire_content")
+def q_retire_content(spark, sf):
+    """O-40: results of pages whose URL has a fragment are deleted; their records retired."""
+    pages = table(spark, sf, "pages")
+    manifest = manifest_of(pages, "results", F.lit(RUN_TS).cast("timestamp"))
+    results = pages.select("url", "page_id")
+    m, _ = retire_content(manifest, results, pages.where(F.col("url").contains("#")))
+    return m.select("url", "local_path", "state")
+
+
+@register("skip_collected")
+def q_skip_collected(spark, sf):
+    """O-41: pages not yet stored (stored = pages whose URL has a query string)."""
+    pages = table(spark, sf, "pages")
+    manifest = manifest_of(pages.where(F.col("url").contains("?")), "results", F.lit(RUN_TS).cast("timestamp"))
+    return skip_collected(pages.select("page_id", "url"), manifest)
+
+
+@register("collect_stream")
+def q_collect_stream(spark, sf):
+    """O-42: pages streamed from the snapshot folder, each URL once, collected per micro-batch;
+    flattened like ``collect_content`` (same selectors, black words and rules)."""
+    q, sink = collect_stream(
+        spark, sf, CONTENT_SELECTORS, glob="pages.parquet", replace_rules=REFINE_RULES, black_words=BLACK_WORDS
+    )
+    q.awaitTermination()
+    rec = spark.read.parquet(sink)
+    kv = rec.where(~F.col("blocked")).select("page_id", F.explode("content").alias("key", "values"))
+    return kv.select(
+        "page_id", "key", F.size("values").cast("long").alias("n_values"),
+        F.array_join("values", "\n").alias("joined"),
+    )
