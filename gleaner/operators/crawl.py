@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import valid_url
 from ..session import checkpoint_dir
-from ..sources.pages import EMPTY_PAGE
+from ..sources.pages import resolve_pages
 from .content import collect_content
 from .links import grouped_links, link_xpaths
 
@@ -168,11 +168,9 @@ def crawl_content(crawled: DataFrame, pages: DataFrame, selectors, **content_opt
     collected once, however many spiders reached it, then joined back.
     """
     targets = crawled.where(F.col("kind") == "target")
-    urls = targets.select("url").distinct()
-    snap = pages.select("page_id", "url", "html").dropDuplicates(["url"])
-    resolved = urls.join(snap, "url", "left").select(
-        F.coalesce("page_id", F.xxhash64("url")).alias("page_id"), "url",
-        F.coalesce("html", F.lit(EMPTY_PAGE)).alias("html"),
+    # pages the snapshot lacks have no id of their own: hash their URL
+    resolved = resolve_pages(targets.select("url").distinct(), pages).select(
+        F.coalesce("page_id", F.xxhash64("url")).alias("page_id"), "url", "html"
     )
     rec = collect_content(resolved, selectors, **content_options)
     rec = rec.where(~F.col("blocked")).select("url", "page_key", "content", "media", "images")

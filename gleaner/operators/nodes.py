@@ -152,16 +152,28 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags)
         yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in NODES_SCHEMA.fields])
 
 
+def spread(pages: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give the Python parse enough tasks: an input with fewer partitions than the
+    cluster can run (a single unsplittable file, a small table) is hash-partitioned on
+    ``page_id``; a large input keeps its scan splits and is not shuffled."""
+    sc = pages.sparkSession.sparkContext
+    want = min_partitions or 2 * sc.defaultParallelism
+    if pages.rdd.getNumPartitions() >= want:
+        return pages
+    return pages.repartition(want, "page_id")
+
+
 def parse_nodes(
     pages: DataFrame,
     attrs: Iterable[str] | None = None,
     content_tags: Iterable[str] | None = None,
     path_tags: Iterable[str] | None = None,
+    min_partitions: int | None = None,
 ) -> DataFrame:
     """Element rows of every page (``page_id, url, html`` in)."""
     a = None if attrs is None else frozenset(attrs)
     c = None if content_tags is None else frozenset(content_tags)
     p = None if path_tags is None else frozenset(path_tags)
     ensure_shipped(pages.sparkSession)
-    src = pages.select("page_id", "url", "html")
+    src = spread(pages.select("page_id", "url", "html"), min_partitions)
     return src.mapInArrow(lambda it: _convert(it, a, c, p), NODES_SCHEMA)

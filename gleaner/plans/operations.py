@@ -19,6 +19,7 @@ from ..operators.content import collect_content
 from ..operators.crawl import crawl, crawl_content
 from ..operators.links import links_as_array, page_links
 from ..operators.results import assemble, assign_task_id, datum, envelope
+from ..session import checkpoint_dir
 from ..sources.pages import normalise_html, resolve_pages
 
 OPERATIONS = (("get", "page"), ("get", "links"), ("get", "article"), ("get", "content"), ("crawl", "content"))
@@ -36,7 +37,7 @@ def _ops(operations) -> list[tuple[str, str]]:
 
 def start_pages(spiders: DataFrame, pages: DataFrame) -> DataFrame:
     """Each spider's start page (O-02: a missing page is the empty page), keyed ``page_id = spider_id``."""
-    res = resolve_pages(spiders.select("spider_id", "url"), pages)
+    res = resolve_pages(spiders.select("spider_id", "url"), pages.select("url", "html"))
     return res.select(F.col("spider_id").alias("page_id"), "url", normalise_html(F.col("html")).alias("html"))
 
 
@@ -53,7 +54,9 @@ def run_operations(
 ) -> DataFrame:
     """Envelopes ``spider_id, url, id, task, start, end, results ARRAY<VARIANT>``."""
     ops = _ops(operations)
-    starts = start_pages(spiders, pages)
+    checkpoint_dir(spiders.sparkSession)
+    # every operation reads the start pages: resolve them once, lineage cut
+    starts = start_pages(spiders, pages).checkpoint()
     ids = starts.select(F.col("page_id").alias("spider_id"), "url", page_key(F.col("url")).alias("id"))
     datums = []
     for i, (a, t) in enumerate(ops):

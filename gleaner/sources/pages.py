@@ -53,14 +53,27 @@ def valid_urls(df: DataFrame, col: str = "url") -> tuple[DataFrame, DataFrame]:
     return df.where(ok), df.where(~ok)
 
 
-def resolve_pages(frontier: DataFrame, pages: DataFrame, loader: PageLoader | None = None) -> DataFrame:
+BROADCAST_FRONTIER_ROWS = 2_000_000
+
+
+def resolve_pages(frontier: DataFrame, pages: DataFrame, loader: PageLoader | None = None,
+                  broadcast_rows: int = BROADCAST_FRONTIER_ROWS) -> DataFrame:
     """O-02: fetch by URL. Every frontier row gets a page; a URL the source does
     not have gives the empty page (``found = false``), never an error.
 
     ``frontier`` needs a ``url`` column; the result keeps all its columns and
-    adds ``html`` and ``found``.
+    adds ``html``, ``found`` (and the snapshot's ``page_id`` when it has one). The snapshot is never shuffled when the
+    frontier's distinct URLs are few enough (checked) to broadcast: the pages
+    are filtered by a broadcast semi-join and only the hits meet the frontier.
     """
-    source = loader(frontier.select("url").distinct()) if loader else pages.select("url", "html")
+    wanted = frontier.select("url").distinct()
+    if loader:
+        source = loader(wanted)
+    else:
+        snap = pages.select("url", "html", *(["page_id"] if "page_id" in pages.columns else []))
+        if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
+            snap = snap.join(F.broadcast(wanted), "url", "left_semi")
+        source = snap
     source = source.dropDuplicates(["url"]).withColumn("_found", F.lit(True))
     out = frontier.join(source, "url", "left")
     return out.withColumn("found", F.coalesce(F.col("_found"), F.lit(False))).withColumn(
