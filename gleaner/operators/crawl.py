@@ -12,7 +12,10 @@ Rules (D = crawl_depth; ``target`` and ``expand`` are tracked separately):
 
 Spark plan: the link edges of every page are computed **once**, for all
 distinct (target, expand) XPath sets of all spiders, in a single parse scan,
-then checkpointed. The traversal is level-synchronous — each level is
+and materialised with ``checkpoint()``. When their count is small (checked) they
+are broadcast to every level; otherwise they are written once as a table
+bucketed on the join key (URL) in the shared checkpoint folder, so no level
+re-shuffles them. The traversal is level-synchronous — each level is
 ``frontier ⋈ edges`` → depth rules → de-dup → ``left_anti`` against the
 visited set — so every (spider, kind, URL) is reached first at its minimum
 depth. Lineage is cut with ``checkpoint()`` into the shared
@@ -23,6 +26,8 @@ AQE's skew-join splitting handles it (enabled in the session).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,10 @@ from ..sources.pages import resolve_pages
 from .content import collect_content
 from .links import grouped_links, link_xpaths
 
+# at most this many edges (checked by a count of the materialised edges) are broadcast to
+# every level's join; more are written as a bucketed table instead
+BROADCAST_EDGE_ROWS = 500_000
+
 SPIDER_COLUMNS = ("spider_id", "url", "crawl_root", "target_links", "expand_links", "crawl_depth")
 
 
@@ -80,6 +89,23 @@ def link_edges(pages: DataFrame, rules) -> DataFrame:
     ).distinct()
 
 
+def bucketed_edges(edges: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Edges are joined at every level: write them once as a table bucketed (and sorted)
+    on the join key in the shared checkpoint folder. Reads keep that partitioning, so
+    each level shuffles only its (small) frontier, never the edges; the write also cuts
+    the lineage back to the parse."""
+    spark = edges.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"gleaner_edges_{uuid.uuid4().hex[:12]}"
+    path = checkpoint_dir(spark).rstrip("/") + "/" + name
+    (
+        edges.repartition(n, "rules_id", "src_url")
+        .write.bucketBy(n, "rules_id", "src_url").sortBy("rules_id", "src_url")
+        .option("path", path).mode("overwrite").saveAsTable(name)
+    )
+    return spark.table(name)
+
+
 def _enter(f: DataFrame, edges: DataFrame) -> DataFrame:
     """Candidates from frontier rows ``f`` (rules 3–4), one level deeper."""
     j = f.join(edges, (f["rules_id"] == edges["rules_id"]) & (f["url"] == edges["src_url"]))
@@ -116,6 +142,8 @@ def crawl(spiders: DataFrame, pages: DataFrame, edges: DataFrame | None = None)
     if edges is None:
         edges = link_edges(pages, rules)
     edges = edges.checkpoint()
+    small = edges.count() <= BROADCAST_EDGE_ROWS
+    edges = F.broadcast(edges) if small else bucketed_edges(edges)
     sp = keyed.select(
         "spider_id", "rules_id", F.coalesce("crawl_depth", F.lit(1)).alias("crawl_depth"),
         F.col("url").alias("root"), F.coalesce("crawl_root", F.lit(False)).alias("crawl_root"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import timefmt, urls
 from .operators.links import page_links
 from .session import table
+from .sources.config import broadcast_if_small
 from .sources.pages import read_pages, read_pages_from
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -415,7 +416,7 @@ def linked_web(spark, sf) -> DataFrame:
         F.lit('<div class="post-title"><h2><a href="'), F.col("u2"), F.lit('">post</a></h2></div>'),
         F.lit('<a rel="next" href="'), F.col("u3"), F.lit('">next</a>'),
     )
-    web = p.join(links.select("page_id", "u1", "u2", "u3"), "page_id")
+    web = p.join(broadcast_if_small(links.select("page_id", "u1", "u2", "u3")), "page_id")
     return web.select("page_id", "url", F.replace(F.col("html"), F.lit("</footer>"), block).alias("html"))
 
 
