@@ -50,9 +50,14 @@ def run_operations(
     run_id: str = "run",
     task_prefix: str = "",
     location: str = "results",
+    started=None,
+    ended=None,
     **content_options,
 ) -> DataFrame:
-    """Envelopes ``spider_id, url, id, task, start, end, results ARRAY<VARIANT>``."""
+    """Envelopes ``spider_id, url, id, task, start, end, results ARRAY<VARIANT>``.
+
+    ``started`` / ``ended`` are the run's time columns (default: now).
+    """
     ops = _ops(operations)
     checkpoint_dir(spiders.sparkSession)
     # every operation reads the start pages: resolve them once, lineage cut
@@ -108,4 +113,4 @@ def run_operations(
         datums.append(d.withColumn("op_index", F.lit(i)))
     assembled = assemble(datums)
     tasks = assign_task_id(ids.withColumn("task_id", F.lit(task_id).cast("string")), "task_id", task_prefix, run_id)
-    return envelope(assembled, tasks, F.col("task_id"))
+    return envelope(assembled, tasks, F.col("task_id"), start=started, end=ended)

@@ -525,9 +525,19 @@ def q_build_results(spark, sf):
 
 @register("results_json")
 def q_results_json(spark, sf):
-    """O-32: every envelope as pretty JSON text (rows-only: contains run times)."""
-    env = _run(spark, sf, ALL_OPERATIONS[:2])
-    return env.select("spider_id", results_json(env).alias("json"))
+    """O-32: every envelope exported as pretty JSON text, then read back field by field."""
+    ts = F.lit(RUN_TS).cast("timestamp")
+    env = _run(spark, sf, ALL_OPERATIONS[:2], started=ts, ended=ts)
+    js = env.select("spider_id", results_json(env).alias("json"))
+    get = lambda path: F.get_json_object("json", path)
+    return js.select(
+        "spider_id", get("$.id").alias("id"), get("$.task").alias("task"), get("$.url").alias("url"),
+        get("$.start").alias("start"), get("$.end").alias("end"),
+        F.json_array_length(get("$.results")).cast("long").alias("n_results"),
+        get("$.results[1].extras.action").alias("second_action"),
+        get("$.results[1].extras.target").alias("second_target"),
+        F.length("json").cast("long").alias("json_chars"),
+    ).drop("json_chars")
 
 
 @register("results_clean")
@@ -590,3 +600,25 @@ def q_collect_stream(spark, sf):
         "page_id", "key", F.size("values").cast("long").alias("n_values"),
         F.array_join("values", "\n").alias("joined"),
     )
+
+
+def illustrated_pages(spark, sf) -> DataFrame:
+    """Stand-in input only: every page of ``pages`` with an ``alt`` caption on its article,
+    an image inside the article, an image without ``src`` and an image in the footer."""
+    p = table(spark, sf, "pages")
+    pid = F.col("page_id").cast("string")
+    html = F.replace(F.col("html"), F.lit("<article>"), F.lit('<article alt="Figure">'))
+    html = F.replace(html, F.lit("</h1>"), F.concat(F.lit('</h1><img src="/img/'), pid, F.lit('.jpg?w=1"><img alt="no source">')))
+    html = F.replace(html, F.lit("<footer>"), F.concat(F.lit('<footer><img src="http://cdn.test/'), pid, F.lit('/b.png">')))
+    return read_pages_from(p.select("page_id", "url", html.alias("html")))
+
+
+@register("image_refs")
+def q_image_refs(spark, sf):
+    """O-17: images under each html-selected element, caption from the element's alt."""
+    rec = collect_content(illustrated_pages(spark, sf), [("body", "//article", "html"), ("menu", "//nav", "html")])
+    im = rec.select("page_id", F.posexplode("images").alias("pos", "i"))
+    return im.select(
+        "page_id", (F.col("pos") + 1).cast("long").alias("image_rank"),
+        "i.file_name", "i.caption", "i.file_url",
+    )
