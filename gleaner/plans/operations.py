@@ -41,6 +41,38 @@ def start_pages(spiders: DataFrame, pages: DataFrame) -> DataFrame:
     return res.select(F.col("spider_id").alias("page_id"), "url", normalise_html(F.col("html")).alias("html"))
 
 
+def crawl_records(spiders: DataFrame, pages: DataFrame, selectors=(), location: str = "results",
+                  **content_options) -> DataFrame:
+    """O-30d rows of a crawl-content operation: ``spider_id, page_key, url, depth, content, path``."""
+    got = crawl(spiders, pages)
+    rec = crawl_content(got, pages, selectors, **content_options)
+    return rec.select(
+        "spider_id", "page_key", "url", "depth", "content",
+        F.concat(F.lit(location.rstrip("/") + "/"), F.col("page_key")).alias("path"),
+    )
+
+
+def _embedded_crawl(rec: DataFrame, location: str) -> DataFrame:
+    """``{page_key: {content, url}}`` per spider (the reference's shape; gathers each crawl)."""
+    per = rec.groupBy("spider_id").agg(
+        sort_by(F.collect_list(F.struct("page_key", "url", "content")), "page_key", "url").alias("e")
+    )
+    # page keys are 32-bit prefixes: make the rare same-host collisions distinct keys
+    keys = F.transform(
+        "e",
+        lambda x, i: F.when(
+            (i > 0) & (F.element_at("e", F.greatest(i, F.lit(1)))["page_key"] == x["page_key"]),
+            F.concat(x["page_key"], F.lit("-"), i.cast("string")),
+        ).otherwise(x["page_key"]),
+    )
+    return per.select(
+        "spider_id",
+        F.map_from_arrays(keys, F.transform("e", lambda x: F.struct(x["content"].alias("content"),
+                                                                 x["url"].alias("url")))).alias("pages"),
+        F.transform("e", lambda x: F.concat(F.lit(location.rstrip("/") + "/"), x["page_key"])).alias("paths"),
+    )
+
+
 def run_operations(
     spiders: DataFrame,
     pages: DataFrame,
@@ -52,11 +84,18 @@ def run_operations(
     location: str = "results",
     started=None,
     ended=None,
+    embed_crawl: bool = False,
     **content_options,
 ) -> DataFrame:
     """Envelopes ``spider_id, url, id, task, start, end, results ARRAY<VARIANT>``.
 
     ``started`` / ``ended`` are the run's time columns (default: now).
+
+    A crawl's pages stay rows (``crawl_records``; the sink writes them as index
+    records): by default the crawl datum carries ``{"pages": n}`` and their
+    location, so no spider's whole crawl is ever gathered into one row. With
+    ``embed_crawl=True`` the datum embeds ``{page_key: {content, url}}`` as the
+    reference does — for crawls known to be small.
     """
     ops = _ops(operations)
     checkpoint_dir(spiders.sparkSession)
@@ -88,28 +127,19 @@ def run_operations(
                       {"uuid": F.col("page_key"), "path": path, "blocked": F.col("blocked")}).alias("datum"),
             )
         else:  # crawl content
-            got = crawl(spiders, pages)
-            rec = crawl_content(got, pages, selectors, **content_options)
-            per = rec.groupBy("spider_id").agg(
-                sort_by(F.collect_list(F.struct("page_key", "url", "content")), "page_key", "url").alias("e")
-            )
-            # page keys are 32-bit prefixes: make the rare same-host collisions distinct keys
-            keys = F.transform(
-                "e",
-                lambda x, i: F.when(
-                    (i > 0) & (F.element_at("e", F.greatest(i, F.lit(1)))["page_key"] == x["page_key"]),
-                    F.concat(x["page_key"], F.lit("-"), i.cast("string")),
-                ).otherwise(x["page_key"]),
-            )
-            per = per.select(
-                "spider_id",
-                F.map_from_arrays(keys, F.transform("e", lambda x: F.struct(x["content"].alias("content"),
-                                                                         x["url"].alias("url")))).alias("pages"),
-                F.transform("e", lambda x: F.concat(F.lit(location.rstrip("/") + "/"), x["page_key"])).alias("paths"),
-            )
-            d = ids.select("spider_id").join(per, "spider_id", "left").select(
-                "spider_id", datum(F.col("pages"), a, t, extras={"path": F.col("paths")}).alias("datum")
-            )
+            rec = crawl_records(spiders, pages, selectors, location, **content_options)
+            if embed_crawl:
+                per = _embedded_crawl(rec, location)
+                d = ids.select("spider_id").join(per, "spider_id", "left").select(
+                    "spider_id", datum(F.col("pages"), a, t, extras={"path": F.col("paths")}).alias("datum")
+                )
+            else:
+                per = rec.groupBy("spider_id").agg(F.count("*").alias("n"))
+                d = ids.select("spider_id").join(per, "spider_id", "left").select(
+                    "spider_id",
+                    datum(F.struct(F.coalesce("n", F.lit(0)).alias("pages")), a, t,
+                          extras={"path": F.lit(location.rstrip("/") + "/crawl")}).alias("datum"),
+                )
         datums.append(d.withColumn("op_index", F.lit(i)))
     assembled = assemble(datums)
     tasks = assign_task_id(ids.withColumn("task_id", F.lit(task_id).cast("string")), "task_id", task_prefix, run_id)

@@ -506,11 +506,13 @@ def _run(spark, sf, operations, **kw):
 
 @register("build_results")
 def q_build_results(spark, sf):
-    """O-31: all five operations for every spider in one run; size of each datum's content."""
+    """O-31: all five operations for every spider in one run; size of each datum's content
+    (for the crawl: the number of crawled pages, kept as rows)."""
     env = _run(spark, sf, ALL_OPERATIONS, get_image=False)
     r = env.select("spider_id", F.posexplode("results").alias("op_index", "d"))
     c = F.variant_get("d", "$.content", "variant")
     size = F.coalesce(
+        F.try_variant_get(c, "$.pages", "bigint"),
         F.size(F.try_variant_get(c, "$", "array<variant>")),
         F.size(F.try_variant_get(c, "$", "map<string,variant>")),
         F.length(F.try_variant_get(c, "$", "string")),

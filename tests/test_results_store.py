@@ -48,7 +48,7 @@ def test_operate_two_operations(spark, pages):
 def test_operate_all_operations(spark, pages):
     ops = [{"action": a, "target": t} for a, t in
            [("get", "page"), ("get", "links"), ("get", "article"), ("get", "content"), ("crawl", "content")]]
-    env = run_operations(spiders(spark), pages, ops, {"t": ("//title", "text")})
+    env = run_operations(spiders(spark), pages, ops, {"t": ("//title", "text")}, embed_crawl=True)
     doc = json.loads(env.select(results_json(env, pretty=False).alias("j")).first().j)
     page, links, art, content, crawled = [r["content"] for r in doc["results"]]
     assert page.startswith("<!DOCTYPE html>")
@@ -58,6 +58,14 @@ def test_operate_all_operations(spark, pages):
         "http://blog.test/posts/first", "http://blog.test/posts/second", "http://blog.test/posts/third"
     ]
     assert re.match(r"[0-9a-f]{8}-[0-9a-f]{4}-", doc["task"])
+    # default: the crawl's pages stay rows, the datum counts them
+    env = run_operations(spiders(spark), pages, ops[-1:], {"t": ("//title", "text")})
+    doc = json.loads(env.select(results_json(env, pretty=False).alias("j")).first().j)
+    assert doc["results"][0]["content"] == {"pages": 3}
+    from gleaner.plans.operations import crawl_records
+
+    rows = crawl_records(spiders(spark), pages, {"t": ("//title", "text")}).collect()
+    assert sorted(r.content["t"][0] for r in rows) == ["First post", "Second post", "Third post"]
 
 
 def test_task_ids(spark):
