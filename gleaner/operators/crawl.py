@@ -80,7 +80,7 @@ def link_edges(pages: DataFrame, rules) -> DataFrame:
     for i, t, e, *_ in rules:
         groups.append((f"{i}:target", link_xpaths(t)))
         groups.append((f"{i}:expand", link_xpaths(e)))
-    links = grouped_links(pages, groups)
+    links = grouped_links(pages, groups, with_page_url=True)
     return links.select(
         F.split_part("grp", F.lit(":"), F.lit(1)).cast("int").alias("rules_id"),
         F.col("page_url").alias("src_url"),

@@ -67,13 +67,19 @@ def link_info(nodes: DataFrame, groups=(("links", DEFAULT_LINK_XPATHS),), make_r
     )
 
 
-def dedup_links(info: DataFrame) -> DataFrame:
-    """O-22 … O-24 on link rows: key, scheme filter, first-with-text per key, resolve, rank."""
+def dedup_links(info: DataFrame, carry=()) -> DataFrame:
+    """O-22 … O-24 on link rows: key, scheme filter, first-with-text per key, resolve, rank.
+
+    Links are resolved before the exchange, so only the narrow columns the two
+    windows need cross it (no page URL or raw href per row, unless ``carry`` asks).
+    """
     keyed = info.withColumn("key", link_key(F.col("href"))).where(is_http(F.col("key")))
-    keyed = keyed.repartition("page_id")
+    keyed = keyed.select(
+        "page_id", "grp", "sel", "node_id", "key", "text", *carry,
+        complete_url(F.col("page_url"), F.col("href")).alias("url"),
+    ).repartition("page_id")
     first = Window.partitionBy("page_id", "grp", "key").orderBy((F.col("text") == "").asc(), "sel", "node_id")
     kept = keyed.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1)
-    kept = kept.withColumn("url", complete_url(F.col("page_url"), F.col("href")))
     order = Window.partitionBy("page_id", "grp").orderBy("text", "url", "sel", "node_id")
     return kept.withColumn("link_rank", F.row_number().over(order).cast("long"))
 
@@ -85,11 +91,13 @@ def page_links(pages: DataFrame, xpaths: Sequence[str] | None = None, make_root:
     return dedup_links(info).select("page_id", "link_rank", "url", "text")
 
 
-def grouped_links(pages: DataFrame, groups, make_root: bool = False) -> DataFrame:
-    """Links per named XPath group in one scan: ``page_id, page_url, grp, link_rank, url, text``."""
+def grouped_links(pages: DataFrame, groups, make_root: bool = False, with_page_url: bool = False) -> DataFrame:
+    """Links per named XPath group in one scan: ``page_id, grp, link_rank, url, text``
+    (and ``page_url`` on request)."""
     groups = _groups(groups)
     info = link_info(link_nodes(pages, groups), groups, make_root)
-    return dedup_links(info).select("page_id", "page_url", "grp", "link_rank", "url", "text")
+    carry = ("page_url",) if with_page_url else ()
+    return dedup_links(info, carry).select("page_id", *carry, "grp", "link_rank", "url", "text")
 
 
 def explore_links(pages: DataFrame, explore: dict) -> DataFrame:

@@ -154,13 +154,13 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags)
 
 def spread(pages: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give the Python parse enough tasks: an input with fewer partitions than the
-    cluster can run (a single unsplittable file, a small table) is hash-partitioned on
-    ``page_id``; a large input keeps its scan splits and is not shuffled."""
-    sc = pages.sparkSession.sparkContext
-    want = min_partitions or 2 * sc.defaultParallelism
-    if pages.rdd.getNumPartitions() >= want:
+    cluster has cores (a single unsplittable file, a small table) is hash-partitioned
+    on ``page_id`` into two tasks per core; an input with enough scan splits — any
+    large one — is not shuffled."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() >= (min_partitions or cores):
         return pages
-    return pages.repartition(want, "page_id")
+    return pages.repartition(max(min_partitions or 0, 2 * cores), "page_id")
 
 
 def parse_nodes(
