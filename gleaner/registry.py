@@ -420,17 +420,16 @@ def linked_web(spark, sf) -> DataFrame:
     return web.select("page_id", "url", F.replace(F.col("html"), F.lit("</footer>"), block).alias("html"))
 
 
-def _spiders(spark, sf, every_page: bool) -> DataFrame:
-    """Spider configuration: one spider at page 0, or one per page (crawl_root on even ids)."""
+def _spiders(spark, sf, depth: int, root_on_even: bool) -> DataFrame:
+    """Spider configuration: one spider per page of the table, starting at that page,
+    all with the same link rules and depth; ``crawl_root`` on even ids when asked."""
     p = table(spark, sf, "pages").select("page_id", "url")
-    if not every_page:
-        p = p.where(F.col("page_id") == 0)
+    root = ((F.col("page_id") % 2) == 0) if root_on_even else F.lit(False)
     return p.select(
-        F.col("page_id").alias("spider_id"), "url",
-        ((F.col("page_id") % 2) == 0).alias("crawl_root") if every_page else F.lit(False).alias("crawl_root"),
+        F.col("page_id").alias("spider_id"), "url", root.alias("crawl_root"),
         F.array(*[F.lit(x) for x in TARGET_XPATHS]).alias("target_links"),
         F.array(*[F.lit(x) for x in EXPAND_XPATHS]).alias("expand_links"),
-        F.lit(CRAWL_DEPTH if not every_page else 2).alias("crawl_depth"),
+        F.lit(depth).alias("crawl_depth"),
     )
 
 
@@ -438,34 +437,34 @@ def _spiders(spark, sf, every_page: bool) -> DataFrame:
 def q_link_edges(spark, sf):
     """O-30a: target and expand links of every page of the linked web, one parse scan."""
     web = read_pages_from(linked_web(spark, sf))
-    _, rules = spider_rules(_spiders(spark, sf, False))
+    _, rules = spider_rules(_spiders(spark, sf, CRAWL_DEPTH, False))
     e = link_edges(web, rules)
     return e.select("src_url", "kind", "dst_url")
 
 
 @register("crawl")
 def q_crawl(spark, sf):
-    """O-30 / O-30b: one spider from page 0, depth 3, over the whole linked web."""
-    return crawl(_spiders(spark, sf, False), read_pages_from(linked_web(spark, sf)))
+    """O-30 / O-30b: a spider from every page of the linked web, depth 3, in one job."""
+    return crawl(_spiders(spark, sf, CRAWL_DEPTH, False), read_pages_from(linked_web(spark, sf)))
 
 
 @register("crawl_all_spiders")
 def q_crawl_all(spark, sf):
     """O-30e / O-30c: every page is a spider's start (crawl_root on even ids), depth 2, one job."""
-    return crawl(_spiders(spark, sf, True), read_pages_from(linked_web(spark, sf)))
+    return crawl(_spiders(spark, sf, 2, True), read_pages_from(linked_web(spark, sf)))
 
 
 @register("crawl_stats")
 def q_crawl_stats(spark, sf):
     """O-30f: targets and expansions found per spider, kind and depth."""
-    return crawl_stats(crawl(_spiders(spark, sf, True), read_pages_from(linked_web(spark, sf))))
+    return crawl_stats(crawl(_spiders(spark, sf, 2, True), read_pages_from(linked_web(spark, sf))))
 
 
 @register("crawl_content")
 def q_crawl_content(spark, sf):
     """O-30d: content of every crawled target (title and heading), flattened per key."""
     web = read_pages_from(linked_web(spark, sf))
-    got = crawl(_spiders(spark, sf, False), web)
+    got = crawl(_spiders(spark, sf, CRAWL_DEPTH, False), web)
     rec = crawl_content(got, web, TEXT_SELECTORS[:2], get_image=False)
     kv = rec.select("spider_id", "url", "depth", F.explode("content").alias("key", "values"))
     return kv.select(
@@ -501,7 +500,7 @@ def q_extract_article(spark, sf):
 
 def _run(spark, sf, operations, **kw):
     web = read_pages_from(linked_web(spark, sf))
-    return run_operations(_spiders(spark, sf, True), web, operations, TEXT_SELECTORS[:2], **kw)
+    return run_operations(_spiders(spark, sf, 2, True), web, operations, TEXT_SELECTORS[:2], **kw)
 
 
 @register("build_results")
