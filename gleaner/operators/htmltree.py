@@ -259,6 +259,14 @@ class _Builder(HTMLParser):
         if not self.tag:
             self._push("html", {}, 0, 0)
         self._pop_to(0, len(self.src))
+        # sibling counts (for last()): same-tag siblings and element siblings
+        self.nsib = [1] * len(self.tag)
+        self.npos = [1] * len(self.tag)
+        for i, par in enumerate(self.parent):
+            if par >= 0:
+                counts = self.counts[par]
+                self.nsib[i] = counts[self.tag[i]]
+                self.npos[i] = counts[""]
         return self
 
 

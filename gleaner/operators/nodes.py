@@ -34,6 +34,8 @@ PATH_T = T.ArrayType(
             T.StructField("attrs", ATTRS_T),
             T.StructField("sib", T.IntegerType()),
             T.StructField("pos", T.IntegerType()),
+            T.StructField("nsib", T.IntegerType()),
+            T.StructField("npos", T.IntegerType()),
             T.StructField("id", T.IntegerType()),
         ]
     )
@@ -51,6 +53,8 @@ NODES_SCHEMA = T.StructType(
         T.StructField("attrs", ATTRS_T),
         T.StructField("sib", T.IntegerType()),
         T.StructField("pos", T.IntegerType()),
+        T.StructField("nsib", T.IntegerType()),
+        T.StructField("npos", T.IntegerType()),
         T.StructField("lead_text", T.StringType()),
         T.StructField("tail", T.StringType()),
         T.StructField("src_start", T.IntegerType()),
@@ -63,7 +67,8 @@ NODES_SCHEMA = T.StructType(
 
 _MAP = pa.map_(pa.string(), pa.string())
 _PATH_STRUCT = pa.struct(
-    [("tag", pa.string()), ("attrs", _MAP), ("sib", pa.int32()), ("pos", pa.int32()), ("id", pa.int32())]
+    [("tag", pa.string()), ("attrs", _MAP), ("sib", pa.int32()), ("pos", pa.int32()),
+     ("nsib", pa.int32()), ("npos", pa.int32()), ("id", pa.int32())]
 )
 
 
@@ -76,6 +81,7 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags)
         cols = batch.to_pydict()
         out = {f.name: [] for f in NODES_SCHEMA.fields}
         p_off, p_tag, p_sib, p_pos, p_id = [0], [], [], [], []
+        p_nsib, p_npos = [], []
         p_aoff, p_akey, p_aval = [0], [], []
         for page_id, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
             src, b = htmltree.build(html)
@@ -99,6 +105,8 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags)
                 out["attrs"].append(list(kept[i].items()))
                 out["sib"].append(b.sib[i])
                 out["pos"].append(b.pos[i])
+                out["nsib"].append(b.nsib[i])
+                out["npos"].append(b.npos[i])
                 out["lead_text"].append("".join(b.lead[i]))
                 out["tail"].append("".join(b.tail[i]))
                 out["src_start"].append(b.s0[i])
@@ -119,6 +127,8 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags)
                         p_tag.append(b.tag[j])
                         p_sib.append(b.sib[j])
                         p_pos.append(b.pos[j])
+                        p_nsib.append(b.nsib[j])
+                        p_npos.append(b.npos[j])
                         p_id.append(j)
                         for k, v in kept[j].items():
                             p_akey.append(k)
@@ -133,6 +143,8 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags)
                 ),
                 pa.array(p_sib, pa.int32()),
                 pa.array(p_pos, pa.int32()),
+                pa.array(p_nsib, pa.int32()),
+                pa.array(p_npos, pa.int32()),
                 pa.array(p_id, pa.int32()),
             ],
             fields=list(_PATH_STRUCT),

@@ -12,13 +12,14 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from .nodes import parse_nodes
-from .xpath import XPath, compile_xpath, element_match, parent_match
+from .xpath import XPath, branch_match, branch_parent_match, compile_xpath, global_keep
 
 log = logging.getLogger(__name__)
 
@@ -63,28 +64,33 @@ def _compiled(xpaths: Iterable[str]) -> list[XPath | None]:
 
 
 def parse_options(xpaths: Iterable[str], content: bool = True, extra_attrs: Iterable[str] = (), extra_tags=()) -> dict:
-    """Pruned ``parse_nodes`` options for a set of XPaths."""
-    attrs, tags, path_tags, any_tag, any_path = set(extra_attrs), set(extra_tags), set(), False, False
-    for xp in _compiled(xpaths):
-        if xp is None:
+    """Pruned ``parse_nodes`` options for a set of XPaths (and their tbody fallbacks):
+    the attributes they name, ``text``/``markup`` for the tags they can return
+    (when ``content``, or when a predicate reads ``.``), ``path`` for the tags a
+    multi-step path can end on."""
+    attrs, tags, path_tags = set(extra_attrs), set(extra_tags), set()
+    any_tag = any_path = False
+    for top in _compiled(xpaths):
+        if top is None:
             continue
-        attrs |= xp.attr_names
-        last = xp.last_tags
-        if last is None:
-            any_tag = True
-        else:
-            tags |= last
-        fb = xp.fallback()
-        if fb is not None and fb.last_tags:
-            tags |= fb.last_tags
-        if xp.needs_path or (fb is not None and fb.needs_path):
-            if last is None:
-                any_path = True
-            else:
-                path_tags |= last | (fb.last_tags if fb is not None and fb.last_tags else set())
+        for xp in (top, top.fallback()):
+            if xp is None:
+                continue
+            attrs |= xp.attr_names
+            last = xp.last_tags
+            if content or xp.needs_text:
+                if last is None:
+                    any_tag = True
+                else:
+                    tags |= last
+            if xp.needs_path:
+                if last is None:
+                    any_path = True
+                else:
+                    path_tags |= last
     return {
         "attrs": attrs,
-        "content_tags": (None if any_tag else tags) if content else set(),
+        "content_tags": None if any_tag else tags,
         "path_tags": None if any_path else path_tags,
     }
 
@@ -113,12 +119,20 @@ def match_rows(nodes: DataFrame, xpaths: list[str], with_ancestors: bool = False
     if not entries:
         return nodes.limit(0).select(*_empty_columns())
 
-    hit = lambda k, f, part: F.struct(F.lit(k).alias("sel"), F.lit(f).alias("fb"), F.lit(part).alias("part"))
-    hits = []
+    hit = lambda k, f, part, t: F.struct(
+        F.lit(k).alias("sel"), F.lit(f).alias("fb"), F.lit(part).alias("part"), F.lit(t).alias("term")
+    )
+    hits, terms = [], {}
     for k, f, xp in entries:
-        hits.append(F.when(element_match(xp), hit(k, f, 0)))
-        if xp.terminal == ("text",):
-            hits.append(F.when(parent_match(xp), hit(k, f, 1)))
+        by_term: dict = {}
+        for b in xp.branches:
+            by_term.setdefault(b.terminal, []).append(b)
+        terms[(k, f)] = list(by_term)
+        for t, (term, bs) in enumerate(by_term.items()):
+            # branches with the same result kind form one hit: a node matched twice counts once
+            hits.append(F.when(reduce(lambda a, c: a | c, [branch_match(b) for b in bs]), hit(k, f, 0, t)))
+            if term == ("text",):
+                hits.append(F.when(reduce(lambda a, c: a | c, [branch_parent_match(b) for b in bs]), hit(k, f, 1, t)))
     anc = (
         [F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda p: p["id"]).alias("anc")]
         if with_ancestors
@@ -129,22 +143,23 @@ def match_rows(nodes: DataFrame, xpaths: list[str], with_ancestors: bool = False
         *anc,
         F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"),
     )
-    sel, fb, part = F.col("h.sel"), F.col("h.fb"), F.col("h.part")
+    sel, fb, part, term_c = F.col("h.sel"), F.col("h.fb"), F.col("h.part"), F.col("h.term")
 
     value = F.lit(None).cast("string")
     is_string = F.lit(False)
     is_textnode = F.lit(False)
-    for k, f, xp in entries:
-        this = (sel == k) & (fb == f)
-        if xp.terminal is None:
-            continue
-        if xp.terminal[0] == "attr":
-            v = F.col("attrs").getItem(xp.terminal[1])
-        else:
-            v = F.when(part == 1, F.col("tail")).otherwise(F.col("lead_text"))
-            is_textnode = F.when(this, F.lit(True)).otherwise(is_textnode)
-        value = F.when(this, v).otherwise(value)
-        is_string = F.when(this, F.lit(True)).otherwise(is_string)
+    for (k, f), ts in terms.items():
+        for t, term in enumerate(ts):
+            if term is None:
+                continue
+            this = (sel == k) & (fb == f) & (term_c == t)
+            if term[0] == "attr":
+                v = F.col("attrs").getItem(term[1])
+            else:
+                v = F.when(part == 1, F.col("tail")).otherwise(F.col("lead_text"))
+                is_textnode = F.when(this, F.lit(True)).otherwise(is_textnode)
+            value = F.when(this, v).otherwise(value)
+            is_string = F.when(this, F.lit(True)).otherwise(is_string)
     owner = F.when(part == 1, F.col("parent_id")).otherwise(F.col("node_id"))
     rows = rows.select(
         "page_id", "url", sel.alias("sel"), fb.alias("fb"), owner.alias("node_id"),
@@ -152,22 +167,25 @@ def match_rows(nodes: DataFrame, xpaths: list[str], with_ancestors: bool = False
         is_string.alias("is_string"), value.alias("value"), is_textnode.alias("_tn"),
         "tag", "attrs", "end_id", "lead_text", "text", "markup", *(["anc"] if with_ancestors else []),
     )
-    # attribute results exist only where the attribute does; text nodes only when non-empty
-    rows = rows.where(
-        ~F.col("is_string") | (F.col("value").isNotNull() & (~F.col("_tn") | (F.length("value") > 0)))
-    ).drop("_tn")
-
-    positional = [(k, f, xp.global_pos) for k, f, xp in entries if xp.global_pos is not None]
+    positional = [(k, f, xp.global_pred) for k, f, xp in entries if xp.global_pred is not None]
     with_fallback = any(f == 1 for _, f, _ in entries)
     if positional or with_fallback:
         rows = rows.repartition("page_id")
     if positional:
-        w = Window.partitionBy("page_id", "sel", "fb").orderBy("node_id")
-        want = F.lit(None).cast("int")
-        for k, f, n in positional:
-            want = F.when((F.col("sel") == k) & (F.col("fb") == f), F.lit(n)).otherwise(want)
-        rows = rows.withColumn("_want", want).withColumn("_rk", F.dense_rank().over(w))
-        rows = rows.where(F.col("_want").isNull() | (F.col("_rk") == F.col("_want"))).drop("_want", "_rk")
+        ordered = Window.partitionBy("page_id", "sel", "fb").orderBy("node_id")
+        whole = Window.partitionBy("page_id", "sel", "fb")
+        rows = rows.withColumn("_rk", F.dense_rank().over(ordered))
+        rows = rows.withColumn("_cnt", F.max("_rk").over(whole))
+        keep = F.lit(True)
+        for k, f, pred in positional:
+            this = (F.col("sel") == k) & (F.col("fb") == f)
+            keep = F.when(this, global_keep(pred, F.col("_rk"), F.col("_cnt"))).otherwise(keep)
+        rows = rows.where(keep).drop("_rk", "_cnt")
+    # attribute results exist only where the attribute does; text nodes only when non-empty
+    # (after positions: (//img)[1]/@src is the first img's src, if it has one)
+    rows = rows.where(
+        ~F.col("is_string") | (F.col("value").isNotNull() & (~F.col("_tn") | (F.length("value") > 0)))
+    ).drop("_tn")
     if with_fallback:
         w = Window.partitionBy("page_id", "sel")
         has_primary = F.max(F.when(F.col("fb") == 0, 1).otherwise(0)).over(w)

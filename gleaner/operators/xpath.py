@@ -1,24 +1,32 @@
-"""O-08 / O-09: an XPath subset compiled into Spark Column predicates.
-
-Supported (everything the selectors in use need)::
-
-    /step  //step           child and descendant axes
-    tag  *                  name test
-    [@a='v'] [@a="v"] [@a]  attribute tests
-    [n]                     position among same-tag siblings (``*[n]``: among elements),
-                            allowed as the first predicate of a step
-    (path)[n]               n-th match of the page in document order
-    .../@name  .../text()   attribute or text-node results
-
-Anything else (or a syntax error) compiles to ``None``: the selector yields no
-rows, as an invalid XPath does, and the caller logs a warning.
-
-A location path s1..sn matches a node when a fold over its ancestor-or-self
-``path`` array ends with bit n set, with state (exact, any) starting at (1, 1):
+"""O-08 / O-09: XPath compiled into Spark Column predicates.
+
+Supported::
+
+    /step  //step                 child and descendant axes
+    tag  *                        name tests
+    [predicate] …                 any number per step, where a predicate is
+        @a  @a='v'  @a!="v"  text()='v'  .='v'  (string comparisons, also < <= > >=)
+        contains(x, 'v')  starts-with(x, 'v')  normalize-space(x)  string-length(x)
+        not(…)  … and …  … or …  ( … )
+        n  position()…  last()    position among same-tag siblings (``*``: among
+                                  elements); allowed in a step's first predicate
+    (path)[n] (path)[last()] …    position among the page's matches, document order
+    path | path                   union (one selector, document order, no repeats)
+    …/@name  …/text()             attribute or text-node results
+
+``text()`` inside a predicate is the element's first text node (XPath 1.0's
+string conversion of a node set), ``.`` its whole text; both only on a path's
+last step. Anything else (other axes, functions, a position after a filtering
+predicate) or a syntax error compiles to ``None``: the selector yields no rows,
+as an invalid XPath does, and the caller logs a warning.
+
+A location path s1..sn matches a node when a fold over its ancestors leaves
+bit n-1 set (in ``exact`` for a child step, ``any`` for a descendant step) and
+the node itself passes step n. The fold's state (exact, any) starts at (1, 1):
 bit i of the new ``exact`` is set when the element satisfies step i and bit i-1
 was set in the previous ``exact`` (child axis) or ``any`` (descendant axis);
-``any |= exact``. The fold is an ``aggregate`` higher-order function, so the
-whole selection is a row-local filter: no join, no shuffle.
+``any |= exact``. The fold is an ``aggregate`` over the row's ``path`` array,
+so selection is a row-local filter: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -31,46 +39,73 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import WS_CLASS, py_strip
+
 log = logging.getLogger(__name__)
 
 
+class Unsupported(ValueError):
+    pass
+
+
 @dataclass(frozen=True)
 class Step:
     axis: str  # "child" | "desc"
     tag: str | None  # None = any element
-    position: int | None  # [n] as first predicate
-    attrs: tuple  # ((name, value-or-None), ...)
+    preds: tuple  # predicate ASTs, in order
 
 
 @dataclass(frozen=True)
-class XPath:
-    source: str
+class Path:
     steps: tuple
-    global_pos: int | None  # (path)[n]
     terminal: tuple | None  # ("attr", name) | ("text",) | None
 
-    @property
-    def returns_strings(self) -> bool:
-        return self.terminal is not None
 
+@dataclass(frozen=True)
+class XPath:
+    source: str
+    branches: tuple  # Path, …  (a union has several)
+    global_pred: tuple | None  # predicate AST of (…)[pred]
+
+    # -- what a parse must provide -----------------------------------------------
     @property
     def attr_names(self) -> set:
-        names = {a for s in self.steps for a, _ in s.attrs}
-        if self.terminal and self.terminal[0] == "attr":
-            names.add(self.terminal[1])
+        names = set()
+        for b in self.branches:
+            for s in b.steps:
+                for p in s.preds:
+                    names |= _attrs_in(p)
+            if b.terminal and b.terminal[0] == "attr":
+                names.add(b.terminal[1])
         return names
 
     @property
     def last_tags(self):
-        """Tags a matching row can have (``None`` = any); text() also needs child rows."""
-        if self.terminal == ("text",):
-            return None
-        last = self.steps[-1].tag
-        return None if last is None else {last}
+        """Tags a selected row can have (``None`` = any); text() also needs child rows."""
+        tags = set()
+        for b in self.branches:
+            if b.terminal == ("text",) or b.steps[-1].tag is None:
+                return None
+            tags.add(b.steps[-1].tag)
+        return tags
 
     @property
     def needs_path(self) -> bool:
-        return self.terminal == ("text",) or len(self.steps) > 1 or self.steps[0].axis == "child"
+        return any(b.terminal == ("text",) or len(b.steps) > 1 for b in self.branches)
+
+    @property
+    def needs_text(self) -> bool:
+        return any(_uses(p, "dot") for b in self.branches for p in b.steps[-1].preds)
+
+    @property
+    def terminal(self):
+        ts = {b.terminal for b in self.branches}
+        return ts.pop() if len(ts) == 1 else None
+
+    @property
+    def global_pos(self):
+        g = self.global_pred
+        return g[1] if g is not None and g[0] == "num" else (None if g is None else g)
 
     def fallback(self) -> XPath | None:
         """O-09: the same XPath without ``tbody/`` (browser-injected tables)."""
@@ -79,16 +114,21 @@ class XPath:
         return compile_xpath(self.source.replace("tbody/", ""))
 
 
+# -- tokenizer ----------------------------------------------------------------------
+
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _TOKEN = re.compile(
     rf"""\s*(?:
-      (?P<dslash>//) | (?P<slash>/) | (?P<lpar>\() | (?P<rpar>\)) |
-      \[\s*@(?P<aname>{_NAME})\s*(?:=\s*(?:'(?P<sq>[^']*)'|"(?P<dq>[^"]*)"))?\s*\] |
-      \[\s*(?P<num>[0-9]+)\s*\] |
-      @(?P<attr>{_NAME}) | (?P<text>text\(\)) | (?P<star>\*) | (?P<name>{_NAME})
+      (?P<dslash>//) | (?P<slash>/) | (?P<lpar>\() | (?P<rpar>\)) | (?P<lbr>\[) | (?P<rbr>\]) |
+      (?P<pipe>\|) | (?P<comma>,) | (?P<op>!=|<=|>=|=|<|>) |
+      (?P<num>[0-9]+(?:\.[0-9]+)?) | '(?P<sq>[^']*)' | "(?P<dq>[^"]*)" |
+      @(?P<attr>{_NAME}|\*) | (?P<dot>\.(?![.\w])) | (?P<star>\*) |
+      (?P<func>{_NAME})\s*(?=\() | (?P<name>{_NAME})
     )""",
     re.VERBOSE,
 )
+_FUNCS = {"contains", "starts-with", "normalize-space", "string-length", "not", "text", "position", "last",
+          "string", "concat"}
 
 
 def _tokens(src: str):
@@ -100,127 +140,383 @@ def _tokens(src: str):
             raise ValueError(f"bad token at {pos}")
         kind = m.lastgroup
         if kind in ("sq", "dq"):
-            kind = "aname"
-        out.append((kind, m))
+            out.append(("str", m.group(kind)))
+        elif kind == "num":
+            out.append(("num", float(m.group(kind))))
+        else:
+            out.append((kind, m.group(kind)))
         pos = m.end()
     return out
 
 
-def _parse_path(toks, i):
-    steps, terminal = [], None
-    while i < len(toks) and toks[i][0] in ("slash", "dslash"):
-        axis = "desc" if toks[i][0] == "dslash" else "child"
-        i += 1
-        if i >= len(toks):
-            raise ValueError("dangling /")
-        kind, m = toks[i]
-        if kind == "attr" or kind == "text":
-            if axis != "child" or not steps:
-                raise ValueError("unsupported terminal")
-            terminal = ("attr", m.group("attr")) if kind == "attr" else ("text",)
-            i += 1
-            break
-        if kind not in ("name", "star"):
-            raise ValueError("expected a name test")
-        tag = m.group("name").lower() if kind == "name" else None
-        i += 1
-        position, attrs = None, []
-        while i < len(toks) and toks[i][0] in ("aname", "num"):
-            kind, m = toks[i]
-            if kind == "num":
-                if attrs or position is not None:
-                    raise ValueError("position after another predicate is not supported")
-                position = int(m.group("num"))
-                if position < 1:
-                    raise ValueError("positions start at 1")
+class _Parser:
+    def __init__(self, toks):
+        self.t = toks
+        self.i = 0
+
+    def peek(self, k=0):
+        j = self.i + k
+        return self.t[j] if j < len(self.t) else (None, None)
+
+    def take(self, kind=None, value=None):
+        tk = self.peek()
+        if kind and tk[0] != kind or value is not None and tk[1] != value:
+            raise ValueError(f"expected {kind or value}, got {tk}")
+        self.i += 1
+        return tk
+
+    # union := pathexpr ('|' pathexpr)*
+    def union(self):
+        branches, gpred = [], None
+        while True:
+            if self.peek()[0] == "lpar":
+                self.take("lpar")
+                inner, inner_g = self.union()
+                self.take("rpar")
+                if inner_g is not None:
+                    raise Unsupported("nested (…)[…]")
+                self.take("lbr")
+                gpred = self.expr()
+                self.take("rbr")
+                term = self.terminal()
+                if term:
+                    inner = [Path(b.steps, term) for b in inner]
+                branches.extend(inner)
+            else:
+                branches.append(self.path())
+            if self.peek()[0] != "pipe":
+                break
+            if gpred is not None:
+                raise Unsupported("union after (…)[…]")
+            self.take("pipe")
+        return branches, gpred
+
+    def terminal(self):
+        if self.peek()[0] == "slash" and self.peek(1)[0] == "attr":
+            self.take("slash")
+            name = self.take("attr")[1]
+            if name == "*":
+                raise Unsupported("@*")
+            return ("attr", name.lower())
+        if self.peek()[0] == "slash" and self.peek(1) == ("func", "text"):
+            self.take("slash")
+            self.take("func")
+            self.take("lpar")
+            self.take("rpar")
+            return ("text",)
+        return None
+
+    def path(self):
+        steps = []
+        while self.peek()[0] in ("slash", "dslash"):
+            if steps:
+                term = self.terminal()
+                if term:
+                    return Path(tuple(steps), term)
+            axis = "desc" if self.take()[0] == "dslash" else "child"
+            kind, val = self.peek()
+            if kind == "name":
+                tag = val.lower()
+            elif kind == "star":
+                tag = None
             else:
-                val = m.group("sq") if m.group("sq") is not None else m.group("dq")
-                attrs.append((m.group("aname").lower(), val))
-            i += 1
-        steps.append(Step(axis, tag, position, tuple(attrs)))
-    if not steps:
-        raise ValueError("empty path")
-    return steps, terminal, i
+                raise Unsupported("expected a name test")
+            self.take()
+            preds = []
+            while self.peek()[0] == "lbr":
+                self.take("lbr")
+                preds.append(self.expr())
+                self.take("rbr")
+            steps.append(Step(axis, tag, tuple(preds)))
+        if not steps:
+            raise ValueError("empty path")
+        return Path(tuple(steps), None)
+
+    # expr := and ('or' and)* ; and := cmp ('and' cmp)* ; cmp := value (op value)?
+    def expr(self):
+        left = self.and_expr()
+        while self.peek() == ("name", "or"):
+            self.take()
+            left = ("or", left, self.and_expr())
+        return left
+
+    def and_expr(self):
+        left = self.cmp()
+        while self.peek() == ("name", "and"):
+            self.take()
+            left = ("and", left, self.cmp())
+        return left
+
+    def cmp(self):
+        left = self.value()
+        if self.peek()[0] == "op":
+            op = self.take()[1]
+            return ("cmp", op, left, self.value())
+        return left
+
+    def value(self):
+        kind, val = self.peek()
+        if kind == "attr":
+            self.take()
+            if val == "*":
+                raise Unsupported("@*")
+            return ("attr", val.lower())
+        if kind == "str":
+            self.take()
+            return ("str", val)
+        if kind == "num":
+            self.take()
+            return ("num", val)
+        if kind == "dot":
+            self.take()
+            return ("dot",)
+        if kind == "lpar":
+            self.take()
+            e = self.expr()
+            self.take("rpar")
+            return e
+        if kind == "func":
+            if val not in _FUNCS:
+                raise Unsupported(f"function {val}()")
+            self.take()
+            self.take("lpar")
+            args = []
+            if self.peek()[0] != "rpar":
+                args.append(self.expr())
+                while self.peek()[0] == "comma":
+                    self.take()
+                    args.append(self.expr())
+            self.take("rpar")
+            if val == "text" and not args:
+                return ("text",)
+            if val in ("position", "last") and not args:
+                return (val,)
+            return ("fn", val, tuple(args))
+        raise Unsupported(f"unexpected {kind} {val}")
 
 
 def compile_xpath(source) -> XPath | None:
-    """Parse an XPath of the supported subset; ``None`` when invalid/unsupported."""
+    """Parse a supported XPath; ``None`` when invalid or unsupported."""
     if not isinstance(source, str) or not source.strip():
         return None
     try:
-        toks = _tokens(source)
-        if toks and toks[0][0] == "lpar":
-            steps, terminal, i = _parse_path(toks, 1)
-            if terminal is not None or i + 1 >= len(toks) or toks[i][0] != "rpar" or toks[i + 1][0] != "num":
-                raise ValueError("expected (path)[n]")
-            gpos = int(toks[i + 1][1].group("num"))
-            if gpos < 1:
-                raise ValueError("positions start at 1")
-            i += 2
-            if i < len(toks):
-                if toks[i][0] != "slash" or i + 1 >= len(toks) or toks[i + 1][0] not in ("attr", "text"):
-                    raise ValueError("unsupported step after (path)[n]")
-                k, m = toks[i + 1]
-                terminal = ("attr", m.group("attr")) if k == "attr" else ("text",)
-                i += 2
-        else:
-            steps, terminal, i = _parse_path(toks, 0)
-            gpos = None
-        if i != len(toks):
+        p = _Parser(_tokens(source))
+        branches, gpred = p.union()
+        if p.i != len(p.t):
             raise ValueError("trailing tokens")
-        return XPath(source, tuple(steps), gpos, terminal)
-    except ValueError as exc:
+        for b in branches:
+            for j, s in enumerate(b.steps):
+                for k, pr in enumerate(s.preds):
+                    if k > 0 and _uses_position(pr):
+                        raise Unsupported("position after a filtering predicate")
+                    if j < len(b.steps) - 1 and (_uses(pr, "dot") or _uses(pr, "text")):
+                        raise Unsupported("text tests only on the last step")
+                    if b.terminal == ("text",) and (_uses(pr, "dot") or _uses(pr, "text")):
+                        raise Unsupported("text tests with a text() result")
+        if gpred is not None and (_attrs_in(gpred) or _uses(gpred, "dot") or _uses(gpred, "text")):
+            raise Unsupported("only positions in (…)[…]")
+        return XPath(source, tuple(branches), gpred)
+    except (ValueError, IndexError) as exc:
         log.warning("invalid or unsupported XPath %r: %s", source, exc)
         return None
 
 
-# -- Column predicates ---------------------------------------------------------------
+# -- AST helpers ----------------------------------------------------------------------
+
+
+def _walk(node):
+    yield node
+    for c in node[1:]:
+        if isinstance(c, tuple) and c and isinstance(c[0], str):
+            yield from _walk(c)
+        elif isinstance(c, tuple):
+            for x in c:
+                if isinstance(x, tuple):
+                    yield from _walk(x)
+
+
+def _uses(node, kind) -> bool:
+    return any(n[0] == kind for n in _walk(node))
+
+
+def _uses_position(node) -> bool:
+    return node[0] == "num" or _uses(node, "position") or _uses(node, "last")
+
+
+def _attrs_in(node) -> set:
+    return {n[1] for n in _walk(node) if n[0] == "attr"}
+
+
+# -- Column compilation -----------------------------------------------------------------
+
+
+@dataclass
+class _Ctx:
+    tag: Column
+    attrs: Column
+    position: Column
+    last: Column
+    text: Column | None = None  # whole text (``.``)
+    lead: Column | None = None  # first text node (``text()``)
+
+
+def _string(node, c: _Ctx) -> Column:
+    kind = node[0]
+    if kind == "attr":
+        return c.attrs.getItem(node[1])
+    if kind == "str":
+        return F.lit(node[1])
+    if kind == "num":
+        v = node[1]
+        return F.lit(str(int(v)) if v == int(v) else str(v))
+    if kind == "dot":
+        return F.coalesce(c.text, F.lit(""))
+    if kind == "text":
+        return c.lead  # null when there is no text node
+    if kind == "position":
+        return c.position.cast("string")
+    if kind == "last":
+        return c.last.cast("string")
+    if kind == "fn":
+        name, args = node[1], node[2]
+        if name == "normalize-space":
+            s = _string(args[0], c) if args else F.coalesce(c.text, F.lit(""))
+            return F.regexp_replace(py_strip(F.coalesce(s, F.lit(""))), f"{WS_CLASS}+", " ")
+        if name == "string":
+            return F.coalesce(_string(args[0], c), F.lit("")) if args else F.coalesce(c.text, F.lit(""))
+        if name == "concat":
+            return F.concat(*[F.coalesce(_string(a, c), F.lit("")) for a in args])
+        if name == "string-length":
+            s = _string(args[0], c) if args else F.coalesce(c.text, F.lit(""))
+            return F.length(F.coalesce(s, F.lit(""))).cast("string")
+    raise Unsupported(f"not a string: {kind}")
+
+
+def _number(node, c: _Ctx) -> Column:
+    kind = node[0]
+    if kind == "num":
+        return F.lit(float(node[1]))
+    if kind == "position":
+        return c.position.cast("double")
+    if kind == "last":
+        return c.last.cast("double")
+    if kind == "fn" and node[1] == "string-length":
+        return _string(node, c).cast("double")
+    return _string(node, c).try_cast("double")
+
+
+def _is_numeric(node) -> bool:
+    return node[0] in ("num", "position", "last") or (node[0] == "fn" and node[1] == "string-length")
+
+
+def _bool(node, c: _Ctx) -> Column:
+    kind = node[0]
+    if kind == "num":  # [n] means position() = n
+        return c.position == F.lit(int(node[1]))
+    if kind == "last":  # [last()] means position() = last()
+        return c.position == c.last
+    if kind == "position":
+        return F.lit(True)
+    if kind == "or":
+        return _bool(node[1], c) | _bool(node[2], c)
+    if kind == "and":
+        return _bool(node[1], c) & _bool(node[2], c)
+    if kind == "attr":
+        return c.attrs.getItem(node[1]).isNotNull()
+    if kind == "text":
+        return F.coalesce(F.length(c.lead) > 0, F.lit(False))
+    if kind == "dot":
+        return F.length(F.coalesce(c.text, F.lit(""))) > 0
+    if kind == "str":
+        return F.lit(len(node[1]) > 0)
+    if kind == "fn":
+        name, args = node[1], node[2]
+        if name == "not":
+            return ~_bool(args[0], c)
+        if name == "contains":
+            a, b = (F.coalesce(_string(x, c), F.lit("")) for x in args)
+            return F.instr(a, b) > 0
+        if name == "starts-with":
+            a, b = (F.coalesce(_string(x, c), F.lit("")) for x in args)
+            return a.startswith(b)
+        return F.length(F.coalesce(_string(node, c), F.lit(""))) > 0
+    if kind == "cmp":
+        op, left, right = node[1], node[2], node[3]
+        if _is_numeric(left) or _is_numeric(right):
+            lv, rv = _number(left, c), _number(right, c)
+        else:
+            lv, rv = _string(left, c), _string(right, c)
+        out = {"=": lv == rv, "!=": lv != rv, "<": lv < rv, "<=": lv <= rv, ">": lv > rv, ">=": lv >= rv}[op]
+        return F.coalesce(out, F.lit(False))
+    raise Unsupported(f"not a predicate: {kind}")
+
+
+def _step_test(step: Step, tag: Column, attrs: Column, sib: Column, pos: Column, nsib: Column, npos: Column,
+               text: Column | None = None, lead: Column | None = None) -> Column:
+    named = step.tag is not None
+    c = _Ctx(tag, attrs, sib if named else pos, nsib if named else npos, text, lead)
+    cond = (tag == F.lit(step.tag)) if named else F.lit(True)
+    for p in step.preds:
+        b = (c.position == F.lit(int(p[1]))) if p[0] == "num" else _bool(p, c)
+        cond = cond & b
+    return cond
 
 
-def _element_test(step: Step, tag: Column, attrs: Column, sib: Column, pos: Column) -> Column:
-    cond = F.lit(True)
-    if step.tag is not None:
-        cond = tag == F.lit(step.tag)
-    if step.position is not None:
-        cond = cond & ((sib if step.tag is not None else pos) == F.lit(step.position))
-    for name, value in step.attrs:
-        v = attrs.getItem(name)
-        cond = cond & (v.isNotNull() if value is None else F.coalesce(v == F.lit(value), F.lit(False)))
-    return cond
+def _el(el, step):
+    return _step_test(step, el["tag"], el["attrs"], el["sib"], el["pos"], el["nsib"], el["npos"])
 
 
 def _fold(path: Column, steps) -> Column:
-    n = len(steps)
+    """``struct(e, a)`` after folding the steps over the elements of ``path``."""
 
     def merge(acc, el):
         exact, anyb = acc.getField("e"), acc.getField("a")
-        terms = []
+        terms = [F.lit(0).cast("long")]
         for i, s in enumerate(steps, start=1):
             prev = exact if s.axis == "child" else anyb
-            ok = _element_test(s, el.getField("tag"), el.getField("attrs"), el.getField("sib"), el.getField("pos"))
-            ok = ok & (prev.bitwiseAND(F.lit(1 << (i - 1)).cast("long")) != 0)
+            ok = _el(el, s) & (prev.bitwiseAND(F.lit(1 << (i - 1)).cast("long")) != 0)
             terms.append(F.when(ok, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
         new = reduce(lambda x, y: x + y, terms)
         return F.struct(new.alias("e"), anyb.bitwiseOR(new).alias("a"))
 
     init = F.struct(F.lit(1).cast("long").alias("e"), F.lit(1).cast("long").alias("a"))
-    final = F.aggregate(path, init, merge)
-    return final.getField("e").bitwiseAND(F.lit(1 << n).cast("long")) != 0
+    return F.aggregate(path, init, merge)
 
 
-def element_match(xp: XPath, path: str = "path") -> Column:
-    """True for node rows that the location path selects (before ``(…)[n]``)."""
-    last = xp.steps[-1]
-    self_test = _element_test(last, F.col("tag"), F.col("attrs"), F.col("sib"), F.col("pos"))
-    if len(xp.steps) == 1 and last.axis == "desc":
-        return self_test
-    if len(xp.steps) == 1:
-        return self_test & (F.col("depth") == 1)
-    return self_test & _fold(F.col(path), xp.steps)
+def _ancestors(path: str = "path") -> Column:
+    p = F.col(path)
+    return F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))
+
 
+def branch_match(b: Path, path: str = "path") -> Column:
+    """True for node rows selected by one location path (before ``(…)[…]``)."""
+    last = b.steps[-1]
+    n = len(b.steps)
+    self_ok = _step_test(last, F.col("tag"), F.col("attrs"), F.col("sib"), F.col("pos"), F.col("nsib"),
+                         F.col("npos"), F.col("text"), F.col("lead_text"))
+    if n == 1 and last.axis == "desc":
+        return self_ok
+    if n == 1:
+        return self_ok & (F.col("depth") == 1)
+    st = _fold(_ancestors(path), b.steps[:-1])
+    mask = st.getField("e") if last.axis == "child" else st.getField("a")
+    return self_ok & (mask.bitwiseAND(F.lit(1 << (n - 1)).cast("long")) != 0)
 
-def parent_match(xp: XPath, path: str = "path") -> Column:
+
+def branch_parent_match(b: Path, path: str = "path") -> Column:
     """True for node rows whose parent the location path selects (for ``text()``)."""
     p = F.col(path)
-    parent_path = F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))
-    return (F.size(p) > 1) & _fold(parent_path, xp.steps)
+    n = len(b.steps)
+    st = _fold(_ancestors(path), b.steps)
+    return (F.size(p) > 1) & (st.getField("e").bitwiseAND(F.lit(1 << n).cast("long")) != 0)
+
+
+def element_match(xp: XPath, path: str = "path") -> Column:
+    """True for node rows that any branch selects."""
+    return reduce(lambda a, b: a | b, [branch_match(b, path) for b in xp.branches])
+
+
+def global_keep(pred, rank: Column, count: Column) -> Column:
+    """The ``(…)[pred]`` test for a match of page-global rank ``rank`` among ``count``."""
+    c = _Ctx(F.lit(None), F.create_map(), rank, count)
+    return (rank == F.lit(int(pred[1]))) if pred[0] == "num" else _bool(pred, c)

@@ -112,3 +112,26 @@ def test_one_scan_for_many_selectors(spark):
     assert counts == {0: 3, 1: 1, 2: 1, 3: 3}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_richer_predicates_and_unions(spark):
+    assert one(spark, A0, "//div[contains(@class, 'post-bo')]/@alt") == ["Body one"]
+    assert one(spark, LIST0, "//a[text()='Older posts']/@href") == ["/page/2"]
+    assert one(spark, LIST0, "//footer/a[last()]/@href") == ["/tags/x/"]
+    assert one(spark, LIST0, "//header/a[position() <= 2]/@href") == ["/", "/about/"]
+    assert one(spark, LIST0, "//a[starts-with(@href, 'mailto:')]") == ["Mail"]
+    assert one(spark, LIST0, "//a[@href!='/' and contains(@href, 'about')]/@href") == ["/about/", "  /about  "]
+    assert one(spark, LIST0, "//nav/a[not(@rel='prev') or @id]") == ["Older posts"]
+    assert one(spark, LIST0, "//h2/a | //nav/a") == ["First post", "Second post", "Third post", "Older posts"]
+    assert one(spark, LIST0, "(//h2/a | //nav/a)[last()]") == ["Older posts"]
+    assert one(spark, LIST0, "(//h2/a)[position() > 1]") == ["Second post", "Third post"]
+    assert one(spark, LIST0, "//p[normalize-space(.)='Another intro.']") == ["Another intro."]
+    assert one(spark, LIST0, "//div[@id='main']/article[2]//a/@href") == ["/posts/second"]
+    assert one(spark, LIST0, "//footer/a[string-length(@href) > 15]/@href") == [
+        "/posts/first#comments", "mailto:me@blog.test", "javascript:void(0)", "https://other.test/x"
+    ]
+    # a position picks the element before its attribute is read
+    assert one(spark, "<img><img src='x'>", "(//img)[1]/@src") == []
+    assert one(spark, "<img><img src='x'>", "(//img[@src])[1]/@src") == ["x"]
+    for unsupported in ["//a/..", "//a[following-sibling::b]", "//article[.//img]", "//a[@x][last()]"]:
+        assert compile_xpath(unsupported) is None
