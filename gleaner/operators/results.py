@@ -31,7 +31,7 @@ def datum(content: Column, action: str, target: str, media: Column | None = None
         (images if images is not None else empty).alias("images"),
         F.struct(*ex).alias("extras"),
     )
-    return F.parse_json(F.to_json(st))
+    return F.parse_json(F.to_json(st, {"ignoreNullFields": "false"}))
 
 
 def assemble(datums: list[DataFrame], key: str = "spider_id") -> DataFrame:

@@ -37,10 +37,11 @@ def read_pages_from(df: DataFrame) -> DataFrame:
     return df.select("page_id", "url", normalise_html(F.col("html")).alias("html"))
 
 
-def read_page_files(spark: SparkSession, glob: str) -> DataFrame:
-    """O-01 for a folder of HTML files: one page per file, the file URI as URL."""
-    raw = spark.read.text(glob, wholetext=True).select(
-        F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")
+def read_page_files(spark: SparkSession, glob: str, encoding: str = "UTF-8") -> DataFrame:
+    """O-01 for a folder of HTML files: one page per file (empty files included),
+    the file URI as URL, the path hash as ``page_id``."""
+    raw = spark.read.format("binaryFile").load(glob).select(
+        F.col("path").alias("url"), F.decode(F.col("content"), encoding).alias("html")
     )
     return raw.select(
         F.xxhash64("url").alias("page_id"), "url", normalise_html(F.col("html")).alias("html")

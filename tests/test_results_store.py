@@ -154,3 +154,39 @@ def test_stream_equals_batch(spark, pages):
     streamed = sorted((r.url, sorted(r.content.items())) for r in spark.read.parquet(sink).collect())
     batch = sorted((r.url, sorted(r.content.items())) for r in collect_content(pages, sels).collect())
     assert streamed == batch
+
+
+def test_operate_with_plan(spark, pages):
+    from gleaner.plans.operations import operate
+
+    sp = spark.createDataFrame(
+        [(1, "http://blog.test/posts/first", False, [TARGET], [EXPAND], 1),
+         (2, "http://blog.test/posts/second", False, [TARGET], [EXPAND], 1),
+         (3, "http://blog.test/posts/third", False, [TARGET], [EXPAND], 1)], SPIDERS)
+    sc = spark.createDataFrame([(1, 10), (2, 20)], config.SPIDER_COLLECTORS)
+    cols = spark.createDataFrame([(10, "a", True, [], []), (20, "b", False, ["<img[^>]*>"], ["second"])],
+                                 config.COLLECTORS)
+    cs = spark.createDataFrame([(10, 1), (20, 2)], config.COLLECTOR_SELECTORS)
+    sels = spark.createDataFrame([(1, "title", "//title", "text"), (2, "body", "//div[@class='post-body']", "html")],
+                                 config.SELECTORS)
+    plan = config.spider_plan(sc, cols, cs, sels)
+    env = operate(sp, pages, [{"action": "get", "target": "content"}], plan)
+    docs = {r.spider_id: json.loads(r.j) for r in env.select("spider_id", results_json(env, False).alias("j")).collect()}
+    assert docs[1]["results"][0]["content"] == {"title": ["First post"]}
+    assert docs[2]["results"][0]["content"] is None and docs[2]["results"][0]["extras"]["blocked"]
+    assert docs[3]["results"][0]["content"] == {}  # no collector: no selectors
+
+
+def test_read_page_files(spark):
+    from gleaner.operators.links import page_links
+    from gleaner.sources.pages import read_page_files
+
+    folder = tempfile.mkdtemp(prefix="gleaner-html-")
+    for name, html in [("a.html", '<a href="b.html">B</a>'), ("b.html", "  <p>plain</p>  "), ("c.html", "")]:
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(html)
+    p = read_page_files(spark, folder + "/*.html")
+    got = {r.url.rsplit("/", 1)[-1]: r.html for r in p.collect()}
+    assert got == {"a.html": '<a href="b.html">B</a>', "b.html": "<p>plain</p>", "c.html": "<html></html>"}
+    links = page_links(p).collect()
+    assert [(r.text, r.url.rsplit("/", 1)[-1]) for r in links] == [("B", "b.html")]
