@@ -38,8 +38,9 @@ def read_pages_from(df: DataFrame) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, glob: str, encoding: str = "UTF-8") -> DataFrame:
-    """O-01 for a folder of HTML files: one page per file (empty files included),
-    the file URI as URL, the path hash as ``page_id``."""
+    """O-01 for a folder of HTML files: one page per file, the file URI as URL, the
+    path hash as ``page_id``. (Spark's file sources skip zero-length files; an empty
+    ``html`` value in a page table becomes the empty document as usual.)"""
     raw = spark.read.format("binaryFile").load(glob).select(
         F.col("path").alias("url"), F.decode(F.col("content"), encoding).alias("html")
     )
