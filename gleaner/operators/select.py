@@ -117,7 +117,7 @@ def match_rows(nodes: DataFrame, xpaths: list[str], with_ancestors: bool = False
         if fb is not None:
             entries.append((k, 1, fb))
     if not entries:
-        return nodes.limit(0).select(*_empty_columns())
+        return nodes.limit(0).select(*_empty_columns(with_ancestors))
 
     hit = lambda k, f, part, t: F.struct(
         F.lit(k).alias("sel"), F.lit(f).alias("fb"), F.lit(part).alias("part"), F.lit(t).alias("term")
@@ -193,11 +193,12 @@ def match_rows(nodes: DataFrame, xpaths: list[str], with_ancestors: bool = False
     return rows.drop("fb")
 
 
-def _empty_columns() -> list:
+def _empty_columns(with_ancestors: bool = False) -> list:
+    anc = [F.array().cast("array<int>").alias("anc")] if with_ancestors else []
     return [
         "page_id", "url", F.lit(0).alias("sel"), "node_id", F.lit(0).cast("long").alias("ord"),
         F.lit(False).alias("is_string"), F.lit(None).cast("string").alias("value"),
-        "tag", "attrs", "end_id", "lead_text", "text", "markup",
+        "tag", "attrs", "end_id", "lead_text", "text", "markup", *anc,
     ]
 
 

@@ -97,16 +97,6 @@ class XPath:
     def needs_text(self) -> bool:
         return any(_uses(p, "dot") for b in self.branches for p in b.steps[-1].preds)
 
-    @property
-    def terminal(self):
-        ts = {b.terminal for b in self.branches}
-        return ts.pop() if len(ts) == 1 else None
-
-    @property
-    def global_pos(self):
-        g = self.global_pred
-        return g[1] if g is not None and g[0] == "num" else (None if g is None else g)
-
     def fallback(self) -> XPath | None:
         """O-09: the same XPath without ``tbody/`` (browser-injected tables)."""
         if "/tbody/" not in self.source:
