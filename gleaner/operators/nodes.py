@@ -164,13 +164,40 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags)
         yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in NODES_SCHEMA.fields])
 
 
+def planned_partitions(df: DataFrame) -> int | None:
+    """How many partitions ``df`` will have, found from its physical plan without running
+    anything: the planned output partitioning, else the most splits of its file scans
+    (the streamed side of a broadcast join keeps its scan's splits). ``None`` if unknown."""
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        n = plan.outputPartitioning().numPartitions()
+        if n > 0:
+            return int(n)
+        if plan.getClass().getSimpleName() != "AdaptiveSparkPlanExec":
+            return df.rdd.getNumPartitions()  # no exchange: building the RDD runs nothing
+        n = plan.inputPlan().outputPartitioning().numPartitions()
+        if n > 0:
+            return int(n)
+        leaves = plan.inputPlan().collectLeaves()
+        splits = [
+            leaves.apply(i).inputRDD().getNumPartitions()
+            for i in range(leaves.size())
+            if leaves.apply(i).getClass().getSimpleName() == "FileSourceScanExec"
+        ]
+        return max(splits) if splits else None
+    except Exception:  # noqa: BLE001 - planner internals differ between versions: treat as unknown
+        return None
+
+
 def spread(pages: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give the Python parse enough tasks: an input with fewer partitions than the
     cluster has cores (a single unsplittable file, a small table) is hash-partitioned
     on ``page_id`` into two tasks per core; an input with enough scan splits — any
-    large one — is not shuffled."""
+    large one — is not shuffled, nor is one whose partitioning cannot be known
+    without running it."""
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() >= (min_partitions or cores):
+    n = planned_partitions(pages)
+    if n is None or n >= (min_partitions or cores):
         return pages
     return pages.repartition(max(min_partitions or 0, 2 * cores), "page_id")
 
