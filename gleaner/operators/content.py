@@ -53,6 +53,7 @@ def content_items(
     selectors,
     get_image: bool = True,
     explore=None,
+    with_tail: bool = False,
 ) -> tuple[DataFrame, list[Selector], list[tuple[str, list[str]]]]:
     """Per page: ``page_id, url, items ARRAY<item>`` (values, media, images, links)."""
     sels = last_key_wins(selectors)
@@ -84,7 +85,7 @@ def content_items(
             ok = (sel == i) & is_str & (py_strip(F.col("value")) != "")
             cands.append(F.when(ok, _item("m", sel, ordc, zero, null_i, F.col("value"), null_s)))
         else:
-            v = content_value(s.data_type)
+            v = content_value(s.data_type, with_tail)
             cands.append(F.when(sel == i, _item("v", sel, ordc, zero, null_i, v, null_s)))
             if get_image and s.data_type == "html":
                 ok = (sel == i) & ~is_str
@@ -166,6 +167,7 @@ def collect_content(
     replace_rules=None,
     black_words=None,
     explore=None,
+    with_tail: bool = False,
 ) -> DataFrame:
     """O-19 per page: ``page_id, url, page_key, content MAP<STRING, ARRAY<STRING>>,
     media ARRAY<STRUCT<file_name, description, file_url>>,
@@ -177,7 +179,7 @@ def collect_content(
     black word is ``blocked`` (the reference returns nothing for it); values are
     refined after that check.
     """
-    per_page, sels, groups = content_items(pages, selectors, get_image, explore)
+    per_page, sels, groups = content_items(pages, selectors, get_image, explore, with_tail)
     words = normalise_words(black_words)
     keys, vals, blocked = [], [], F.lit(False)
     for i, s in enumerate(sels):

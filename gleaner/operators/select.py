@@ -165,7 +165,7 @@ def match_rows(nodes: DataFrame, xpaths: list[str], with_ancestors: bool = False
         "page_id", "url", sel.alias("sel"), fb.alias("fb"), owner.alias("node_id"),
         (F.col("node_id").cast("long") * 2 + part).alias("ord"),
         is_string.alias("is_string"), value.alias("value"), is_textnode.alias("_tn"),
-        "tag", "attrs", "end_id", "lead_text", "text", "markup", *(["anc"] if with_ancestors else []),
+        "tag", "attrs", "end_id", "lead_text", "tail", "text", "markup", *(["anc"] if with_ancestors else []),
     )
     positional = [(k, f, xp.global_pred) for k, f, xp in entries if xp.global_pred is not None]
     with_fallback = any(f == 1 for _, f, _ in entries)
@@ -198,27 +198,31 @@ def _empty_columns(with_ancestors: bool = False) -> list:
     return [
         "page_id", "url", F.lit(0).alias("sel"), "node_id", F.lit(0).cast("long").alias("ord"),
         F.lit(False).alias("is_string"), F.lit(None).cast("string").alias("value"),
-        "tag", "attrs", "end_id", "lead_text", "text", "markup", *anc,
+        "tag", "attrs", "end_id", "lead_text", "tail", "text", "markup", *anc,
     ]
 
 
-def content_value(data_type) -> Column:
+def content_value(data_type, with_tail: bool = False) -> Column:
     """O-10/O-11/O-12: value of a selected row for a data type (text/html).
 
     String results pass through unstripped; elements give their stripped
-    subtree text (``text``) or stripped source markup (``html``).
+    subtree text (``text``) or stripped source markup (``html``). With
+    ``with_tail`` the text after the element up to its next sibling is part of
+    the value, as a serialiser that emits tails produces it.
     """
     dt = data_type if isinstance(data_type, Column) else F.lit(data_type)
+    tail = F.coalesce(F.col("tail"), F.lit("")) if with_tail else F.lit("")
     return (
         F.when(F.col("is_string"), F.col("value"))
-        .when(dt == "text", py_strip(F.col("text")))
-        .otherwise(py_strip(F.col("markup")))
+        .when(dt == "text", py_strip(F.concat(F.col("text"), tail)))
+        .otherwise(py_strip(F.concat(F.col("markup"), tail)))
     )
 
 
-def select_values(pages: DataFrame, xpath: str, data_type: str = "html", nodes: DataFrame | None = None) -> DataFrame:
+def select_values(pages: DataFrame, xpath: str, data_type: str = "html", nodes: DataFrame | None = None,
+                  with_tail: bool = False) -> DataFrame:
     """Values of one XPath on every page, empties dropped: ``page_id, ord, value``."""
     nodes = nodes if nodes is not None else nodes_for(pages, [xpath])
     rows = match_rows(nodes, [xpath])
-    v = content_value(data_type)
+    v = content_value(data_type, with_tail)
     return rows.select("page_id", "ord", v.alias("value")).where(F.col("value") != "")

@@ -135,3 +135,25 @@ def test_richer_predicates_and_unions(spark):
     assert one(spark, "<img><img src='x'>", "(//img[@src])[1]/@src") == ["x"]
     for unsupported in ["//a/..", "//a[following-sibling::b]", "//article[.//img]", "//a[@x][last()]"]:
         assert compile_xpath(unsupported) is None
+
+
+def test_with_tail(spark):
+    from gleaner.sources.pages import read_pages_from
+
+    pages = read_pages_from(spark.createDataFrame([(1, "http://b/", "<p><b>bold</b> tail <i>x</i></p>")],
+                                                  "page_id bigint, url string, html string"))
+    plain = [r.value for r in select_values(pages, "//b", "text").collect()]
+    tailed = [r.value for r in select_values(pages, "//b", "text", with_tail=True).collect()]
+    html = [r.value for r in select_values(pages, "//b", "html", with_tail=True).collect()]
+    assert plain == ["bold"] and tailed == ["bold tail"] and html == ["<b>bold</b> tail"]
+
+
+def test_spread_only_small_inputs(spark):
+    from gleaner.operators.nodes import planned_partitions, spread
+
+    one_split = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id bigint, url string, html string").coalesce(1)
+    assert planned_partitions(one_split) == 1
+    assert planned_partitions(spread(one_split)) == 2 * spark.sparkContext.defaultParallelism
+    wide = one_split.repartition(64, "page_id")
+    assert planned_partitions(wide) == 64
+    assert spread(wide) is wide  # enough splits: never shuffled again
