@@ -77,26 +77,24 @@ def operate(spiders: DataFrame, pages: DataFrame, operations, plan: DataFrame, *
     """O-31 with O-05: every spider runs with its own collector's configuration.
 
     ``plan`` is ``sources.config.spider_plan(...)``. Spiders are grouped by their
-    distinct configuration (selectors, image switch, refine rules, black words —
-    configuration-sized, gathered on the driver); each group runs in one job over
-    its spiders (a broadcast semi-join on their ids) and the envelopes are unioned.
+    distinct configuration (selectors, image switch, refine rules, black words);
+    only the distinct configurations reach the driver, the spider → configuration
+    mapping stays a DataFrame. Each group runs over its spiders (a semi-join) and
+    the envelopes are unioned.
     A spider without a collector runs with no selectors.
     """
-    from ..sources.config import selector_sets
+    from ..sources.config import selector_sets, spider_sets
 
-    spark = spiders.sparkSession
     out = None
-    planned = plan.select("spider_id").distinct()
-    groups = selector_sets(plan)
-    for g in groups:
-        ids = spark.createDataFrame([(int(i),) for i in g["spiders"]], "spider_id bigint")
-        members = spiders.join(F.broadcast(ids), "spider_id", "left_semi")
+    membership = spider_sets(plan).select("spider_id", "set_id")
+    for g in selector_sets(plan):
+        members = spiders.join(membership.where(F.col("set_id") == g["set_id"]), "spider_id", "left_semi")
         env = run_operations(
             members, pages, operations, g["selectors"], get_image=g["get_image"],
             replace_rules=g["replace_rules"] or None, black_words=g["black_words"] or None, **kw,
         )
         out = env if out is None else out.unionByName(env)
-    rest = spiders.join(planned, "spider_id", "left_anti")
+    rest = spiders.join(membership, "spider_id", "left_anti")
     env = run_operations(rest, pages, operations, (), **kw)
     return env if out is None else out.unionByName(env)
 

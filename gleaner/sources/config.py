@@ -63,23 +63,29 @@ def spider_plan(
     )
 
 
-def selector_sets(plan: DataFrame) -> list[dict]:
-    """The distinct selector sets of a plan (configuration-sized) with the spiders using each."""
-    per = plan.groupBy("spider_id", "collector_id", "get_image", "replace_rules", "black_words").agg(
+def spider_sets(plan: DataFrame) -> DataFrame:
+    """``spider_id, set_id``: each spider's configuration (selectors, image switch,
+    refine rules, black words) identified by a hash of it — computed in Spark."""
+    per = plan.groupBy("spider_id", "get_image", "replace_rules", "black_words").agg(
         F.array_sort(F.collect_list(F.struct("key", "xpath", "data_type"))).alias("sels")
     )
-    sets = per.groupBy("sels", "get_image", "replace_rules", "black_words").agg(
-        F.collect_list("spider_id").alias("spiders")
-    )
+    conf = F.to_json(F.struct("sels", "get_image", "replace_rules", "black_words"))
+    return per.select("spider_id", F.sha2(conf, 256).alias("set_id"), "sels", "get_image", "replace_rules",
+                      "black_words")
+
+
+def selector_sets(plan: DataFrame) -> list[dict]:
+    """The distinct configurations of a plan (configuration-sized: no spider lists)."""
+    sets = spider_sets(plan).dropDuplicates(["set_id"]).drop("spider_id")
     out = []
     for r in sets.collect():
         out.append(
             {
+                "set_id": r["set_id"],
                 "selectors": [(s["key"], s["xpath"], s["data_type"]) for s in r["sels"]],
                 "get_image": r["get_image"],
                 "replace_rules": list(r["replace_rules"] or []),
                 "black_words": list(r["black_words"] or []),
-                "spiders": list(r["spiders"]),
             }
         )
     return out

@@ -139,7 +139,9 @@ def test_spider_plan(spark):
     every = config.spider_plan(sc, cols, cs, sels, all_collectors=True).count()
     assert every == 3
     sets = config.selector_sets(config.spider_plan(sc, cols, cs, sels))
-    assert sorted(len(s["spiders"]) for s in sets) == [1, 1]
+    assert len(sets) == 2 and {tuple(s["selectors"]) for s in sets} == {(("k", "//h1", "html"),), (("z", "//a", "html"),)}
+    members = config.spider_sets(config.spider_plan(sc, cols, cs, sels)).groupBy("set_id").count().collect()
+    assert sorted(r["count"] for r in members) == [1, 1]
 
 
 def test_stream_equals_batch(spark, pages):
