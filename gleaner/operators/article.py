@@ -1,8 +1,9 @@
 """O-15 ``extract_article``: ``{title, content}`` — page title and main readable body.
 
 Block scoring in the manner of the published readability heuristics
-(paragraph scores flow to the parent in full and the grandparent in half; the
-candidate's score is damped by its link density — linked characters over all
+(paragraph scores flow to the parent in full and the grandparent in half; tag
+and class/id names weigh a candidate up or down; the candidate's score is
+damped by its link density — linked characters over all
 characters, one of the shallow text features of Kohlschütter et al., WSDM 2010).
 Everything is DataFrame work over the ``nodes`` table:
 
@@ -32,6 +33,13 @@ TAG_WEIGHT = {
     "div": 5, "article": 5, "pre": 3, "td": 3, "blockquote": 3,
     "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3,
 }
+# fixed values: class/id patterns of the published readability heuristic (case-insensitive)
+POSITIVE_NAMES = "article|body|content|entry|hentry|main|page|pagination|post|text|blog|story"
+NEGATIVE_NAMES = (
+    "combx|comment|com-|contact|foot|footer|footnote|masthead|media|meta|outbrain|promo|related|"
+    "scroll|shoutbox|sidebar|sponsor|shopping|tags|tool|widget"
+)
+NAME_WEIGHT = 25
 PARAGRAPHS = ("p", "pre", "td")
 MIN_PARAGRAPH = 25
 ARTICLE_OPEN, ARTICLE_CLOSE = "<html><body><div>", "</div></body></html>"
@@ -40,7 +48,7 @@ ARTICLE_OPEN, ARTICLE_CLOSE = "<html><body><div>", "</div></body></html>"
 def extract_article(pages: DataFrame) -> DataFrame:
     """``page_id, url, title, content`` for every page."""
     tags = set(CONTAINERS) | set(PARAGRAPHS) | {"a", "title"}
-    nodes = parse_nodes(pages, attrs=set(), content_tags=tags, path_tags={"p", "pre", "td", "a"})
+    nodes = parse_nodes(pages, attrs={"class", "id"}, content_tags=tags, path_tags={"p", "pre", "td", "a"})
     text_len = F.length(py_strip(F.coalesce("text", F.lit(""))))
     anc = F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda p: p["id"])
     para_score = 1 + (F.size(F.split(F.coalesce("text", F.lit("")), ",")) - 1) + F.least(
@@ -50,6 +58,10 @@ def extract_article(pages: DataFrame) -> DataFrame:
     weight = F.lit(0)
     for t, w in TAG_WEIGHT.items():
         weight = F.when(F.col("tag") == t, F.lit(w)).otherwise(weight)
+    for attr in ("class", "id"):
+        name = F.coalesce(F.col("attrs").getItem(attr), F.lit(""))
+        weight = weight + F.when(name.rlike(f"(?i){NEGATIVE_NAMES}"), F.lit(-NAME_WEIGHT)).otherwise(F.lit(0))
+        weight = weight + F.when(name.rlike(f"(?i){POSITIVE_NAMES}"), F.lit(NAME_WEIGHT)).otherwise(F.lit(0))
 
     _T = "array<struct<cand:int,score:double,weight:double,link:bigint,own:bigint,markup:string,title:string>>"
     null_m = F.lit(None).cast("string")

@@ -87,3 +87,22 @@ def test_duplicate_key_last_wins_and_every_page(pages):
     assert len(rec) == pages.count()  # pages without any match still have a record
     by = {r.page_id: r.content["k"] for r in rec}
     assert by[2] == ["First post"] and by[5] == []
+
+
+def test_article(spark):
+    from gleaner.operators.article import extract_article
+    from gleaner.sources.pages import read_pages_from
+
+    html = (
+        "<html><head><title> The title </title></head><body>"
+        "<div class='sidebar'><p>Links, links, links, and more links here, many of them.</p></div>"
+        "<div id='story'><p>The main text of the story, long enough to count, with commas, many.</p>"
+        "<p>A second paragraph of the story that also counts as a paragraph.</p></div>"
+        "<div class='comment'><p>A comment that is long enough to be a paragraph too.</p></div></body></html>"
+    )
+    pages = read_pages_from(spark.createDataFrame([(1, "http://a/", html), (2, "http://b/", "<p>short</p>")],
+                                                  "page_id bigint, url string, html string"))
+    got = {r.page_id: r for r in extract_article(pages).collect()}
+    assert got[1].title == "The title"
+    assert got[1].content.startswith("<html><body><div><div id='story'>") and "comment" not in got[1].content
+    assert got[2].content == "<html><body><div><p>short</p></div></body></html>"  # no block: the (implied) body
