@@ -107,12 +107,14 @@ def bucketed_edges(edges: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def _enter(f: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidates from frontier rows ``f`` (rules 3–4), one level deeper."""
+    """Candidates from frontier rows ``f`` one level deeper (rules 2–4; ``start`` is a
+    spider's start page, whose links enter at depth 1)."""
     j = f.join(edges, (f["rules_id"] == edges["rules_id"]) & (f["url"] == edges["src_url"]))
     d, lim, link = f["depth"], f["crawl_depth"], edges["kind"]
+    from_start = (f["kind"] == "start") & ((link == "target") | (lim != 1))
     from_target = (f["kind"] == "target") & (d < lim) & ((link == "target") | (d < lim - 1))
     from_expand = (f["kind"] == "expand") & (d < lim) & ((link == "target") | (d + 1 < lim))
-    return j.where(from_target | from_expand).select(
+    return j.where(from_start | from_target | from_expand).select(
         f["spider_id"], f["rules_id"], f["crawl_depth"], link.alias("kind"),
         edges["dst_url"].alias("url"), (d + 1).alias("depth"),
     )
@@ -120,9 +122,9 @@ def _enter(f: DataFrame, edges: DataFrame) -> DataFrame:
 
 def merge_frontier(candidates: DataFrame, visited: DataFrame) -> DataFrame:
     """O-30b: a (spider, kind, URL) enters once, at its smallest depth, valid URLs only (O-03);
-    expand links at the depth limit never enter."""
+    an expand link at exactly the depth limit never enters."""
     c = candidates.where(valid_url(F.col("url")))
-    c = c.where(~((F.col("kind") == "expand") & (F.col("depth") >= F.col("crawl_depth"))))
+    c = c.where(~((F.col("kind") == "expand") & (F.col("depth") == F.col("crawl_depth"))))
     best = c.groupBy("spider_id", "rules_id", "crawl_depth", "kind", "url").agg(F.min("depth").alias("depth"))
     if visited is None:
         return best
@@ -148,39 +150,29 @@ def crawl(spiders: DataFrame, pages: DataFrame, edges: DataFrame | None = None)
         "spider_id", "rules_id", F.coalesce("crawl_depth", F.lit(1)).alias("crawl_depth"),
         F.col("url").alias("root"), F.coalesce("crawl_root", F.lit(False)).alias("crawl_root"),
     )
-    # rule 1 (root as target at depth 0) and rule 2 (start page links at depth 1)
-    root = sp.where(F.col("crawl_root") & valid_url(F.col("root"))).select(
-        "spider_id", "rules_id", "crawl_depth", F.lit("target").alias("kind"),
-        F.col("root").alias("url"), F.lit(0).alias("depth"),
-    )
-    start = sp.where(valid_url(F.col("root"))).select(
+    # rule 1: the root as a target at depth 0; rule 2 through a "start" row for each spider
+    ok = valid_url(F.col("root"))
+    cols = ["spider_id", "rules_id", "crawl_depth", "kind", "url", "depth"]
+    root = sp.where(F.col("crawl_root") & ok).select(
+        "spider_id", "rules_id", "crawl_depth", F.lit("target").alias("kind"), F.col("root").alias("url"),
+        F.lit(0).alias("depth"),
+    ).checkpoint()
+    start = sp.where(ok).select(
         "spider_id", "rules_id", "crawl_depth", F.lit("start").alias("kind"), F.col("root").alias("url"),
         F.lit(0).alias("depth"),
     )
-    j = start.join(edges, (start["rules_id"] == edges["rules_id"]) & (start["url"] == edges["src_url"]))
-    seeds = j.select(
-        start["spider_id"], start["rules_id"], start["crawl_depth"], edges["kind"],
-        edges["dst_url"].alias("url"), F.lit(1).alias("depth"),
-    )
-    seeds = seeds.where(~((F.col("kind") == "expand") & (F.col("crawl_depth") == 1)))
-    seeds = seeds.where(valid_url(F.col("url")))
-    seeds = seeds.groupBy("spider_id", "rules_id", "crawl_depth", "kind", "url").agg(F.min("depth").alias("depth"))
-    level1 = seeds.join(root.select("spider_id", "kind", "url"), ["spider_id", "kind", "url"], "left_anti")
-    levels = [root.unionByName(level1).checkpoint()]
-    visited = levels[0]
+    levels = [root]
+    visited, frontier = root, start.unionByName(root)
     max_depth = max((r[3] for r in rules), default=0)
-
-    depth = 0
-    while depth <= max_depth:
-        frontier = visited.where(F.col("depth") == depth)
-        new = merge_frontier(_enter(frontier, edges), visited).select(*visited.columns).checkpoint()
-        if depth >= 1 and new.isEmpty():
+    for _ in range(max_depth + 1):
+        new = merge_frontier(_enter(frontier, edges), visited).select(*cols).checkpoint()
+        if new.isEmpty():
             break
         levels.append(new)
         visited = levels[0]
         for lv in levels[1:]:
             visited = visited.unionByName(lv)
-        depth += 1
+        frontier = new
     return visited.select("spider_id", "kind", "url", F.col("depth").cast("int").alias("depth"))
 
 
