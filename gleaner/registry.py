@@ -527,7 +527,7 @@ def q_build_results(spark, sf):
 @register("results_json")
 def q_results_json(spark, sf):
     """O-32: every envelope exported as pretty JSON text, then read back field by field."""
-    ts = F.lit(RUN_TS).cast("timestamp")
+    ts = F.lit(RUN_TS).cast("timestamp_ntz")
     env = _run(spark, sf, ALL_OPERATIONS[:2], started=ts, ended=ts)
     js = env.select("spider_id", results_json(env).alias("json"))
     get = lambda path: F.get_json_object("json", path)
@@ -566,14 +566,14 @@ def q_assign_task_id(spark, sf):
 def q_collect_manifest(spark, sf):
     """O-39: a manifest record for every stored result with files (get content runs)."""
     env = _run(spark, sf, [ALL_OPERATIONS[3]], get_image=False)
-    return collect_manifest(env, "results", F.lit(RUN_TS).cast("timestamp"))
+    return collect_manifest(env, "results", F.lit(RUN_TS).cast("timestamp_ntz"))
 
 
 @register("retire_content")
 def q_retire_content(spark, sf):
     """O-40: results of pages whose URL has a fragment are deleted; their records retired."""
     pages = table(spark, sf, "pages")
-    manifest = manifest_of(pages, "results", F.lit(RUN_TS).cast("timestamp"))
+    manifest = manifest_of(pages, "results", F.lit(RUN_TS).cast("timestamp_ntz"))
     results = pages.select("url", "page_id")
     m, _ = retire_content(manifest, results, pages.where(F.col("url").contains("#")))
     return m.select("url", "local_path", "state")
@@ -583,7 +583,7 @@ def q_retire_content(spark, sf):
 def q_skip_collected(spark, sf):
     """O-41: pages not yet stored (stored = pages whose URL has a query string)."""
     pages = table(spark, sf, "pages")
-    manifest = manifest_of(pages.where(F.col("url").contains("?")), "results", F.lit(RUN_TS).cast("timestamp"))
+    manifest = manifest_of(pages.where(F.col("url").contains("?")), "results", F.lit(RUN_TS).cast("timestamp_ntz"))
     return skip_collected(pages.select("page_id", "url"), manifest)
 
 

@@ -60,7 +60,7 @@ def collect_manifest(env: DataFrame, root: str = "results", run_ts: Column | Non
     return env.where(has_files).select(
         "url",
         F.concat(loc, F.lit("/"), name).alias("local_path"),
-        run_ts.cast("timestamp").alias("created_time"),
+        run_ts.alias("created_time"),
         F.lit(0).alias("state"),
     )
 
@@ -91,7 +91,7 @@ def manifest_of(pages: DataFrame, root: str, run_ts: Column) -> DataFrame:
     return pages.select(
         "url",
         F.concat(loc, F.lit("/"), page_key(F.col("url"))).alias("local_path"),
-        run_ts.cast("timestamp").alias("created_time"),
+        run_ts.alias("created_time"),
         F.lit(0).alias("state"),
     )
 
