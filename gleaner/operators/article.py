@@ -45,10 +45,12 @@ MIN_PARAGRAPH = 25
 ARTICLE_OPEN, ARTICLE_CLOSE = "<html><body><div>", "</div></body></html>"
 
 
-def extract_article(pages: DataFrame) -> DataFrame:
-    """``page_id, url, title, content`` for every page."""
+def extract_article(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``page_id, url, title, content`` for every page (``nodes``: an existing parse
+    of ``pages`` with at least these columns, e.g. one shared by several operations)."""
     tags = set(CONTAINERS) | set(PARAGRAPHS) | {"a", "title"}
-    nodes = parse_nodes(pages, attrs={"class", "id"}, content_tags=tags, path_tags={"p", "pre", "td", "a"})
+    if nodes is None:
+        nodes = parse_nodes(pages, attrs={"class", "id"}, content_tags=tags, path_tags={"p", "pre", "td", "a"})
     text_len = F.length(py_strip(F.coalesce("text", F.lit(""))))
     anc = F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda p: p["id"])
     para_score = 1 + (F.size(F.split(F.coalesce("text", F.lit("")), ",")) - 1) + F.least(

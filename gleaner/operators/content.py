@@ -54,6 +54,7 @@ def content_items(
     get_image: bool = True,
     explore=None,
     with_tail: bool = False,
+    nodes: DataFrame | None = None,
 ) -> tuple[DataFrame, list[Selector], list[tuple[str, list[str]]]]:
     """Per page: ``page_id, url, items ARRAY<item>`` (values, media, images, links)."""
     sels = last_key_wins(selectors)
@@ -68,9 +69,10 @@ def content_items(
     path_tags = opts_all["path_tags"]
     if get_image and path_tags is not None:
         path_tags = set(path_tags) | {"img"}
-    nodes = parse_nodes(
-        pages, attrs=opts_all["attrs"], content_tags=opts_content["content_tags"], path_tags=path_tags
-    )
+    if nodes is None:
+        nodes = parse_nodes(
+            pages, attrs=opts_all["attrs"], content_tags=opts_content["content_tags"], path_tags=path_tags
+        )
     rows = match_rows(
         nodes, all_xps + ([] if get_image else [IMG_XPATH]) + [ROOT_XPATH], with_ancestors=get_image
     )
@@ -168,6 +170,7 @@ def collect_content(
     black_words=None,
     explore=None,
     with_tail: bool = False,
+    nodes: DataFrame | None = None,
 ) -> DataFrame:
     """O-19 per page: ``page_id, url, page_key, content MAP<STRING, ARRAY<STRING>>,
     media ARRAY<STRUCT<file_name, description, file_url>>,
@@ -179,7 +182,7 @@ def collect_content(
     black word is ``blocked`` (the reference returns nothing for it); values are
     refined after that check.
     """
-    per_page, sels, groups = content_items(pages, selectors, get_image, explore, with_tail)
+    per_page, sels, groups = content_items(pages, selectors, get_image, explore, with_tail, nodes)
     words = normalise_words(black_words)
     keys, vals, blocked = [], [], F.lit(False)
     for i, s in enumerate(sels):

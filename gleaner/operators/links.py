@@ -84,10 +84,12 @@ def dedup_links(info: DataFrame, carry=()) -> DataFrame:
     return kept.withColumn("link_rank", F.row_number().over(order).cast("long"))
 
 
-def page_links(pages: DataFrame, xpaths: Sequence[str] | None = None, make_root: bool = False) -> DataFrame:
-    """O-24 (flagship): ``page_id, link_rank, url, text`` — each page's sorted, de-duplicated links."""
+def page_links(pages: DataFrame, xpaths: Sequence[str] | None = None, make_root: bool = False,
+               nodes: DataFrame | None = None) -> DataFrame:
+    """O-24 (flagship): ``page_id, link_rank, url, text`` — each page's sorted, de-duplicated links
+    (``nodes``: an existing parse of ``pages`` to reuse)."""
     groups = [("links", link_xpaths(xpaths))]
-    info = link_info(link_nodes(pages, groups), groups, make_root)
+    info = link_info(nodes if nodes is not None else link_nodes(pages, groups), groups, make_root)
     return dedup_links(info).select("page_id", "link_rank", "url", "text")
 
 

@@ -9,6 +9,7 @@ crawl content.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from ..operators.article import extract_article
 from ..operators.content import collect_content
 from ..operators.crawl import crawl, crawl_content
 from ..operators.links import links_as_array, page_links
+from ..operators.nodes import parse_nodes
 from ..operators.results import assemble, assign_task_id, datum, envelope
 from ..session import checkpoint_dir
 from ..sources.pages import normalise_html, resolve_pages
@@ -128,23 +130,27 @@ def run_operations(
     # every operation reads the start pages: resolve them once, lineage cut
     starts = start_pages(spiders, pages).checkpoint()
     ids = starts.select(F.col("page_id").alias("spider_id"), "url", page_key(F.col("url")).alias("id"))
+    # one parse of the start pages, shared by the page operations (links, article, content)
+    shared = None
+    if sum((a, t) in (("get", "links"), ("get", "article"), ("get", "content")) for a, t in ops) > 1:
+        shared = parse_nodes(starts).persist(StorageLevel.MEMORY_AND_DISK)
     datums = []
     for i, (a, t) in enumerate(ops):
         if (a, t) == ("get", "page"):
             d = starts.select(F.col("page_id").alias("spider_id"), datum(F.col("html"), a, t).alias("datum"))
         elif (a, t) == ("get", "links"):
-            arr = links_as_array(page_links(starts))
+            arr = links_as_array(page_links(starts, nodes=shared))
             d = ids.select("spider_id").join(arr.withColumnRenamed("page_id", "spider_id"), "spider_id", "left")
             links = F.coalesce(F.col("links"), F.array().cast("array<struct<url:string,text:string>>"))
             d = d.select("spider_id", datum(links, a, t).alias("datum"))
         elif (a, t) == ("get", "article"):
-            art = extract_article(starts)
+            art = extract_article(starts, nodes=shared)
             d = art.select(
                 F.col("page_id").alias("spider_id"),
                 datum(F.struct("title", "content"), a, t).alias("datum"),
             )
         elif (a, t) == ("get", "content"):
-            rec = collect_content(starts, selectors, **content_options)
+            rec = collect_content(starts, selectors, nodes=shared, **content_options)
             path = F.concat(F.lit(location.rstrip("/") + "/"), F.col("page_key"))
             content = F.when(~F.col("blocked"), F.col("content"))
             d = rec.select(
