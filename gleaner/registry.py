@@ -623,3 +623,39 @@ def q_image_refs(spark, sf):
         "page_id", (F.col("pos") + 1).cast("long").alias("image_rank"),
         "i.file_name", "i.caption", "i.file_url",
     )
+
+
+# -- configuration plan (O-05) --------------------------------------------------------
+
+from .sources import config as config_tables  # noqa: E402
+
+# fixed values: a small configuration of selectors and collectors (user data)
+PLAN_SELECTORS = [
+    (1, "title", "//title", "text"),
+    (2, "title", "//article/h1", "text"),
+    (3, "menu", "//nav/ul/li/a", "text"),
+    (4, "body", "//article", "html"),
+    (5, "files", "//a/@href", "binary"),
+    (6, "lead", "(//p)[1]", None),
+]
+PLAN_COLLECTORS = [(10, "pages", True, [], []), (20, "bodies", False, ["<b>"], ["casino"]), (30, "menus", True, [], [])]
+PLAN_COLLECTOR_SELECTORS = [(10, 1), (10, 2), (10, 3), (20, 4), (20, 5), (20, 6), (30, 3)]
+
+
+@register("spider_plan")
+def q_spider_plan(spark, sf):
+    """O-05: every page as a spider linked to two collectors (derived from its id); each
+    spider's first collector and that collector's selectors, a repeated key keeping the
+    later selector, a missing data type meaning html."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("spider_id"))
+    links = p.select(
+        "spider_id",
+        F.explode(F.array((F.col("spider_id") % 3 + 1) * 10, 30 - (F.col("spider_id") % 2) * 10)).alias("collector_id"),
+    ).distinct()
+    plan = config_tables.spider_plan(
+        links,
+        spark.createDataFrame(PLAN_COLLECTORS, config_tables.COLLECTORS),
+        spark.createDataFrame(PLAN_COLLECTOR_SELECTORS, config_tables.COLLECTOR_SELECTORS),
+        spark.createDataFrame(PLAN_SELECTORS, config_tables.SELECTORS),
+    )
+    return plan.select("spider_id", "collector_id", "get_image", "key", "xpath", "data_type")
