@@ -186,10 +186,7 @@ def q_xpath_tbody(spark, sf):
     return selected_values(spark, sf, TBODY_SELECTORS)
 
 
-@register("media_refs")
-def q_media_refs(spark, sf):
-    """O-16: binary selector results → absolute file URL, file name, '' description."""
-    pages = read_pages(spark, sf)
+def _media_refs(pages: DataFrame) -> DataFrame:
     xp = ["//a/@href"]
     rows = match_rows(nodes_for(pages, xp, content=False), xp).where(py_strip(F.col("value")) != "")
     w = Window.partitionBy("page_id").orderBy("ord")
@@ -202,6 +199,12 @@ def q_media_refs(spark, sf):
     )
 
 
+@register("media_refs")
+def q_media_refs(spark, sf):
+    """O-16: binary selector results → absolute file URL, file name, '' description."""
+    return _media_refs(read_pages(spark, sf))
+
+
 # -- links (O-20 … O-23), URLs (O-03) ---------------------------------------------------
 
 
@@ -659,3 +662,22 @@ def q_spider_plan(spark, sf):
         spark.createDataFrame(PLAN_SELECTORS, config_tables.SELECTORS),
     )
     return plan.select("spider_id", "collector_id", "get_image", "key", "xpath", "data_type")
+
+
+# -- media files (O-04) ----------------------------------------------------------------
+
+from .sources.media import media_files  # noqa: E402
+
+
+@register("media_files")
+def q_media_files(spark, sf):
+    """O-04: the media references (``//a/@href``) of every page of the linked web matched
+    to a file store — the page snapshot stands in for it (path = page URL, content =
+    HTML bytes) — by URL, then by file name; unmatched references keep a null name."""
+    refs = _media_refs(read_pages_from(linked_web(spark, sf)))
+    p = table(spark, sf, "pages")
+    files = p.select(
+        F.col("url").alias("path"), urls.file_name(F.col("url")).alias("file_name"),
+        F.octet_length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"),
+    )
+    return media_files(refs, files).select("page_id", "value_rank", "file_url", "stored_name", "length")
