@@ -157,3 +157,38 @@ def test_spread_only_small_inputs(spark):
     wide = one_split.repartition(64, "page_id")
     assert planned_partitions(wide) == 64
     assert spread(wide) is wide  # enough splits: never shuffled again
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_SOUP = st.lists(
+    st.sampled_from([
+        "<p>", "</p>", "<b>", "</b>", "<div class='x'>", "</div>", "<ul>", "<li>", "</li>", "</ul>", "<br>",
+        "<table>", "<tr>", "<td>", "</table>", "<script>if(a<b){}</script>", "<!-- c -->", "text", " ", "&amp;",
+        "<a href='/x'>", "</a>", "<html>", "<body>", "</body>", "<head>", "<title>t</title>", "</html>", "<img src=i>",
+        "<", ">", "</nope>", "<option>", "<dd>", "<dt>", "\n",
+    ]),
+    max_size=40,
+).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_SOUP)
+def test_parser_invariants_on_tag_soup(html):
+    src, b = htmltree.build(html)
+    text = htmltree.doc_text(b)
+    n = len(b.tag)
+    assert n >= 1 and b.tag[0] == "html" and b.parent[0] == -1
+    for i in range(n):
+        p = b.parent[i]
+        if i:
+            assert 0 <= p < i and b.end[p] >= b.end[i]  # pre-order, parent spans child
+        assert i <= b.end[i] < n
+        assert 0 <= b.s0[i] <= b.s1[i] <= len(src)
+        assert 0 <= b.t0[i] <= b.t1[i] <= len(text)
+        if i and p >= 0:
+            assert b.s0[p] <= b.s0[i] and b.t0[p] <= b.t0[i] <= b.t1[i] <= b.t1[p]
+        assert 1 <= b.sib[i] <= b.nsib[i] and 1 <= b.pos[i] <= b.npos[i]
+    # every text chunk is counted once, in document order
+    assert sum(len("".join(x)) for x in b.lead) + sum(len("".join(x)) for x in b.tail) == len(text)
