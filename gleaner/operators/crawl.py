@@ -40,6 +40,11 @@ from .links import grouped_links, link_xpaths
 # at most this many edges (checked by a count of the materialised edges) are broadcast to
 # every level's join; more are written as a bucketed table instead
 BROADCAST_EDGE_ROWS = 500_000
+# with bucketed edges a URL with more frontier rows than this is "hot": its rows are salted
+# over HOT_SALTS tasks (AQE cannot split a skewed partition against an unshuffled side)
+HOT_FRONTIER_ROWS = 100_000
+HOT_SALTS = 64
+MAX_HOT_KEYS = 1_000
 
 SPIDER_COLUMNS = ("spider_id", "url", "crawl_root", "target_links", "expand_links", "crawl_depth")
 
@@ -106,10 +111,8 @@ def bucketed_edges(edges: DataFrame, buckets: int | None = None) -> DataFrame:
     return spark.table(name)
 
 
-def _enter(f: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidates from frontier rows ``f`` one level deeper (rules 2–4; ``start`` is a
-    spider's start page, whose links enter at depth 1)."""
-    j = f.join(edges, (f["rules_id"] == edges["rules_id"]) & (f["url"] == edges["src_url"]))
+def _expand(f: DataFrame, edges: DataFrame, on) -> DataFrame:
+    j = f.join(edges, on)
     d, lim, link = f["depth"], f["crawl_depth"], edges["kind"]
     from_start = (f["kind"] == "start") & ((link == "target") | (lim != 1))
     from_target = (f["kind"] == "target") & (d < lim) & ((link == "target") | (d < lim - 1))
@@ -120,6 +123,42 @@ def _enter(f: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _enter(f: DataFrame, edges: DataFrame, bucketed: bool = False) -> DataFrame:
+    """Candidates from frontier rows ``f`` one level deeper (rules 2–4; ``start`` is a
+    spider's start page, whose links enter at depth 1).
+
+    Against bucketed edges, URLs with very many frontier rows (many spiders at the same
+    page) are split off: their rows are salted by spider over ``HOT_SALTS`` tasks and
+    joined with those URLs' edges replicated per salt; all other rows join the bucketed
+    table. The hot set is found by a pre-aggregated count and proven small before use.
+    """
+    if not bucketed:
+        return _expand(f, edges, (f["rules_id"] == edges["rules_id"]) & (f["url"] == edges["src_url"]))
+    hot = (
+        f.groupBy("rules_id", "url").count().where(F.col("count") > HOT_FRONTIER_ROWS)
+        .select("rules_id", "url").limit(MAX_HOT_KEYS + 1).checkpoint()
+    )
+    n_hot = hot.count()
+    if n_hot == 0 or n_hot > MAX_HOT_KEYS:
+        return _expand(f, edges, (f["rules_id"] == edges["rules_id"]) & (f["url"] == edges["src_url"]))
+    hot_b = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    tagged = f.join(hot_b, ["rules_id", "url"], "left")
+    cold = tagged.where(F.col("_hot").isNull()).drop("_hot")
+    warm = tagged.where(F.col("_hot")).drop("_hot").withColumn(
+        "_salt", F.pmod(F.xxhash64("spider_id"), F.lit(HOT_SALTS))
+    )
+    hot_edges = edges.join(
+        F.broadcast(hot.withColumnRenamed("url", "src_url")), ["rules_id", "src_url"], "left_semi"
+    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))))
+    a = _expand(cold, edges, (cold["rules_id"] == edges["rules_id"]) & (cold["url"] == edges["src_url"]))
+    b = _expand(
+        warm, hot_edges,
+        (warm["rules_id"] == hot_edges["rules_id"]) & (warm["url"] == hot_edges["src_url"])
+        & (warm["_salt"] == hot_edges["_salt"]),
+    )
+    return a.unionByName(b)
+
+
 def merge_frontier(candidates: DataFrame, visited: DataFrame) -> DataFrame:
     """O-30b: a (spider, kind, URL) enters once, at its smallest depth, valid URLs only (O-03);
     an expand link at exactly the depth limit never enters."""
@@ -146,6 +185,7 @@ def crawl(spiders: DataFrame, pages: DataFrame, edges: DataFrame | None = None)
     edges = edges.checkpoint()
     small = edges.count() <= BROADCAST_EDGE_ROWS
     edges = F.broadcast(edges) if small else bucketed_edges(edges)
+    bucketed = not small
     sp = keyed.select(
         "spider_id", "rules_id", F.coalesce("crawl_depth", F.lit(1)).alias("crawl_depth"),
         F.col("url").alias("root"), F.coalesce("crawl_root", F.lit(False)).alias("crawl_root"),
@@ -165,7 +205,7 @@ def crawl(spiders: DataFrame, pages: DataFrame, edges: DataFrame | None = None)
     visited, frontier = root, start.unionByName(root)
     max_depth = max((r[3] for r in rules), default=0)
     for _ in range(max_depth + 1):
-        new = merge_frontier(_enter(frontier, edges), visited).select(*cols).checkpoint()
+        new = merge_frontier(_enter(frontier, edges, bucketed), visited).select(*cols).checkpoint()
         if new.isEmpty():
             break
         levels.append(new)

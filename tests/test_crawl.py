@@ -119,3 +119,18 @@ def test_crawl_content_and_stats(spark, pages):
     assert titles["http://blog.test/posts/first"] == ["First post"]
     assert titles["http://blog.test/posts/fourth"] == []  # not in the snapshot: empty page
     assert len(rec) == 5 and all(r.page_key.endswith("-blog.test") for r in rec)
+
+
+def test_bucketed_edges_and_hot_urls(spark, pages, monkeypatch):
+    """The large-edge path (bucketed table) and the hot-URL split give the same crawl."""
+    from gleaner.operators import crawl as C
+
+    sp = spark.createDataFrame(
+        [(i, "http://blog.test/", i % 2 == 0, [TARGET], [EXPAND], 2) for i in range(12)], SPIDER_SCHEMA
+    )
+    want = sorted(tuple(r) for r in crawl(sp, pages).collect())
+    monkeypatch.setattr(C, "BROADCAST_EDGE_ROWS", 0)
+    assert sorted(tuple(r) for r in crawl(sp, pages).collect()) == want
+    monkeypatch.setattr(C, "HOT_FRONTIER_ROWS", 3)
+    monkeypatch.setattr(C, "HOT_SALTS", 4)
+    assert sorted(tuple(r) for r in crawl(sp, pages).collect()) == want
