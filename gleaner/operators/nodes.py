@@ -76,92 +76,122 @@ def _wanted(tags: frozenset | None, tag: str) -> bool:
     return tags is None or tag in tags
 
 
-def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols = batch.to_pydict()
-        out = {f.name: [] for f in NODES_SCHEMA.fields}
-        p_off, p_tag, p_sib, p_pos, p_id = [0], [], [], [], []
-        p_nsib, p_npos = [], []
-        p_aoff, p_akey, p_aval = [0], [], []
-        for page_id, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
-            src, b = htmltree.build(html)
-            text = htmltree.doc_text(b) if content_tags is None or content_tags else ""
-            n = len(b.tag)
-            kept = [
-                d if attrs is None else {k: v for k, v in d.items() if k in attrs} for d in b.attrs
-            ]
-            depth = [0] * n
-            for i in range(n):
-                par = b.parent[i]
-                depth[i] = 1 if par < 0 else depth[par] + 1
-                tag = b.tag[i]
-                out["page_id"].append(page_id)
-                out["url"].append(url)
-                out["node_id"].append(i)
-                out["parent_id"].append(None if par < 0 else par)
-                out["end_id"].append(b.end[i])
-                out["depth"].append(depth[i])
-                out["tag"].append(tag)
-                out["attrs"].append(list(kept[i].items()))
-                out["sib"].append(b.sib[i])
-                out["pos"].append(b.pos[i])
-                out["nsib"].append(b.nsib[i])
-                out["npos"].append(b.npos[i])
-                out["lead_text"].append("".join(b.lead[i]))
-                out["tail"].append("".join(b.tail[i]))
-                out["src_start"].append(b.s0[i])
-                out["src_end"].append(b.s1[i])
-                if _wanted(content_tags, tag):
-                    out["text"].append(text[b.t0[i] : b.t1[i]])
-                    out["markup"].append(src[b.s0[i] : b.s1[i]])
-                else:
-                    out["text"].append(None)
-                    out["markup"].append(None)
-                if _wanted(path_tags, tag):
-                    chain = []
-                    j = i
-                    while j >= 0:
-                        chain.append(j)
-                        j = b.parent[j]
-                    for j in reversed(chain):
-                        p_tag.append(b.tag[j])
-                        p_sib.append(b.sib[j])
-                        p_pos.append(b.pos[j])
-                        p_nsib.append(b.nsib[j])
-                        p_npos.append(b.npos[j])
-                        p_id.append(j)
-                        for k, v in kept[j].items():
-                            p_akey.append(k)
-                            p_aval.append(v)
-                        p_aoff.append(len(p_akey))
-                p_off.append(len(p_tag))
+# output batches are flushed at this many node rows or characters of text/markup, so a
+# batch of large pages never turns into one huge Arrow batch
+FLUSH_ROWS = 8192
+FLUSH_CHARS = 32 << 20
+
+
+class _Batch:
+    """Node rows of several pages, built as flat Arrow columns."""
+
+    def __init__(self):
+        self.out = {f.name: [] for f in NODES_SCHEMA.fields}
+        self.p_off, self.p_tag, self.p_sib, self.p_pos, self.p_id = [0], [], [], [], []
+        self.p_nsib, self.p_npos = [], []
+        self.p_aoff, self.p_akey, self.p_aval = [0], [], []
+        self.rows = 0
+        self.chars = 0
+
+    def add_page(self, page_id, url, html, attrs, content_tags, path_tags):
+        out = self.out
+        src, b = htmltree.build(html)
+        text = htmltree.doc_text(b) if content_tags is None or content_tags else ""
+        n = len(b.tag)
+        kept = [d if attrs is None else {k: v for k, v in d.items() if k in attrs} for d in b.attrs]
+        depth = [0] * n
+        for i in range(n):
+            par = b.parent[i]
+            depth[i] = 1 if par < 0 else depth[par] + 1
+            tag = b.tag[i]
+            out["page_id"].append(page_id)
+            out["url"].append(url)
+            out["node_id"].append(i)
+            out["parent_id"].append(None if par < 0 else par)
+            out["end_id"].append(b.end[i])
+            out["depth"].append(depth[i])
+            out["tag"].append(tag)
+            out["attrs"].append(list(kept[i].items()))
+            out["sib"].append(b.sib[i])
+            out["pos"].append(b.pos[i])
+            out["nsib"].append(b.nsib[i])
+            out["npos"].append(b.npos[i])
+            lead, tail = "".join(b.lead[i]), "".join(b.tail[i])
+            out["lead_text"].append(lead)
+            out["tail"].append(tail)
+            out["src_start"].append(b.s0[i])
+            out["src_end"].append(b.s1[i])
+            self.chars += len(lead) + len(tail)
+            if _wanted(content_tags, tag):
+                t, m = text[b.t0[i] : b.t1[i]], src[b.s0[i] : b.s1[i]]
+                out["text"].append(t)
+                out["markup"].append(m)
+                self.chars += len(t) + len(m)
+            else:
+                out["text"].append(None)
+                out["markup"].append(None)
+            if _wanted(path_tags, tag):
+                chain = []
+                j = i
+                while j >= 0:
+                    chain.append(j)
+                    j = b.parent[j]
+                for j in reversed(chain):
+                    self.p_tag.append(b.tag[j])
+                    self.p_sib.append(b.sib[j])
+                    self.p_pos.append(b.pos[j])
+                    self.p_nsib.append(b.nsib[j])
+                    self.p_npos.append(b.npos[j])
+                    self.p_id.append(j)
+                    for k, v in kept[j].items():
+                        self.p_akey.append(k)
+                        self.p_aval.append(v)
+                    self.p_aoff.append(len(self.p_akey))
+            self.p_off.append(len(self.p_tag))
+        self.rows += n
+
+    def arrow(self) -> pa.RecordBatch:
+        i32 = pa.int32()
         path_struct = pa.StructArray.from_arrays(
             [
-                pa.array(p_tag, pa.string()),
+                pa.array(self.p_tag, pa.string()),
                 pa.MapArray.from_arrays(
-                    pa.array(p_aoff, pa.int32()), pa.array(p_akey, pa.string()), pa.array(p_aval, pa.string())
+                    pa.array(self.p_aoff, i32), pa.array(self.p_akey, pa.string()), pa.array(self.p_aval, pa.string())
                 ),
-                pa.array(p_sib, pa.int32()),
-                pa.array(p_pos, pa.int32()),
-                pa.array(p_nsib, pa.int32()),
-                pa.array(p_npos, pa.int32()),
-                pa.array(p_id, pa.int32()),
+                pa.array(self.p_sib, i32),
+                pa.array(self.p_pos, i32),
+                pa.array(self.p_nsib, i32),
+                pa.array(self.p_npos, i32),
+                pa.array(self.p_id, i32),
             ],
             fields=list(_PATH_STRUCT),
         )
         arrays = []
         for f in NODES_SCHEMA.fields:
             if f.name == "path":
-                arrays.append(pa.ListArray.from_arrays(pa.array(p_off, pa.int32()), path_struct))
+                arrays.append(pa.ListArray.from_arrays(pa.array(self.p_off, i32), path_struct))
             elif f.name == "attrs":
-                arrays.append(pa.array(out["attrs"], _MAP))
-            elif f.name in ("page_id",):
-                arrays.append(pa.array(out[f.name], pa.int64()))
+                arrays.append(pa.array(self.out["attrs"], _MAP))
+            elif f.name == "page_id":
+                arrays.append(pa.array(self.out[f.name], pa.int64()))
             elif isinstance(f.dataType, T.IntegerType):
-                arrays.append(pa.array(out[f.name], pa.int32()))
+                arrays.append(pa.array(self.out[f.name], i32))
             else:
-                arrays.append(pa.array(out[f.name], pa.string()))
-        yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in NODES_SCHEMA.fields])
+                arrays.append(pa.array(self.out[f.name], pa.string()))
+        return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in NODES_SCHEMA.fields])
+
+
+def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags) -> Iterator[pa.RecordBatch]:
+    acc = _Batch()
+    for batch in batches:
+        cols = batch.to_pydict()
+        for page_id, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
+            acc.add_page(page_id, url, html, attrs, content_tags, path_tags)
+            if acc.rows >= FLUSH_ROWS or acc.chars >= FLUSH_CHARS:
+                yield acc.arrow()
+                acc = _Batch()
+    if acc.rows:
+        yield acc.arrow()
 
 
 def planned_partitions(df: DataFrame) -> int | None:
