@@ -34,18 +34,23 @@ def valid_url(url: Column) -> Column:
 
 
 def _remove_dot_segments(path: Column) -> Column:
-    """RFC 3986 dot-segment removal for an absolute path ('/…')."""
+    """RFC 3986 dot-segment removal for an absolute path ('/…'), one fold per row:
+    the state carries the kept segments and whether the last segment was '.'/'..'
+    (which leaves a trailing '/')."""
     segs = F.slice(F.split(path, "/"), 2, 1 << 30)
-    empty = F.array().cast("array<string>")
+    init = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(False).alias("dot"))
 
     def step(acc, s):
-        dropped = F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)
-        return F.when(s == "..", dropped).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
+        parts = acc["parts"]
+        dropped = F.when(F.size(parts) > 0, F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+        kept = F.when(s == "..", dropped).when(s == ".", parts).otherwise(F.concat(parts, F.array(s)))
+        return F.struct(kept.alias("parts"), s.isin(".", "..").alias("dot"))
 
-    folded = F.aggregate(segs, empty, step)
-    last = F.element_at(segs, -1)
-    folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    return F.concat(F.lit("/"), F.array_join(folded, "/"))
+    def finish(acc):
+        parts = F.when(acc["dot"], F.concat(acc["parts"], F.array(F.lit("")))).otherwise(acc["parts"])
+        return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+    return F.aggregate(segs, init, step, finish)
 
 
 def url_join(base: Column, ref: Column) -> Column:
