@@ -71,7 +71,8 @@ def content_items(
         path_tags = set(path_tags) | {"img"}
     if nodes is None:
         nodes = parse_nodes(
-            pages, attrs=opts_all["attrs"], content_tags=opts_content["content_tags"], path_tags=path_tags
+            pages, attrs=opts_all["attrs"], content_tags=opts_content["content_tags"], path_tags=path_tags,
+            text_tags=opts_all["text_tags"],
         )
     rows = match_rows(
         nodes, all_xps + ([] if get_image else [IMG_XPATH]) + [ROOT_XPATH], with_ancestors=get_image

@@ -259,7 +259,11 @@ class _Builder(HTMLParser):
         if not self.tag:
             self._push("html", {}, 0, 0)
         self._pop_to(0, len(self.src))
-        # sibling counts (for last()): same-tag siblings and element siblings
+        # children lists, and sibling counts (for last()): same-tag siblings and element siblings
+        self.kids = [[] for _ in self.tag]
+        for i, par in enumerate(self.parent):
+            if par >= 0:
+                self.kids[par].append(i)
         self.nsib = [1] * len(self.tag)
         self.npos = [1] * len(self.tag)
         for i, par in enumerate(self.parent):

@@ -61,6 +61,7 @@ NODES_SCHEMA = T.StructType(
         T.StructField("src_end", T.IntegerType()),
         T.StructField("text", T.StringType()),
         T.StructField("markup", T.StringType()),
+        T.StructField("texts", T.ArrayType(T.StringType())),
         T.StructField("path", PATH_T),
     ]
 )
@@ -93,7 +94,7 @@ class _Batch:
         self.rows = 0
         self.chars = 0
 
-    def add_page(self, page_id, url, html, attrs, content_tags, path_tags):
+    def add_page(self, page_id, url, html, attrs, content_tags, path_tags, text_tags=frozenset()):
         out = self.out
         src, b = htmltree.build(html)
         text = htmltree.doc_text(b) if content_tags is None or content_tags else ""
@@ -130,6 +131,12 @@ class _Batch:
             else:
                 out["text"].append(None)
                 out["markup"].append(None)
+            if text_tags is None or tag in text_tags:
+                nodes_txt = [lead] if lead else []
+                nodes_txt.extend(t for t in ("".join(b.tail[k]) for k in b.kids[i]) if t)
+                out["texts"].append(nodes_txt)
+            else:
+                out["texts"].append(None)
             if _wanted(path_tags, tag):
                 chain = []
                 j = i
@@ -172,6 +179,8 @@ class _Batch:
                 arrays.append(pa.ListArray.from_arrays(pa.array(self.p_off, i32), path_struct))
             elif f.name == "attrs":
                 arrays.append(pa.array(self.out["attrs"], _MAP))
+            elif f.name == "texts":
+                arrays.append(pa.array(self.out["texts"], pa.list_(pa.string())))
             elif f.name == "page_id":
                 arrays.append(pa.array(self.out[f.name], pa.int64()))
             elif isinstance(f.dataType, T.IntegerType):
@@ -181,12 +190,13 @@ class _Batch:
         return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in NODES_SCHEMA.fields])
 
 
-def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags) -> Iterator[pa.RecordBatch]:
+def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags,
+             text_tags=frozenset()) -> Iterator[pa.RecordBatch]:
     acc = _Batch()
     for batch in batches:
         cols = batch.to_pydict()
         for page_id, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
-            acc.add_page(page_id, url, html, attrs, content_tags, path_tags)
+            acc.add_page(page_id, url, html, attrs, content_tags, path_tags, text_tags)
             if acc.rows >= FLUSH_ROWS or acc.chars >= FLUSH_CHARS:
                 yield acc.arrow()
                 acc = _Batch()
@@ -238,11 +248,14 @@ def parse_nodes(
     content_tags: Iterable[str] | None = None,
     path_tags: Iterable[str] | None = None,
     min_partitions: int | None = None,
+    text_tags: Iterable[str] | None = (),
 ) -> DataFrame:
-    """Element rows of every page (``page_id, url, html`` in)."""
+    """Element rows of every page (``page_id, url, html`` in); ``texts`` (an element's
+    direct text nodes) only for ``text_tags`` (``None`` = every element)."""
     a = None if attrs is None else frozenset(attrs)
     c = None if content_tags is None else frozenset(content_tags)
     p = None if path_tags is None else frozenset(path_tags)
+    t = None if text_tags is None else frozenset(text_tags)
     ensure_shipped(pages.sparkSession)
     src = spread(pages.select("page_id", "url", "html"), min_partitions)
-    return src.mapInArrow(lambda it: _convert(it, a, c, p), NODES_SCHEMA)
+    return src.mapInArrow(lambda it: _convert(it, a, c, p, t), NODES_SCHEMA)

@@ -68,8 +68,8 @@ def parse_options(xpaths: Iterable[str], content: bool = True, extra_attrs: Iter
     the attributes they name, ``text``/``markup`` for the tags they can return
     (when ``content``, or when a predicate reads ``.``), ``path`` for the tags a
     multi-step path can end on."""
-    attrs, tags, path_tags = set(extra_attrs), set(extra_tags), set()
-    any_tag = any_path = False
+    attrs, tags, path_tags, text_tags = set(extra_attrs), set(extra_tags), set(), set()
+    any_tag = any_path = any_text = False
     for top in _compiled(xpaths):
         if top is None:
             continue
@@ -88,10 +88,16 @@ def parse_options(xpaths: Iterable[str], content: bool = True, extra_attrs: Iter
                     any_path = True
                 else:
                     path_tags |= last
+            if xp.needs_texts:
+                if last is None:
+                    any_text = True
+                else:
+                    text_tags |= last
     return {
         "attrs": attrs,
         "content_tags": None if any_tag else tags,
         "path_tags": None if any_path else path_tags,
+        "text_tags": None if any_text else text_tags,
     }
 
 

@@ -14,9 +14,10 @@ Supported::
     path | path                   union (one selector, document order, no repeats)
     …/@name  …/text()             attribute or text-node results
 
-``text()`` inside a predicate is the element's first text node (XPath 1.0's
-string conversion of a node set), ``.`` its whole text; both only on a path's
-last step. Anything else (other axes, functions, a position after a filtering
+``text()`` inside a predicate is the element's direct text nodes: a comparison
+holds when any of them matches, string functions see the first (XPath 1.0's
+conversions of a node set); ``.`` is the whole text. Both only on a path's last
+step. Anything else (other axes, functions, a position after a filtering
 predicate) or a syntax error compiles to ``None``: the selector yields no rows,
 as an invalid XPath does, and the caller logs a warning.
 
@@ -97,6 +98,10 @@ class XPath:
     def needs_text(self) -> bool:
         return any(_uses(p, "dot") for b in self.branches for p in b.steps[-1].preds)
 
+    @property
+    def needs_texts(self) -> bool:
+        return any(_uses(p, "text") for b in self.branches for p in b.steps[-1].preds)
+
     def fallback(self) -> XPath | None:
         """O-09: the same XPath without ``tbody/`` (browser-injected tables)."""
         if "/tbody/" not in self.source:
@@ -347,7 +352,7 @@ class _Ctx:
     position: Column
     last: Column
     text: Column | None = None  # whole text (``.``)
-    lead: Column | None = None  # first text node (``text()``)
+    texts: Column | None = None  # direct text nodes (``text()``)
 
 
 def _string(node, c: _Ctx) -> Column:
@@ -362,7 +367,7 @@ def _string(node, c: _Ctx) -> Column:
     if kind == "dot":
         return F.coalesce(c.text, F.lit(""))
     if kind == "text":
-        return c.lead  # null when there is no text node
+        return F.element_at(c.texts, 1)  # first text node, null when there is none
     if kind == "position":
         return c.position.cast("string")
     if kind == "last":
@@ -414,7 +419,7 @@ def _bool(node, c: _Ctx) -> Column:
     if kind == "attr":
         return c.attrs.getItem(node[1]).isNotNull()
     if kind == "text":
-        return F.coalesce(F.length(c.lead) > 0, F.lit(False))
+        return F.coalesce(F.size(c.texts) > 0, F.lit(False))
     if kind == "dot":
         return F.length(F.coalesce(c.text, F.lit(""))) > 0
     if kind == "str":
@@ -432,19 +437,32 @@ def _bool(node, c: _Ctx) -> Column:
         return F.length(F.coalesce(_string(node, c), F.lit(""))) > 0
     if kind == "cmp":
         op, left, right = node[1], node[2], node[3]
-        if _is_numeric(left) or _is_numeric(right):
+        numeric = _is_numeric(left) or _is_numeric(right)
+
+        def compare(lv, rv):
+            if numeric:
+                lv, rv = lv.try_cast("double"), rv.try_cast("double")
+            return {"=": lv == rv, "!=": lv != rv, "<": lv < rv, "<=": lv <= rv, ">": lv > rv, ">=": lv >= rv}[op]
+
+        # a node-set of text nodes compares true when any of its nodes does
+        if left[0] == "text" and right[0] != "text":
+            rv = _number(right, c) if numeric else _string(right, c)
+            return F.coalesce(F.exists(c.texts, lambda t: compare(t, rv)), F.lit(False))
+        if right[0] == "text" and left[0] != "text":
+            lv = _number(left, c) if numeric else _string(left, c)
+            return F.coalesce(F.exists(c.texts, lambda t: compare(lv, t)), F.lit(False))
+        if numeric:
             lv, rv = _number(left, c), _number(right, c)
         else:
             lv, rv = _string(left, c), _string(right, c)
-        out = {"=": lv == rv, "!=": lv != rv, "<": lv < rv, "<=": lv <= rv, ">": lv > rv, ">=": lv >= rv}[op]
-        return F.coalesce(out, F.lit(False))
+        return F.coalesce(compare(lv, rv), F.lit(False))
     raise Unsupported(f"not a predicate: {kind}")
 
 
 def _step_test(step: Step, tag: Column, attrs: Column, sib: Column, pos: Column, nsib: Column, npos: Column,
-               text: Column | None = None, lead: Column | None = None) -> Column:
+               text: Column | None = None, texts: Column | None = None) -> Column:
     named = step.tag is not None
-    c = _Ctx(tag, attrs, sib if named else pos, nsib if named else npos, text, lead)
+    c = _Ctx(tag, attrs, sib if named else pos, nsib if named else npos, text, texts)
     cond = (tag == F.lit(step.tag)) if named else F.lit(True)
     for p in step.preds:
         b = (c.position == F.lit(int(p[1]))) if p[0] == "num" else _bool(p, c)
@@ -483,7 +501,7 @@ def branch_match(b: Path, path: str = "path") -> Column:
     last = b.steps[-1]
     n = len(b.steps)
     self_ok = _step_test(last, F.col("tag"), F.col("attrs"), F.col("sib"), F.col("pos"), F.col("nsib"),
-                         F.col("npos"), F.col("text"), F.col("lead_text"))
+                         F.col("npos"), F.col("text"), F.col("texts"))
     if n == 1 and last.axis == "desc":
         return self_ok
     if n == 1:

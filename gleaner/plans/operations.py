@@ -133,7 +133,7 @@ def run_operations(
     # one parse of the start pages, shared by the page operations (links, article, content)
     shared = None
     if sum((a, t) in (("get", "links"), ("get", "article"), ("get", "content")) for a, t in ops) > 1:
-        shared = parse_nodes(starts).persist(StorageLevel.MEMORY_AND_DISK)
+        shared = parse_nodes(starts, text_tags=None).persist(StorageLevel.MEMORY_AND_DISK)
     datums = []
     for i, (a, t) in enumerate(ops):
         if (a, t) == ("get", "page"):

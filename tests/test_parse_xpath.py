@@ -192,3 +192,12 @@ def test_parser_invariants_on_tag_soup(html):
         assert 1 <= b.sib[i] <= b.nsib[i] and 1 <= b.pos[i] <= b.npos[i]
     # every text chunk is counted once, in document order
     assert sum(len("".join(x)) for x in b.lead) + sum(len("".join(x)) for x in b.tail) == len(text)
+
+
+def test_text_predicates_see_all_direct_text_nodes(spark):
+    page = "<nav><a href='/n'><img src='i.png'>Next</a><a href='/p'>Prev <b>!</b> page</a></nav>"
+    assert one(spark, page, "//a[text()='Next']/@href") == ["/n"]  # text after a child element
+    assert one(spark, page, "//a[text()=' page']/@href") == ["/p"]  # any of the text nodes
+    assert one(spark, page, "//a[starts-with(text(), 'Prev')]/@href") == ["/p"]  # first text node
+    assert one(spark, page, "//a[contains(text(), 'page')]/@href") == []  # only the first counts
+    assert one(spark, page, "//b[not(text())]") == []
