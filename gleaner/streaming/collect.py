@@ -44,13 +44,20 @@ def collect_stream(
     glob: str = "*.parquet",
     available_now: bool = True,
     processing_time: str | None = None,
+    schema: str = PAGES_SCHEMA,
+    event_time: str | None = None,
+    watermark: str = "1 hour",
+    max_files: int | None = None,
     **content_options,
 ) -> tuple[StreamingQuery, str]:
-    """Start the stream; returns the query and the sink folder (parquet, one folder per epoch)."""
+    """Start the stream; returns the query and the sink folder (parquet, one folder per epoch).
+
+    With ``event_time`` (a timestamp column in ``schema``) duplicates are dropped within
+    the watermark, so the de-duplication state stays bounded."""
     base = checkpoint_dir(spark).rstrip("/") + f"/gleaner-stream-{uuid.uuid4().hex[:12]}"
     sink = sink_path or f"{base}/sink"
     ckpt = checkpoint_location or f"{base}/checkpoint"
-    pages = page_stream(spark, source_dir, glob)
+    pages = page_stream(spark, source_dir, glob, schema, event_time, watermark, max_files)
 
     def per_batch(df: DataFrame, epoch_id: int) -> None:
         rec = collect_content(read_pages_from(df), selectors, **content_options)

@@ -192,3 +192,25 @@ def test_read_page_files(spark):
     assert got == {"a.html": '<a href="b.html">B</a>', "b.html": "<p>plain</p>"}  # empty files are not listed
     links = page_links(p).collect()
     assert [(r.text, r.url.rsplit("/", 1)[-1]) for r in links] == [("B", "b.html")]
+
+
+def test_stream_with_event_time_across_batches(spark, pages):
+    import datetime as dt
+
+    from gleaner.streaming.collect import collect_stream
+
+    src = tempfile.mkdtemp(prefix="gleaner-stream-ts-")
+    t0 = dt.datetime(2024, 1, 2, 3, 0, 0)
+    first = pages.where("page_id < 5").withColumn("fetched", F.lit(t0))
+    again = pages.withColumn("fetched", F.lit(t0 + dt.timedelta(minutes=5)))
+    first.write.parquet(f"{src}/1")
+    again.write.parquet(f"{src}/2")
+    sels = {"t": ("//title", "text")}
+    q, sink = collect_stream(
+        spark, src + "/*", sels, schema="page_id bigint, url string, html string, fetched timestamp",
+        event_time="fetched", watermark="1 hour", max_files=1,
+    )
+    q.awaitTermination()
+    got = spark.read.parquet(sink)
+    assert got.select("epoch").distinct().count() >= 2  # more than one micro-batch
+    assert got.count() == pages.count() and got.select("url").distinct().count() == pages.count()
