@@ -164,3 +164,20 @@ def test_print_time_and_partition(spark):
     ts = dt.datetime(2024, 1, 2, 15, 4, 5)
     got = evaluate(spark, [(ts,)], "t timestamp", timefmt.print_time(F.col("t")), *timefmt.storage_partition(F.col("t")))
     assert got[0] == (ts.strftime("%Y/%m/%d %H:%I:%S"), 2024, 1, 2, "results/2024/01/02")
+
+
+def test_print_time_any_and_valid_url_split(spark):
+    from gleaner.sources.pages import valid_urls
+
+    df = spark.createDataFrame([("2024-01-02 15:04:05", dt.datetime(2024, 1, 2, 15, 4, 5), 7)],
+                               "s string, t timestamp, n int")
+    row = df.select(
+        timefmt.print_time_any(F.col("s"), "string").alias("s"),
+        timefmt.print_time_any(F.col("t"), "timestamp").alias("t"),
+        timefmt.print_time_any(F.col("n"), "int").alias("n"),
+    ).first()
+    assert (row.s, row.t, row.n) == ("2024-01-02 15:04:05", "2024/01/02 15:03:05", "")
+    urls_df = spark.createDataFrame([("http://a.test/x",), ("/x",), ("mailto:a@b",), (None,)], "url string")
+    ok, rejected = valid_urls(urls_df)
+    assert [r.url for r in ok.collect()] == ["http://a.test/x"]
+    assert sorted(str(r.url) for r in rejected.collect()) == ["/x", "None", "mailto:a@b"]
