@@ -12,7 +12,12 @@ Python output cannot be pruned by Catalyst after the fact:
 * ``text`` / ``markup`` — subtree text and source slice, only for tags in
   ``content_tags`` (``None`` = every element, empty = none);
 * ``path``       — ancestor-or-self chain used by compiled XPath predicates,
-  only for tags in ``path_tags`` (``None`` = every element, empty = none).
+  only for tags in ``path_tags`` (``None`` = every element, empty = none);
+* ``texts``      — an element's direct text nodes (for ``text()`` predicates),
+  only for tags in ``text_tags``.
+
+Output batches are flushed every ``FLUSH_ROWS`` rows or ``FLUSH_CHARS``
+characters, whatever the size of the input batch.
 """
 
 from __future__ import annotations
