@@ -32,17 +32,34 @@ def expand_values(values: Column) -> Column:
     )
 
 
+_OPEN, _CLOSE = "\u0001", "\u0002"  # stand-ins for escaped braces while values are placed
+
+
+def numbered_template(t: Column) -> Column:
+    """``str.format`` placeholders made explicit: ``{{``/``}}`` protected, ``{}`` numbered
+    ``{0}``, ``{1}``, … in order."""
+    protected = F.replace(F.replace(t, F.lit("{{"), F.lit(_OPEN)), F.lit("}}"), F.lit(_CLOSE))
+    parts = F.split(protected, r"\{\}")
+    numbered = F.aggregate(
+        F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))),  # Spark's sequence(2, 1) counts down
+        F.element_at(parts, 1),
+        lambda acc, i: F.concat(acc, F.lit("{"), (i - 2).cast("string"), F.lit("}"), F.element_at(parts, i)),
+    )
+    return F.when(F.size(parts) >= 2, numbered).otherwise(protected)
+
+
 def generate_urls(df: DataFrame, template: str = "template", elements: str = "elements") -> DataFrame:
     """O-06: every row's template × cartesian product of its element lists.
 
     Adds ``url_rank`` (0-based position in product order, last list varying
-    fastest) and ``url``; ``{i}`` in the template is the i-th value. The
+    fastest) and ``url``; ``{i}`` (or the i-th ``{}``) in the template is the i-th
+    value, ``{{``/``}}`` are literal braces, as in ``str.format``. The
     product is unrolled one list at a time with ``posexplode``, so no row
     ever holds the product and a large product spreads over tasks.
     """
     lists = F.transform(F.col(elements), expand_values)
     depth = df.select(F.max(F.size(elements)).alias("n")).first()["n"] or 0
-    cur = df.withColumn("_lists", lists).withColumn("url", F.col(template)).withColumn(
+    cur = df.withColumn("_lists", lists).withColumn("url", numbered_template(F.col(template))).withColumn(
         "url_rank", F.lit(0).cast("long")
     )
     for k in range(depth):
@@ -60,4 +77,5 @@ def generate_urls(df: DataFrame, template: str = "template", elements: str = "el
         if k == 0 and depth > 1:
             # spread big products over tasks before they multiply further
             cur = cur.repartition(int(cur.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return cur.drop("_lists")
+    restored = F.replace(F.replace(F.col("url"), F.lit(_OPEN), F.lit("{")), F.lit(_CLOSE), F.lit("}"))
+    return cur.withColumn("url", restored).drop("_lists")

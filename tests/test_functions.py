@@ -181,3 +181,12 @@ def test_print_time_any_and_valid_url_split(spark):
     ok, rejected = valid_urls(urls_df)
     assert [r.url for r in ok.collect()] == ["http://a.test/x"]
     assert sorted(str(r.url) for r in rejected.collect()) == ["/x", "None", "mailto:a@b"]
+
+
+def test_generate_urls_auto_numbering_and_escapes(spark):
+    rows = [("http://d/{}/{}?q={{x}}", [["1-2"], ["a"]]), ("http://d/{1}-{0}", [["p"], ["3-4"]])]
+    df = spark.createDataFrame(rows, "template string, elements array<array<string>>")
+    got = sorted((r.template, r.url) for r in ranges.generate_urls(df).collect())
+    want = sorted([(rows[0][0], rows[0][0].format(n, "a")) for n in (1, 2)]
+                  + [(rows[1][0], rows[1][0].format("p", n)) for n in (3, 4)])
+    assert got == want
