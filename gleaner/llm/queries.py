@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm.cascade import cascade
+from gleaner.llm.mixing import mix
+from gleaner.llm.text import WORD
+from gleaner.llm.urllists import filter_captures
 from gleaner.session import ensure_shipped, table
 
 QUERIES: dict = {}
@@ -74,3 +78,143 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+#: Production targets of the mix: shares by language and topic, sources flattened.
+MIX_TARGETS = {
+    "source": 0.5,
+    "lang": {"en": 0.62, "de": 0.14, "fr": 0.14, "es": 0.10},
+    "topic": {"prose": 0.90, "table": 0.03, "notice": 0.02, "technical": 0.05},
+}
+
+
+def topic(text):
+    """A document's topic by its markers."""
+    t = F.coalesce(text, F.lit(""))
+    return (
+        F.when(t.contains(" | "), "table")
+        .when(t.contains("!!"), "notice")
+        .when(t.contains("@") | t.contains("="), "technical")
+        .otherwise("prose")
+    )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Documents raked and drawn with the production targets."""
+    return mix(
+        docs,
+        {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))},
+        MIX_TARGETS,
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)),
+        F.col("doc_id"),
+    )
+
+
+def _mix_sql(sweeps: int = 40) -> str:
+    """The fit unrolled: a sweep is one window per dimension."""
+
+    def fixed(d):
+        return "CASE " + d + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_TARGETS[d].items()) + " ELSE 0 END"
+
+    w = "SELECT source, lang, topic, tokens, s_source, s_lang, s_topic, CAST(tokens AS DOUBLE) AS mass FROM shares"
+    for _ in range(sweeps):
+        for d in ("source", "lang", "topic"):
+            w = (
+                f"SELECT * EXCLUDE (m, mass), CASE WHEN m > 0 THEN mass * s_{d} / m ELSE 0 END AS mass "
+                f"FROM (SELECT *, sum(mass) OVER (PARTITION BY {d}) AS m FROM ({w}))"
+            )
+    return f"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
+    CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), '!!') THEN 'notice'
+         WHEN contains(coalesce(text, ''), '@') OR contains(coalesce(text, ''), '=') THEN 'technical'
+         ELSE 'prose' END AS topic,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+cells AS MATERIALIZED (
+  SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM t GROUP BY ALL),
+raw AS (
+  SELECT *, sqrt(sum(tokens) OVER (PARTITION BY source)) AS r_source, {fixed("lang")} AS r_lang,
+    {fixed("topic")} AS r_topic FROM cells),
+shares AS MATERIALIZED (
+  SELECT source, lang, topic, tokens,
+    r_source / (SELECT sum(r) FROM (SELECT DISTINCT source, r_source AS r FROM raw WHERE tokens > 0)) AS s_source,
+    r_lang / (SELECT sum(r) FROM (SELECT DISTINCT lang, r_lang AS r FROM raw WHERE tokens > 0)) AS s_lang,
+    r_topic / (SELECT sum(r) FROM (SELECT DISTINCT topic, r_topic AS r FROM raw WHERE tokens > 0)) AS s_topic
+  FROM raw),
+fit AS MATERIALIZED ({w}),
+g AS (
+  SELECT source, lang, topic,
+    CASE WHEN tokens > 0 THEN mass * (SELECT sum(tokens) FROM cells) / tokens ELSE 0 END AS weight FROM fit)
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight,
+  CAST(floor(weight + CAST(('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT)
+       / 4294967296.0) AS BIGINT) AS n_copies
+FROM t JOIN g USING (source, lang, topic)
+"""
+
+
+@register("op2_mixing", _mix_sql())
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over ``documents``: calibrated weight and drawn copies of every document."""
+    out = mixed(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), "n_copies"
+    )
+
+
+def dated_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with a fetch date each (stand-in: the table has none)."""
+    day = F.date_add(F.lit("2019-01-01").cast("date"), (F.col("page_id") * 37 % 2000).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_on"))
+
+
+def dated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated list entries over the hosts of ``pages`` (stand-in: no list is given)."""
+    page = table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("url"))
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)
+    first = F.regexp_extract("url", "^[a-z]+://([^/?#:]+/[^/?#]+)", 1)
+    e = page.where(F.col("page_id") % 3 == 0).select(
+        F.concat(F.lit("list"), (F.col("page_id") % 7).cast("string")).alias("list_name"),
+        F.when(F.col("page_id") % 4 == 0, "host").when(F.col("page_id") % 4 == 1, "domain").otherwise("prefix").alias("kind"),
+        F.when(F.col("page_id") % 4 == 0, host)
+        .when(F.col("page_id") % 4 == 1, F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1))
+        .otherwise(first)
+        .alias("pattern"),
+        F.when(F.col("page_id") % 5 < 3, "add").otherwise("remove").alias("action"),
+        F.date_add(F.lit("2019-01-01").cast("date"), (F.col("page_id") * 13 % 1500).cast("int")).alias("entry_date"),
+    )
+    return e
+
+
+OP3_SQL = r"""
+WITH e AS (
+  SELECT 'list' || (page_id % 7) AS list_name,
+    CASE page_id % 4 WHEN 0 THEN 'host:' || regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1)
+      WHEN 1 THEN 'domain:' || regexp_extract(regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1), '([^.]+\.[^.]+\.[^.]+)$', 1)
+      ELSE 'prefix:' || regexp_extract(lower(url), '^[a-z]+://([^/?#:]+/[^/?#]+)', 1) END AS key,
+    page_id % 5 < 3 AS listed, DATE '2019-01-01' + CAST(page_id * 13 % 1500 AS INTEGER) AS day
+  FROM pages WHERE page_id % 3 = 0),
+daily AS (SELECT list_name, key, day, bool_and(listed) AS listed FROM e GROUP BY ALL),
+spans AS (
+  SELECT list_name, key, day, listed, lead(day) OVER (PARTITION BY list_name, key ORDER BY day) AS until FROM daily),
+c AS (
+  SELECT page_id, url, DATE '2019-01-01' + CAST(page_id * 37 % 2000 AS INTEGER) AS fetched_on,
+    regexp_extract(lower(url), '^[a-z]+://([^?#]*)', 1) AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^([^/:]*)', 1) AS host, '/' || string_split(rest, '/')[2] AS step FROM c),
+k AS (
+  SELECT page_id, fetched_on, unnest(list_distinct(['host:' || host, 'domain:' || host,
+    'domain:' || regexp_replace(host, '^[^.]*\.', ''), 'domain:' || regexp_replace(host, '^[^.]*\.[^.]*\.', ''),
+    'prefix:' || host || step])) AS key FROM h),
+hit AS (
+  SELECT page_id, list_sort(list(DISTINCT list_name)) AS lists FROM k JOIN spans USING (key)
+  WHERE listed AND fetched_on >= day AND (until IS NULL OR fetched_on < until) GROUP BY page_id)
+SELECT page_id, url, fetched_on, coalesce(array_to_string(lists, ','), '') AS lists, lists IS NOT NULL AS blocked
+FROM c LEFT JOIN hit USING (page_id)
+"""
+
+
+@register("op3_url_lists", OP3_SQL)
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over ``pages``: the lists active at each capture's fetch date."""
+    out = filter_captures(dated_captures(spark, sf_dir), dated_entries(spark, sf_dir))
+    return out.select("page_id", "url", "fetched_on", F.array_join("lists", ",").alias("lists"), "blocked")
