@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.cascade import cascade
 from gleaner.llm.mixing import mix
+from gleaner.llm.quality import quality
 from gleaner.llm.text import WORD
+from gleaner.llm.toxicity import toxicity
 from gleaner.llm.urllists import filter_captures
 from gleaner.session import ensure_shipped, table
 
@@ -218,3 +220,15 @@ def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 over ``pages``: the lists active at each capture's fetch date."""
     out = filter_captures(dated_captures(spark, sf_dir), dated_entries(spark, sf_dir))
     return out.select("page_id", "url", "fetched_on", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over ``documents``: toxicity score of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over ``documents``: quality score of every document."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
