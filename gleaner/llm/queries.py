@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.cascade import cascade
+from gleaner.llm.decontaminate import contaminated
 from gleaner.llm.mixing import mix
 from gleaner.llm.quality import quality
 from gleaner.llm.text import WORD
@@ -232,3 +233,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 8 over ``documents``: quality score of every document."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9: every document of ``documents`` against every item of ``benchmark``."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
