@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.text import lower_ascii, words
+from gleaner.llm.text import words
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\"
 #: Item lengths in words: class k holds items of less than CLASS_BASE ** (k + 1) words.
@@ -158,8 +158,8 @@ class Terms(dict):
 
 
 def search(shard: Shard, known: Terms, text: bytes, min_score: float, min_overlap: float) -> list[dict]:
-    """Verified items of a text, each with its best passage."""
-    w = text.lower().split()
+    """Verified items of a lower-cased text, each with its best passage."""
+    w = text.split()
     ids = np.fromiter(map(known.__getitem__, w), np.int32, len(w))
     if (ids == -2).any():
         real = np.flatnonzero(ids != -2)
@@ -216,28 +216,28 @@ def weighted_postings(items: DataFrame, index_bytes: int, k1: float = 1.2, b: fl
         F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("text")
     )
     # a word's sentence ends if it carries a full stop or stands before a line break
-    marked = F.regexp_replace(lower_ascii(F.col("text")), r"[\x20\x09\x0B\x0C\x0D]*\n", ".\n")
+    marked = F.regexp_replace(F.lower("text"), r"[\x20\x09\x0B\x0C\x0D]*\n", ".\n")
     raw = F.filter(
         F.transform(words(marked), lambda w: F.struct(strip(w).alias("word"), w.rlike(r"[.!?][\"')\]]*$").alias("ends"))),
         lambda t: F.length(t["word"]) > 0,
     )
     tokens = merged.select("item_id", F.octet_length("text").alias("size"), raw.alias("tokens")).where(F.size("tokens") > 0)
-    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_len"), F.sum("size").alias("bytes"))
+    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("len"), F.sum("size").alias("bytes")).first()
+    n, avg_len, n_shards = totals["n"], totals["len"] or 1.0, max(1, -(-(totals["bytes"] or 0) // index_bytes))
     tf = tokens.select("item_id", F.size("tokens").alias("len"), F.explode("tokens.word").alias("term"))
     tf = tf.groupBy("item_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (
-        F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (
+        F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
     )
-    scored = tf.join(df, "term").join(F.broadcast(totals)).select("item_id", "term", weight.alias("w"))
+    scored = tf.join(df, "term").select("item_id", "term", weight.alias("w"))
     per_item = scored.groupBy("item_id").agg(
         F.sum("w").alias("self"), F.collect_list(F.struct("term", "w")).alias("postings")
     )
     share = F.transform("postings", lambda p: F.struct(p["term"].alias("term"), (p["w"] / F.col("self")).alias("w")))
-    shards = F.ceil(F.col("bytes") / F.lit(index_bytes)).cast("long")
-    return tokens.join(per_item, "item_id").join(F.broadcast(totals)).select(
+    return tokens.join(per_item, "item_id").select(
         F.floor(F.log(float(CLASS_BASE), F.size("tokens") + F.lit(0.5))).cast("int").alias("cls"),
-        F.pmod(F.xxhash64("item_id"), F.greatest(shards, F.lit(1))).alias("shard"),
+        F.pmod(F.xxhash64("item_id"), F.lit(n_shards)).alias("shard"),
         "item_id",
         "tokens",
         share.alias("postings"),
@@ -263,7 +263,7 @@ def leaks(
     of its question and answer shingles that one passage must hold. Null and empty texts,
     and a benchmark without words, have no hits.
     """
-    content = text.cast("string").cast("binary")
+    content = F.lower(text.cast("string")).cast("binary")
     # nondeterministic: a filter on the hits must not run the search a second time
     columns = [
         _finder(items.sparkSession.sparkContext.broadcast(shard), min_score, min_overlap).asNondeterministic()(content)

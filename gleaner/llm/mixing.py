@@ -40,8 +40,8 @@ def _normalised(cells: DataFrame, dim: str, shares: DataFrame) -> DataFrame:
     """Shares of the categories that have tokens, summing to 1."""
     present = cells.where("tokens > 0").select(dim).distinct()
     kept = shares.where("share > 0").join(present, dim, "left_semi")
-    total = kept.agg(F.sum("share").alias("total"))
-    return kept.join(F.broadcast(total)).select(dim, (F.col("share") / F.col("total")).alias("share"))
+    total = kept.agg(F.sum("share")).first()[0]
+    return kept.withColumn("share", F.col("share") / F.lit(total))
 
 
 def rake(
@@ -115,10 +115,10 @@ def mix(
         for d, t in targets.items()
     }
     raked = rake(cells, shares, scratch, **fit)
-    total = cells.agg(F.sum("tokens").alias("total"))
-    weights = raked.join(F.broadcast(total)).select(
+    total = cells.agg(F.sum("tokens")).first()[0]
+    weights = raked.select(
         *dims,
-        F.when(F.col("tokens") > 0, F.col("mass") * F.col("total") / F.col("tokens")).otherwise(0.0).alias("weight"),
+        F.when(F.col("tokens") > 0, F.col("mass") * F.lit(total) / F.col("tokens")).otherwise(0.0).alias("weight"),
     )
     # a written table: Spark knows its size and broadcasts it only below its threshold
     out = labelled.join(scratch.save(weights), list(dims), "left")

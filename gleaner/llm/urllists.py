@@ -90,11 +90,11 @@ def filter_captures(
         F.col(url_col).cast("string").alias("__url"), F.col(fetched_col).cast("date").alias("__day")
     ).where("__url is not null and __day is not null").distinct()
     asked = seen.select("__url", "__day", F.year("__day").alias("year"), F.explode(url_keys(F.col("__url"))).alias("key"))
-    last = seen.agg(F.max(F.year("__day")).alias("last"), F.min(F.year("__day")).alias("first"))
-    spans = validity_intervals(entries).join(F.broadcast(last)).where("last is not null")
-    start = F.greatest(F.year("valid_from"), F.col("first"))
-    end = F.least(F.year("valid_to"), F.col("last"))
-    yearly = spans.where(start <= end).select(
+    years = captures.agg(F.min(F.year(F.col(fetched_col).cast("date"))), F.max(F.year(F.col(fetched_col).cast("date")))).first()
+    first, last = years if years[0] is not None else (1, 0)
+    start = F.greatest(F.year("valid_from"), F.lit(first))
+    end = F.least(F.year("valid_to"), F.lit(last))
+    yearly = validity_intervals(entries).where(start <= end).select(
         "list_name", "key", "valid_from", "valid_to", F.explode(F.sequence(start, end)).alias("year")
     )
     hits = asked.join(yearly, ["key", "year"]).where("__day >= valid_from and __day < valid_to")
