@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.cascade import cascade
 from gleaner.llm.decontaminate import contaminated
+from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.mixing import mix
 from gleaner.llm.quality import quality
 from gleaner.llm.text import WORD
@@ -239,3 +240,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9: every document of ``documents`` against every item of ``benchmark``."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op5_minhash")
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over ``documents``: 2-word shingles, similarity 0.8 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)

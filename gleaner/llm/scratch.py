@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.session import checkpoint_dir
 
@@ -38,3 +39,12 @@ class Scratch:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(conf).delete(path, True)
+
+
+def ship(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it is proven small, else as it is.
+
+    For narrow rows (an id or two) only: ``max_rows`` of them stay under 64 MB. Beyond
+    that the join it takes part in shuffles.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
