@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.cascade import cascade
 from gleaner.llm.decontaminate import contaminated
+from gleaner.llm.lm import lm_scores
 from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.mixing import mix
 from gleaner.llm.quality import quality
@@ -246,3 +247,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5 over ``documents``: 2-word shingles, similarity 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@register("op1_lm_scores")
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 over ``documents``: interpolated bigram model and add-one base score."""
+    return lm_scores(table(spark, sf_dir, "documents"), order=2)
