@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.cascade import cascade
 from gleaner.llm.decontaminate import contaminated
+from gleaner.llm.exactdedup import remove_repeats
 from gleaner.llm.lm import lm_scores
 from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.mixing import mix
@@ -253,3 +254,9 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 1 over ``documents``: interpolated bigram model and add-one base score."""
     return lm_scores(table(spark, sf_dir, "documents"), order=2)
+
+
+@register("op4_exact_dedup")
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over ``documents``: bytes of repeated 100-byte strings removed."""
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100)
