@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.cascade import cascade
 from gleaner.llm.decontaminate import contaminated
 from gleaner.llm.exactdedup import remove_repeats
+from gleaner.llm.linededup import near_lines
 from gleaner.llm.lm import lm_scores
 from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.mixing import mix
@@ -260,3 +261,9 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4 over ``documents``: bytes of repeated 100-byte strings removed."""
     return remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
+@register("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over all lines of ``documents``: classes, links within two edits, verdict."""
+    return near_lines(table(spark, sf_dir, "documents"))
