@@ -255,6 +255,8 @@ def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """
     gone = lines.where(~F.col("kept") & F.col("doc_id").isNotNull())
     per_doc = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
+    # as many rows as lines that go, each of a few bytes: broadcast only if proven under 64 MB
+    per_doc = F.broadcast(per_doc) if gone.limit(2_000_001).count() <= 2_000_000 else per_doc
     joined = docs.join(per_doc, docs["doc_id"].cast("long") == F.col("__id"), "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))

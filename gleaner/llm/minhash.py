@@ -8,8 +8,10 @@
    on the full shingle sets of their texts.
 4. Links are contracted by alternating large-star and small-star.
 5. A bucket whose members ended in one component is closed: no further comparison can
-   change it. In the open ones, the pairs across components are compared as well, so a
-   link a pivot hid is not lost; then components are contracted again.
+   change it. In the open ones a pivot may have hidden a link. A document can only link
+   to another component if enough of its shingles occur there, so those whose shingles
+   are mostly their own component's are proven done, without forming a pair; the pairs
+   across components that are left are compared, and components contracted again.
 
 A pair at the threshold shares no bucket with probability (1 - t^rows)^bands: 3e-6 for
 32 bands of 5 at 0.8.
@@ -130,7 +132,7 @@ def _similar_signatures(pairs: DataFrame, sigs: DataFrame, threshold: float, cou
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs with 100 * |intersection| >= percent * |union| on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +149,45 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
             yield pa.record_batch([b["u"].filter(keep), b["v"].filter(keep)], ["u", "v"])
 
     ends = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    involved = texts.join(ship(ends), "id", "left_semi").dropDuplicates(["id"])
+    # written: both sides of the joins are then plain exchanges, whose hot keys can be split
+    involved = scratch.save(texts.join(ship(ends), "id", "left_semi").dropDuplicates(["id"]))
     of = lambda c: involved.select(F.col("id").alias(c), F.col("text").alias("t" + c))
     # by u first: the join on v, whose pivots may be hot, is last and can be split
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
+def _may_link(open_docs: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch, rounds: int = 2) -> DataFrame:
+    """The ``id`` of ``open_docs`` (id, root) that may yet link to another component.
+
+    Similarity of ``percent`` needs as large a share of a document's shingles in the other
+    one. Shingles found in one component only do not count; each round counts anew among
+    the documents that are left.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            for i, root, text in zip(*(b[c].to_pylist() for c in ("id", "root", "text"))):
+                h = shingle_hashes(text, shingle, known).view(np.int64)
+                yield pa.record_batch(
+                    [pa.array(h), *(pa.array(np.full(len(h), x)) for x in (i, root, len(h)))], ["h", "id", "root", "n"]
+                )
+
+    found = texts.join(ship(open_docs), "id").dropDuplicates(["id"]).select("id", "root", "text")
+    left = scratch.save(found.mapInArrow(run, "h long, id long, root long, n long"))
+    for _ in range(rounds):
+        several = left.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("h")
+        able = (
+            left.join(several, "h", "left_semi")
+            .groupBy("id", "n")
+            .agg(F.count(F.lit(1)).alias("shared"))
+            .where(F.col("shared") * 100 >= F.col("n") * percent)
+        )
+        able = scratch.save(able.select("id"))
+        left = left.join(ship(able), "id", "left_semi")
+    return able
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -189,7 +224,7 @@ def near_duplicates(
 
     def link(pairs: DataFrame) -> DataFrame:
         near = scratch.save(_similar_signatures(pairs, sigs, percent / 100, count))
-        return scratch.save(_linked(near, involved_texts, shingle, percent))
+        return scratch.save(_linked(near, involved_texts, shingle, percent, scratch))
 
     # the representatives' texts: rows of one id that have another set do not stand for it
     involved_texts = texts.where("id is not null")
@@ -201,9 +236,15 @@ def near_duplicates(
         )
 
     named = scratch.save(labelled(members).select("bucket", "id", "root"))
-    open_buckets = named.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    rest = scratch.save(named.join(open_buckets.select("bucket"), "bucket"))
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        mixed = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+        return scratch.save(rows.join(mixed.select("bucket"), "bucket", "left_semi"))
+
+    rest = still_open(named)
     if rest.limit(1).count():
+        able = _may_link(rest.select("id", "root").distinct(), involved_texts, shingle, percent, scratch)
+        rest = still_open(rest.join(ship(able), "id", "left_semi"))
         left = rest.select("bucket", F.col("id").alias("u"), F.col("root").alias("ru"))
         right = rest.select("bucket", F.col("id").alias("v"), F.col("root").alias("rv"))
         across = left.join(right, "bucket").where("u > v and ru <> rv").select("u", "v").distinct()

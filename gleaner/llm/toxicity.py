@@ -10,12 +10,12 @@ scored in one pass without a shuffle.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.labelled import FOLDS, training_rows
@@ -158,31 +158,33 @@ def collect_terms(sample: DataFrame, bits: int) -> tuple[list[np.ndarray], np.nd
     return [np.frombuffer(r["terms"], np.int32) for r in got], np.array([r["label"] for r in got], float)
 
 
-def toxicity(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, bits: int = 18, seed: int = 5, **fit
-) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row of ``docs``.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, bits: int = 18, seed: int = 5, **fit) -> Callable[[Column], Column]:
+    """Learn from labelled ``docs``; returns the score as a function of a text column.
 
-    Learns from at most ``max_rows`` labelled documents outside the held-out fold; only
-    ``text`` enters a score. Null and empty texts score by the bias; equal texts score
-    alike; repeated rows each get a row; an empty table gives an empty result and no
-    labels the neutral 0.5; other columns are not read.
+    At most ``max_rows`` labelled documents outside the held-out fold are learned from,
+    and only text enters a score. Without labels the score is the neutral 0.5.
     """
-    spark = docs.sparkSession
     rows, y = collect_terms(training_rows(docs, labels, "toxic", max_rows, seed), bits)
-    model = spark.sparkContext.broadcast(train(rows, y, bits=bits, seed=seed, **fit))
+    model = docs.sparkSession.sparkContext.broadcast(train(rows, y, bits=bits, seed=seed, **fit))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = model.value
-        buckets = Buckets(bits, machine.known)
-        for b in batches:
-            scores = score_terms(machine, [buckets.terms(x) for x in b["text"].to_pylist()])
-            yield pa.record_batch([b["doc_id"], b["held_out"], pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
-
-    given = docs.select(
-        "doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
-    )
-    id_type = given.schema["doc_id"].dataType.simpleString()
-    scored = given.mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double")
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        buckets = Buckets(bits, model.value.known)
+        for texts in batches:
+            yield pa.array(score_terms(model.value, [buckets.terms(x) for x in texts.to_pylist()]), pa.float64())
+
+    # nondeterministic: a filter on the score must not compute it a second time
+    scored = score.asNondeterministic()
+    return lambda text: scored(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row of ``docs``.
+
+    Null and empty texts score by the bias; equal texts score alike; repeated rows each
+    get a row; an empty table gives an empty result; other columns are not read.
+    """
+    score = fit_toxicity(docs, labels, **options)
+    held_out = fold(F.col("doc_id"), FOLDS) == 0
+    scored = docs.select("doc_id", held_out.alias("held_out"), score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
