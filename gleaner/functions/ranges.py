@@ -19,56 +19,66 @@ def interval_to_list(s: Column) -> Column:
     return F.flatten(F.transform(F.split(s, ","), part))
 
 
+#: Comma-separated parts of numbers joined by '-', with at least one '-'.
+INTERVALS = r"^(?=.*-)\s*[0-9]+\s*(-\s*[0-9]+\s*)*(,\s*[0-9]+\s*(-\s*[0-9]+\s*)*)*$"
+
+
 def expand_values(values: Column) -> Column:
-    """One element list of ``generate_urls``: string values containing '-' are
+    """One element list of ``generate_urls``: values made of numbers, ``-`` and ``,`` are
     intervals, everything else is taken literally."""
     return F.flatten(
         F.transform(
             values,
             lambda v: F.when(
-                F.instr(v, "-") > 0, F.transform(interval_to_list(v), lambda n: n.cast("string"))
+                v.rlike(INTERVALS), F.transform(interval_to_list(v), lambda n: n.cast("string"))
             ).otherwise(F.array(v)),
         )
     )
 
 
-_OPEN, _CLOSE = "\u0001", "\u0002"  # stand-ins for escaped braces while values are placed
+_OPEN, _CLOSE = "\u0001", "\u0002"  # stand-ins for escaped braces while the template is cut
 
 
-def numbered_template(t: Column) -> Column:
-    """``str.format`` placeholders made explicit: ``{{``/``}}`` protected, ``{}`` numbered
-    ``{0}``, ``{1}``, … in order."""
+def template_parts(t: Column) -> Column:
+    """A ``str.format`` template cut once into literals and placeholders:
+    ``array<struct<literal, index>>``, each literal followed by the value of that index
+    (null after the last). ``{}`` are numbered in order, ``{{`` and ``}}`` are literal."""
     protected = F.replace(F.replace(t, F.lit("{{"), F.lit(_OPEN)), F.lit("}}"), F.lit(_CLOSE))
-    parts = F.split(protected, r"\{\}")
-    numbered = F.aggregate(
-        F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))),  # Spark's sequence(2, 1) counts down
-        F.element_at(parts, 1),
-        lambda acc, i: F.concat(acc, F.lit("{"), (i - 2).cast("string"), F.lit("}"), F.element_at(parts, i)),
-    )
-    return F.when(F.size(parts) >= 2, numbered).otherwise(protected)
+    literals = F.split(protected, r"\{[0-9]*\}")
+    marks = F.regexp_extract_all(protected, F.lit(r"\{([0-9]*)\}"), F.lit(1))
+
+    def plain(x):
+        return F.replace(F.replace(x, F.lit(_OPEN), F.lit("{")), F.lit(_CLOSE), F.lit("}"))
+
+    def number(i):
+        mark = F.get(marks, i)
+        before = F.size(F.filter(F.slice(marks, F.lit(1), i), lambda m: m == ""))
+        return F.when(mark == "", before).otherwise(mark.try_cast("int"))
+
+    return F.transform(literals, lambda x, i: F.struct(plain(x).alias("literal"), number(i).alias("index")))
 
 
 def generate_urls(df: DataFrame, template: str = "template", elements: str = "elements") -> DataFrame:
     """O-06: every row's template × cartesian product of its element lists.
 
-    Adds ``url_rank`` (0-based position in product order, last list varying
-    fastest) and ``url``; ``{i}`` (or the i-th ``{}``) in the template is the i-th
-    value, ``{{``/``}}`` are literal braces, as in ``str.format``. The
-    product is unrolled one list at a time with ``posexplode``, so no row
-    ever holds the product and a large product spreads over tasks.
+    Adds ``url_rank`` (0-based position in product order, last list varying fastest) and
+    ``url``; ``{i}`` (or the i-th ``{}``) in the template is the i-th value, as in
+    ``str.format``. Values are placed into the cut template, so braces inside a value stay
+    as they are; a placeholder without a list stays as text. A value with a ``-`` that is
+    no interval of numbers (``en-us``) is taken literally. The product is unrolled one
+    list at a time with ``posexplode``, so no row ever holds the product.
     """
     lists = F.transform(F.col(elements), expand_values)
     depth = df.select(F.max(F.size(elements)).alias("n")).first()["n"] or 0
-    cur = df.withColumn("_lists", lists).withColumn("url", numbered_template(F.col(template))).withColumn(
+    cur = df.withColumn("_lists", lists).withColumn("_values", F.array().cast("array<string>")).withColumn(
         "url_rank", F.lit(0).cast("long")
     )
     for k in range(depth):
         has = F.size("_lists") > k
         lst = F.when(has, F.element_at("_lists", k + 1)).otherwise(F.array(F.lit(None).cast("string")))
         cur = cur.select("*", F.posexplode(lst).alias("_pos", "_val"))
+        cur = cur.withColumn("_values", F.when(has, F.concat("_values", F.array("_val"))).otherwise(F.col("_values")))
         cur = cur.withColumn(
-            "url", F.when(has, F.replace("url", F.lit("{" + str(k) + "}"), F.col("_val"))).otherwise(F.col("url"))
-        ).withColumn(
             "url_rank",
             F.when(has, F.col("url_rank") * F.size(F.element_at("_lists", k + 1)) + F.col("_pos")).otherwise(
                 F.col("url_rank")
@@ -77,5 +87,10 @@ def generate_urls(df: DataFrame, template: str = "template", elements: str = "el
         if k == 0 and depth > 1:
             # spread big products over tasks before they multiply further
             cur = cur.repartition(int(cur.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    restored = F.replace(F.replace(F.col("url"), F.lit(_OPEN), F.lit("{")), F.lit(_CLOSE), F.lit("}"))
-    return cur.withColumn("url", restored).drop("_lists")
+    values = F.col("_values")
+
+    def placed(p):
+        value = F.coalesce(F.get(values, p["index"]), F.concat(F.lit("{"), p["index"].cast("string"), F.lit("}")))
+        return F.concat(p["literal"], F.when(p["index"].isNull(), F.lit("")).otherwise(value))
+
+    return cur.withColumn("url", F.array_join(F.transform(template_parts(F.col(template)), placed), "")).drop("_lists", "_values")

@@ -102,8 +102,18 @@ def file_name(url: Column) -> Column:
     return F.split_part(F.element_at(F.split(url, "/"), -1), F.lit("?"), F.lit(1))
 
 
+def page_identity(url: Column, *more: Column) -> Column:
+    """Identity of a page (or, with ``more``, of a result of it): the full SHA-256 of the
+    URL and the further parts, then the network location. Paths, records and joins use it."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (url, *more)]
+    h = F.sha2(parts[0] if not more else F.concat_ws("\u0001", *parts), 256)
+    loc = netloc(parts[0])
+    return F.when(loc != "", F.concat_ws("-", h, loc)).otherwise(h)
+
+
 def page_key(url: Column) -> Column:
-    """O-35: ``<8 hex>-<netloc>`` or 8 hex without netloc; deterministic from the URL."""
+    """O-35: ``<8 hex>-<netloc>`` or 8 hex without netloc; deterministic from the URL. A short
+    form for display only: two URLs of a host may share it (see ``page_identity``)."""
     h = F.substring(F.sha2(F.coalesce(url, F.lit("")), 256), 1, 8)
     loc = netloc(F.coalesce(url, F.lit("")))
     return F.when(loc != "", F.concat_ws("-", h, loc)).otherwise(h)

@@ -1,118 +1,81 @@
 """O-15 ``extract_article``: ``{title, content}`` — page title and main readable body.
 
-Block scoring in the manner of the published readability heuristics
-(paragraph scores flow to the parent in full and the grandparent in half; tag
-and class/id names weigh a candidate up or down; the candidate's score is
-damped by its link density — linked characters over all
-characters, one of the shallow text features of Kohlschütter et al., WSDM 2010).
-Everything is DataFrame work over the ``nodes`` table:
+Blocks are judged by shallow text features alone: a container's score is the text of
+the paragraphs directly inside it, times the share of its text that is not link text.
+The best container wins (the first in document order on a tie); a page without a
+paragraph of ``MIN_PARAGRAPH`` characters gives its body, one without a body the empty
+document. Every page has a row.
 
-* one explode turns each node row into score contributions keyed by
-  ``(page, candidate)``: a paragraph credits its parent and grandparent, an
-  anchor credits its text length to every ancestor, a container contributes
-  its own tag weight, text length and markup;
-* one exchange on ``page_id`` serves the aggregation per candidate and the
-  best-candidate window per page;
-* pages without a scored block fall back to ``body``.
+Everything is DataFrame work over the ``nodes`` table, and only numbers are shuffled:
+element ids, lengths and source offsets. The winner's markup is cut from the page's own
+HTML at the end, and elements that are no reading matter are cut from it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from .nodes import parse_nodes
 
-# fixed values: block tags that can hold the article, and their tag weights
-CONTAINERS = (
-    "article", "section", "main", "div", "body", "td", "blockquote", "pre", "form",
-    "ul", "ol", "dl", "li", "dd", "dt", "address", "table", "center", "font", "span",
-)
-TAG_WEIGHT = {
-    "div": 5, "article": 5, "pre": 3, "td": 3, "blockquote": 3,
-    "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3,
-}
-# fixed values: class/id patterns of the published readability heuristic (case-insensitive)
-POSITIVE_NAMES = "article|body|content|entry|hentry|main|page|pagination|post|text|blog|story"
-NEGATIVE_NAMES = (
-    "combx|comment|com-|contact|foot|footer|footnote|masthead|media|meta|outbrain|promo|related|"
-    "scroll|shoutbox|sidebar|sponsor|shopping|tags|tool|widget"
-)
-NAME_WEIGHT = 25
-PARAGRAPHS = ("p", "pre", "td")
+#: Tags that can hold the article.
+CONTAINERS = ("article", "main", "section", "div", "td", "blockquote", "body")
+PARAGRAPHS = ("p", "pre", "blockquote")
 MIN_PARAGRAPH = 25
+#: Elements cut from the article: code, widgets and controls.
+UNREADABLE = ("script", "style", "noscript", "iframe", "object", "form", "button", "select", "textarea")
+UNREADABLE_VOID = ("input", "embed")
 ARTICLE_OPEN, ARTICLE_CLOSE = "<html><body><div>", "</div></body></html>"
 
 
+def readable(markup: Column) -> Column:
+    """Markup without scripts, forms and the like."""
+    for tag in UNREADABLE:
+        markup = F.regexp_replace(markup, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
+    return F.regexp_replace(markup, rf"(?is)<({'|'.join(UNREADABLE_VOID)})\b[^>]*>", "")
+
+
 def extract_article(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``page_id, url, title, content`` for every page (``nodes``: an existing parse
     of ``pages`` with at least these columns, e.g. one shared by several operations)."""
-    tags = set(CONTAINERS) | set(PARAGRAPHS) | {"a", "title"}
     if nodes is None:
-        nodes = parse_nodes(pages, attrs={"class", "id"}, content_tags=tags, path_tags={"p", "pre", "td", "a"})
-    text_len = F.length(py_strip(F.coalesce("text", F.lit(""))))
-    anc = F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda p: p["id"])
-    para_score = 1 + (F.size(F.split(F.coalesce("text", F.lit("")), ",")) - 1) + F.least(
-        F.floor(text_len / 100), F.lit(3)
-    )
-    is_para = F.col("tag").isin(*PARAGRAPHS) & (text_len >= MIN_PARAGRAPH)
-    weight = F.lit(0)
-    for t, w in TAG_WEIGHT.items():
-        weight = F.when(F.col("tag") == t, F.lit(w)).otherwise(weight)
-    for attr in ("class", "id"):
-        name = F.coalesce(F.col("attrs").getItem(attr), F.lit(""))
-        weight = weight + F.when(name.rlike(f"(?i){NEGATIVE_NAMES}"), F.lit(-NAME_WEIGHT)).otherwise(F.lit(0))
-        weight = weight + F.when(name.rlike(f"(?i){POSITIVE_NAMES}"), F.lit(NAME_WEIGHT)).otherwise(F.lit(0))
-
-    _T = "array<struct<cand:int,score:double,weight:double,link:bigint,own:bigint,markup:string,title:string>>"
-    null_m = F.lit(None).cast("string")
+        nodes = parse_nodes(pages, attrs=(), content_tags={*PARAGRAPHS, "title"}, path_tags={"a"})
+    length = F.length(py_strip(F.coalesce("text", F.lit(""))))
+    ancestors = F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda p: p["id"])
+    number = "array<struct<block:int,para:bigint,link:bigint,own:bigint,s0:int,s1:int,body:boolean>>"
 
-    def item(key, score=F.lit(0), weight=F.lit(0), link=F.lit(0), own=F.lit(-1), markup=null_m, title=null_m):
+    def item(block, para=F.lit(0), link=F.lit(0), own=F.lit(None), s0=F.lit(None), s1=F.lit(None), body=F.lit(None)):
         return F.struct(
-            key.cast("int").alias("cand"), score.cast("double").alias("score"), weight.cast("double").alias("weight"),
-            link.cast("long").alias("link"), own.cast("long").alias("own"), markup.alias("markup"),
-            title.alias("title"),
-        )
+            block.cast("int").alias("block"), para.cast("long").alias("para"), link.cast("long").alias("link"),
+            own.cast("long").alias("own"), s0.cast("int").alias("s0"), s1.cast("int").alias("s1"), body.cast("boolean").alias("body"),
+        )
 
-    parent = F.element_at(anc, -1)
-    grand = F.when(F.size(anc) >= 2, F.element_at(anc, -2))
-    none = F.array().cast(_T)
-    contrib = F.concat(
-        F.when(is_para, F.array(item(parent, score=para_score), item(grand, score=para_score / 2))).otherwise(none),
-        F.when(F.col("tag") == "a", F.transform(anc, lambda a: item(a, link=text_len))).otherwise(none),
+    none = F.array().cast(number)
+    tag = F.col("tag")
+    items = F.concat(
+        F.when(tag.isin(*PARAGRAPHS) & (length >= MIN_PARAGRAPH), F.array(item(F.col("parent_id"), para=length))).otherwise(none),
+        F.when(tag == "a", F.transform(ancestors, lambda a: item(a, link=F.col("text_len")))).otherwise(none),
         F.when(
-            F.col("tag").isin(*CONTAINERS),
-            F.array(item(F.col("node_id"), weight=weight, own=text_len, markup=F.col("markup"))),
+            tag.isin(*CONTAINERS),
+            F.array(item(F.col("node_id"), own=F.col("text_len"), s0=F.col("src_start"), s1=F.col("src_end"), body=tag == "body")),
         ).otherwise(none),
-        F.when(F.col("tag") == "title", F.array(item(F.lit(-1), title=py_strip(F.col("text"))))).otherwise(none),
-    )
-    items = nodes.select("page_id", "url", "tag", "node_id", F.explode(contrib).alias("it")).where(
-        F.col("it.cand").isNotNull()
-    )
-    items = items.select("page_id", "url", "node_id", "it.*").repartition("page_id")
-    per = items.groupBy("page_id", "cand").agg(
-        F.first("url").alias("url"),
-        F.sum("score").alias("score"),
-        F.sum("weight").alias("weight"),
-        F.sum("link").alias("link"),
-        F.max("own").alias("own"),
-        F.max("markup").alias("markup"),
-        F.min_by("title", "node_id").alias("title"),
-        F.max(F.when(F.col("markup").isNotNull(), F.col("node_id"))).alias("container"),
-    )
-    page = Window.partitionBy("page_id")
-    per = per.withColumn("title", F.max(F.when(F.col("cand") == -1, F.col("title"))).over(page))
-    cands = per.where(F.col("container").isNotNull())
-    density = F.when(F.col("own") > 0, F.col("link") / F.col("own")).otherwise(F.lit(0.0))
-    scored = cands.select(
-        "page_id", "url", "cand", "markup", "title",
-        F.when(F.col("score") > 0, (F.col("score") + F.col("weight")) * (1 - density)).alias("final"),
-        F.col("markup").startswith("<body").alias("is_body"),
     )
-    w = Window.partitionBy("page_id").orderBy(F.col("final").desc_nulls_last(), F.col("is_body").desc(), "cand")
-    best = scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-    return best.select(
+    narrow = nodes.select("page_id", F.explode(items).alias("i")).select("page_id", "i.*").where("block is not null")
+    blocks = narrow.repartition("page_id").groupBy("page_id", "block").agg(
+        F.sum("para").alias("para"), F.sum("link").alias("link"), F.max("own").alias("own"),
+        F.max("s0").alias("s0"), F.max("s1").alias("s1"), F.max("body").alias("body"),
+    ).where("own is not null")
+    free = F.when(F.col("own") > 0, F.greatest(1 - F.col("link") / F.col("own"), F.lit(0.0))).otherwise(F.lit(0.0))
+    score = F.col("para") * free
+    order = Window.partitionBy("page_id").orderBy(score.desc(), F.col("body").desc(), "block")
+    best = blocks.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
+    best = best.where((score > 0) | F.col("body")).select("page_id", "s0", "s1")
+    titles = nodes.where(tag == "title").groupBy("page_id").agg(F.min_by(py_strip(F.col("text")), "node_id").alias("title"))
+    out = pages.select("page_id", "url", "html").join(best, "page_id", "left").join(titles, "page_id", "left")
+    cut = F.expr("substring(html, s0 + 1, s1 - s0)")
+    body = F.when(F.col("s0").isNotNull(), py_strip(readable(cut))).otherwise(F.lit(""))
+    return out.select(
         "page_id", "url", F.coalesce("title", F.lit("")).alias("title"),
-        F.concat(F.lit(ARTICLE_OPEN), py_strip(F.col("markup")), F.lit(ARTICLE_CLOSE)).alias("content"),
+        F.concat(F.lit(ARTICLE_OPEN), body, F.lit(ARTICLE_CLOSE)).alias("content"),
     )

@@ -10,210 +10,191 @@ Rules (D = crawl_depth; ``target`` and ``expand`` are tracked separately):
    at d+1 and its expand links too unless d+1 = D;
 5. a URL enters once per kind, at its smallest depth.
 
-Spark plan: the link edges of every page are computed **once**, for all
-distinct (target, expand) XPath sets of all spiders, in a single parse scan,
-and materialised with ``checkpoint()``. When their count is small (checked) they
-are broadcast to every level; otherwise they are written once as a table
-bucketed on the join key (URL) in the shared checkpoint folder, so no level
-re-shuffles them. The traversal is level-synchronous — each level is
-``frontier ⋈ edges`` → depth rules → de-dup → ``left_anti`` against the
-visited set — so every (spider, kind, URL) is reached first at its minimum
-depth. Lineage is cut with ``checkpoint()`` into the shared
-``spark.checkpoint.dir`` after every level; the only driver action per level
-is an emptiness test. A hot URL shared by many frontiers is a skewed join key:
-AQE's skew-join splitting handles it (enabled in the session).
+Spark plan: the traversal is level-synchronous and touches only what a frontier asks
+for. At each level the (rule set, URL) pairs that may still lead on and were not asked
+before are joined with the snapshot; only those pages are parsed, each once, and only
+the rule sets that want a page are evaluated on it (rule sets are rows: neither the plan
+nor the driver grows with the number of spiders). The links found are added to the edge
+table in the shared checkpoint folder, and frontier ⋈ edges → depth rules → smallest
+depth → ``left_anti`` against the visited set gives the next level. Every level is a
+written table, so lost executors repeat at most one level. Joins are plain equi-joins:
+a URL in many frontiers is a skewed key that adaptive execution splits. The driver sees
+one emptiness test per level.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import valid_url
-from ..session import checkpoint_dir
-from ..sources.pages import resolve_pages
+from ..functions.text import py_strip
+from ..functions.urls import complete_url, is_http, link_key, valid_url
+from ..session import checkpoint_dir, ensure_shipped
+from ..sources.pages import normalise_html, resolve_pages
+from . import htmltree
 from .content import collect_content
-from .links import grouped_links, link_xpaths
+from .links import link_xpaths
+from .nodes import dealt
+from .treematch import select
+from .xpath import Unsupported, XPath, compile_xpath
 
-# at most this many edges (checked by a count of the materialised edges) are broadcast to
-# every level's join; more are written as a bucketed table instead
-BROADCAST_EDGE_ROWS = 500_000
-# with bucketed edges a URL with more frontier rows than this is "hot": its rows are salted
-# over HOT_SALTS tasks (AQE cannot split a skewed partition against an unshuffled side)
-HOT_FRONTIER_ROWS = 100_000
-HOT_SALTS = 64
-MAX_HOT_KEYS = 1_000
+#: Rule sets evaluated on one page row; a page that more want comes in several rows.
+RULES_PER_ROW = 500
+RULE = "struct<rules_id:string,target_links:array<string>,expand_links:array<string>>"
+_FOUND = "rules_id string, src_url string, kind string, sel int, node int, href string, text string"
 
 SPIDER_COLUMNS = ("spider_id", "url", "crawl_root", "target_links", "expand_links", "crawl_depth")
 
 
-def spider_rules(spiders: DataFrame) -> tuple[DataFrame, list[tuple[int, list[str], list[str], int]]]:
-    """Spiders with a ``rules_id`` per distinct (target XPaths, expand XPaths) pair.
-
-    Rules are ``(rules_id, target XPaths, expand XPaths, max crawl depth)``.
-    The distinct XPath sets are configuration (a handful, independent of the
-    data size), so they are brought to the driver to compile the XPaths.
-    """
-    distinct = (
-        spiders.groupBy("target_links", "expand_links")
-        .agg(F.max(F.coalesce("crawl_depth", F.lit(1))).alias("max_depth"))
-        .orderBy("target_links", "expand_links")
-        .collect()
-    )
-    rules = [
-        (i, list(r["target_links"] or []), list(r["expand_links"] or []), int(r["max_depth"] or 0))
-        for i, r in enumerate(distinct)
-    ]
-    spark = spiders.sparkSession
-    table = spark.createDataFrame(
-        [(i, t, e) for i, t, e, _ in rules], "rules_id int, target_links array<string>, expand_links array<string>"
-    )
-    keyed = spiders.join(
-        F.broadcast(table),
-        (F.coalesce(spiders["target_links"], F.array().cast("array<string>")) == table["target_links"])
-        & (F.coalesce(spiders["expand_links"], F.array().cast("array<string>")) == table["expand_links"]),
-    ).select(spiders["*"], table["rules_id"])
-    return keyed, rules
-
-
-def link_edges(pages: DataFrame, rules) -> DataFrame:
-    """O-30a: ``rules_id, src_url, kind, dst_url`` — target and expand links of every page
-    for every rule set, from one parse scan."""
-    groups = []
-    for i, t, e, *_ in rules:
-        groups.append((f"{i}:target", link_xpaths(t)))
-        groups.append((f"{i}:expand", link_xpaths(e)))
-    links = grouped_links(pages, groups, with_page_url=True)
-    return links.select(
-        F.split_part("grp", F.lit(":"), F.lit(1)).cast("int").alias("rules_id"),
-        F.col("page_url").alias("src_url"),
-        F.split_part("grp", F.lit(":"), F.lit(2)).alias("kind"),
-        F.col("url").alias("dst_url"),
-    ).distinct()
-
-
-def bucketed_edges(edges: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Edges are joined at every level: write them once as a table bucketed (and sorted)
-    on the join key in the shared checkpoint folder. Reads keep that partitioning, so
-    each level shuffles only its (small) frontier, never the edges; the write also cuts
-    the lineage back to the parse."""
-    spark = edges.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"gleaner_edges_{uuid.uuid4().hex[:12]}"
-    path = checkpoint_dir(spark).rstrip("/") + "/" + name
-    (
-        edges.repartition(n, "rules_id", "src_url")
-        .write.bucketBy(n, "rules_id", "src_url").sortBy("rules_id", "src_url")
-        .option("path", path).mode("overwrite").saveAsTable(name)
-    )
-    return spark.table(name)
-
-
-def _expand(f: DataFrame, edges: DataFrame, on) -> DataFrame:
-    j = f.join(edges, on)
-    d, lim, link = f["depth"], f["crawl_depth"], edges["kind"]
-    from_start = (f["kind"] == "start") & ((link == "target") | (lim != 1))
-    from_target = (f["kind"] == "target") & (d < lim) & ((link == "target") | (d < lim - 1))
-    from_expand = (f["kind"] == "expand") & (d < lim) & ((link == "target") | (d + 1 < lim))
-    return j.where(from_start | from_target | from_expand).select(
-        f["spider_id"], f["rules_id"], f["crawl_depth"], link.alias("kind"),
-        edges["dst_url"].alias("url"), (d + 1).alias("depth"),
-    )
-
-
-def _enter(f: DataFrame, edges: DataFrame, bucketed: bool = False) -> DataFrame:
-    """Candidates from frontier rows ``f`` one level deeper (rules 2–4; ``start`` is a
-    spider's start page, whose links enter at depth 1).
-
-    Against bucketed edges, URLs with very many frontier rows (many spiders at the same
-    page) are split off: their rows are salted by spider over ``HOT_SALTS`` tasks and
-    joined with those URLs' edges replicated per salt; all other rows join the bucketed
-    table. The hot set is found by a pre-aggregated count and proven small before use.
-    """
-    if not bucketed:
-        return _expand(f, edges, (f["rules_id"] == edges["rules_id"]) & (f["url"] == edges["src_url"]))
-    hot = (
-        f.groupBy("rules_id", "url").count().where(F.col("count") > HOT_FRONTIER_ROWS)
-        .select("rules_id", "url").limit(MAX_HOT_KEYS + 1).checkpoint()
-    )
-    n_hot = hot.count()
-    if n_hot == 0 or n_hot > MAX_HOT_KEYS:
-        return _expand(f, edges, (f["rules_id"] == edges["rules_id"]) & (f["url"] == edges["src_url"]))
-    hot_b = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    tagged = f.join(hot_b, ["rules_id", "url"], "left")
-    cold = tagged.where(F.col("_hot").isNull()).drop("_hot")
-    warm = tagged.where(F.col("_hot")).drop("_hot").withColumn(
-        "_salt", F.pmod(F.xxhash64("spider_id"), F.lit(HOT_SALTS))
-    )
-    hot_edges = edges.join(
-        F.broadcast(hot.withColumnRenamed("url", "src_url")), ["rules_id", "src_url"], "left_semi"
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))))
-    a = _expand(cold, edges, (cold["rules_id"] == edges["rules_id"]) & (cold["url"] == edges["src_url"]))
-    b = _expand(
-        warm, hot_edges,
-        (warm["rules_id"] == hot_edges["rules_id"]) & (warm["url"] == hot_edges["src_url"])
-        & (warm["_salt"] == hot_edges["_salt"]),
-    )
-    return a.unionByName(b)
-
-
-def merge_frontier(candidates: DataFrame, visited: DataFrame) -> DataFrame:
+def spider_rules(spiders: DataFrame) -> DataFrame:
+    """Spiders with the ``rules_id`` of their (target XPaths, expand XPaths): a hash, in
+    which a null list is an empty one."""
+    empty = F.array().cast("array<string>")
+    both = F.struct(F.coalesce("target_links", empty).alias("t"), F.coalesce("expand_links", empty).alias("e"))
+    return spiders.withColumn("rules_id", F.sha2(F.to_json(both), 256))
+
+
+@lru_cache(maxsize=4096)
+def _compiled(xpath: str) -> XPath | None | str:
+    try:
+        return compile_xpath(xpath)
+    except Unsupported as exc:
+        return str(exc)
+
+
+def page_finds(url: str, html: str, rules: list[dict]) -> Iterator[tuple]:
+    """``rules_id, src_url, kind, sel, node, href, text`` of the links each rule finds on a page;
+    kind ``rejected`` for an XPath that is valid but not supported."""
+    _, tree = htmltree.build(html)
+    links: dict[str, list | str] = {}
+    for rule in rules:
+        for kind in ("target", "expand"):
+            for sel, xpath in enumerate(link_xpaths(rule[f"{kind}_links"])):
+                if xpath not in links:
+                    xp = _compiled(xpath)
+                    links[xpath] = xp if isinstance(xp, str) else [
+                        (n, tree.attrs[n]["href"], "".join(tree.lead[n]))
+                        for n in (select(xp, tree) if xp else ()) if tree.attrs[n].get("href")
+                    ]
+                got = links[xpath]
+                if isinstance(got, str):
+                    yield (rule["rules_id"], url, "rejected", sel, 0, xpath, got)
+                    continue
+                for node, href, text in got:
+                    yield (rule["rules_id"], url, kind, sel, node, href, text)
+
+
+def link_edges(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """O-30a: ``rules_id, src_url, kind, dst_url`` of the pages and rule sets in ``wanted``
+    (``url, rules_id, target_links, expand_links``). A page is parsed once for all the
+    rule sets that want it; pages nobody wants are not parsed, and a URL the snapshot
+    lacks has no edges."""
+    ensure_shipped(pages.sparkSession)
+    rule = F.struct("rules_id", "target_links", "expand_links").cast(RULE)
+    asked = wanted.select("url", rule.alias("rule")).distinct()
+    most = asked.groupBy("url").count().agg(F.max("count")).first()[0] or 0
+    chunk = F.pmod(F.xxhash64("rule.rules_id"), F.lit(-(-most // RULES_PER_ROW) or 1))
+    per_page = asked.groupBy("url", chunk.alias("chunk")).agg(F.collect_list("rule").alias("rules"))
+    found = resolve_pages(per_page, pages).where("found").select("url", normalise_html(F.col("html")).alias("html"), "rules", F.xxhash64("url").alias("page_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        types = [pa.int32() if c.endswith(" int") else pa.string() for c in _FOUND.split(", ")]
+        for b in batches:
+            rows: list[tuple] = []
+            for url, html, rules in zip(*(b[c].to_pylist() for c in ("url", "html", "rules"))):
+                for row in page_finds(url, html, rules):
+                    rows.append(row)
+                    if len(rows) >= 10_000:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows = []
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    links = dealt(found).select("url", "html", "rules").mapInArrow(run, _FOUND)
+    href = py_strip(F.col("href"))
+    keyed = links.where("kind <> 'rejected'").withColumn("key", link_key(href)).where(is_http(F.col("key")))
+    text = py_strip(F.coalesce("text", F.lit("")))
+    first = Window.partitionBy("src_url", "rules_id", "kind", "key").orderBy((text == "").asc(), "sel", "node")
+    kept = keyed.withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
+    edges = kept.select("rules_id", "src_url", "kind", complete_url(F.col("src_url"), href).alias("dst_url"))
+    rejected = links.where("kind = 'rejected'").select("rules_id", "src_url", "kind", F.col("href").alias("dst_url"))
+    return edges.unionByName(rejected).distinct()
+
+
+def merge_frontier(candidates: DataFrame, visited: DataFrame | None) -> DataFrame:
     """O-30b: a (spider, kind, URL) enters once, at its smallest depth, valid URLs only (O-03);
     an expand link at exactly the depth limit never enters."""
     c = candidates.where(valid_url(F.col("url")))
     c = c.where(~((F.col("kind") == "expand") & (F.col("depth") == F.col("crawl_depth"))))
-    best = c.groupBy("spider_id", "rules_id", "crawl_depth", "kind", "url").agg(F.min("depth").alias("depth"))
+    best = c.groupBy("spider_id", "kind", "url").agg(
+        F.min("depth").alias("depth"), F.first("crawl_depth").alias("crawl_depth"), F.first("rules_id").alias("rules_id")
+    )
     if visited is None:
         return best
     return best.join(visited.select("spider_id", "kind", "url"), ["spider_id", "kind", "url"], "left_anti")
 
 
-def crawl(spiders: DataFrame, pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+class _Crawl:
+    """The tables of one crawl, in a folder of its own under the checkpoint folder."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.base = f"{checkpoint_dir(spark).rstrip('/')}/gleaner-crawl-{uuid.uuid4().hex}"
+
+    def add(self, name: str, level: int, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{name}/level={level}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self, name: str, like: DataFrame) -> DataFrame:
+        """Every level of a table so far."""
+        return self.spark.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(f"{self.base}/{name}")
+
+
+def crawl(spiders: DataFrame, pages: DataFrame) -> DataFrame:
     """O-30 / O-30c / O-30e: every spider's crawl, ``spider_id, kind, url, depth``.
 
     ``spiders``: ``spider_id, url, crawl_root, target_links, expand_links, crawl_depth``.
     ``pages``: the snapshot the crawl reads (``page_id, url, html``); a URL it does
     not hold is an empty page (O-02): no links, no error.
     """
-    spark = spiders.sparkSession
-    checkpoint_dir(spark)
-    keyed, rules = spider_rules(spiders.select(*SPIDER_COLUMNS))
-    if edges is None:
-        edges = link_edges(pages, rules)
-    edges = edges.checkpoint()
-    small = edges.count() <= BROADCAST_EDGE_ROWS
-    edges = F.broadcast(edges) if small else bucketed_edges(edges)
-    bucketed = not small
-    sp = keyed.select(
-        "spider_id", "rules_id", F.coalesce("crawl_depth", F.lit(1)).alias("crawl_depth"),
-        F.col("url").alias("root"), F.coalesce("crawl_root", F.lit(False)).alias("crawl_root"),
-    )
+    run = _Crawl(spiders.sparkSession)
+    sp = spider_rules(spiders.select(*SPIDER_COLUMNS)).withColumn("crawl_depth", F.coalesce("crawl_depth", F.lit(1)))
+    sp = sp.where(valid_url(F.col("url"))).dropDuplicates(["spider_id", "url", "rules_id"])
+    rules = run.add("rules", 0, sp.select("rules_id", "target_links", "expand_links").dropDuplicates(["rules_id"]))
+    limit = sp.agg(F.max("crawl_depth")).first()[0]
+    entry = lambda kind: [F.lit(kind).alias("kind"), "url", F.lit(0).alias("depth")]
     # rule 1: the root as a target at depth 0; rule 2 through a "start" row for each spider
-    ok = valid_url(F.col("root"))
-    cols = ["spider_id", "rules_id", "crawl_depth", "kind", "url", "depth"]
-    root = sp.where(F.col("crawl_root") & ok).select(
-        "spider_id", "rules_id", "crawl_depth", F.lit("target").alias("kind"), F.col("root").alias("url"),
-        F.lit(0).alias("depth"),
-    ).checkpoint()
-    start = sp.where(ok).select(
-        "spider_id", "rules_id", "crawl_depth", F.lit("start").alias("kind"), F.col("root").alias("url"),
-        F.lit(0).alias("depth"),
-    )
-    levels = [root]
-    visited, frontier = root, start.unionByName(root)
-    max_depth = max((r[3] for r in rules), default=0)
-    for _ in range(max_depth + 1):
-        new = merge_frontier(_enter(frontier, edges, bucketed), visited).select(*cols).checkpoint()
-        if new.isEmpty():
+    start = sp.select("spider_id", "rules_id", "crawl_depth", *entry("start"))
+    root = sp.where(F.coalesce("crawl_root", F.lit(False))).select("spider_id", "rules_id", "crawl_depth", *entry("target"))
+    visited = run.add("visited", 0, root.dropDuplicates(["spider_id", "kind", "url"]))
+    frontier = start.unionByName(visited)
+    kind, d, lim = F.col("kind"), F.col("depth"), F.col("crawl_depth")
+    for level in range(1, (limit or 0) + 2):
+        wanted = frontier.where((kind == "start") | (d < lim)).select("rules_id", "url").distinct()
+        if level > 1:
+            wanted = wanted.join(run.all("asked", asked), ["rules_id", "url"], "left_anti")
+        asked = run.add("asked", level, wanted)
+        found_edges = run.add("edges", level, link_edges(pages, asked.join(rules, "rules_id")))
+        edges = run.all("edges", found_edges).select("rules_id", F.col("kind").alias("link"), F.col("src_url").alias("url"), "dst_url")
+        link = F.col("link")
+        from_start = (kind == "start") & ((link == "target") | ((link == "expand") & (lim != 1)))
+        from_target = (kind == "target") & (d < lim) & ((link == "target") | ((link == "expand") & (d < lim - 1)))
+        from_expand = (kind == "expand") & (d < lim) & ((link == "target") | ((link == "expand") & (d + 1 < lim)))
+        found = frontier.join(edges, ["rules_id", "url"]).where(from_start | from_target | from_expand).select(
+            "spider_id", "rules_id", "crawl_depth", link.alias("kind"), F.col("dst_url").alias("url"), (d + 1).alias("depth")
+        )
+        new = merge_frontier(found, run.all("visited", visited)).select(*visited.columns)
+        frontier = run.add("visited", level, new)
+        if frontier.isEmpty():
             break
-        levels.append(new)
-        visited = levels[0]
-        for lv in levels[1:]:
-            visited = visited.unionByName(lv)
-        frontier = new
-    return visited.select("spider_id", "kind", "url", F.col("depth").cast("int").alias("depth"))
+    return run.all("visited", visited).select("spider_id", "kind", "url", F.col("depth").cast("int").alias("depth"))
 
 
 def crawl_stats(crawled: DataFrame) -> DataFrame:

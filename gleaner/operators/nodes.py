@@ -16,8 +16,11 @@ Python output cannot be pruned by Catalyst after the fact:
 * ``texts``      — an element's direct text nodes (for ``text()`` predicates),
   only for tags in ``text_tags``.
 
-Output batches are flushed every ``FLUSH_ROWS`` rows or ``FLUSH_CHARS``
-characters, whatever the size of the input batch.
+Output batches are flushed every ``FLUSH_ROWS`` rows, ``FLUSH_CHARS`` characters or
+``FLUSH_PATH`` path entries, also inside a page, whatever the size of the input batch:
+memory is bounded by one page's tree and one such batch. ``src_start``/``src_end`` and
+``text_len`` (characters of the subtree's text) are there for every element, so a caller
+can choose elements by size and cut markup from the page later.
 """
 
 from __future__ import annotations
@@ -64,6 +67,7 @@ NODES_SCHEMA = T.StructType(
         T.StructField("tail", T.StringType()),
         T.StructField("src_start", T.IntegerType()),
         T.StructField("src_end", T.IntegerType()),
+        T.StructField("text_len", T.IntegerType()),
         T.StructField("text", T.StringType()),
         T.StructField("markup", T.StringType()),
         T.StructField("texts", T.ArrayType(T.StringType())),
@@ -86,6 +90,7 @@ def _wanted(tags: frozenset | None, tag: str) -> bool:
 # batch of large pages never turns into one huge Arrow batch
 FLUSH_ROWS = 8192
 FLUSH_CHARS = 32 << 20
+FLUSH_PATH = 200_000
 
 
 class _Batch:
@@ -99,14 +104,19 @@ class _Batch:
         self.rows = 0
         self.chars = 0
 
+    @property
+    def full(self) -> bool:
+        return self.rows >= FLUSH_ROWS or self.chars >= FLUSH_CHARS or len(self.p_tag) >= FLUSH_PATH
+
     def add_page(self, page_id, url, html, attrs, content_tags, path_tags, text_tags=frozenset()):
-        out = self.out
+        """Add a page's rows; yields whenever the batch is full, for the caller to take it."""
         src, b = htmltree.build(html)
         text = htmltree.doc_text(b) if content_tags is None or content_tags else ""
         n = len(b.tag)
         kept = [d if attrs is None else {k: v for k, v in d.items() if k in attrs} for d in b.attrs]
         depth = [0] * n
         for i in range(n):
+            out = self.out
             par = b.parent[i]
             depth[i] = 1 if par < 0 else depth[par] + 1
             tag = b.tag[i]
@@ -127,6 +137,7 @@ class _Batch:
             out["tail"].append(tail)
             out["src_start"].append(b.s0[i])
             out["src_end"].append(b.s1[i])
+            out["text_len"].append(b.t1[i] - b.t0[i])
             self.chars += len(lead) + len(tail)
             if _wanted(content_tags, tag):
                 t, m = text[b.t0[i] : b.t1[i]], src[b.s0[i] : b.s1[i]]
@@ -160,7 +171,15 @@ class _Batch:
                         self.p_aval.append(v)
                     self.p_aoff.append(len(self.p_akey))
             self.p_off.append(len(self.p_tag))
-        self.rows += n
+            self.rows += 1
+            if self.full:
+                yield
+
+    def take(self) -> pa.RecordBatch:
+        """The rows so far as Arrow; the batch starts anew."""
+        out = self.arrow()
+        self.__init__()
+        return out
 
     def arrow(self) -> pa.RecordBatch:
         i32 = pa.int32()
@@ -201,50 +220,21 @@ def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags,
     for batch in batches:
         cols = batch.to_pydict()
         for page_id, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
-            acc.add_page(page_id, url, html, attrs, content_tags, path_tags, text_tags)
-            if acc.rows >= FLUSH_ROWS or acc.chars >= FLUSH_CHARS:
-                yield acc.arrow()
-                acc = _Batch()
+            for _ in acc.add_page(page_id, url, html, attrs, content_tags, path_tags, text_tags):
+                yield acc.take()
     if acc.rows:
-        yield acc.arrow()
+        yield acc.take()
 
 
-def planned_partitions(df: DataFrame) -> int | None:
-    """How many partitions ``df`` will have, found from its physical plan without running
-    anything: the planned output partitioning, else the most splits of its file scans
-    (the streamed side of a broadcast join keeps its scan's splits). ``None`` if unknown."""
-    try:
-        plan = df._jdf.queryExecution().executedPlan()
-        n = plan.outputPartitioning().numPartitions()
-        if n > 0:
-            return int(n)
-        if plan.getClass().getSimpleName() != "AdaptiveSparkPlanExec":
-            return df.rdd.getNumPartitions()  # no exchange: building the RDD runs nothing
-        n = plan.inputPlan().outputPartitioning().numPartitions()
-        if n > 0:
-            return int(n)
-        leaves = plan.inputPlan().collectLeaves()
-        splits = [
-            leaves.apply(i).inputRDD().getNumPartitions()
-            for i in range(leaves.size())
-            if leaves.apply(i).getClass().getSimpleName() == "FileSourceScanExec"
-        ]
-        return max(splits) if splits else None
-    except Exception:  # noqa: BLE001 - planner internals differ between versions: treat as unknown
-        return None
+#: Spark setting with the number of tasks a parse is dealt over; unset or 0, pages are
+#: parsed where they are read. For inputs of fewer splits than cores (one small file).
+PARSE_PARTITIONS = "spark.gleaner.parsePartitions"
 
 
-def spread(pages: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give the Python parse enough tasks: an input with fewer partitions than the
-    cluster has cores (a single unsplittable file, a small table) is hash-partitioned
-    on ``page_id`` into two tasks per core; an input with enough scan splits — any
-    large one — is not shuffled, nor is one whose partitioning cannot be known
-    without running it."""
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    n = planned_partitions(pages)
-    if n is None or n >= (min_partitions or cores):
-        return pages
-    return pages.repartition(max(min_partitions or 0, 2 * cores), "page_id")
+def dealt(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``pages`` over the asked number of tasks, by page id; as they are if none is asked for."""
+    n = partitions if partitions is not None else int(pages.sparkSession.conf.get(PARSE_PARTITIONS, "0"))
+    return pages.repartition(n, "page_id") if n > 0 else pages
 
 
 def parse_nodes(
@@ -252,15 +242,16 @@ def parse_nodes(
     attrs: Iterable[str] | None = None,
     content_tags: Iterable[str] | None = None,
     path_tags: Iterable[str] | None = None,
-    min_partitions: int | None = None,
+    partitions: int | None = None,
     text_tags: Iterable[str] | None = (),
 ) -> DataFrame:
     """Element rows of every page (``page_id, url, html`` in); ``texts`` (an element's
-    direct text nodes) only for ``text_tags`` (``None`` = every element)."""
+    direct text nodes) only for ``text_tags`` (``None`` = every element). ``partitions``
+    overrides the setting PARSE_PARTITIONS."""
     a = None if attrs is None else frozenset(attrs)
     c = None if content_tags is None else frozenset(content_tags)
     p = None if path_tags is None else frozenset(path_tags)
     t = None if text_tags is None else frozenset(text_tags)
     ensure_shipped(pages.sparkSession)
-    src = spread(pages.select("page_id", "url", "html"), min_partitions)
+    src = dealt(pages.select("page_id", "url", "html"), partitions)
     return src.mapInArrow(lambda it: _convert(it, a, c, p, t), NODES_SCHEMA)

@@ -8,7 +8,9 @@ operations of a run be unioned and gathered into one array per envelope.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sort_by
@@ -65,12 +67,13 @@ def results_json(env: DataFrame, pretty: bool = True) -> Column:
     return F.to_json(st, {"pretty": "true"} if pretty else {})
 
 
-def results_clean(env: DataFrame, key: str = "spider_id") -> DataFrame:
+def results_clean(env: DataFrame, crawled: DataFrame | None = None, key: str = "spider_id") -> DataFrame:
     """O-33: content only, envelope dropped — one row per item, ``key, op_index, item_index, item``.
 
-    For a crawl datum the items are the ``content`` of each crawled page; for
-    others the items of the content (list elements, or map values), a string
-    content is one item.
+    For a crawl datum the items are the ``content`` of each crawled page: those embedded
+    in it, or, where the pages stayed rows, those of ``crawled`` (``plans.operations.
+    crawl_records``) in the order of depth and page id. For others the items are those of
+    the content (list elements, or map values), a string content is one item.
     """
     ops = env.select(key, F.posexplode("results").alias("op_index", "d"))
     action = F.variant_get("d", "$.extras.action", "string")
@@ -84,17 +87,25 @@ def results_clean(env: DataFrame, key: str = "spider_id") -> DataFrame:
         .when(as_map.isNotNull(), F.map_values(as_map))
         .otherwise(F.array(content))
     )
-    out = ops.select(key, "op_index", F.posexplode(items).alias("item_index", "item"))
-    return out.select(key, "op_index", "item_index", F.to_json("item").alias("item"))
+    apart = (action == "crawl") & F.try_variant_get(content, "$.pages", "bigint").isNotNull()
+    inside = ops.where(~F.coalesce(apart, F.lit(False)))
+    out = inside.select(key, "op_index", F.posexplode(items).alias("item_index", "item"))
+    out = out.select(key, "op_index", "item_index", F.to_json("item").alias("item"))
+    if crawled is None:
+        return out
+    order = Window.partitionBy(key).orderBy("depth", "page_id")
+    pages = crawled.select(key, (F.row_number().over(order) - 1).alias("item_index"), F.to_json("content").alias("item"))
+    rows = ops.where(apart).select(key, "op_index").join(pages, key)
+    return out.unionByName(rows.select(key, "op_index", "item_index", "item"))
 
 
 def assign_task_id(df: DataFrame, task_col: str = "task_id", prefix: str = "", run_id: str = "run",
-                   key_cols=("spider_id",), existing: DataFrame | None = None, max_tries: int = 4) -> DataFrame:
+                   key_cols=("spider_id",), existing: DataFrame | None = None) -> DataFrame:
     """O-34: a given task id is kept; otherwise ``prefix + uuid``, unique among ``existing``.
 
     The uuid is derived from the run id and the row key (repeatable, no two
     rows of a run share one); ids that clash with ``existing`` results are
-    re-derived with a new salt (a few driver rounds at most, each a semi-join).
+    re-derived with a new salt until none does (each round a semi-join of the clashing).
     """
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols]
 
@@ -109,7 +120,7 @@ def assign_task_id(df: DataFrame, task_col: str = "task_id", prefix: str = "", r
     if existing is None:
         return out.drop("_gen")
     taken = existing.select(F.col(task_col).alias("_taken")).distinct()
-    for salt in range(1, max_tries + 1):
+    for salt in itertools.count(1):
         clash = out.where("_gen").join(taken, F.col(task_col) == taken["_taken"], "left_semi")
         if clash.isEmpty():
             break

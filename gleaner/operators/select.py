@@ -58,7 +58,7 @@ def _compiled(xpaths: Iterable[str]) -> list[XPath | None]:
     for x in xpaths:
         xp = compile_xpath(x)
         if xp is None:
-            log.warning("selector %r yields no rows (invalid or unsupported XPath)", x)
+            log.warning("selector %r yields no rows (invalid XPath)", x)
         out.append(xp)
     return out
 
@@ -145,7 +145,7 @@ def match_rows(nodes: DataFrame, xpaths: list[str], with_ancestors: bool = False
         else []
     )
     rows = nodes.select(
-        "page_id", "url", "node_id", "parent_id", "tag", "attrs", "end_id", "lead_text", "tail", "text", "markup",
+        "page_id", "url", "node_id", "parent_id", "depth", "tag", "attrs", "end_id", "lead_text", "tail", "text", "markup",
         *anc,
         F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"),
     )
@@ -167,23 +167,30 @@ def match_rows(nodes: DataFrame, xpaths: list[str], with_ancestors: bool = False
             value = F.when(this, v).otherwise(value)
             is_string = F.when(this, F.lit(True)).otherwise(is_string)
     owner = F.when(part == 1, F.col("parent_id")).otherwise(F.col("node_id"))
+    # document order: an element at its start, the text after it behind everything it holds
+    # (of elements that end together the inner one's text first)
+    unit = 1 << 20
+    after = (F.col("end_id").cast("long") * 2 + 1) * unit + (unit - 1 - F.least("depth", F.lit(unit - 1)))
+    place = F.when(part == 1, after).otherwise(F.col("node_id").cast("long") * 2 * unit)
     rows = rows.select(
-        "page_id", "url", sel.alias("sel"), fb.alias("fb"), owner.alias("node_id"),
-        (F.col("node_id").cast("long") * 2 + part).alias("ord"),
+        "page_id", "url", sel.alias("sel"), fb.alias("fb"), owner.alias("node_id"), F.col("parent_id").alias("_parent"),
+        place.alias("ord"),
         is_string.alias("is_string"), value.alias("value"), is_textnode.alias("_tn"),
         "tag", "attrs", "end_id", "lead_text", "tail", "text", "markup", *(["anc"] if with_ancestors else []),
     )
     positional = [(k, f, xp.global_pred) for k, f, xp in entries if xp.global_pred is not None]
+    local = [(k, f, xp.local_pred) for k, f, xp in entries if xp.local_pred is not None]
     with_fallback = any(f == 1 for _, f, _ in entries)
-    if positional or with_fallback:
+    if positional or local or with_fallback:
         rows = rows.repartition("page_id")
-    if positional:
-        ordered = Window.partitionBy("page_id", "sel", "fb").orderBy("node_id")
-        whole = Window.partitionBy("page_id", "sel", "fb")
-        rows = rows.withColumn("_rk", F.dense_rank().over(ordered))
+    for preds, scope in ((local, ["page_id", "sel", "fb", "_parent"]), (positional, ["page_id", "sel", "fb"])):
+        if not preds:
+            continue
+        whole = Window.partitionBy(*scope)
+        rows = rows.withColumn("_rk", F.dense_rank().over(whole.orderBy("node_id")))
         rows = rows.withColumn("_cnt", F.max("_rk").over(whole))
         keep = F.lit(True)
-        for k, f, pred in positional:
+        for k, f, pred in preds:
             this = (F.col("sel") == k) & (F.col("fb") == f)
             keep = F.when(this, global_keep(pred, F.col("_rk"), F.col("_cnt"))).otherwise(keep)
         rows = rows.where(keep).drop("_rk", "_cnt")
@@ -196,7 +203,7 @@ def match_rows(nodes: DataFrame, xpaths: list[str], with_ancestors: bool = False
         w = Window.partitionBy("page_id", "sel")
         has_primary = F.max(F.when(F.col("fb") == 0, 1).otherwise(0)).over(w)
         rows = rows.withColumn("_hp", has_primary).where((F.col("fb") == 0) | (F.col("_hp") == 0)).drop("_hp")
-    return rows.drop("fb")
+    return rows.drop("fb", "_parent")
 
 
 def _empty_columns(with_ancestors: bool = False) -> list:

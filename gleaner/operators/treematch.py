@@ -1,0 +1,150 @@
+"""A compiled XPath evaluated on one parsed page, where the page is parsed.
+
+``xpath.compile_xpath`` turns an XPath into steps and predicates; ``select.match_rows``
+evaluates them as Columns over the node table, for XPaths known when the plan is built.
+A crawl's rules are rows, as many as there are spiders, so they cannot be part of the
+plan: the task that parses a page evaluates the rules that want the page here.
+"""
+
+from __future__ import annotations
+
+import math
+
+from . import htmltree
+from .xpath import Path, Step, XPath
+
+
+def select(xp: XPath, tree) -> list[int]:
+    """Element ids that ``xp`` selects on a page, in document order (no string results)."""
+    found: set[int] = set()
+    for branch in xp.branches:
+        if branch.terminal is None:
+            found |= _path(branch, tree)
+    out = sorted(found)
+    if xp.global_pred is not None:
+        out = [n for k, n in enumerate(out) if _holds(xp.global_pred, _Node(tree, n, k + 1, len(out)))]
+    return out
+
+
+class _Node:
+    """An element as predicates see it."""
+
+    def __init__(self, tree, n: int, position: int, last: int):
+        self.tree, self.n, self.position, self.last = tree, n, position, last
+
+    @property
+    def attrs(self) -> dict:
+        return self.tree.attrs[self.n]
+
+    def texts(self) -> list[str]:
+        t = self.tree
+        parts = ["".join(t.lead[self.n]), *("".join(t.tail[k]) for k in t.kids[self.n])]
+        return [p for p in parts if p]
+
+    def text(self) -> str:
+        t = self.tree
+        if not hasattr(t, "whole_text"):
+            t.whole_text = htmltree.doc_text(t)
+        return t.whole_text[t.t0[self.n] : t.t1[self.n]]
+
+
+def _path(path: Path, tree) -> set[int]:
+    # None stands for the document above the root element
+    here: set = {None}
+    for step in path.steps:
+        there: set = set()
+        for n in here:
+            if step.axis == "child":
+                nodes = [i for i, p in enumerate(tree.parent) if p < 0] if n is None else tree.kids[n]
+            else:
+                nodes = range(0 if n is None else n + 1, len(tree.tag) if n is None else tree.end[n] + 1)
+            there.update(i for i in nodes if i not in there and _passes(step, tree, i))
+        here = there
+    if path.late is not None:
+        by_parent: dict[int, list[int]] = {}
+        for n in sorted(here):
+            by_parent.setdefault(tree.parent[n], []).append(n)
+        here = {
+            n for group in by_parent.values() for k, n in enumerate(group)
+            if _holds(path.late, _Node(tree, n, k + 1, len(group)))
+        }
+    return here
+
+
+def _passes(step: Step, tree, n: int) -> bool:
+    if step.tag is not None and tree.tag[n] != step.tag:
+        return False
+    named = step.tag is not None
+    node = _Node(tree, n, tree.sib[n] if named else tree.pos[n], tree.nsib[n] if named else tree.npos[n])
+    return all(_holds(p, node) for p in step.preds)
+
+
+def _number(text) -> float:
+    try:
+        return float(text)
+    except (TypeError, ValueError):
+        return math.nan
+
+
+def _value(e: tuple, node: _Node):
+    """A string, a number, or None for what is not there."""
+    kind = e[0]
+    if kind in ("str", "num"):
+        return e[1]
+    if kind == "attr":
+        return node.attrs.get(e[1])
+    if kind == "dot":
+        return node.text()
+    if kind == "text":
+        return next(iter(node.texts()), None)
+    if kind in ("position", "last"):
+        return float(getattr(node, kind))
+    name, args = e[1], e[2]
+    first = (_value(args[0], node) if args else node.text()) if name != "concat" else ""
+    first = "" if first is None else first
+    if name == "normalize-space":
+        return " ".join(str(first).split())
+    if name == "string-length":
+        return float(len(str(first)))
+    if name == "string":
+        return str(first)
+    return "".join(str(_value(a, node) or "") for a in args)
+
+
+def _compare(op: str, a, b) -> bool:
+    if isinstance(a, float) or isinstance(b, float):
+        a, b = _number(a), _number(b)
+    if a is None or b is None:
+        return False
+    return {"=": a == b, "!=": a != b and a == a and b == b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+
+
+def _holds(e: tuple, node: _Node) -> bool:
+    kind = e[0]
+    if kind == "num":
+        return node.position == int(e[1])
+    if kind == "last":
+        return node.position == node.last
+    if kind == "position":
+        return True
+    if kind == "or":
+        return _holds(e[1], node) or _holds(e[2], node)
+    if kind == "and":
+        return _holds(e[1], node) and _holds(e[2], node)
+    if kind == "attr":
+        return e[1] in node.attrs
+    if kind == "text":
+        return bool(node.texts())
+    if kind == "cmp":
+        op, left, right = e[1:]
+        # text nodes compare true when any of them does
+        lefts = node.texts() if left[0] == "text" else [_value(left, node)]
+        rights = node.texts() if right[0] == "text" else [_value(right, node)]
+        return any(_compare(op, a, b) for a in lefts for b in rights)
+    if kind == "fn" and e[1] == "not":
+        return not _holds(e[2][0], node)
+    if kind == "fn" and e[1] in ("contains", "starts-with"):
+        a, b = (str(x) if (x := _value(arg, node)) is not None else "" for arg in e[2])
+        return b in a if e[1] == "contains" else a.startswith(b)
+    value = _value(e, node)
+    return bool(value)

@@ -9,17 +9,21 @@ Supported::
         contains(x, 'v')  starts-with(x, 'v')  normalize-space(x)  string-length(x)
         not(…)  … and …  … or …  ( … )
         n  position()…  last()    position among same-tag siblings (``*``: among
-                                  elements); allowed in a step's first predicate
+                                  elements) as a step's first predicate; as the last
+                                  predicate of a path, among the siblings left so far
     (path)[n] (path)[last()] …    position among the page's matches, document order
     path | path                   union (one selector, document order, no repeats)
     …/@name  …/text()             attribute or text-node results
+    …//@name  …//text()           the same of the element and everything below it
+    ./step  .//step               as from the document
 
 ``text()`` inside a predicate is the element's direct text nodes: a comparison
 holds when any of them matches, string functions see the first (XPath 1.0's
 conversions of a node set); ``.`` is the whole text. Both only on a path's last
-step. Anything else (other axes, functions, a position after a filtering
-predicate) or a syntax error compiles to ``None``: the selector yields no rows,
-as an invalid XPath does, and the caller logs a warning.
+step. A syntax error compiles to ``None``: the selector yields no rows, as the
+reference's invalid XPath does, and the caller logs a warning. A valid XPath outside
+this subset (other axes, functions, relative paths in predicates) raises
+``Unsupported``: it must not look like a page without matches.
 
 A location path s1..sn matches a node when a fold over its ancestors leaves
 bit n-1 set (in ``exact`` for a child step, ``any`` for a descendant step) and
@@ -60,6 +64,7 @@ class Step:
 class Path:
     steps: tuple
     terminal: tuple | None  # ("attr", name) | ("text",) | None
+    late: tuple | None = None  # position predicate after filtering ones, on the last step
 
 
 @dataclass(frozen=True)
@@ -68,6 +73,11 @@ class XPath:
     branches: tuple  # Path, …  (a union has several)
     global_pred: tuple | None  # predicate AST of (…)[pred]
 
+    @property
+    def local_pred(self):
+        """The position predicate among the siblings that passed the last step's filters."""
+        return self.branches[0].late
+
     # -- what a parse must provide -----------------------------------------------
     @property
     def attr_names(self) -> set:
@@ -117,6 +127,7 @@ _TOKEN = re.compile(
       (?P<dslash>//) | (?P<slash>/) | (?P<lpar>\() | (?P<rpar>\)) | (?P<lbr>\[) | (?P<rbr>\]) |
       (?P<pipe>\|) | (?P<comma>,) | (?P<op>!=|<=|>=|=|<|>) |
       (?P<num>[0-9]+(?:\.[0-9]+)?) | '(?P<sq>[^']*)' | "(?P<dq>[^"]*)" |
+      (?P<axis>[A-Za-z\-]+::) | (?P<dotdot>\.\.) | (?P<arith>[+]|-(?=\s|[0-9])) | (?P<var>\$\w+) |
       @(?P<attr>{_NAME}|\*) | (?P<dot>\.(?![.\w])) | (?P<star>\*) |
       (?P<func>{_NAME})\s*(?=\() | (?P<name>{_NAME})
     )""",
@@ -126,6 +137,12 @@ _FUNCS = {"contains", "starts-with", "normalize-space", "string-length", "not",
           "string", "concat"}
 
 
+# fixed values: the other functions of XPath 1.0, valid but not evaluated here
+_OTHER_FUNCS = {"id", "count", "name", "local-name", "namespace-uri", "substring", "substring-before", "substring-after",
+                "translate", "boolean", "true", "false", "lang", "number", "sum", "floor", "ceiling", "round", "node",
+                "comment", "processing-instruction"}
+
+
 def _tokens(src: str):
     pos, out = 0, []
     src = src.strip()
@@ -170,15 +187,19 @@ class _Parser:
                 self.take("rpar")
                 if inner_g is not None:
                     raise Unsupported("nested (…)[…]")
+                if self.peek()[0] != "lbr":
+                    raise Unsupported("steps after (…)")
                 self.take("lbr")
                 gpred = self.expr()
                 self.take("rbr")
                 term = self.terminal()
+                if not term and self.peek()[0] in ("slash", "dslash", "lbr"):
+                    raise Unsupported("steps after (…)[…]")
                 if term:
                     inner = [Path(b.steps, term) for b in inner]
                 branches.extend(inner)
             else:
-                branches.append(self.path())
+                branches.extend(self.path())
             if self.peek()[0] != "pipe":
                 break
             if gpred is not None:
@@ -201,19 +222,34 @@ class _Parser:
             return ("text",)
         return None
 
+    def below(self):
+        """The attribute or text() result after ``//``, if that is what follows."""
+        if self.peek()[0] == "dslash" and (self.peek(1)[0] == "attr" or self.peek(1) == ("func", "text")):
+            self.t[self.i] = ("slash", "/")
+            return self.terminal()
+        return None
+
     def path(self):
         steps = []
+        if self.peek()[0] == "dot" and self.peek(1)[0] in ("slash", "dslash"):
+            self.take("dot")
         while self.peek()[0] in ("slash", "dslash"):
+            everywhere = self.below()
+            if everywhere:
+                inner = Path((*steps, Step("desc", None, ())), everywhere)
+                return [Path(tuple(steps), everywhere), inner] if steps else [inner]
             if steps:
                 term = self.terminal()
                 if term:
-                    return Path(tuple(steps), term)
+                    return [Path(tuple(steps), term)]
             axis = "desc" if self.take()[0] == "dslash" else "child"
             kind, val = self.peek()
             if kind == "name":
                 tag = val.lower()
             elif kind == "star":
                 tag = None
+            elif kind is None or kind in ("slash", "dslash", "rbr", "rpar", "lbr", "op", "comma"):
+                raise ValueError("expected a step")
             else:
                 raise Unsupported("expected a name test")
             self.take()
@@ -224,8 +260,11 @@ class _Parser:
                 self.take("rbr")
             steps.append(Step(axis, tag, tuple(preds)))
         if not steps:
+            kind, val = self.peek()
+            if kind in ("name", "star", "attr", "dot", "dotdot", "axis") or kind == "func" and val in _FUNCS | _OTHER_FUNCS:
+                raise Unsupported("relative path or function")
             raise ValueError("empty path")
-        return Path(tuple(steps), None)
+        return [Path(tuple(steps), None)]
 
     # expr := and ('or' and)* ; and := cmp ('and' cmp)* ; cmp := value (op value)?
     def expr(self):
@@ -263,6 +302,8 @@ class _Parser:
             self.take()
             return ("num", val)
         if kind == "dot":
+            if self.peek(1)[0] in ("slash", "dslash"):
+                raise Unsupported("relative path in a predicate")
             self.take()
             return ("dot",)
         if kind == "lpar":
@@ -272,7 +313,7 @@ class _Parser:
             return e
         if kind == "func":
             if val not in _FUNCS:
-                raise Unsupported(f"function {val}()")
+                raise Unsupported(f"function {val}()") if val in _OTHER_FUNCS else ValueError(f"no function {val}()")
             self.take()
             self.take("lpar")
             args = []
@@ -287,11 +328,14 @@ class _Parser:
             if val in ("position", "last") and not args:
                 return (val,)
             return ("fn", val, tuple(args))
+        if kind in (None, "rbr", "rpar", "comma", "op"):
+            raise ValueError(f"unexpected {val}")
         raise Unsupported(f"unexpected {kind} {val}")
 
 
 def compile_xpath(source) -> XPath | None:
-    """Parse a supported XPath; ``None`` when invalid or unsupported."""
+    """Parse an XPath; ``None`` when it is invalid, ``Unsupported`` is raised when it is
+    valid but outside the subset."""
     if not isinstance(source, str) or not source.strip():
         return None
     try:
@@ -303,6 +347,9 @@ def compile_xpath(source) -> XPath | None:
             for j, s in enumerate(b.steps):
                 for k, pr in enumerate(s.preds):
                     if k > 0 and _uses_position(pr):
+                        only = len(branches) == 1 and gpred is None and b.terminal != ("text",)
+                        if only and j == len(b.steps) - 1 and k == len(s.preds) - 1:
+                            continue
                         raise Unsupported("position after a filtering predicate")
                     if j < len(b.steps) - 1 and (_uses(pr, "dot") or _uses(pr, "text")):
                         raise Unsupported("text tests only on the last step")
@@ -310,12 +357,22 @@ def compile_xpath(source) -> XPath | None:
                         raise Unsupported("text tests with a text() result")
         if gpred is not None and (_attrs_in(gpred) or _uses(gpred, "dot") or _uses(gpred, "text")):
             raise Unsupported("only positions in (…)[…]")
-        return XPath(source, tuple(branches), gpred)
+        return XPath(source, tuple(_late(b) for b in branches), gpred)
+    except Unsupported as exc:
+        raise Unsupported(f"{source!r}: {exc}") from None
     except (ValueError, IndexError) as exc:
-        log.warning("invalid or unsupported XPath %r: %s", source, exc)
+        log.warning("invalid XPath %r: %s", source, exc)
         return None
 
 
+def _late(b: Path) -> Path:
+    """The path with a last position predicate after other predicates set apart."""
+    last = b.steps[-1]
+    if len(last.preds) < 2 or not _uses_position(last.preds[-1]):
+        return b
+    return Path((*b.steps[:-1], Step(last.axis, last.tag, last.preds[:-1])), b.terminal, last.preds[-1])
+
+
 # -- AST helpers ----------------------------------------------------------------------
 
 

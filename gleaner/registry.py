@@ -7,6 +7,7 @@ same name. Column names and types match between the two.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .functions import timefmt, urls
 from .operators.links import page_links
-from .session import table
+from .session import checkpoint_dir, table
 from .sources.config import broadcast_if_small
-from .sources.pages import read_pages, read_pages_from
+from .sources.pages import read_pages, read_pages_from, resolve_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,11 +120,17 @@ COUNTED_XPATHS = [
     "//article/p",
     "//p/b",
     "//*[@href]",
-    "~something-wrong",
+    "//a//@href",
+    "//@href",
+    ".//nav//a",
+    "//nav//text()",
+    "//li[",
+    "//li[not(@class)][2]",
+    "//ul/li[not(@id)][last()]",
     "",
 ]
 BLACK_WORDS = ["casino", "free", "thing"]
-REFINE_RULES = ["<section .*?>", "<div class='archive-link'>"]
+REFINE_RULES = ["<nav>.*?</nav>", "<!--.*?-->"]
 
 
 def selected_values(spark, sf, selectors) -> DataFrame:
@@ -388,60 +395,74 @@ def q_explore_links(spark, sf):
 
 from .operators.crawl import crawl, crawl_content, crawl_stats, link_edges, spider_rules  # noqa: E402
 
-# fixed values: the spider rules of the checked crawl (XPaths as in the collector's own tests)
-TARGET_XPATHS = ["//div[@class='post-title']/h2/a"]
-EXPAND_XPATHS = ['//a[@rel="next"]']
 CRAWL_DEPTH = 3
 
 
+def _numbered(pages: DataFrame) -> DataFrame:
+    """``page_id, url, number``: rows numbered 0, 1, … in id order. Range partitions are
+    counted first, so no task sees more than its own rows."""
+    checkpoint_dir(pages.sparkSession)
+    placed = pages.select("page_id", "url").repartitionByRange("page_id").sortWithinPartitions("page_id")
+    placed = placed.withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())
+    before, offsets = 0, {}
+    for part, size in sizes:  # one number per partition
+        offsets[part] = before
+        before += size
+    start = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else F.create_map()
+    own = Window.partitionBy("part").orderBy("page_id")
+    return placed.select("page_id", "url", (start[F.col("part")] + F.row_number().over(own) - 1).alias("number"))
+
+
 def linked_web(spark, sf) -> DataFrame:
     """Stand-in input only: every page of ``pages`` with a block of absolute links to
-    three other pages appended after its footer (two post-title links, one
-    rel=next link). The crawl itself knows nothing of how they were chosen: it
-    parses the HTML and follows what it finds."""
+    three other pages appended after its footer (two links to read next, one to go on).
+    Pages are numbered in the order of their ids, so gaps in the ids lose no page. The
+    crawl itself knows nothing of how they were chosen: it parses the HTML and follows
+    what it finds."""
     p = table(spark, sf, "pages")
     n = p.count()
-    ids = p.select("page_id", "url")
-    pick = lambda col, name: ids.select(F.col("page_id").alias(col), F.col("url").alias(name))
+    ids = _numbered(p)
+    pick = lambda col, name: ids.select(F.col("number").alias(col), F.col("url").alias(name))
     links = (
         ids.select(
             "page_id",
-            ((F.col("page_id") * 3 + 1) % n).alias("j1"),
-            ((F.col("page_id") * 5 + 2) % n).alias("j2"),
-            ((F.col("page_id") + 1) % n).alias("j3"),
+            ((F.col("number") * 3 + 1) % n).alias("j1"),
+            ((F.col("number") * 5 + 2) % n).alias("j2"),
+            ((F.col("number") + 1) % n).alias("j3"),
         )
         .join(pick("j1", "u1"), "j1")
         .join(pick("j2", "u2"), "j2")
         .join(pick("j3", "u3"), "j3")
     )
     block = F.concat(
-        F.lit('</footer><div class="post-title"><h2><a href="'), F.col("u1"), F.lit('">post</a></h2></div>'),
-        F.lit('<div class="post-title"><h2><a href="'), F.col("u2"), F.lit('">post</a></h2></div>'),
-        F.lit('<a rel="next" href="'), F.col("u3"), F.lit('">next</a>'),
+        F.lit('</footer><div class="reads"><p><a href="'), F.col("u1"), F.lit('">post</a></p></div>'),
+        F.lit('<div class="reads"><p><a href="'), F.col("u2"), F.lit('">post</a></p></div>'),
+        F.lit('<a data-go="on" href="'), F.col("u3"), F.lit('">next</a>'),
     )
     web = p.join(broadcast_if_small(links.select("page_id", "u1", "u2", "u3")), "page_id")
     return web.select("page_id", "url", F.replace(F.col("html"), F.lit("</footer>"), block).alias("html"))
 
 
 def _spiders(spark, sf, depth: int, root_on_even: bool) -> DataFrame:
-    """Spider configuration: one spider per page of the table, starting at that page,
-    all with the same link rules and depth; ``crawl_root`` on even ids when asked."""
+    """Spider configuration: one spider per page of the table, starting at that page, each
+    with link rules of its own (they name the spider); ``crawl_root`` on even ids when asked."""
     p = table(spark, sf, "pages").select("page_id", "url")
     root = ((F.col("page_id") % 2) == 0) if root_on_even else F.lit(False)
+    own = F.col("page_id").cast("string")
     return p.select(
         F.col("page_id").alias("spider_id"), "url", root.alias("crawl_root"),
-        F.array(*[F.lit(x) for x in TARGET_XPATHS]).alias("target_links"),
-        F.array(*[F.lit(x) for x in EXPAND_XPATHS]).alias("expand_links"),
+        F.array(F.concat(F.lit("//div[@class='reads']/p/a[not(@for='"), own, F.lit("')]"))).alias("target_links"),
+        F.array(F.concat(F.lit('//a[@data-go="on" and not(@for="'), own, F.lit('")]'))).alias("expand_links"),
         F.lit(depth).alias("crawl_depth"),
     )
 
 
 @register("link_edges")
 def q_link_edges(spark, sf):
-    """O-30a: target and expand links of every page of the linked web, one parse scan."""
+    """O-30a: what each spider's own rules find on its start page of the linked web."""
     web = read_pages_from(linked_web(spark, sf))
-    _, rules = spider_rules(_spiders(spark, sf, CRAWL_DEPTH, False))
-    e = link_edges(web, rules)
+    e = link_edges(web, spider_rules(_spiders(spark, sf, CRAWL_DEPTH, False)))
     return e.select("src_url", "kind", "dst_url")
 
 
@@ -480,8 +501,15 @@ def q_crawl_content(spark, sf):
 
 from .operators.article import extract_article  # noqa: E402
 from .operators.results import assign_task_id, results_clean, results_json  # noqa: E402
-from .plans.operations import run_operations  # noqa: E402
-from .sources.store import collect_manifest, manifest_of, retire_content, skip_collected  # noqa: E402
+from .plans.operations import operate, run_operations  # noqa: E402
+from .sources.store import (  # noqa: E402
+    collect_manifest,
+    delete_results,
+    manifest_of,
+    retire_content,
+    skip_collected,
+    write_results,
+)
 from .streaming.collect import collect_stream  # noqa: E402
 
 ALL_OPERATIONS = [
@@ -493,6 +521,7 @@ ALL_OPERATIONS = [
 ]
 # fixed value: the run time of the checked store queries (a run parameter)
 RUN_TS = "2024-01-02 03:04:05"
+RUN_ID = "run-1"
 
 
 @register("extract_article")
@@ -501,9 +530,11 @@ def q_extract_article(spark, sf):
     return extract_article(read_pages(spark, sf)).select("page_id", "title", "content")
 
 
-def _run(spark, sf, operations, **kw):
+def _run(spark, sf, operations, spiders=None, **kw):
+    checkpoint_dir(spark)
     web = read_pages_from(linked_web(spark, sf))
-    return run_operations(_spiders(spark, sf, 2, True), web, operations, TEXT_SELECTORS[:2], **kw)
+    spiders = _spiders(spark, sf, 2, True) if spiders is None else spiders
+    return run_operations(spiders, web, operations, TEXT_SELECTORS[:2], run_id=RUN_ID, **kw)
 
 
 @register("build_results")
@@ -529,9 +560,12 @@ def q_build_results(spark, sf):
 
 @register("results_json")
 def q_results_json(spark, sf):
-    """O-32: every envelope exported as pretty JSON text, then read back field by field."""
+    """O-32: every envelope of all five operations exported as pretty JSON text, then read
+    back field by field; one more spider per ten pages starts at a page that is missing."""
     ts = F.lit(RUN_TS).cast("timestamp_ntz")
-    env = _run(spark, sf, ALL_OPERATIONS[:2], started=ts, ended=ts)
+    have = _spiders(spark, sf, 2, True)
+    lost = have.where("spider_id % 10 = 0").withColumn("url", F.concat("url", F.lit("/missing"))).withColumn("spider_id", -F.col("spider_id") - 1)
+    env = _run(spark, sf, ALL_OPERATIONS, spiders=have.unionByName(lost), started=ts, ended=ts, get_image=False)
     js = env.select("spider_id", results_json(env).alias("json"))
     get = lambda path: F.get_json_object("json", path)
     return js.select(
@@ -540,53 +574,166 @@ def q_results_json(spark, sf):
         F.json_array_length(get("$.results")).cast("long").alias("n_results"),
         get("$.results[1].extras.action").alias("second_action"),
         get("$.results[1].extras.target").alias("second_target"),
-        F.length("json").cast("long").alias("json_chars"),
-    ).drop("json_chars")
+        get("$.results[2].extras.target").alias("third_target"),
+        get("$.results[4].extras.action").alias("last_action"),
+    )
 
 
 @register("results_clean")
 def q_results_clean(spark, sf):
-    """O-33: content items of every envelope (links, then the page), envelope dropped."""
-    env = _run(spark, sf, [ALL_OPERATIONS[1], ALL_OPERATIONS[0]])
-    items = results_clean(env)
+    """O-33: content items of every envelope of all five operations, envelope dropped; the
+    crawl's items are the contents of its pages, which stay rows."""
+    from .plans.operations import crawl_records
+
+    spiders, web = _spiders(spark, sf, 2, True), read_pages_from(linked_web(spark, sf))
+    env = _run(spark, sf, ALL_OPERATIONS, get_image=False)
+    items = results_clean(env, crawl_records(spiders, web, TEXT_SELECTORS[:2], get_image=False))
     return items.select(
         "spider_id", F.col("op_index").cast("long").alias("op_index"),
         F.col("item_index").cast("long").alias("item_index"),
         F.get_json_object("item", "$.url").alias("item_url"),
-        F.coalesce(F.get_json_object("item", "$.text"), F.get_json_object("item", "$")).alias("item_text"),
+        F.coalesce(
+            F.get_json_object("item", "$.text"), F.get_json_object("item", "$.title[0]"),
+            F.get_json_object("item", "$[0]"), F.get_json_object("item", "$"),
+        ).alias("item_text"),
     )
 
 
 @register("assign_task_id")
 def q_assign_task_id(spark, sf):
-    """O-34: given task ids kept (even page ids here), others derived from run id and key."""
+    """O-34: given task ids kept (even page ids here), others derived from run id and key and
+    kept off those of stored results (here, of the first try of every fifth page)."""
     p = table(spark, sf, "pages").select(F.col("page_id").alias("spider_id"))
     given = F.when(F.col("spider_id") % 2 == 0, F.concat(F.lit("task-"), F.col("spider_id").cast("string")))
-    return assign_task_id(p.withColumn("task_id", given), "task_id", "auto-", "run")
+    rows = p.withColumn("task_id", given)
+    stored = assign_task_id(rows.where("spider_id % 5 = 0"), "task_id", "auto-", "run").where("spider_id % 2 = 1")
+    return assign_task_id(rows, "task_id", "auto-", "run", existing=stored)
 
 
 @register("collect_manifest")
 def q_collect_manifest(spark, sf):
     """O-39: a manifest record for every stored result with files (get content runs)."""
-    env = _run(spark, sf, [ALL_OPERATIONS[3]], get_image=False)
-    return collect_manifest(env, "results", F.lit(RUN_TS).cast("timestamp_ntz"))
+    env = _run(spark, sf, ALL_OPERATIONS, get_image=False)
+    return collect_manifest(env, F.lit(RUN_TS).cast("timestamp_ntz"), RUN_ID)
+
+
+@register("write_results")
+def q_write_results(spark, sf):
+    """O-38: a run of all operations written twice (the second replaces the first) and read
+    back from the folders its manifest names, with the crawl's page records."""
+    import datetime as dt
+
+    from .plans.operations import crawl_records
+
+    spiders, web = _spiders(spark, sf, 2, True), read_pages_from(linked_web(spark, sf))
+    env = _run(spark, sf, ALL_OPERATIONS, get_image=False)
+    pages = crawl_records(spiders, web, TEXT_SELECTORS[:2], get_image=False)
+    base = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    for _ in range(2):
+        write_results(env, base, dt.datetime.fromisoformat(RUN_TS), RUN_ID, records=pages)
+    manifest = collect_manifest(env, F.lit(RUN_TS).cast("timestamp_ntz"), RUN_ID)
+    (folder,) = [r[0] for r in manifest.select("local_path").distinct().collect()]
+    results = spark.read.json(f"{base}/{folder}/envelopes").select(F.lit("envelope").alias("record"), F.col("spider_id"), "url", F.size("results").cast("long").alias("n"))
+    crawled = spark.read.json(f"{base}/{folder}/crawl").select(F.lit("crawl").alias("record"), F.col("spider_id"), "url", F.col("depth").cast("long").alias("n"))
+    return results.unionByName(crawled)
 
 
 @register("retire_content")
 def q_retire_content(spark, sf):
-    """O-40: results of pages whose URL has a fragment are deleted; their records retired."""
-    pages = table(spark, sf, "pages")
-    manifest = manifest_of(pages, "results", F.lit(RUN_TS).cast("timestamp_ntz"))
-    results = pages.select("url", "page_id")
-    m, _ = retire_content(manifest, results, pages.where(F.col("url").contains("#")))
-    return m.select("url", "local_path", "state")
+    """O-40: two runs stored every page; the second run's results of URLs with a fragment lose
+    their files, the first run's records of the same URLs stay as they are."""
+    manifest = _two_runs(spark, sf)
+    second = manifest.where(F.col("local_path").endswith("run-2") & F.col("url").contains("#"))
+    return retire_content(manifest, second).select("id", "url", "local_path", "state")
+
+
+def _two_runs(spark, sf) -> DataFrame:
+    pages, ts = table(spark, sf, "pages"), F.lit(RUN_TS).cast("timestamp_ntz")
+    return manifest_of(pages, ts, "run-1").unionByName(manifest_of(pages, ts, "run-2"))
+
+
+@register("delete_results")
+def q_delete_results(spark, sf):
+    """O-40: results of the first run whose URL has a query are deleted with their records;
+    counts what is left of results and records."""
+    manifest = _two_runs(spark, sf)
+    results = manifest.select("id", "url")
+    gone = manifest.where(F.col("local_path").endswith("run-1") & F.col("url").contains("?"))
+    r, m = delete_results(results, manifest, gone)
+    return r.join(m.select("id", "local_path"), "id", "full_outer").groupBy("url").agg(
+        F.count("id").alias("n_results"), F.count("local_path").alias("n_records")
+    )
+
+
+@register("page_identity")
+def q_page_identity(spark, sf):
+    """O-35: page identities, none of two URLs alike; counts the URLs that share one."""
+    ids = table(spark, sf, "pages").select("url", urls.page_identity(F.col("url")).alias("identity"))
+    return ids.distinct().groupBy("identity").agg(F.count("url").alias("n_urls"))
+
+
+@register("resolve_pages")
+def q_resolve_pages(spark, sf):
+    """O-02: every page URL and a URL the snapshot lacks looked up in a snapshot that holds
+    every third page twice; of two snapshots of a URL the one with the least id is taken."""
+    p = table(spark, sf, "pages")
+    again = p.where("page_id % 3 = 0").select((F.col("page_id") + 1_000_000_000).alias("page_id"), "url", F.lit("<p>later</p>").alias("html"))
+    frontier = p.select(F.explode(F.array("url", F.concat("url", F.lit("/missing")))).alias("url"))
+    got = resolve_pages(frontier, again.unionByName(p.select("page_id", "url", "html")))
+    return got.select("url", "page_id", "found", F.length("html").cast("long").alias("chars"))
+
+
+@register("page_loader")
+def q_page_loader(spark, sf):
+    """O-43: pages fetched by a loader of the user's own instead of the snapshot."""
+    def loader(wanted):
+        return wanted.select("url", F.concat(F.lit("<h1>"), urls.file_name(F.col("url")), F.lit("</h1>")).alias("html"))
+
+    p = table(spark, sf, "pages").select("url")
+    return resolve_pages(p, None, loader=loader).select("url", "found", "html")
+
+
+@register("image_switch")
+def q_image_switch(spark, sf):
+    """O-29: images of every page record with the switch on and off."""
+    pages, sels = illustrated_pages(spark, sf), [("body", "//article", "html")]
+    both = [
+        collect_content(pages, sels, get_image=on).select("page_id", F.lit(on).alias("get_image"), F.size("images").cast("long").alias("n_images"))
+        for on in (True, False)
+    ]
+    return both[0].unionByName(both[1])
+
+
+@register("default_data_type")
+def q_default_data_type(spark, sf):
+    """O-13: a selector that is a bare XPath gives markup."""
+    rec = collect_content(read_pages(spark, sf), {"heading": "//h1", "title": ("//title", None)}, get_image=False)
+    kv = rec.select("page_id", F.explode("content").alias("key", "values"))
+    return kv.select("page_id", "key", F.array_join("values", "\n").alias("joined"))
+
+
+@register("operate_plan")
+def q_operate_plan(spark, sf):
+    """O-05 / O-44: every spider runs with the collector its configuration tables give it;
+    the keys of its content datum."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("spider_id"))
+    links = p.where("spider_id % 4 <> 3").select("spider_id", ((F.col("spider_id") % 2 + 1) * 10).alias("collector_id"))
+    plan = config_tables.spider_plan(
+        links,
+        spark.createDataFrame([(10, "a", False, [], []), (20, "b", False, [], [])], config_tables.COLLECTORS),
+        spark.createDataFrame([(10, 1), (20, 2), (20, 3)], config_tables.COLLECTOR_SELECTORS),
+        spark.createDataFrame(PLAN_SELECTORS[:3], config_tables.SELECTORS),
+    )
+    env = operate(_spiders(spark, sf, 1, False), read_pages(spark, sf), [ALL_OPERATIONS[3]], plan, run_id=RUN_ID)
+    keys = F.array_sort(F.map_keys(F.variant_get(F.get("results", F.lit(0)), "$.content", "map<string,variant>")))
+    return env.select("spider_id", F.array_join(keys, ",").alias("keys"))
 
 
 @register("skip_collected")
 def q_skip_collected(spark, sf):
     """O-41: pages not yet stored (stored = pages whose URL has a query string)."""
     pages = table(spark, sf, "pages")
-    manifest = manifest_of(pages.where(F.col("url").contains("?")), "results", F.lit(RUN_TS).cast("timestamp_ntz"))
+    manifest = manifest_of(pages.where(F.col("url").contains("?")), F.lit(RUN_TS).cast("timestamp_ntz"), RUN_ID)
     return skip_collected(pages.select("page_id", "url"), manifest)
 
 
@@ -606,6 +753,19 @@ def q_collect_stream(spark, sf):
     )
 
 
+@register("collect_stream_restart")
+def q_collect_stream_restart(spark, sf):
+    """O-42: the pages arrive in two halves, the second with all of the first again; two calls
+    on one sink together hold every URL once, as a single batch would."""
+    base = f"{checkpoint_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    p = table(spark, sf, "pages").select("page_id", "url", "html")
+    for arrived, part in (("1", p.where("page_id % 2 = 0")), ("2", p)):
+        part.write.parquet(f"{base}/in/{arrived}")
+        q, sink = collect_stream(spark, f"{base}/in/*", TEXT_SELECTORS[:1], sink_path=f"{base}/sink", get_image=False)
+        q.awaitTermination()
+    return spark.read.parquet(sink).groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("content")["title"][0]).alias("title"))
+
+
 def illustrated_pages(spark, sf) -> DataFrame:
     """Stand-in input only: every page of ``pages`` with an ``alt`` caption on its article,
     an image inside the article, an image without ``src`` and an image in the footer."""
@@ -672,12 +832,11 @@ from .sources.media import media_files  # noqa: E402
 @register("media_files")
 def q_media_files(spark, sf):
     """O-04: the media references (``//a/@href``) of every page of the linked web matched
-    to a file store — the page snapshot stands in for it (path = page URL, content =
-    HTML bytes) — by URL, then by file name; unmatched references keep a null name."""
+    to a file store — the page snapshot stands in for it (content = HTML bytes) — by URL;
+    unmatched references keep a null name."""
     refs = _media_refs(read_pages_from(linked_web(spark, sf)))
     p = table(spark, sf, "pages")
     files = p.select(
-        F.col("url").alias("path"), urls.file_name(F.col("url")).alias("file_name"),
-        F.octet_length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"),
+        "url", F.octet_length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"),
     )
     return media_files(refs, files).select("page_id", "value_rank", "file_url", "stored_name", "length")

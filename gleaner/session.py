@@ -29,7 +29,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
+        # small single-file inputs: deal the parse over all cores
+        .config("spark.gleaner.parsePartitions", str(2 * (os.cpu_count() if cores == "*" else int(cores))))
         # pages are wide rows: keep Arrow batches small so a batch of pages fits in a worker
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
         .config("spark.sql.execution.pythonUDF.arrow.enabled", "true")

@@ -1,10 +1,9 @@
-"""O-04 ``media_files``: bytes of referenced media and image files.
+"""O-04 ``media_files``: files of referenced media and images.
 
-The reference downloads each file (three tries) and lists its file name only
-when that worked. Here the files are a snapshot read with Spark's
-``binaryFile`` source; references are joined to it on the file URL, then on the
-file name, and an unmatched reference keeps a null ``file_name`` as a failed
-download does.
+The reference downloads each file and lists its name only when that worked. Here the
+files are a snapshot read with Spark's ``binaryFile`` source and known by URL; a
+reference matches the file of its URL or nothing, and an unmatched reference keeps a
+null name as a failed download does.
 """
 
 from __future__ import annotations
@@ -15,31 +14,37 @@ from pyspark.sql import functions as F
 from ..functions.urls import file_name
 
 
-def read_media(spark: SparkSession, glob: str, recursive: bool = True) -> DataFrame:
-    """Media snapshot: ``path, file_name, length, content`` (one row per file)."""
+def read_media(spark: SparkSession, glob: str, base_url: str | None = None, recursive: bool = True) -> DataFrame:
+    """Media snapshot: ``path, url, file_name, length, content`` (one row per file).
+
+    With ``base_url`` a file's URL is ``base_url`` followed by its path below the folder
+    ``glob``; else it is the file's own URI.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(glob)
-    return df.select("path", file_name(F.col("path")).alias("file_name"), "length", "content")
+    url = F.col("path")
+    if base_url is not None:
+        root = glob.split("://", 1)[-1].rstrip("/") + "/"
+        below = F.substring(F.col("path"), F.instr("path", root) + len(root), F.length("path"))
+        url = F.concat(F.lit(base_url.rstrip("/") + "/"), below)
+    return df.select("path", url.alias("url"), file_name(F.col("path")).alias("file_name"), "length", "content")
 
 
-def media_files(refs: DataFrame, files: DataFrame, url_col: str = "file_url") -> DataFrame:
-    """Every reference with its file: ``…refs columns, stored_name, length, content``.
+def media_files(refs: DataFrame, files: DataFrame, url_col: str = "file_url", with_content: bool = False) -> DataFrame:
+    """Every reference with its file: ``...refs columns, stored_name, length`` (and ``content``).
 
-    ``files`` needs ``path, file_name, length, content``; a reference matches a file
-    whose path is the reference URL, else one with the same file name.
+    ``files`` needs ``url, length`` (and ``content``). References and files meet on URL with
+    the length only; bytes, when asked for, are attached last and only for matched URLs.
     """
-    by_path = files.select(F.col("path").alias("_path"), F.col("length").alias("_len_p"),
-                           F.col("content").alias("_content_p"))
-    # one file per name (a later download of the same name overwrote the earlier one)
-    by_name = files.groupBy(F.col("file_name").alias("_fname")).agg(
-        F.max_by("length", "path").alias("_len_n"), F.max_by("content", "path").alias("_content_n")
-    )
-    r = refs.withColumn("_want", file_name(F.col(url_col)))
-    a = r.join(by_path, r[url_col] == by_path["_path"], "left")
-    b = a.join(by_name, (a["_want"] == by_name["_fname"]) & a["_path"].isNull(), "left")
-    found = b["_path"].isNotNull() | b["_fname"].isNotNull()
-    return b.select(
+    known = files.groupBy(F.col("url").alias("_url")).agg(F.max("length").alias("length"))
+    out = refs.join(known, refs[url_col] == known["_url"], "left")
+    out = out.select(
         *[F.col(c) for c in refs.columns],
-        F.when(found, F.col("_want")).alias("stored_name"),
-        F.coalesce("_len_p", "_len_n").alias("length"),
-        F.coalesce("_content_p", "_content_n").alias("content"),
+        F.when(F.col("_url").isNotNull(), file_name(F.col(url_col))).alias("stored_name"),
+        "length",
     )
+    if not with_content:
+        return out
+    asked = refs.select(F.col(url_col).alias("url")).distinct()
+    found = files.select("url", "length", "content").join(asked, "url", "left_semi").dropDuplicates(["url", "length"])
+    found = found.select(F.col("url").alias("_url"), F.col("length").alias("_length"), "content")
+    return out.join(found, (out[url_col] == found["_url"]) & (out["length"] == found["_length"]), "left").drop("_url", "_length")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
@@ -60,8 +60,8 @@ BROADCAST_FRONTIER_ROWS = 2_000_000
 
 def resolve_pages(frontier: DataFrame, pages: DataFrame, loader: PageLoader | None = None,
                   broadcast_rows: int = BROADCAST_FRONTIER_ROWS) -> DataFrame:
-    """O-02: fetch by URL. Every frontier row gets a page; a URL the source does
-    not have gives the empty page (``found = false``), never an error.
+    """O-02: fetch by URL. Every frontier row gets a page, of several snapshots of a URL the
+    one with the least ``page_id``; a URL the source does not have gives the empty page (``found = false``), never an error.
 
     ``frontier`` needs a ``url`` column; the result keeps all its columns and
     adds ``html``, ``found`` (and the snapshot's ``page_id`` when it has one). The snapshot is never shuffled when the
@@ -76,7 +76,10 @@ def resolve_pages(frontier: DataFrame, pages: DataFrame, loader: PageLoader | No
         if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
             snap = snap.join(F.broadcast(wanted), "url", "left_semi")
         source = snap
-    source = source.dropDuplicates(["url"]).withColumn("_found", F.lit(True))
+    # several snapshots of a URL: the one of the least page id, then the least text
+    keys = [c for c in ("page_id", "html") if c in source.columns]
+    first = Window.partitionBy("url").orderBy(*keys)
+    source = source.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn").withColumn("_found", F.lit(True))
     out = frontier.join(source, "url", "left")
     return out.withColumn("found", F.coalesce(F.col("_found"), F.lit(False))).withColumn(
         "html", F.coalesce(F.col("html"), F.lit(EMPTY_PAGE))

@@ -1,19 +1,26 @@
 """O-42 ``collect_stream``: pages arriving over time are collected once each.
 
 Structured Streaming: a file source of page snapshots (explicit schema) →
-``dropDuplicates(["url"])`` (or ``dropDuplicatesWithinWatermark`` when the pages
-carry an event time, which bounds the state) → ``foreachBatch`` running the
-batch ``collect_content`` on each micro-batch. Each epoch is written to its own
-folder with ``overwrite``, so a micro-batch replayed after a failure replaces
-its own output: the sink is exactly-once. ``Trigger.AvailableNow`` drains what
-is there and stops; a processing-time trigger keeps it running.
+``foreachBatch`` running the batch ``collect_content`` on each micro-batch.
+
+* Each URL once: with an event time by ``dropDuplicatesWithinWatermark``, whose state
+  the watermark bounds; without one, each micro-batch keeps the first page of a URL and
+  drops URLs the sink already holds (an anti-join, no stream state).
+* The checkpoint belongs to the sink: a second call on the same sink goes on where the
+  first ended. Every epoch of every checkpoint has a folder of its own, written with
+  ``overwrite``, so a replayed micro-batch replaces itself and nothing else.
+
+``Trigger.AvailableNow`` drains what is there and stops; a processing-time trigger keeps
+it running.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.content import collect_content
@@ -25,14 +32,19 @@ PAGES_SCHEMA = "page_id bigint, url string, html string"
 
 def page_stream(spark: SparkSession, source_dir: str, glob: str = "*.parquet", schema: str = PAGES_SCHEMA,
                 event_time: str | None = None, watermark: str = "1 hour", max_files: int | None = None) -> DataFrame:
-    """Streaming pages, each URL once."""
+    """Streaming pages; with an event time each URL once within the watermark."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     pages = reader.parquet(source_dir)
     if event_time:
         return pages.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["url"])
-    return pages.dropDuplicates(["url"])
+    return pages
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def collect_stream(
@@ -50,18 +62,27 @@ def collect_stream(
     max_files: int | None = None,
     **content_options,
 ) -> tuple[StreamingQuery, str]:
-    """Start the stream; returns the query and the sink folder (parquet, one folder per epoch).
+    """Start the stream; returns the query and the sink folder (parquet, a folder per checkpoint and epoch).
 
     With ``event_time`` (a timestamp column in ``schema``) duplicates are dropped within
     the watermark, so the de-duplication state stays bounded."""
     base = checkpoint_dir(spark).rstrip("/") + f"/gleaner-stream-{uuid.uuid4().hex[:12]}"
     sink = sink_path or f"{base}/sink"
-    ckpt = checkpoint_location or f"{base}/checkpoint"
+    ckpt = checkpoint_location or f"{sink}/_checkpoint"
+    stream = hashlib.sha256(ckpt.encode()).hexdigest()[:32]
     pages = page_stream(spark, source_dir, glob, schema, event_time, watermark, max_files)
 
     def per_batch(df: DataFrame, epoch_id: int) -> None:
+        own = f"{sink}/stream={stream}/epoch={epoch_id}"
+        if not event_time:
+            first = Window.partitionBy("url").orderBy("page_id", "html")
+            df = df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+            if path_exists(spark, sink):
+                held = spark.read.schema("url string, stream string, epoch long").option("basePath", sink).parquet(sink)
+                other = held.where(~((F.col("stream") == stream) & (F.col("epoch") == epoch_id)))
+                df = df.join(other.select("url"), "url", "left_anti")
         rec = collect_content(read_pages_from(df), selectors, **content_options)
-        rec.write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
+        rec.write.mode("overwrite").parquet(own)
 
     w = pages.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     if processing_time:

@@ -79,7 +79,7 @@ PAGES = [
     (4, "http://blog.test/posts/third", A2),
     (5, "http://blog.test/null", None),
     (6, "http://blog.test/empty", ""),
-    (7, "http://blog.test/plain", "Anything"),
+    (7, "http://blog.test/plain", "Loose words"),
     (8, "http://blog.test/bare", "<html>"),
 ]
 

@@ -1,96 +1,85 @@
-"""O-30 crawl: level-synchronous Spark crawl vs a stack-based model of the collector's crawl."""
+"""O-30 crawl: levels, depths, rules per spider, and what is parsed."""
 
 from __future__ import annotations
 
 from fixtures import EXPAND, TARGET
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
-from gleaner.operators.crawl import crawl, crawl_content, crawl_stats
+from gleaner.operators import crawl as crawl_module
+from gleaner.operators.crawl import crawl, crawl_content, crawl_stats, link_edges, spider_rules
 
 SPIDER_SCHEMA = (
     "spider_id bigint, url string, crawl_root boolean, target_links array<string>, "
     "expand_links array<string>, crawl_depth int"
 )
-
-
-def stack_model(T, E, root, D, crawl_root):
-    """The collector's own order: two stacks, pop from the end, per-kind depth maps."""
-    depths = {"target": {}, "expand": {}}
-    stacks = {"target": [], "expand": []}
-
-    def aggregate(links, depth):
-        for kind, found in links.items():
-            if kind == "expand" and depth == D:
-                continue
-            for u in found:
-                if u in depths[kind] and depths[kind][u] <= depth:
-                    continue
-                stacks[kind].append(u)
-                depths[kind][u] = depth
-
-    if crawl_root:
-        stacks["target"].append(root)
-        depths["target"][root] = 0
-    aggregate({"target": T.get(root, []), "expand": E.get(root, [])}, 1)
-    while stacks["target"] or stacks["expand"]:
-        while stacks["target"]:
-            u = stacks["target"].pop()
-            d = depths["target"][u]
-            if d < D:
-                aggregate({"target": T.get(u, [])}, d + 1)
-                if d < D - 1:
-                    aggregate({"expand": E.get(u, [])}, d + 1)
-        while stacks["expand"]:
-            u = stacks["expand"].pop()
-            d = depths["expand"][u]
-            if d >= D:
-                continue
-            aggregate({"target": T.get(u, []), "expand": E.get(u, [])}, d + 1)
-    return {(k, u, d) for k, m in depths.items() for u, d in m.items()}
+PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
 def url(i):
     return f"http://g.test/n{i}"
 
 
+def shortest(targets, expands, root, limit, crawl_root):
+    """Least depth of every (kind, page), by relaxing the stated rules until nothing changes.
+
+    A page may be entered from a page of kind k at depth d: as a target if d < limit, as an
+    expansion if one more level remains below it.
+    """
+    depth = {("target", root): 0} if crawl_root else {}
+
+    def offers():
+        for page in targets.get(root, ()):
+            yield ("target", page), 1
+        for page in expands.get(root, ()) if limit != 1 else ():
+            yield ("expand", page), 1
+        for (_, page), d in list(depth.items()):
+            if d < limit:
+                yield from ((("target", x), d + 1) for x in targets.get(page, ()))
+            if d + 1 < limit:
+                yield from ((("expand", x), d + 1) for x in expands.get(page, ()))
+
+    while any(d < depth.get(key, d + 1) for key, d in offers()):
+        for key, d in offers():
+            depth[key] = min(d, depth.get(key, d))
+    return {(kind, page, d) for (kind, page), d in depth.items()}
+
+
+def web(spark, n, targets, expands):
+    rows = []
+    for i in range(n):
+        links = [f'<a class="t" href="{x}">t</a>' for x in targets.get(url(i), ())]
+        links += [f'<a class="e" href="{x}">e</a>' for x in expands.get(url(i), ())]
+        rows.append((i, url(i), f"<p>{''.join(links)}</p>"))
+    return spark.createDataFrame(rows, PAGE_SCHEMA)
+
+
+pairs = lambda n, k: st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)), max_size=k * n)
 graphs = st.integers(3, 9).flatmap(
     lambda n: st.tuples(
-        st.just(n),
-        st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)), max_size=3 * n),
-        st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)), max_size=2 * n),
+        st.just(n), pairs(n, 3), pairs(n, 2),
         st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, 4), st.booleans()), min_size=1, max_size=4),
     )
 )
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(graphs)
-def test_crawl_matches_stack_model(spark, g):
-    n, tedges, eedges, spiders = g
-    T, E = {}, {}
-    for a, b in tedges:
-        T.setdefault(url(a), set()).add(url(b))
-    for a, b in eedges:
-        E.setdefault(url(a), set()).add(url(b))
-    T = {k: sorted(v) for k, v in T.items()}
-    E = {k: sorted(v) for k, v in E.items()}
-    rows = [(0, a, "target", b) for a, bs in T.items() for b in bs] + [(0, a, "expand", b) for a, bs in E.items() for b in bs]
-    edges = spark.createDataFrame(rows or [(0, "x", "target", "y")], "rules_id int, src_url string, kind string, dst_url string")
-    sp = spark.createDataFrame(
-        [(i, url(r), cr, ["t"], ["e"], d) for i, (r, d, cr) in enumerate(spiders)], SPIDER_SCHEMA
+def test_depths_are_the_shortest(spark, graph):
+    n, target_links, expand_links, starts = graph
+    targets, expands = ({url(a): sorted({url(y) for x, y in links if x == a}) for a in range(n)} for links in (target_links, expand_links))
+    # every spider has rules of its own
+    spiders = spark.createDataFrame(
+        [(i, url(r), root, [f"//a[@class='t' and not(@x='{i}')]"], [f"//a[@class='e' and not(@x='{i}')]"], d) for i, (r, d, root) in enumerate(starts)],
+        SPIDER_SCHEMA,
     )
-    got = crawl(sp, None, edges=edges).collect()
-    for i, (r, d, cr) in enumerate(spiders):
-        mine = {(x.kind, x.url, x.depth) for x in got if x.spider_id == i}
-        assert mine == stack_model(T, E, url(r), d, cr), (i, r, d, cr)
+    got = crawl(spiders, web(spark, n, targets, expands)).collect()
+    for i, (r, d, root) in enumerate(starts):
+        assert {(x.kind, x.url, x.depth) for x in got if x.spider_id == i} == shortest(targets, expands, url(r), d, root)
 
 
 def spiders(spark, depth, crawl_root=False):
-    return spark.createDataFrame(
-        [(1, "http://blog.test/", crawl_root, [TARGET], [EXPAND], depth)], SPIDER_SCHEMA
-    )
+    return spark.createDataFrame([(1, "http://blog.test/", crawl_root, [TARGET], [EXPAND], depth)], SPIDER_SCHEMA)
 
 
 def test_html_crawl_depths(spark, pages):
@@ -121,16 +110,39 @@ def test_crawl_content_and_stats(spark, pages):
     assert len(rec) == 5 and all(r.page_key.endswith("-blog.test") for r in rec)
 
 
-def test_bucketed_edges_and_hot_urls(spark, pages, monkeypatch):
-    """The large-edge path (bucketed table) and the hot-URL split give the same crawl."""
-    from gleaner.operators import crawl as C
-
-    sp = spark.createDataFrame(
-        [(i, "http://blog.test/", i % 2 == 0, [TARGET], [EXPAND], 2) for i in range(12)], SPIDER_SCHEMA
+def test_missing_and_empty_rule_lists_are_the_same(spark, pages):
+    both = spark.createDataFrame(
+        [(1, "http://blog.test/", False, [TARGET], None, 2), (2, "http://blog.test/", False, [TARGET], [], 2)], SPIDER_SCHEMA
     )
-    want = sorted(tuple(r) for r in crawl(sp, pages).collect())
-    monkeypatch.setattr(C, "BROADCAST_EDGE_ROWS", 0)
-    assert sorted(tuple(r) for r in crawl(sp, pages).collect()) == want
-    monkeypatch.setattr(C, "HOT_FRONTIER_ROWS", 3)
-    monkeypatch.setattr(C, "HOT_SALTS", 4)
-    assert sorted(tuple(r) for r in crawl(sp, pages).collect()) == want
+    assert spider_rules(both).select("rules_id").distinct().count() == 1
+    rows = [tuple(r) for r in crawl(both, pages).collect()]
+    assert len(rows) == len(set(rows)) and {r[1:] for r in rows if r[0] == 1} == {r[1:] for r in rows if r[0] == 2}
+
+
+def test_pages_nobody_reaches_are_not_parsed(spark, pages, monkeypatch):
+    asked = []
+    real = crawl_module.link_edges
+
+    def watched(snapshot, wanted):
+        asked.extend(r.url for r in wanted.select("url").collect())
+        return real(snapshot, wanted)
+
+    monkeypatch.setattr(crawl_module, "link_edges", watched)
+    crawl(spiders(spark, 1), pages).collect()
+    assert asked == ["http://blog.test/"]
+
+
+def test_many_rule_sets_on_one_page(spark, monkeypatch):
+    monkeypatch.setattr(crawl_module, "RULES_PER_ROW", 7)
+    page = spark.createDataFrame([(1, url(1), "".join(f'<a id="k{i}" href="/{i}">x</a>' for i in range(60)))], PAGE_SCHEMA)
+    many = spark.createDataFrame([(i, url(1), False, [f"//a[@id='k{i}']"], ["//b"], 1) for i in range(60)], SPIDER_SCHEMA)
+    wanted = spider_rules(many)
+    edges = link_edges(page, wanted).join(wanted.select("rules_id", "spider_id"), "rules_id").collect()
+    assert {(r.spider_id, r.dst_url) for r in edges} == {(i, f"http://g.test/{i}") for i in range(60)}
+
+
+def test_unsupported_rules_are_rejected_and_seen(spark, pages):
+    sp = spark.createDataFrame([(1, "http://blog.test/", False, ["//a/following::b"], ["//["], 1)], SPIDER_SCHEMA)
+    edges = link_edges(pages, spider_rules(sp)).collect()
+    assert [(r.kind, r.dst_url) for r in edges] == [("rejected", "//a/following::b")]
+    assert crawl(sp, pages).count() == 0

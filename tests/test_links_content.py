@@ -75,7 +75,7 @@ def test_content_images_media(pages):
 def test_content_options(pages):
     assert all(r.images == [] for r in record(pages, [2, 3], get_image=False).values())
     blocked = collect_content(pages.where("page_id = 0"), {"post": ("//div[@class='post-body']", "text")},
-                              black_words="panicked, phone").first()
+                              black_words="wrote in, telegram").first()
     assert blocked.blocked
     plain = record(pages, [2])[2].content["body"][0]
     refined = record(pages, [2], replace_rules=[r"<img[^>]*>"])[2].content["body"][0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import os
 import re
@@ -12,11 +13,18 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.content import collect_content
 from gleaner.operators.results import assign_task_id, results_clean, results_json
-from gleaner.plans.operations import run_operations
+from gleaner.plans.operations import crawl_records, run_operations
 from gleaner.sources import config
 from gleaner.sources.media import media_files, read_media
-from gleaner.sources.pages import resolve_pages
-from gleaner.sources.store import collect_manifest, manifest_of, retire_content, skip_collected, write_results
+from gleaner.sources.pages import read_pages_from, resolve_pages
+from gleaner.sources.store import (
+    collect_manifest,
+    delete_results,
+    manifest_of,
+    retire_content,
+    skip_collected,
+    write_results,
+)
 
 SPIDERS = (
     "spider_id bigint, url string, crawl_root boolean, target_links array<string>, "
@@ -37,7 +45,7 @@ def test_operate_two_operations(spark, pages):
     assert set(doc) == {"id", "task", "url", "start", "end", "results"}
     assert [r["extras"]["action"] + "_" + r["extras"]["target"] for r in doc["results"]] == ["get_content", "get_links"]
     assert doc["results"][0]["content"] == {"title": ["First post"]}
-    assert doc["results"][0]["extras"]["uuid"] == doc["id"]
+    assert doc["results"][0]["extras"]["uuid"].endswith("-blog.test")
     assert len(doc["results"][1]["content"]) == 9
     assert re.match(r"\d{4}/\d\d/\d\d \d\d:\d\d:\d\d$", doc["start"])
     clean = results_clean(env).collect()
@@ -62,8 +70,6 @@ def test_operate_all_operations(spark, pages):
     env = run_operations(spiders(spark), pages, ops[-1:], {"t": ("//title", "text")})
     doc = json.loads(env.select(results_json(env, pretty=False).alias("j")).first().j)
     assert doc["results"][0]["content"] == {"pages": 3}
-    from gleaner.plans.operations import crawl_records
-
     rows = crawl_records(spiders(spark), pages, {"t": ("//title", "text")}).collect()
     assert sorted(r.content["t"][0] for r in rows) == ["First post", "Second post", "Third post"]
 
@@ -75,30 +81,71 @@ def test_task_ids(spark):
     taken = spark.createDataFrame([(out[2],)], "task_id string")
     again = {r.spider_id: r.task_id for r in assign_task_id(df, prefix="p-", existing=taken).collect()}
     assert again[2] != out[2] and again[3] == out[3] and again[1] == "given"
+    for _ in range(6):  # however many rounds it takes
+        taken = taken.union(spark.createDataFrame([(again[2],)], "task_id string"))
+        again = {r.spider_id: r.task_id for r in assign_task_id(df, prefix="p-", existing=taken).collect()}
+    assert again[2] not in {r.task_id for r in taken.collect()}
+
+
+def test_runs_differ_and_every_operation_has_a_datum(spark, pages):
+    sp = spark.createDataFrame([(1, "http://blog.test/", False, [TARGET], None, 1), (2, "http://blog.test/none", False, [TARGET], [], 1)], SPIDERS)
+    ops = [(a, t) for a, t in [("get", "page"), ("get", "links"), ("get", "article"), ("get", "content"), ("crawl", "content")]]
+    first, second = (run_operations(sp, pages, ops, {"t": ("//title", "text")}) for _ in range(2))
+    assert {len(r.results) for r in first.collect()} == {5}
+    assert {r.id for r in first.collect()}.isdisjoint({r.id for r in second.collect()})
+    assert {r.task for r in first.collect()}.isdisjoint({r.task for r in second.collect()})
 
 
 def test_store_manifest_retire_skip(spark, pages):
     base = tempfile.mkdtemp(prefix="gleaner-store-")
-    ops = [{"action": "get", "target": "content"}]
-    env = run_operations(spiders(spark), pages, ops, {"t": ("//title", "text")})
+    ops = [{"action": "get", "target": "content"}, {"action": "crawl", "target": "content"}]
+    sels = {"t": ("//title", "text")}
+    env = run_operations(spiders(spark), pages, ops, sels, run_id="r1")
     ts = F.lit("2024-01-02 03:04:05").cast("timestamp")
-    rec = collect_content(pages, {"t": ("//title", "text")}).drop("items")
-    write_results(env, base, ts, compress=True, records=rec)
-    back = spark.read.json(f"{base}/results")
-    assert back.count() == 1 and {"year", "month", "day"} <= set(back.columns)
-    assert back.first().year == 2024
-    assert any(f.endswith(".gz") for _, _, fs in os.walk(f"{base}/results") for f in fs)
-    assert spark.read.json(f"{base}/index").count() == pages.count()
-    m = collect_manifest(env, "results", ts).collect()
-    assert len(m) == 1 and m[0].state == 0 and m[0].local_path.startswith("results/2024/01/02/")
+    rec = crawl_records(spiders(spark), pages, sels)
+    for _ in range(2):  # a repeated run replaces itself
+        write_results(env, base, dt.datetime(2024, 1, 2, 3, 4, 5), "r1", records=rec)
+    (m,) = collect_manifest(env, ts, "r1").collect()
+    assert m.state == 0 and m.local_path == "results/2024/01/02/r1"
+    assert spark.read.json(f"{base}/{m.local_path}/envelopes").count() == 1
+    assert spark.read.json(f"{base}/{m.local_path}/crawl").count() == 3
+    assert any(f.endswith(".gz") for _, _, fs in os.walk(base) for f in fs)
+    clean = results_clean(env, rec).where("op_index = 1").collect()
+    assert [json.loads(c.item)["t"] for c in sorted(clean, key=lambda c: c.item)] == [["First post"], ["Second post"], ["Third post"]]
     links_only = run_operations(spiders(spark), pages, [{"action": "get", "target": "links"}])
-    assert collect_manifest(links_only, "results", ts).count() == 0  # no files, no record
-    man = manifest_of(pages, "results", ts)
-    m2, r2 = retire_content(man, pages, pages.where("page_id = 2"))
-    gone = m2.where("state = 1").collect()
-    assert [(g.url, g.local_path) for g in gone] == [("http://blog.test/posts/first", "")]
-    assert r2.count() == pages.count() - 1
-    assert skip_collected(pages, m2).count() == 1  # the retired one is collectable again
+    assert collect_manifest(links_only, ts, "r2").count() == 0  # no files, no record
+    man = manifest_of(pages, ts, "r1").unionByName(manifest_of(pages, ts, "r2")).persist()
+    first = man.where("local_path like '%r1'")
+    of_page = first.where("url = 'http://blog.test/posts/first'")
+    m2 = retire_content(man, of_page)
+    assert [(g.id, g.local_path) for g in m2.where("state = 1").collect()] == [(of_page.first().id, "")]
+    results, records = delete_results(man.select("id"), man, of_page)
+    assert results.count() == records.count() == man.count() - 1
+    assert skip_collected(pages, retire_content(first, of_page)).count() == 1  # the retired one is collectable again
+
+
+def test_stream_goes_on_where_it_ended(spark, pages):
+    from gleaner.streaming.collect import collect_stream
+
+    src = tempfile.mkdtemp(prefix="gleaner-again-src-")
+    sink = tempfile.mkdtemp(prefix="gleaner-again-") + "/sink"
+    for name, part in (("1", pages.where("page_id < 4")), ("2", pages)):
+        part.write.parquet(f"{src}/{name}")
+        q, _ = collect_stream(spark, src + "/*", {"t": ("//title", "text")}, sink_path=sink)
+        q.awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(sink).collect()) == sorted(r.url for r in pages.collect())
+
+
+def test_article_has_a_row_for_every_page(spark):
+    from gleaner.operators.article import extract_article
+
+    text = "words enough to be a paragraph of its own"
+    html = ["<html></html>", "<head><title>t</title></head>", None,
+            f"<nav><p><a href='/'>{text}</a></p></nav><div><p>{text}</p><script>no()</script><form>f</form></div>"]
+    got = {r.page_id: r for r in extract_article(read_pages_from(spark.createDataFrame(
+        [(i, "u", h) for i, h in enumerate(html)], "page_id bigint, url string, html string"))).collect()}
+    assert len(got) == 4 and got[1].title == "t"
+    assert got[3].content == f"<html><body><div><div><p>{text}</p></div></div></body></html>"
 
 
 def test_resolve_pages_and_loader(spark, pages):
@@ -115,15 +162,18 @@ def test_resolve_pages_and_loader(spark, pages):
 
 def test_media_files(spark):
     folder = tempfile.mkdtemp(prefix="gleaner-media-")
-    with open(os.path.join(folder, "one.jpg"), "wb") as f:
+    os.makedirs(os.path.join(folder, "img"))
+    with open(os.path.join(folder, "img", "one.jpg"), "wb") as f:
         f.write(b"\xff\xd8jpeg")
     refs = spark.createDataFrame(
-        [("http://blog.test/media/one.jpg?size=2",), ("http://blog.test/media/gone.png",)], "file_url string"
+        [("http://blog.test/media/img/one.jpg",), ("http://other.test/media/img/one.jpg",), ("http://blog.test/gone.png",)], "file_url string"
     )
-    got = {r.file_url: r for r in media_files(refs, read_media(spark, folder)).collect()}
-    assert got["http://blog.test/media/one.jpg?size=2"].stored_name == "one.jpg"
-    assert bytes(got["http://blog.test/media/one.jpg?size=2"].content) == b"\xff\xd8jpeg"
-    assert got["http://blog.test/media/gone.png"].stored_name is None
+    files = read_media(spark, folder, "http://blog.test/media")
+    got = {r.file_url: r for r in media_files(refs, files, with_content=True).collect()}
+    one = got["http://blog.test/media/img/one.jpg"]
+    assert one.stored_name == "one.jpg" and bytes(one.content) == b"\xff\xd8jpeg"
+    # the same name elsewhere is another file
+    assert {r.stored_name for u, r in got.items() if u != one.file_url} == {None}
 
 
 def test_spider_plan(spark):
