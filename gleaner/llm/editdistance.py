@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Characters of padded matrices per batch of pairs.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def _codes(strings: list[str], width: int) -> np.ndarray:

@@ -7,8 +7,10 @@ for every length within ``limit`` below its own, the few substrings that can mat
 (the multi-match-aware windows of segment partitioning). Lines that meet are verified
 by banded bit-parallel edit distance.
 
-Index entries and probes are hashed in tasks, sorted into hash ranges ("slices"), and
-only lines that meet leave a slice. Equal lines are one class: they are told by two
+Index entries and probes are hashed in tasks and sorted into hash ranges ("slices").
+Each carries a 64-bit profile of its line, the numbers of characters of 16 kinds; as one
+edit moves two of them by one, lines whose profiles differ by more than twice the limit
+cannot be within it. Only lines that meet with close profiles leave a slice. Equal lines are one class: they are told by two
 64-bit hashes, counted with partial aggregation, and join once.
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.editdistance import within
 from gleaner.llm.lm import edges, pack_hashes, unpack_hashes
 from gleaner.llm.scratch import Scratch, ship
+from gleaner.llm.text import pieces
 
 #: White space trimmed from both ends of a line; the line feed separates lines.
 EDGES = " \t\x0b\x0c\r"
@@ -56,6 +59,22 @@ def probe_places(own: int, indexed: int, limit: int) -> list[tuple[int, int, int
     return out
 
 
+def profile(line: str) -> int:
+    """Characters of each of 16 kinds, modulo 16, four bits each."""
+    kinds = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) & 15, minlength=16)
+    return int(np.bitwise_or.reduce((kinds.astype(np.uint64) & np.uint64(15)) << SHIFTS))
+
+
+SHIFTS = np.arange(0, 64, 4, dtype=np.uint64)
+
+
+def close(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Which profiles of ``a`` (rows) and ``b`` (columns) allow ``limit`` edits."""
+    x, y = (((p[:, None] >> SHIFTS) & np.uint64(15)).astype(np.int8) for p in (a, b))
+    apart = np.abs(x[:, None, :] - y[None, :, :])
+    return np.minimum(apart, 16 - apart).sum(2, dtype=np.int16) <= 2 * limit
+
+
 class Plans(dict):
     """Line length to its substrings ``start, end, seed``: index entries first, then probes."""
 
@@ -79,21 +98,21 @@ class Plans(dict):
 
 
 def entries(docs: DataFrame, limit: int, min_chars: int, slices: int, buffer_lines: int) -> DataFrame:
-    """``slice, keys, lines, indexed`` of the index entries and probes of every buffer of distinct lines."""
-    names = ["slice", "keys", "lines", "indexed"]
-    kind = pa.schema([("slice", pa.int32()), ("keys", pa.binary()), ("lines", pa.binary()), ("indexed", pa.binary())])
+    """``slice, keys, lines, profiles, indexed`` of the entries and probes of every buffer of distinct lines."""
+    names = ["slice", "keys", "lines", "profiles", "indexed"]
+    kind = pa.schema([("slice", pa.int32()), *((n, pa.binary()) for n in names[1:])])
     cuts_at = edges(slices)
 
-    def deal(keys: list[int], lines: list[int], counts: list[int], indexed: list[int]) -> pa.RecordBatch:
+    def deal(keys: list, lines: list, profiles: list, counts: list, indexed: list) -> pa.RecordBatch:
         key = np.array(keys, np.uint64)
-        line = np.repeat(np.array(lines, np.uint64), counts)
+        line, shape = (np.repeat(np.array(x, np.uint64), counts) for x in (lines, profiles))
         first = np.repeat(np.cumsum(counts) - counts, counts)
         is_index = np.arange(len(key)) - first < np.repeat(indexed, counts)
         order = np.argsort(key)
-        key, line, is_index = key[order], line[order], is_index[order]
+        key, line, shape, is_index = key[order], line[order], shape[order], is_index[order]
         cuts = np.r_[np.searchsorted(key, cuts_at), len(key)]
         rows = [
-            (k, pack_hashes(key[i:j]), line[i:j].tobytes(), np.packbits(is_index[i:j]).tobytes())
+            (k, pack_hashes(key[i:j]), line[i:j].tobytes(), shape[i:j].tobytes(), np.packbits(is_index[i:j]).tobytes())
             for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
             if i < j
         ]
@@ -102,8 +121,8 @@ def entries(docs: DataFrame, limit: int, min_chars: int, slices: int, buffer_lin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans = Plans(limit, min_chars)
         hashed, line_hash = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
-        seen, keys, lines, counts, indexed = set(), [], [], [], []
-        for b in batches:
+        seen, keys, lines, profiles, counts, indexed = set(), [], [], [], [], []
+        for b in pieces(batches):
             for text in b["text"].to_pylist():
                 for line in (text or "").split("\n"):
                     line = line.strip(EDGES)
@@ -116,41 +135,44 @@ def entries(docs: DataFrame, limit: int, min_chars: int, slices: int, buffer_lin
                     plan, n_index = plans[len(line)]
                     keys += [hashed(line[a:e], seed) for a, e, seed in plan]
                     lines.append(h)
+                    profiles.append(profile(line))
                     counts.append(len(plan))
                     indexed.append(n_index)
                 if len(lines) >= buffer_lines:
-                    yield deal(keys, lines, counts, indexed)
-                    seen, keys, lines, counts, indexed = set(), [], [], [], []
+                    yield deal(keys, lines, profiles, counts, indexed)
+                    seen, keys, lines, profiles, counts, indexed = set(), [], [], [], [], []
         if lines:
-            yield deal(keys, lines, counts, indexed)
+            yield deal(keys, lines, profiles, counts, indexed)
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "slice int, keys binary, lines binary, indexed binary"
+        run, "slice int, keys binary, lines binary, profiles binary, indexed binary"
     )
 
 
-def met(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of distinct lines of a slice of which one probes what the other is indexed under."""
+def met(group: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Pairs of lines of a slice of which one probes what the other is indexed under, profiles close."""
     key = np.concatenate([unpack_hashes(x) for x in group["keys"]])
-    line = np.concatenate([np.frombuffer(x, np.uint64) for x in group["lines"]])
+    line, shape = (np.concatenate([np.frombuffer(x, np.uint64) for x in group[c]]) for c in ("lines", "profiles"))
     sizes = [len(x) // 8 for x in group["lines"]]
     is_index = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group["indexed"], sizes)])
     order = np.lexsort((1 - is_index, line, key))
-    key, line, is_index = key[order], line[order], is_index[order]
+    key, line, shape, is_index = key[order], line[order], shape[order], is_index[order]
     # an entry both indexed and probing counts as indexed: index entries probe their own length
     single = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]
-    key, line, is_index = key[single], line[single], is_index[single]
+    key, line, shape, is_index = key[single], line[single], shape[single], is_index[single]
     begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[begins[1:], len(key)]
     several = (ends - begins > 1) & (np.add.reduceat(is_index, begins) > 0)
     u, v = [], []
     for i, j in zip(begins[several], ends[several]):
-        lines, own = line[i:j], line[i:j][is_index[i:j] > 0]
+        own = i + np.flatnonzero(is_index[i:j])
         for at in range(0, len(own), 64):
-            block = own[at : at + 64]
-            a, b = np.repeat(block, len(lines)), np.tile(lines, len(block))
-            u.append(np.minimum(a, b)[a != b])
-            v.append(np.maximum(a, b)[a != b])
+            for to in range(i, j, 4096):
+                block, others = own[at : at + 64], np.arange(to, min(j, to + 4096))
+                x, y = np.nonzero(close(shape[block], shape[others], limit))
+                a, b = line[block[x]], line[others[y]]
+                u.append(np.minimum(a, b)[a != b])
+                v.append(np.maximum(a, b)[a != b])
     pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1) if u else np.empty((2, 0), np.uint64)
     return pd.DataFrame({"u": pairs[0].astype(np.uint64).view(np.int64), "v": pairs[1].astype(np.uint64).view(np.int64)})
 
@@ -159,7 +181,7 @@ def verified(pairs: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
     """Pairs within ``limit`` edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2000):
             if b.num_rows:
                 keep = pa.array(within(b["tu"].to_pylist(), b["tv"].to_pylist(), limit) <= limit)
                 yield pa.record_batch([b["u"].filter(keep), b["v"].filter(keep)], ["u", "v"])
@@ -183,7 +205,7 @@ def near_lines(
     min_chars: int = 20,
     min_repeats: int = 2,
     slice_bytes: int = 24 << 20,
-    buffer_lines: int = 40_000,
+    buffer_lines: int = 20_000,
 ) -> DataFrame:
     """``doc_id, line_no, n_chars, class_doc, class_line, n_copies, n_links, kept`` of every line.
 
@@ -216,7 +238,7 @@ def near_lines(
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, math.ceil(n_bytes / slice_bytes))
     dealt = entries(docs, limit, min_chars, slices, buffer_lines)
-    pairs = scratch.save(dealt.groupBy("slice").applyInPandas(met, "u long, v long").distinct())
+    pairs = scratch.save(dealt.groupBy("slice").applyInPandas(lambda g: met(g, limit), "u long, v long").distinct())
     ends = pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct()
     texts = scratch.save(
         line_rows(docs)
