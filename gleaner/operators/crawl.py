@@ -118,13 +118,14 @@ def link_edges(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
     links = dealt(found).select("url", "html", "rules").mapInArrow(run, _FOUND)
     href = py_strip(F.col("href"))
-    keyed = links.where("kind <> 'rejected'").withColumn("key", link_key(href)).where(is_http(F.col("key")))
+    refused = F.col("kind") == "rejected"
+    keyed = links.withColumn("key", F.when(refused, F.col("href")).otherwise(link_key(href)))
+    keyed = keyed.where(refused | is_http(F.col("key")))
     text = py_strip(F.coalesce("text", F.lit("")))
     first = Window.partitionBy("src_url", "rules_id", "kind", "key").orderBy((text == "").asc(), "sel", "node")
     kept = keyed.withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
-    edges = kept.select("rules_id", "src_url", "kind", complete_url(F.col("src_url"), href).alias("dst_url"))
-    rejected = links.where("kind = 'rejected'").select("rules_id", "src_url", "kind", F.col("href").alias("dst_url"))
-    return edges.unionByName(rejected).distinct()
+    target = F.when(refused, F.col("href")).otherwise(complete_url(F.col("src_url"), href))
+    return kept.select("rules_id", "src_url", "kind", target.alias("dst_url")).distinct()
 
 
 def merge_frontier(candidates: DataFrame, visited: DataFrame | None) -> DataFrame:

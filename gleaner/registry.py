@@ -441,7 +441,7 @@ def linked_web(spark, sf) -> DataFrame:
         F.lit('<a data-go="on" href="'), F.col("u3"), F.lit('">next</a>'),
     )
     web = p.join(broadcast_if_small(links.select("page_id", "u1", "u2", "u3")), "page_id")
-    return web.select("page_id", "url", F.replace(F.col("html"), F.lit("</footer>"), block).alias("html"))
+    return web.select("page_id", "url", F.replace(F.col("html"), F.lit("</footer>"), block).alias("html")).checkpoint()
 
 
 def _spiders(spark, sf, depth: int, root_on_even: bool) -> DataFrame:
