@@ -3,8 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
 from conftest import frame, sentence
 
+from gleaner.llm import minhash
 from gleaner.llm.bwt import shared_windows
 from gleaner.llm.components import star_forest
 from gleaner.llm.editdistance import within
@@ -12,6 +14,7 @@ from gleaner.llm.exactdedup import remove_repeats
 from gleaner.llm.linededup import near_lines, parts, probe_places
 from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.scratch import Scratch
+from gleaner.llm.segments import segments
 
 
 def edits(a, b):
@@ -183,6 +186,28 @@ def test_near_duplicates_against_brute_force(spark):
         assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in range(len(texts)))
 
 
+def test_links_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+    texts = families(random.Random(21), n=2, size=25)
+    docs = minhash._texts(frame(spark, texts))
+    members = spark.createDataFrame([(i, i, i % 2) for i in range(len(texts))], "id long, root long, family long")
+    got = {tuple(r) for r in minhash._links_in_blocks(members, docs, 2, 80).collect()}
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    want = {
+        (i, j) for i in range(len(texts)) for j in range(i)
+        if i % 2 == j % 2 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    }
+    assert got == want and want
+
+
+def test_minimizers_spread_over_all_slices():
+    text = " ".join(sentence(random.Random(k), 50) for k in range(40)).encode()
+    keys, starts, counts = segments(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]), 100)
+    assert 0.3 < (keys < np.uint64(2**63)).mean() < 0.7
+    # every window belongs to one segment
+    assert counts.sum() == len(text) - 99 and (starts[1:] == (starts + counts)[:-1]).all()
+
+
 def test_star_forest(spark):
     rng = random.Random(8)
     chain = [(i + 1, i) for i in range(0, 40)]
