@@ -10,8 +10,11 @@
 5. A bucket whose members ended in one component is closed: no further comparison can
    change it. In the open ones a pivot may have hidden a link. A document can only link
    to another component if enough of its shingles occur there, so those whose shingles
-   are mostly their own component's are proven done, without forming a pair; the pairs
-   across components that are left are compared, and components contracted again.
+   are mostly their own component's are proven done. The others are compared across
+   components in blocks: families that share buckets are cut into blocks of BLOCK_DOCS,
+   and a task multiplies the incidence matrices of two blocks and emits links only, so a
+   large family around the threshold makes no pair rows. Then components are contracted
+   again.
 
 A pair at the threshold shares no bucket with probability (1 - t^rows)^bands: 3e-6 for
 32 bands of 5 at 0.8.
@@ -23,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,11 +34,13 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.components import star_forest
 from gleaner.llm.scratch import Scratch, ship
-from gleaner.llm.text import byte_words
+from gleaner.llm.text import byte_words, pieces
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Standard errors that a signature's estimate may fall short of the threshold.
 SLACK = 5.0
+#: Documents of a block of a family, and shingles of a slab of its incidence matrix.
+BLOCK_DOCS, SLAB = 256, 16_384
 
 
 class WordHashes(dict):
@@ -95,7 +101,7 @@ def sketch(docs: DataFrame, shingle: int, count: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, minima = WordHashes(), Minima(count, seed)
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingle_hashes(t, shingle, known) for t in b["text"].to_pylist()]
             yield pa.record_batch(
                 [
@@ -137,7 +143,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, scra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, set()
-        for b in batches:
+        for b in pieces(batches):
             keep = []
             for v, tv, tu in zip(b["v"].to_pylist(), b["tv"].to_pylist(), b["tu"].to_pylist()):
                 if v != last:
@@ -166,12 +172,12 @@ def _may_link(open_docs: DataFrame, texts: DataFrame, shingle: int, percent: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for b in batches:
-            for i, root, text in zip(*(b[c].to_pylist() for c in ("id", "root", "text"))):
-                h = shingle_hashes(text, shingle, known).view(np.int64)
-                yield pa.record_batch(
-                    [pa.array(h), *(pa.array(np.full(len(h), x)) for x in (i, root, len(h)))], ["h", "id", "root", "n"]
-                )
+        for b in pieces(batches, 64):
+            sets = [shingle_hashes(t, shingle, known).view(np.int64) for t in b["text"].to_pylist()]
+            n = np.array([len(h) for h in sets])
+            ids, roots = (b[c].to_numpy() for c in ("id", "root"))
+            columns = [np.concatenate(sets), np.repeat(ids, n), np.repeat(roots, n), np.repeat(n, n)]
+            yield pa.record_batch([pa.array(c) for c in columns], ["h", "id", "root", "n"])
 
     found = texts.join(ship(open_docs), "id").dropDuplicates(["id"]).select("id", "root", "text")
     left = scratch.save(found.mapInArrow(run, "h long, id long, root long, n long"))
@@ -188,6 +194,54 @@ def _may_link(open_docs: DataFrame, texts: DataFrame, shingle: int, percent: int
     return able
 
 
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``left`` with every one of ``right``."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    known = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for at in range(0, len(known), SLAB):
+        slab = known[at : at + SLAB]
+
+        def incidence(sets):
+            m = np.zeros((len(sets), len(slab)), np.float32)
+            for row, s in zip(m, sets):
+                place = np.searchsorted(slab, s)
+                place[place == len(slab)] = 0
+                row[place[slab[place] == s]] = 1
+            return m
+
+        out += incidence(left) @ incidence(right).T
+    return out.astype(np.int64)
+
+
+def _links_in_blocks(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links ``u, v`` across the roots of a family, by 64-bit shingle hashes; ``members`` has ``id, root, family``."""
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "family").select("id", "root", "family", block.alias("block"), "blocks")
+    own = texts.join(ship(members.select("id")), "id", "left_semi").dropDuplicates(["id"])
+    rows = dealt.join(own, "id").select(
+        "id", "root", "family", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    )
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        known = WordHashes()
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        sides = [group[group["block"] == b] for b in (i, j)]
+        if not len(sides[0]) or not len(sides[1]):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        sets = [[shingle_hashes(t, shingle, known) for t in side["text"]] for side in sides]
+        both = common_shingles(*sets)
+        n = [np.array([len(x) for x in side]) for side in sets]
+        ids, roots = ([side[c].to_numpy(np.int64) for side in sides] for c in ("id", "root"))
+        union = n[0][:, None] + n[1][None, :] - both
+        hit = (100 * both >= percent * union) & (roots[0][:, None] != roots[1][None, :])
+        a, b = (ids[0][hit.nonzero()[0]], ids[1][hit.nonzero()[1]])
+        return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
+
+    return rows.groupBy("family", "i", "j").applyInPandas(run, "u long, v long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -245,9 +299,12 @@ def near_duplicates(
     if rest.limit(1).count():
         able = _may_link(rest.select("id", "root").distinct(), involved_texts, shingle, percent, scratch)
         rest = still_open(rest.join(ship(able), "id", "left_semi"))
-        left = rest.select("bucket", F.col("id").alias("u"), F.col("root").alias("ru"))
-        right = rest.select("bucket", F.col("id").alias("v"), F.col("root").alias("rv"))
-        across = left.join(right, "bucket").where("u > v and ru <> rv").select("u", "v").distinct()
+        least = rest.groupBy("bucket").agg(F.min("id").alias("v"))
+        meet = rest.join(least, "bucket").where("id > v").select(F.col("id").alias("u"), "v").distinct()
+        family = star_forest(meet, scratch).select(F.col("u").alias("id"), F.col("v").alias("family"))
+        members = rest.select("id", "root").distinct().join(family, "id", "left")
+        members = scratch.save(members.withColumn("family", F.coalesce("family", "id")))
+        across = scratch.save(_links_in_blocks(members, involved_texts, shingle, percent))
         more = link(across.join(tested, ["u", "v"], "left_anti"))
         forest = star_forest(forest.unionByName(more), scratch)
     roots = labelled(classes.select("digest", F.col("rep").alias("id"))).select("digest", "root")
