@@ -29,7 +29,7 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\"
 CLASS_BASE = 4
 BLOCK = 4
 SHINGLE = 5
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 EPS = 1e-9
 HITS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
@@ -281,7 +281,11 @@ def _finder(shared, min_score: float, min_overlap: float):
         found_type = pa.list_(pa.struct([("item_id", pa.int64()), *numbers]))
         known = Terms(shared.value.numbers)
         for texts in batches:
-            hits = [search(shared.value, known, x, min_score, min_overlap) if x else [] for x in texts.to_pylist()]
+            hits = [
+                search(shared.value, known, x, min_score, min_overlap) if x else []
+                for at in range(0, len(texts), 256)
+                for x in texts.slice(at, 256).to_pylist()
+            ]
             yield pa.array(hits, found_type)
 
     return find

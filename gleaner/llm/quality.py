@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.labelled import FOLDS, training_rows
-from gleaner.llm.text import fold
+from gleaner.llm.text import fold, pieces
 
 NGRAMS = (3, 4)
 #: Words a task remembers before it starts its table anew.
@@ -145,7 +145,7 @@ def collect_features(sample: DataFrame, bits: int):
     """Features and labels of the bounded sample, in id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             got = [features(x, bits) for x in b["text"].to_pylist()]
             yield pa.record_batch(
                 [
@@ -181,7 +181,7 @@ def quality(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margin, bias = shared.value
         projected = Projected(margin, bits)
-        for b in batches:
+        for b in pieces(batches):
             scores = [score_text(x, projected, bias) for x in b["text"].to_pylist()]
             yield pa.record_batch([b["doc_id"], b["held_out"], pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 

@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.labelled import FOLDS, training_rows
-from gleaner.llm.text import byte_words, fold
+from gleaner.llm.text import byte_words, fold, pieces
 
 PUNCTUATION = b".,;:!?\"'()[]{}<>|*#$%&-_=+/\\"
 #: Words a task remembers before it starts its table anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 class Machine(NamedTuple):
@@ -150,7 +150,7 @@ def collect_terms(sample: DataFrame, bits: int) -> tuple[list[np.ndarray], np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets(bits)
-        for b in batches:
+        for b in pieces(batches):
             terms = [buckets.terms(x).tobytes() for x in b["text"].to_pylist()]
             yield pa.record_batch([b["__id"].cast(pa.int64()), b["label"], pa.array(terms, pa.binary())], ["id", "label", "terms"])
 
@@ -171,7 +171,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, bit
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets = Buckets(bits, model.value.known)
         for texts in batches:
-            yield pa.array(score_terms(model.value, [buckets.terms(x) for x in texts.to_pylist()]), pa.float64())
+            parts = (texts.slice(at, 256).to_pylist() for at in range(0, len(texts), 256))
+            scores = [score_terms(model.value, [buckets.terms(x) for x in part]) for part in parts]
+            yield pa.array(np.concatenate([np.empty(0), *scores]), pa.float64())
 
     # nondeterministic: a filter on the score must not compute it a second time
     scored = score.asNondeterministic()
