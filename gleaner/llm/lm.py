@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.scratch import Scratch
-from gleaner.llm.text import byte_words, fold
+from gleaner.llm.text import byte_words, fold, pieces
 
 #: Documents whose crc32(doc_id as text) mod FOLDS is HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 7, 2
@@ -118,7 +118,8 @@ class Builder:
             "block": block,
             "deleted": self.deleted,
             "n_tokens": self.size,
-            "ids": [int(i) if i is not None else None for i in self.ids],
+            "ids": np.array([0 if i is None else i for i in self.ids], np.int64).tobytes(),
+            "no_id": [i is None for i in self.ids],
             "held": self.held,
             "lengths": self.lengths,
             "words": hashes[order].tobytes(),
@@ -126,10 +127,10 @@ class Builder:
         }
 
 
-BLOCKS = "block string, deleted boolean, n_tokens long, ids array<long>, held array<boolean>, lengths array<long>, words binary, tokens binary"
+BLOCKS = "block string, deleted boolean, n_tokens long, ids binary, no_id array<boolean>, held array<boolean>, lengths array<long>, words binary, tokens binary"
 BLOCK_TYPE = pa.schema(
-    [("block", pa.string()), ("deleted", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())),
-     ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("tokens", pa.binary())]
+    [("block", pa.string()), ("deleted", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()),
+     ("no_id", pa.list_(pa.bool_())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("tokens", pa.binary())]
 )
 
 
@@ -146,7 +147,7 @@ def encode(docs: DataFrame, block_tokens: int) -> DataFrame:
             full, open_blocks[deleted] = open_blocks[deleted], Builder(deleted)
             return pa.RecordBatch.from_pylist([full.row(f"{task}-{count}")], schema=BLOCK_TYPE)
 
-        for b in batches:
+        for b in pieces(batches):
             columns = [b[c].to_pylist() for c in ("id", "held", "deleted", "part")]
             for doc_id, held, deleted, part, text in zip(*columns, b["text"].to_pylist()):
                 task = part
@@ -362,10 +363,10 @@ def lm_scores(
         bucket, f = estimates(c.counts, c.contexts, total, distinct)
         p = (weights[bucket].T * f).sum(0)
         by_doc = lambda x: np.add.reduceat(x, c.grams.starts)
-        ids = [int(i) if i is not None and i == i else None for i in block["ids"].iloc[0]]
+        ids = np.frombuffer(block["ids"].iloc[0], np.int64)
         return pd.DataFrame(
             {
-                "doc_id": pd.array(ids, "Int64"),
+                "doc_id": pd.arrays.IntegerArray(ids.copy(), np.array(block["no_id"].iloc[0], bool)),
                 "held_out": c.grams.held,
                 "n_tokens": c.grams.lengths,
                 "n_known": by_doc((c.counts[0] > 0).astype(np.int64)),
@@ -376,7 +377,7 @@ def lm_scores(
         )
 
     return (
-        blocks.select("ids", *columns).groupBy("block")
+        blocks.select("ids", "no_id", *columns).groupBy("block")
         .cogroup(replies.drop("out_counts").groupBy("block"))
         .applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
