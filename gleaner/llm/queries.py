@@ -176,11 +176,11 @@ def dated_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated list entries over the hosts of ``pages`` (stand-in: no list is given)."""
+    """A dated list entry from every row of ``pages`` (stand-in: no list is given)."""
     page = table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("url"))
     host = F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)
     first = F.regexp_extract("url", "^[a-z]+://([^/?#:]+/[^/?#]+)", 1)
-    e = page.where(F.col("page_id") % 3 == 0).select(
+    return page.select(
         F.concat(F.lit("list"), (F.col("page_id") % 7).cast("string")).alias("list_name"),
         F.when(F.col("page_id") % 4 == 0, "host").when(F.col("page_id") % 4 == 1, "domain").otherwise("prefix").alias("kind"),
         F.when(F.col("page_id") % 4 == 0, host)
@@ -190,7 +190,6 @@ def dated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("page_id") % 5 < 3, "add").otherwise("remove").alias("action"),
         F.date_add(F.lit("2019-01-01").cast("date"), (F.col("page_id") * 13 % 1500).cast("int")).alias("entry_date"),
     )
-    return e
 
 
 OP3_SQL = r"""
@@ -200,7 +199,7 @@ WITH e AS (
       WHEN 1 THEN 'domain:' || regexp_extract(regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1), '([^.]+\.[^.]+\.[^.]+)$', 1)
       ELSE 'prefix:' || regexp_extract(lower(url), '^[a-z]+://([^/?#:]+/[^/?#]+)', 1) END AS key,
     page_id % 5 < 3 AS listed, DATE '2019-01-01' + CAST(page_id * 13 % 1500 AS INTEGER) AS day
-  FROM pages WHERE page_id % 3 = 0),
+  FROM pages),
 daily AS (SELECT list_name, key, day, bool_and(listed) AS listed FROM e GROUP BY ALL),
 spans AS (
   SELECT list_name, key, day, listed, lead(day) OVER (PARTITION BY list_name, key ORDER BY day) AS until FROM daily),
