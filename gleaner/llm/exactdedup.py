@@ -34,6 +34,7 @@ from gleaner.llm.bwt import shared_windows
 from gleaner.llm.lm import edges, pack, pack_hashes, unpack, unpack_hashes
 from gleaner.llm.scratch import Scratch
 from gleaner.llm.segments import segments
+from gleaner.llm.text import pieces as text_pieces
 
 #: Rows (id and a few numbers) that may be broadcast: under 64 MB.
 BROADCAST_BYTES = 64 << 20
@@ -115,7 +116,7 @@ def dealt(texts: DataFrame, length: int, slices: int, buffer_bytes: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, size, number = [], 0, 0
-        for b in batches:
+        for b in text_pieces(batches):
             for doc, text in zip(b["doc"].to_pylist(), b["text"].to_pylist()):
                 if len(text) < length:
                     continue
@@ -176,7 +177,7 @@ def _with_bytes(texts: DataFrame, wanted: DataFrame, length: int, groups: int) -
     """The wanted segments with their bytes and group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_pieces(batches):
             out = [
                 {"doc": doc, "start": s["start"], "key": s["key"], "bytes": text[s["start"] : s["start"] + s["count"] + length - 1]}
                 for doc, text, segs in zip(*(b[c].to_pylist() for c in ("doc", "text", "segs")))
@@ -208,8 +209,8 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]
 def repeated_spans(
     docs: DataFrame,
     length: int = 100,
-    buffer_bytes: int = 4 << 20,
-    slice_bytes: int = 32 << 20,
+    buffer_bytes: int = 2 << 20,
+    slice_bytes: int = 16 << 20,
     group_segments: int = 16_000,
     shard_bytes: int = 128 << 10,
 ) -> DataFrame:
@@ -263,7 +264,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     spans = F.broadcast(spans) if total <= BROADCAST_BYTES else spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_pieces(batches):
             cuts = [
                 _cut(text, [(x["s"], x["e"]) for x in s or ()])
                 for text, s in zip(b["text"].to_pylist(), b["spans"].to_pylist())

@@ -72,4 +72,5 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     # a segment ends before the next one, or where its piece has no further window
     run = np.cumsum(np.r_[0, valid])
     last = np.r_[first[1:], n]
-    return h[chosen[first]], first, run[last] - run[first]
+    # minima crowd near zero: mixed once more, they spread over all hash ranges
+    return _mix(h[chosen[first]]), first, run[last] - run[first]
