@@ -6,8 +6,9 @@ the rank of the suffix two symbols earlier (the LF mapping). The merge never com
 suffixes: it holds an interleave of the shards' ranks that is sorted by the first h
 symbols, and one stable sort by the preceding symbols makes it sorted by h + 2. Where
 symbols or blocks differ, the common prefix of neighbours ends, which gives the
-intervals of equal prefixes. Places whose prefix is unique, or runs into END, can never
-share a longer prefix and leave the interleave.
+intervals of equal prefixes. A place whose prefix is unique can never share a longer one
+and leaves the interleave; a place too near its string's start to grow to the full depth
+never enters it.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ class Shard:
         before = (self.suffixes - STEP) % n
         self.mapping = place[before]
         self.transform = (text[before].astype(np.uint16) << 8) | text[(self.suffixes - 1) % n]
+        lengths = np.diff(np.flatnonzero(text == END), prepend=-1)
+        offset = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        #: Ranks of the suffixes that have ``depth`` symbols of their string before them.
+        self.grown = np.flatnonzero(offset[self.suffixes] >= depth)
 
 
 def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,20 +52,20 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
     A place is an index into the shards' suffix orders, one after the other.
     """
     offsets = np.cumsum([0, *[len(s.text) for s in shards]])
-    mapping = np.concatenate([s.mapping + o for s, o in zip(shards, offsets)])
+    mapping = np.concatenate([s.mapping + o for s, o in zip(shards, offsets)]).astype(np.int32)
     symbols = np.concatenate([s.transform for s in shards])
-    places, block = np.arange(offsets[-1]), np.zeros(offsets[-1], np.int64)
+    places = np.concatenate([s.grown + o for s, o in zip(shards, offsets)]).astype(np.int32)
+    block = np.zeros(len(places), np.int32)
     for _ in range(0, depth, STEP):
         before = symbols[places]
-        open_ends = (before >> 8 != END) & (before & 0xFF != END)
-        before, places, block = before[open_ends], mapping[places[open_ends]], block[open_ends]
-        order = np.argsort(before, kind="stable")
-        before, places, block = before[order], places[order], block[order]
-        new = np.r_[True, (before[1:] != before[:-1]) | (block[1:] != block[:-1])][: len(places)]
-        block = np.cumsum(new) - 1
-        shared = np.bincount(block)[block] > 1 if len(block) else np.empty(0, bool)
-        places, block = places[shared], block[shared]
-    return places, block
+        order = np.argsort(before, kind="stable").astype(np.int32)
+        before, places, block = before[order], mapping[places[order]], block[order]
+        # a block begins where symbols or blocks differ; one that the next begins at once is unique
+        new = np.ones(len(places) + 1, bool)
+        new[1:-1] = (before[1:] != before[:-1]) | (block[1:] != block[:-1])
+        shared = ~(new[:-1] & new[1:])
+        places, block = places[shared], np.cumsum(new[:-1][shared], dtype=np.int32)
+    return places.astype(np.int64), block
 
 
 def shared_windows(strings: list[bytes], depth: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
