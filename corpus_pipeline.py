@@ -25,8 +25,8 @@ from gleaner.session import ensure_shipped, table
 
 #: Score from which a document is toxic.
 TOXIC = 0.5
-#: Equal and nearly equal lines that make boilerplate; all but the first go.
-BOILERPLATE = 6
+#: Equal and nearly equal lines of which all but the first go.
+REPEATS = 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later lines of boilerplate classes (operator 6)."""
+    """Documents without the later lines of each class of equal and nearly equal lines (operator 6).
+
+    Whole copies (equal texts under different ids) count as the one of least id: they lose
+    the lines it loses, so they are still copies where the next stage drops them. Rows
+    without an id are judged on their own.
+    """
     ensure_shipped(spark)
-    return without_lines(docs, near_lines(docs, min_repeats=BOILERPLATE))
+    texts = docs.withColumn("__h", F.xxhash64("text")).withColumn("__h2", F.xxhash64(F.lit("second"), "text"))
+    copied = (
+        texts.where("doc_id is not null and text is not null")
+        .groupBy("__h", "__h2")
+        .agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last"))
+        .where("__first != __last")
+        .drop("__last")
+    )
+    copied = ship(Scratch(spark, "copies").save(copied))
+    first = F.when(F.col("doc_id").isNotNull(), F.coalesce("__first", "doc_id"))
+    named = texts.join(copied, ["__h", "__h2"], "left").withColumn("__own", F.col("doc_id")).withColumn("doc_id", first)
+    lines = near_lines(named.where("doc_id <=> __own"), min_repeats=REPEATS)
+    return without_lines(named, lines).withColumn("doc_id", F.col("__own")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,17 @@ def test_stages_on_empty_tables(spark, tmp_path):
     for name, stage in pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0, name
+
+
+def test_lines_that_occur_twice_go(spark):
+    rng = random.Random(13)
+    own = [sentence(rng, 70, 2000) for _ in range(6)]
+    passage = sentence(rng, 50, 2000)
+    texts = [own[0] + "\n" + passage, own[1] + "\n" + passage, own[2], own[3] + "\n" + passage + "s"]
+    texts += [texts[1], texts[2]]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r["text"] for r in pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    # whole copies (4 of 1, 5 of 2) are left to the next stage, as their first is
+    assert got == {0: texts[0], 1: own[1], 2: own[2], 3: own[3], 4: own[1], 5: own[2]}
+    left = pipeline.drop_near_duplicates(spark, spark.createDataFrame(list(got.items()), "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in left.collect()} == {0, 1, 2, 3}
