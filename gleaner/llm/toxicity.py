@@ -59,12 +59,15 @@ class Buckets(dict):
         return np.fromiter(sorted(found), np.int32, len(found))
 
 
-def select_terms(rows: list[np.ndarray], labels: np.ndarray, bits: int, max_terms: int, min_docs: int) -> np.ndarray:
-    """Mark the ``max_terms`` buckets whose presence says most about the label (chi-square)."""
+def select_terms(rows: list[np.ndarray], labels: np.ndarray, bits: int, max_terms: int | None, min_docs: int) -> np.ndarray:
+    """Mark the buckets of ``min_docs`` or more rows; with ``max_terms``, only those whose
+    presence says most about the label on its own (chi-square)."""
     n, size = len(rows), 1 << bits
     flat = np.concatenate([*rows, np.empty(0, np.int32)])
-    owner = np.repeat(labels, [len(r) for r in rows])
     df = np.bincount(flat, minlength=size).astype(float)
+    if max_terms is None:
+        return df >= max(min_docs, 1)
+    owner = np.repeat(labels, [len(r) for r in rows])
     hits = np.bincount(flat, weights=owner, minlength=size)
     p = labels.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -87,8 +90,8 @@ def train(
     labels: np.ndarray,
     bits: int = 18,
     rank: int = 4,
-    max_terms: int = 1024,
-    min_docs: int = 4,
+    max_terms: int | None = None,
+    min_docs: int = 1,
     epochs: int = 16,
     rate: float = 0.3,
     shrink: float = 2e-4,
@@ -96,7 +99,9 @@ def train(
 ) -> Machine:
     """Fit by stochastic gradient descent (Adagrad steps, L2 shrinkage) on presence features.
 
-    Without rows, or with one label only, the machine answers the label's share.
+    Every bucket of the sample has a weight and factors: a term that tells nothing alone may
+    tell with another. ``2^bits`` bounds the model; ``max_terms`` and ``min_docs`` cut it
+    further on request. Without rows, or with one label only, the machine answers the label's share.
     """
     size = 1 << bits
     labels = np.asarray(labels, float)
@@ -162,7 +167,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, bit
     """Learn from labelled ``docs``; returns the score as a function of a text column.
 
     At most ``max_rows`` labelled documents outside the held-out fold are learned from,
-    and only text enters a score. Without labels the score is the neutral 0.5.
+    and only text enters a score. All their terms are learned (``train``). Without labels
+    the score is the neutral 0.5.
     """
     rows, y = collect_terms(training_rows(docs, labels, "toxic", max_rows, seed), bits)
     model = docs.sparkSession.sparkContext.broadcast(train(rows, y, bits=bits, seed=seed, **fit))

@@ -115,6 +115,22 @@ def test_machine_learns_what_terms_mean_together():
     assert (got == y[900:]).mean() > 0.95
 
 
+def test_machine_learns_pairs_of_neutral_terms_in_a_large_vocabulary():
+    rng = random.Random(5)
+    docs = []
+    for _ in range(8000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        w = sentence(rng, 12, 8000).split() + ["vile"] * insult + ["folk"] * group
+        docs.append((" ".join(w), int(insult == group)))  # no single term tells
+    buckets = Buckets(18)
+    terms = [buckets.terms(t.encode()) for t, _ in docs]
+    y = np.array([x for _, x in docs])
+    machine = train(terms[:6000], y[:6000])
+    assert machine.known[np.concatenate(terms[:6000])].all()
+    got = score_terms(machine, terms[6000:]) >= 0.5
+    assert (got == y[6000:]).mean() > 0.95
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
