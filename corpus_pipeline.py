@@ -20,7 +20,7 @@ from gleaner.llm.linededup import near_lines, without_lines
 from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.queries import mixed
 from gleaner.llm.scratch import Scratch, ship
-from gleaner.llm.toxicity import fit_toxicity
+from gleaner.llm.toxicity import TERM, fit_toxicity
 from gleaner.session import ensure_shipped, table
 
 #: Score from which a document is toxic.
@@ -30,10 +30,18 @@ REPEATS = 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine does not reject (operator 7)."""
+    """Documents that the factorization machine does not reject (operator 7).
+
+    Without usable labels nothing is rejected, and texts without a term never are.
+    """
     ensure_shipped(spark)
     score = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return docs.where(score(F.col("text")) < TOXIC)
+    if not score.learned:
+        return docs
+    empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(TERM)
+    # scored in a column of its own: a condition cannot be split around a nondeterministic score
+    scored = docs.withColumn("__score", score(F.col("text")))
+    return scored.where(empty | (F.col("__score") < TOXIC)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

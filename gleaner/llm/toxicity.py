@@ -22,6 +22,8 @@ from gleaner.llm.labelled import FOLDS, training_rows
 from gleaner.llm.text import byte_words, fold, pieces
 
 PUNCTUATION = b".,;:!?\"'()[]{}<>|*#$%&-_=+/\\"
+#: Matches texts that hold a term: any character but white space and punctuation.
+TERM = "[^" + r"\x20\x09-\x0D" + "".join(f"\\x{c:02X}" for c in PUNCTUATION) + "]"
 #: Words a task remembers before it starts its table anew.
 CACHE_WORDS = 200_000
 
@@ -168,10 +170,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, bit
 
     At most ``max_rows`` labelled documents outside the held-out fold are learned from,
     and only text enters a score. All their terms are learned (``train``). Without labels
-    the score is the neutral 0.5.
+    the score is the neutral 0.5. The function's ``learned`` tells whether any term has a
+    weight; if not, all scores are alike and tell nothing.
     """
     rows, y = collect_terms(training_rows(docs, labels, "toxic", max_rows, seed), bits)
-    model = docs.sparkSession.sparkContext.broadcast(train(rows, y, bits=bits, seed=seed, **fit))
+    machine = train(rows, y, bits=bits, seed=seed, **fit)
+    model = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -183,7 +187,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, bit
 
     # nondeterministic: a filter on the score must not compute it a second time
     scored = score.asNondeterministic()
-    return lambda text: scored(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+    def of(text: Column) -> Column:
+        return scored(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+    of.learned = bool(machine.known.any())
+    return of
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

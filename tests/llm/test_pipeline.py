@@ -72,3 +72,17 @@ def test_lines_that_occur_twice_go(spark):
     assert got == {0: texts[0], 1: own[1], 2: own[2], 3: own[3], 4: own[1], 5: own[2]}
     left = pipeline.drop_near_duplicates(spark, spark.createDataFrame(list(got.items()), "doc_id long, text string"), "")
     assert {r["doc_id"] for r in left.collect()} == {0, 1, 2, 3}
+
+
+def test_nothing_is_toxic_without_labels_or_terms(spark, tmp_path):
+    rng = random.Random(14)
+    texts = [None, "", " \n", "... !", *(sentence(rng, 20) for _ in range(40))]
+    docs = frame(spark, texts)
+    kinds = {"none": [], "null": [(i, 1, None) for i in range(44)], "one": [(i, 1, 1) for i in range(44)]}
+    # most labelled texts are toxic, so the bias alone says toxic
+    kinds["most"] = [(i, 1, int(i % 10 > 0)) for i in range(4, 44)]
+    for name, rows in kinds.items():
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = {r["doc_id"] for r in pipeline.drop_toxic(spark, docs, f"{tmp_path}/{name}").collect()}
+        assert kept >= {0, 1, 2, 3}, name
+        assert name == "most" and len(kept) < 44 or len(kept) == 44, name
