@@ -31,9 +31,18 @@ def flattened_shares(cells: DataFrame, dim: str, exponent: float) -> DataFrame:
 
 
 def fixed_shares(cells: DataFrame, dim: str, shares: Mapping[str, float]) -> DataFrame:
-    """Target shares given as a mapping."""
+    """Target shares given as a mapping.
+
+    A category with tokens that is not in the mapping keeps its present share of all
+    tokens; the listed categories with tokens divide the rest in their proportions.
+    """
     rows = [(str(k), float(v)) for k, v in shares.items()]
-    return cells.sparkSession.createDataFrame(rows, f"{dim} string, share double")
+    given = F.broadcast(cells.sparkSession.createDataFrame(rows, f"{dim} string, given double"))
+    own = cells.groupBy(dim).agg(F.sum("tokens").alias("tokens")).where("tokens > 0").join(given, dim, "left")
+    listed, total = own.agg(F.sum(F.when(F.col("given").isNotNull(), F.col("tokens"))), F.sum("given")).first()
+    # shares are scaled to 1 later, so the listed ones stay as given
+    per_token = (total or 1.0) / listed if listed else 1.0
+    return own.select(dim, F.coalesce("given", F.col("tokens") * F.lit(per_token)).alias("share"))
 
 
 def _normalised(cells: DataFrame, dim: str, shares: DataFrame) -> DataFrame:
@@ -96,8 +105,9 @@ def mix(
     over its own mass), and ``n_copies`` = floor(rate * weight + u), u a repeatable
     uniform number of ``key``: a document is drawn rate * weight times on average, so
     weights above 1 repeat documents instead of being cut off. ``targets`` maps each
-    dimension to its shares or to an exponent that flattens its own shares. Null
-    categories are the category ``unknown``; documents without tokens weigh as their
+    dimension to its shares or to an exponent that flattens its own shares. A category
+    without a listed share keeps its present one, the listed ones are scaled to the rest.
+    Null categories are the category ``unknown``; documents without tokens weigh as their
     cell does (0 in a cell without tokens); equal keys draw alike; an empty table
     gives an empty result; added columns replace those of the same name.
     """

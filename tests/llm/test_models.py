@@ -16,6 +16,7 @@ from gleaner.llm.labelled import training_rows
 from gleaner.llm.lm import lm_scores, pack, pack_hashes, unpack, unpack_hashes
 from gleaner.llm.mixing import mix
 from gleaner.llm.quality import quality
+from gleaner.llm.queries import mixed
 from gleaner.llm.toxicity import Buckets, score_terms, toxicity, train
 
 
@@ -99,6 +100,17 @@ def test_mixture_meets_its_marginals(spark):
     assert out.where("n_copies > 0 and n_copies > weight + 1").count() == 0
 
 
+def test_languages_without_a_target_keep_their_share(spark):
+    langs = ["en"] * 500 + ["de"] * 200 + [None] * 200 + ["it"] * 100
+    rows = [(i, f"s{i % 3}", x, "ten words " * 5) for i, x in enumerate(langs)]
+    out = mixed(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")).persist()
+    got = {r["lang"]: r["w"] for r in out.groupBy("lang").agg((F.sum("weight") / 1000).alias("w")).collect()}
+    want = {"unknown": 0.2, "it": 0.1, "en": 0.7 * 0.62 / 0.76, "de": 0.7 * 0.14 / 0.76}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-6 for k, v in want.items())
+    drawn = {r["lang"]: r["n"] for r in out.groupBy("lang").agg(F.sum("n_copies").alias("n")).collect()}
+    assert drawn["unknown"] > 150 and drawn["it"] > 70
+
+
 def test_machine_learns_what_terms_mean_together():
     rng = random.Random(5)
     docs = []
