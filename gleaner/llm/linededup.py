@@ -10,7 +10,9 @@ by banded bit-parallel edit distance.
 Index entries and probes are hashed in tasks and sorted into hash ranges ("slices").
 Each carries a 64-bit profile of its line, the numbers of characters of 16 kinds; as one
 edit moves two of them by one, lines whose profiles differ by more than twice the limit
-cannot be within it. Only lines that meet with close profiles leave a slice. Equal lines are one class: they are told by two
+cannot be within it. Only lines that meet with close profiles leave a slice. A key of many
+lines (templates) is told by a sample beforehand: its index entries and its probes are cut
+into blocks, and every pair of blocks is a group of its own. Equal lines are one class: they are told by two
 64-bit hashes, counted with partial aggregation, and join once.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,6 +38,8 @@ from gleaner.llm.text import pieces
 EDGES = " \t\x0b\x0c\r"
 #: Seed under which xxHash64 of a line equals Spark's ``xxhash64`` of it.
 SPARK_SEED = 42
+#: Pairs that a task holds before it writes them out.
+PAIR_ROWS = 500_000
 
 
 def parts(n: int, limit: int) -> list[tuple[int, int]]:
@@ -97,26 +102,91 @@ class Plans(dict):
         return plan
 
 
-def entries(docs: DataFrame, limit: int, min_chars: int, slices: int, buffer_lines: int) -> DataFrame:
-    """``slice, keys, lines, profiles, indexed`` of the entries and probes of every buffer of distinct lines."""
+class Hot(NamedTuple):
+    """Keys of many lines, ascending: the number of their first group, and into how many
+    blocks their index entries and probes are cut. A pair of blocks is a group."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    index_blocks: np.ndarray
+    probe_blocks: np.ndarray
+
+
+def hot_keys(docs: DataFrame, limit: int, min_chars: int, slices: int, block_entries: int, sample: int) -> Hot:
+    """Keys of more than ``block_entries`` entries and probes, by one distinct line in ``sample``.
+
+    The estimate decides only how keys are cut, not what is compared. Driver and tasks hold
+    32 bytes for each of the keys, of which there are at most 12 per ``block_entries`` lines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans, hashed = Plans(limit, min_chars), xxhash.xxh3_64_intdigest
+        for b in pieces(batches, 2000):
+            keys, own = [], []
+            for line in b["line"].to_pylist():
+                plan, n_index = plans[len(line)]
+                keys += [hashed(line[a:e], seed) for a, e, seed in plan]
+                own += [k < n_index for k in range(len(plan))]
+            key = pa.array(np.array(keys, np.uint64).view(np.int64), pa.int64())
+            yield pa.record_batch([key, pa.array(np.array(own, np.int32), pa.int32())], ["key", "own"])
+
+    lines = line_rows(docs).select("line").where(F.length("line") >= min_chars)
+    lines = lines.where(F.pmod(F.xxhash64(F.lit("sample"), "line"), F.lit(sample)) == 0).distinct()
+    counts = lines.mapInArrow(run, "key long, own int").groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum("own").alias("own"))
+    found = counts.where(F.col("all") * sample > block_entries).where("own > 0").collect()
+    found.sort(key=lambda r: r["key"] % (1 << 64))
+    blocks = lambda c: np.array([-(-r[c] * sample // block_entries) for r in found], np.int64)
+    i, j = blocks("own"), blocks("all")
+    return Hot(np.array([r["key"] for r in found], np.int64).view(np.uint64), slices + np.cumsum(i * j) - i * j, i, j)
+
+
+def entries(docs: DataFrame, limit: int, min_chars: int, slices: int, buffer_lines: int, hot: Hot) -> DataFrame:
+    """``slice, keys, lines, profiles, indexed`` of the entries and probes of every buffer of distinct lines.
+
+    Slices from ``slices`` on are pairs of blocks of a ``hot`` key.
+    """
     names = ["slice", "keys", "lines", "profiles", "indexed"]
     kind = pa.schema([("slice", pa.int32()), *((n, pa.binary()) for n in names[1:])])
     cuts_at = edges(slices)
 
-    def deal(keys: list, lines: list, profiles: list, counts: list, indexed: list) -> pa.RecordBatch:
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def deal(keys: list, lines: list, profiles: list, counts: list, indexed: list) -> Iterator[pa.RecordBatch]:
         key = np.array(keys, np.uint64)
         line, shape = (np.repeat(np.array(x, np.uint64), counts) for x in (lines, profiles))
         first = np.repeat(np.cumsum(counts) - counts, counts)
         is_index = np.arange(len(key)) - first < np.repeat(indexed, counts)
         order = np.argsort(key)
         key, line, shape, is_index = key[order], line[order], shape[order], is_index[order]
+
+        def row(k: int, at) -> dict:
+            cols = pack_hashes(key[at]), line[at].tobytes(), shape[at].tobytes(), np.packbits(is_index[at]).tobytes()
+            return dict(zip(names, (k, *cols)))
+
+        hot = shared.value
+        begins, ends = np.searchsorted(key, hot.keys, "left"), np.searchsorted(key, hot.keys, "right")
+        for k in np.flatnonzero(begins < ends).tolist():
+            at = np.arange(begins[k], ends[k])
+            n_i, n_j, group = int(hot.index_blocks[k]), int(hot.probe_blocks[k]), int(hot.first[k])
+            block_i, block_j = line[at] % np.uint64(n_i), (line[at] >> np.uint64(32)) % np.uint64(n_j)
+            own = is_index[at].copy()
+            for i in range(n_i):
+                rows = []
+                for j in range(n_j):
+                    # an index entry is a probe too: its key's index entries of other blocks are met by it
+                    a, b = at[own & (block_i == i)], at[block_j == j]
+                    if len(a) or len(b):
+                        rows.append(row(group + i * n_j + j, np.r_[a, b]) | {"indexed": np.packbits(np.arange(len(a) + len(b)) < len(a)).tobytes()})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=kind)
+        if (begins < ends).any():
+            place = np.minimum(np.searchsorted(hot.keys, key), len(hot.keys) - 1)
+            cold = hot.keys[place] != key
+            key, line, shape, is_index = key[cold], line[cold], shape[cold], is_index[cold]
         cuts = np.r_[np.searchsorted(key, cuts_at), len(key)]
-        rows = [
-            (k, pack_hashes(key[i:j]), line[i:j].tobytes(), shape[i:j].tobytes(), np.packbits(is_index[i:j]).tobytes())
-            for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-            if i < j
-        ]
-        return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=kind)
+        rows = [row(k, slice(i, j)) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if i < j]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans = Plans(limit, min_chars)
@@ -139,18 +209,23 @@ def entries(docs: DataFrame, limit: int, min_chars: int, slices: int, buffer_lin
                     counts.append(len(plan))
                     indexed.append(n_index)
                 if len(lines) >= buffer_lines:
-                    yield deal(keys, lines, profiles, counts, indexed)
+                    yield from deal(keys, lines, profiles, counts, indexed)
                     seen, keys, lines, profiles, counts, indexed = set(), [], [], [], [], []
         if lines:
-            yield deal(keys, lines, profiles, counts, indexed)
+            yield from deal(keys, lines, profiles, counts, indexed)
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
         run, "slice int, keys binary, lines binary, profiles binary, indexed binary"
     )
 
 
-def met(group: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Pairs of lines of a slice of which one probes what the other is indexed under, profiles close."""
+def met(group: pd.DataFrame, limit: int, slices: int) -> Iterator[pd.DataFrame]:
+    """Pairs of lines of a slice of which one probes what the other is indexed under, profiles close.
+
+    In a group of a hot key (``slices`` or more) index entries meet the probes only, as
+    each is a probe in one of the groups too.
+    """
+    hot = group["slice"].iloc[0] >= slices
     key = np.concatenate([unpack_hashes(x) for x in group["keys"]])
     line, shape = (np.concatenate([np.frombuffer(x, np.uint64) for x in group[c]]) for c in ("lines", "profiles"))
     sizes = [len(x) // 8 for x in group["lines"]]
@@ -158,23 +233,33 @@ def met(group: pd.DataFrame, limit: int) -> pd.DataFrame:
     order = np.lexsort((1 - is_index, line, key))
     key, line, shape, is_index = key[order], line[order], shape[order], is_index[order]
     # an entry both indexed and probing counts as indexed: index entries probe their own length
-    single = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]
+    single = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (hot & (is_index[1:] != is_index[:-1]))]
     key, line, shape, is_index = key[single], line[single], shape[single], is_index[single]
     begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[begins[1:], len(key)]
     several = (ends - begins > 1) & (np.add.reduceat(is_index, begins) > 0)
-    u, v = [], []
+    u, v, n = [], [], 0
+
+    def pairs() -> pd.DataFrame:
+        p = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1).astype(np.uint64).view(np.int64)
+        return pd.DataFrame({"u": p[0], "v": p[1]})
+
     for i, j in zip(begins[several], ends[several]):
         own = i + np.flatnonzero(is_index[i:j])
+        rest = i + np.flatnonzero(is_index[i:j] == 0) if hot else np.arange(i, j)
         for at in range(0, len(own), 64):
-            for to in range(i, j, 4096):
-                block, others = own[at : at + 64], np.arange(to, min(j, to + 4096))
+            for to in range(0, len(rest), 4096):
+                block, others = own[at : at + 64], rest[to : to + 4096]
                 x, y = np.nonzero(close(shape[block], shape[others], limit))
                 a, b = line[block[x]], line[others[y]]
                 u.append(np.minimum(a, b)[a != b])
                 v.append(np.maximum(a, b)[a != b])
-    pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1) if u else np.empty((2, 0), np.uint64)
-    return pd.DataFrame({"u": pairs[0].astype(np.uint64).view(np.int64), "v": pairs[1].astype(np.uint64).view(np.int64)})
+                n += len(u[-1])
+                if n >= PAIR_ROWS:
+                    yield pairs()
+                    u, v, n = [], [], 0
+    if n:
+        yield pairs()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
@@ -206,6 +291,8 @@ def near_lines(
     min_repeats: int = 2,
     slice_bytes: int = 24 << 20,
     buffer_lines: int = 20_000,
+    block_entries: int = 32_000,
+    hot_sample: int = 16,
 ) -> DataFrame:
     """``doc_id, line_no, n_chars, class_doc, class_line, n_copies, n_links, kept`` of every line.
 
@@ -237,8 +324,13 @@ def near_lines(
     )
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, math.ceil(n_bytes / slice_bytes))
-    dealt = entries(docs, limit, min_chars, slices, buffer_lines)
-    pairs = scratch.save(dealt.groupBy("slice").applyInPandas(lambda g: met(g, limit), "u long, v long").distinct())
+    hot = hot_keys(docs, limit, min_chars, slices, block_entries, hot_sample)
+    dealt = entries(docs, limit, min_chars, slices, buffer_lines, hot)
+
+    def slice_pairs(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from met(pd.concat(list(groups)), limit, slices)
+
+    pairs = scratch.save(dealt.groupBy("slice").applyInPandas(slice_pairs, "u long, v long").distinct())
     ends = pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct()
     texts = scratch.save(
         line_rows(docs)

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from conftest import frame, sentence
 
-from gleaner.llm import minhash
+from gleaner.llm import linededup, minhash
 from gleaner.llm.bwt import shared_windows
 from gleaner.llm.components import star_forest
 from gleaner.llm.editdistance import within
@@ -82,6 +82,28 @@ def test_near_lines_against_brute_force(spark):
         assert got[place] == (*first, len(own), len(others), place == first and not earlier), (place, line)
 
 
+def test_lines_of_one_template_are_compared_in_blocks(spark):
+    rng = random.Random(31)
+    texts = ["\n".join(f"{rng.choice('ab')}{rng.randrange(100):02d} the very same template {rng.randrange(1000):03d}" for _ in range(20)) for _ in range(15)]
+    docs = frame(spark, texts)
+    plan = {"slice_bytes": 1 << 20, "buffer_lines": 50, "block_entries": 40, "hot_sample": 1}
+    hot = linededup.hot_keys(docs, 2, 20, 1, 40, 1)
+    assert len(hot.keys) and hot.index_blocks.max() > 3
+    # no group of the template's key holds more than a few blocks
+    dealt = linededup.entries(docs, 2, 20, 1, 10_000, hot).collect()
+    sizes = {}
+    for r in dealt:
+        sizes[r["slice"]] = sizes.get(r["slice"], 0) + len(r["lines"]) // 8
+    assert max(n for k, n in sizes.items() if k) < 160 < sum(len(set(t.split("\n"))) for t in texts)
+    rows = lambda **o: sorted(tuple(r) for r in near_lines(docs, **o).collect())
+    got = rows(**plan)
+    assert got == rows() and sum(r[6] for r in got) > 0
+    lines = [x for t in texts for x in t.split("\n")]
+    for r in got[::15]:
+        mine = texts[r[0]].split("\n")[r[1]]
+        assert r[6] == len({x for x in lines if x != mine and edits(x, mine) <= 2})
+
+
 def test_near_lines_keep_small_classes(spark):
     same = "a line that is long enough to count"
     got = near_lines(frame(spark, [same] * 5 + ["another line, quite unlike the first"]), min_repeats=6)
