@@ -298,16 +298,18 @@ def near_lines(
 
     Lines are split at line feeds and trimmed of ASCII white space. ``class_doc`` and
     ``class_line`` name the first of the equal lines, ``n_copies`` counts them and
-    ``n_links`` counts the different texts within ``limit`` edits. A line of at least
-    ``min_chars`` characters is removed (``kept`` false) if it is not the first of its
-    class, or if a linked text starts earlier, provided that class and linked texts have
-    ``min_repeats`` lines in all. Shorter lines are kept and not joined: they are no
-    passages, and with fewer than ``limit + 1`` characters would link to anything. Null
+    ``n_links`` counts the different texts within ``limit`` edits. Every line that is not
+    empty has its class; lines of ``limit + 1`` characters or more are joined, as shorter
+    ones would link to anything. A line of at least ``min_chars`` characters is removed
+    (``kept`` false) if it is not the first of its class, or if a linked text starts
+    earlier, provided that class and linked texts have ``min_repeats`` lines in all.
+    Shorter lines are counted and linked but kept: they are no passages. Null
     and empty texts are one empty line. Null ids come first. Rows of one id are one
     document: its line is not a repeat of itself. Empty tables give an empty result; other
     columns are not read.
     """
-    min_chars = max(min_chars, limit + 1)
+    joined = limit + 1
+    min_chars = max(min_chars, joined)
     scratch = Scratch(docs.sparkSession, "linededup")
     rows = scratch.save(
         line_rows(docs).select(
@@ -320,12 +322,12 @@ def near_lines(
     )
     where = F.struct("id", "line_no")
     classes = scratch.save(
-        rows.where(F.col("n") >= min_chars).groupBy("h", "h2").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("copies"))
+        rows.where(F.col("n") > 0).groupBy("h", "h2").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("copies"))
     )
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, math.ceil(n_bytes / slice_bytes))
-    hot = hot_keys(docs, limit, min_chars, slices, block_entries, hot_sample)
-    dealt = entries(docs, limit, min_chars, slices, buffer_lines, hot)
+    hot = hot_keys(docs, limit, joined, slices, block_entries, hot_sample)
+    dealt = entries(docs, limit, joined, slices, buffer_lines, hot)
 
     def slice_pairs(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from met(pd.concat(list(groups)), limit, slices)
@@ -334,7 +336,7 @@ def near_lines(
     ends = pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct()
     texts = scratch.save(
         line_rows(docs)
-        .where(F.length("line") >= min_chars)
+        .where(F.length("line") >= joined)
         .select(F.xxhash64("line").alias("h"), "line")
         .join(ship(ends), "h", "left_semi")
         .dropDuplicates(["h"])
@@ -357,7 +359,7 @@ def near_lines(
         F.coalesce("first.line_no", "line_no").alias("class_line"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
         F.coalesce("links", F.lit(0)).alias("n_links"),
-        (~F.coalesce(F.col("first").isNotNull() & (total >= min_repeats) & again, F.lit(False))).alias("kept"),
+        (~F.coalesce((F.col("n") >= min_chars) & F.col("first").isNotNull() & (total >= min_repeats) & again, F.lit(False))).alias("kept"),
     )
 
 

@@ -104,6 +104,18 @@ def test_lines_of_one_template_are_compared_in_blocks(spark):
         assert r[6] == len({x for x in lines if x != mine and edits(x, mine) <= 2})
 
 
+def test_short_lines_are_counted_and_linked(spark):
+    rng = random.Random(32)
+    texts = ["\n".join("".join(rng.choice("abcdef") for _ in range(rng.randrange(9))) for _ in range(5)) for _ in range(60)]
+    texts += ["a line of nineteen.", "a line of nineteen.", "a line of nineteen.\nand more"]
+    at = [((i, k), line) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n"))]
+    got = {(r["doc_id"], r["line_no"]): tuple(r)[3:] for r in near_lines(frame(spark, texts), slice_bytes=500, buffer_lines=20).collect()}
+    for place, line in at:
+        own = [p for p, x in at if x == line] if line else [place]
+        others = {x for _, x in at if x != line and min(len(x), len(line)) > 2 and edits(x, line) <= 2}
+        assert got[place] == (*min(own), len(own), len(others), True), (place, line)
+
+
 def test_near_lines_keep_small_classes(spark):
     same = "a line that is long enough to count"
     got = near_lines(frame(spark, [same] * 5 + ["another line, quite unlike the first"]), min_repeats=6)
