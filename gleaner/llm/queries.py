@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.alignment import token_alignment
 from gleaner.llm.cascade import cascade
 from gleaner.llm.decontaminate import contaminated
+from gleaner.llm.divergence import source_divergence
 from gleaner.llm.exactdedup import remove_repeats
 from gleaner.llm.linededup import near_lines
 from gleaner.llm.lm import lm_scores
 from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.mixing import mix
 from gleaner.llm.quality import quality
+from gleaner.llm.sketch import edited_fingerprints
 from gleaner.llm.text import WORD
 from gleaner.llm.toxicity import toxicity
 from gleaner.llm.urllists import filter_captures
@@ -266,3 +269,95 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6 over all lines of ``documents``: classes, links within two edits, verdict."""
     return near_lines(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next
+  FROM d WHERE doc_id IS NOT NULL WINDOW w AS (ORDER BY doc_id DESC, text)
+  UNION ALL SELECT doc_id, text, '' FROM d WHERE doc_id IS NULL),
+t AS (
+  SELECT row_number() OVER () AS r, doc_id, text, next, length(text) // 3 AS m,
+    left(text, length(text) - length(text) // 3) || left(next, length(text) // 3) AS edited FROM n),
+x AS (SELECT r, 0 AS side, text AS s FROM t UNION ALL SELECT r, 1, edited FROM t UNION ALL SELECT r, 2, next FROM t),
+w AS (
+  SELECT r, side, regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM x),
+h AS (
+  SELECT r, side, CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [substr(md5(array_to_string(w, ' ')), 1, 12)]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 12)) END AS h FROM w),
+k AS (SELECT r, side, list_sort(list_distinct(h))[1:256] AS k FROM h),
+p AS (
+  SELECT t.*, a.k AS a, b.k AS b, c.k AS c,
+    least(CASE WHEN len(a.k) >= 256 THEN a.k[256] END, CASE WHEN len(b.k) >= 256 THEN b.k[256] END) AS ab,
+    least(CASE WHEN len(a.k) >= 256 THEN a.k[256] END, CASE WHEN len(c.k) >= 256 THEN c.k[256] END) AS ac
+  FROM t JOIN k a ON a.r = t.r AND a.side = 0 JOIN k b ON b.r = t.r AND b.side = 1 JOIN k c ON c.r = t.r AND c.side = 2),
+q AS (
+  SELECT *, len(list_intersect(a, b)) AS both_ab, len(list_intersect(a, c)) AS both_ac,
+    len(list_filter(a, lambda y: ab IS NULL OR y <= ab)) AS own_ab, len(list_filter(b, lambda y: ab IS NULL OR y <= ab)) AS its_ab,
+    len(list_filter(a, lambda y: ac IS NULL OR y <= ac)) AS own_ac, len(list_filter(c, lambda y: ac IS NULL OR y <= ac)) AS its_ac
+  FROM p)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
+  array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+  CASE WHEN own_ab + its_ab - both_ab = 0 THEN 1.0::DOUBLE ELSE both_ab::DOUBLE / (own_ab + its_ab - both_ab) END AS near_edited,
+  CASE WHEN own_ac + its_ac - both_ac = 0 THEN 1.0::DOUBLE ELSE both_ac::DOUBLE / (own_ac + its_ac - both_ac) END AS near_next,
+  CASE WHEN len(a) = 0 THEN 1.0::DOUBLE WHEN own_ab > 0 THEN both_ab::DOUBLE / own_ab END AS kept_in_edited,
+  CAST(CASE WHEN len(a) < 256 THEN len(a)
+    ELSE floor((255 * 281474976710656.0::DOUBLE) / CAST(('0x' || a[256]) AS BIGINT)) END AS BIGINT) AS n_shingles
+FROM q
+"""
+
+
+@register("op11_fingerprints", OP11_SQL)
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over ``documents``: sketches of every text, of its edited text and of the next one's."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+tok AS (SELECT lang, source, r, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n
+  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (
+  SELECT lang, source, term, n,
+    1 + (1000000000::HUGEINT * (n + 2)) // ((sum(n) OVER (PARTITION BY lang, source))::HUGEINT + 2 * v) AS p
+  FROM dense JOIN v USING (lang)),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // ((sum(n) OVER (PARTITION BY lang))::HUGEINT + 2 * v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+    LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@register("op12_source_divergence", OP12_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over ``documents``: divergence of the sources of each language, and their own terms."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@register("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13 over ``documents``: two tokenizers' groups and links, and the links' worth in the corpus."""
+    return token_alignment(table(spark, sf_dir, "documents"))

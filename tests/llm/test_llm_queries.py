@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 def test_one_query_per_operator():
     numbers = [int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n))]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
