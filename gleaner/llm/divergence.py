@@ -13,10 +13,10 @@ zero count has the same share p0 for all terms of a group, so
 The first three need a group's histogram of counts. The last goes over a tree: a term is a
 row of its nonzero (source, count) entries in source order; equal rows collapse to one with
 a multiplicity; rows are inserted into a prefix tree, whose nodes hold the multiplicity of
-all terms below, and each node is corrected once against each of its ancestors. Rows are
-range-partitioned and sorted, so equal prefixes meet in a task, and a depth-first walk
-keeps only the path from the root: memory is bounded by the longest row. Cut anywhere, the
-parts' sums add up to the same.
+all terms below, and each node is corrected once against each of its ancestors, all nodes
+of a depth step at a time. Rows are range-partitioned and sorted, so equal prefixes lie
+together, and a task builds the tree of a bounded run of rows at a time; cut anywhere, the
+sums add up to the same.
 
 All arithmetic is in integers: shares of at most 10^9 + 1, in 64 bits, their products of
 counts in decimals of 38 digits.
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +46,9 @@ MIN_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
 #: Entries a task gathers before it passes them on.
-HELD = 200_000
-SUMS = 4_000_000
+HELD = 400_000
+#: Rows of one tree, and the cells (rows by entries of the longest) it is cut at.
+TREE_ROWS, TREE_CELLS = 4096, 1_000_000
 #: Terms are runs of letters A-Z and characters beyond ASCII: other bytes become spaces.
 LETTERS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -114,6 +116,51 @@ def f(p: np.ndarray | int, q: np.ndarray | int) -> np.ndarray | int:
     return (p - q) * (p - q) // (p + q)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` or a little more."""
+    held: list = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def tree_part(times: np.ndarray, starts: np.ndarray, node: np.ndarray, p: np.ndarray, p0: np.ndarray, source: np.ndarray):
+    """``own, ancestor, value``: corrections of the tree of some sorted rows, by source number.
+
+    Row k's entries lie from ``starts[k]`` to ``starts[k + 1]``; entries of equal ``node`` numbers are
+    equal. A row shares the nodes of the one before as far as their entries are equal.
+    """
+    lengths = np.diff(starts)
+    at = np.arange(lengths.max(initial=0))
+    here = at < lengths[:, None]
+    table = np.full(here.shape, -1)
+    table[here] = node
+    new = np.ones(here.shape, bool)
+    new[1:] = np.cumsum(table[1:] != table[:-1], 1) > 0
+    new &= here
+    # each entry's node in the tree: its own if new, else that of the row before
+    number = np.zeros(here.shape, np.int64)
+    number[new] = np.arange(new.sum())
+    number = np.maximum.accumulate(number, 0)
+    parent = np.full(here.shape, -1)
+    parent[:, 1:] = number[:, :-1]
+    below = np.zeros(new.sum(), np.int64)
+    np.add.at(below, number[here], np.repeat(times, lengths))
+    of = new[here]
+    p, p0, source, parent = p[of], p0[of], source[of], parent[new]
+    # all nodes against their parents, then against the parents of those, up to the roots
+    nodes, up = np.arange(len(p)), parent
+    while len(nodes := nodes[up >= 0]):
+        up = up[up >= 0]
+        x, x0, y, y0 = p[nodes], p0[nodes], p[up], p0[up]
+        yield source[nodes], source[up], below[nodes] * (f(x, y) - f(x, y0) - f(x0, y) + f(x0, y0))
+        up = parent[up]
+
+
 def tree_sums(rows: DataFrame) -> DataFrame:
     """``lang, a, b, value``: parts of the corrections of terms that both sources hold.
 
@@ -122,79 +169,30 @@ def tree_sums(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict = {}
-        names: list = []
-        sums: dict = {}
-        held = 0
-        path: list = []  # (number of the source, its count) of each node on the path
-        below: list = []  # multiplicity of each
-        at = np.zeros((3, 64), np.int64)  # source number, p, p0 of each
-
-        def leave(depth: int) -> None:
-            """Correct the nodes from ``depth`` on against their ancestors, the deepest first."""
-            nonlocal held
-            while len(path) > depth:
-                d = len(path) - 1
-                times = below.pop()
-                own = path.pop()[0]
-                if d:
-                    below[-1] += times
-                    ids, p, p0 = at[:, :d]
-                    q, q0 = at[1, d], at[2, d]
-                    row = sums.get(own)
-                    if row is None or len(row) < len(names):
-                        held += len(names) - (0 if row is None else len(row))
-                        grown = np.zeros(len(names), np.int64)
-                        if row is not None:
-                            grown[: len(row)] = row
-                        row = sums[own] = grown
-                    row[ids] += times * (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0))
-
-        def out(lang: str) -> Iterator[pa.RecordBatch]:
-            for own, row in sums.items():
-                to = np.flatnonzero(row)
-                yield pa.record_batch(
-                    [pa.array([lang] * len(to), pa.string()), pa.array([names[own]] * len(to), pa.string()),
-                     pa.array([names[k] for k in to], pa.string()), pa.array(row[to])],
-                    ["lang", "a", "b", "value"],
-                )
-            sums.clear()
-
-        now = None
-        for b in pieces(batches):
-            langs, times = b["lang"].to_pylist(), b["times"].to_pylist()
-            ends = b["row"].offsets.to_pylist()
-            entries = b["row"].values
-            sources, n = entries.field("source").to_pylist(), entries.field("n").to_pylist()
-            shares = np.stack([entries.field("p").to_numpy(), entries.field("p0").to_numpy()])
-            for k, lang in enumerate(langs):
-                if lang != now or held > SUMS:
-                    leave(0)
-                    yield from out(now)
-                    held = 0
-                    if lang != now:
-                        number, names, now = {}, [], lang
-                first, last = ends[k], ends[k + 1]
-                while last - first > at.shape[1]:
-                    at = np.concatenate([at, np.zeros_like(at)], 1)
-                same = 0
-                for j in range(first, last):
-                    if same >= len(path) or path[same] != (number.get(sources[j]), n[j]):
-                        break
-                    same += 1
-                leave(same)
-                for j in range(first + same, last):
-                    if sources[j] not in number:
-                        number[sources[j]] = len(names)
-                        names.append(sources[j])
-                    at[0, len(path)] = number[sources[j]]
-                    at[1:, len(path)] = shares[:, j]
-                    path.append((number[sources[j]], n[j]))
-                    below.append(0)
-                below[-1] += times[k]
-        leave(0)
-        if now is not None:
-            yield from out(now)
+        for b in gathered(batches, TREE_ROWS):
+            lang, entries = b["lang"].dictionary_encode(), b["row"].flatten()
+            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(b["row"]).to_numpy())])
+            name = entries.field("source").dictionary_encode()
+            width = len(name.dictionary)
+            # a source of one language is not that of another
+            source = name.indices.to_numpy() + np.repeat(lang.indices.to_numpy(), np.diff(starts)).astype(np.int64) * width
+            count, p, p0 = (entries.field(c).to_numpy() for c in ("n", "p", "p0"))
+            node = np.unique(np.stack([source, count]), axis=1, return_inverse=True)[1].ravel()
+            times, sums, first = b["times"].to_numpy(), [], 0
+            while first < b.num_rows:
+                last = first + max(1, np.searchsorted(np.maximum.accumulate(np.diff(starts)[first:]) * np.arange(1, b.num_rows - first + 1), TREE_CELLS))
+                part = slice(starts[first], starts[last])
+                sums += tree_part(times[first:last], starts[first : last + 1] - starts[first], node[part], p[part], p0[part], source[part])
+                first = last
+            if sums:
+                own, other, value = (np.concatenate(c) for c in zip(*sums))
+                size = width * len(lang.dictionary)
+                pair, to = np.unique(own * size + other, return_inverse=True)
+                total = np.zeros(len(pair), np.int64)
+                np.add.at(total, to, value)
+                a, other = pair // size, pair % size
+                names = [name.dictionary.take(pa.array(x % width)) for x in (a, other)]
+                yield pa.record_batch([lang.dictionary.take(pa.array(a // width)), *names, pa.array(total)], ["lang", "a", "b", "value"])
 
     return rows.mapInArrow(run, "lang string, a string, b string, value long")
 

@@ -16,7 +16,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
 
     Ids are taken in the order of a repeatable random number, so the sample does not
     depend on partitioning. Null labels and ids are left out; an id with several labels
-    counts with the largest. The sampled ids are at most ``max_rows`` small rows, which
+    counts with the largest, one with several texts with the least of them. The sampled ids are at most ``max_rows`` small rows, which
     is the proven bound of the broadcast.
     """
     ids = (
@@ -29,4 +29,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
         .limit(max_rows)
     )
     rows = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return rows.join(F.broadcast(ids), "__id").select("__id", "text", "label")
+    return rows.join(F.broadcast(ids), "__id").groupBy("__id").agg(F.min("text").alias("text"), F.min("label").alias("label"))

@@ -2,9 +2,11 @@
 
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) over the terms a
 document holds. The pairwise part learns that two terms together mean more, or less,
-than their sum. Learning runs in numpy on a bounded sample (``max_rows``); the model,
-whose size ``2^bits * (rank + 1)`` floats bounds, is broadcast, and every document is
-scored in one pass without a shuffle.
+than their sum. The linear part is learned first, with a shrinkage that rare terms hardly
+overcome; the factors learn what it leaves. Learning runs in numpy on a bounded sample
+(``max_rows``); the model, whose size ``2^bits * (rank + 1)`` floats bounds, is broadcast,
+and every document is scored in one pass without a shuffle. A very long text is scored
+whole, by the distinct terms it holds.
 """
 
 from __future__ import annotations
@@ -61,78 +63,125 @@ class Buckets(dict):
         return np.fromiter(sorted(found), np.int32, len(found))
 
 
-def select_terms(rows: list[np.ndarray], labels: np.ndarray, bits: int, max_terms: int | None, min_docs: int) -> np.ndarray:
-    """Mark the buckets of ``min_docs`` or more rows; with ``max_terms``, only those whose
-    presence says most about the label on its own (chi-square)."""
-    n, size = len(rows), 1 << bits
-    flat = np.concatenate([*rows, np.empty(0, np.int32)])
-    df = np.bincount(flat, minlength=size).astype(float)
-    if max_terms is None:
-        return df >= max(min_docs, 1)
-    owner = np.repeat(labels, [len(r) for r in rows])
-    hits = np.bincount(flat, weights=owner, minlength=size)
-    p = labels.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (hits - df * p) ** 2 / (df * p * (1 - p) * (1 - df / (n + 1)))
-    chi[(df < min_docs) | ~np.isfinite(chi)] = 0
-    known = np.zeros(size, bool)
-    best = np.argsort(-chi, kind="stable")[:max_terms]
-    known[best[chi[best] > 0]] = True
-    return known
-
-
 def _raw(machine: Machine, terms: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logit of a document and the factors of its terms."""
     v = machine.factors[terms]
     s = v.sum(0)
     return machine.bias + machine.linear[terms].sum() + 0.5 * ((s * s).sum() - (v * v).sum()), v
 
 
+def _linear(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, size: int, l1: float, epochs: int, rng) -> tuple[float, np.ndarray]:
+    """Bias and term weights by follow-the-regularized-leader steps.
+
+    A term's evidence is the sum of its rows' errors; only what exceeds ``l1`` of it counts, and
+    steps shorten as it is seen. So the shrinkage of a term depends on its frequency: a term
+    of many alike rows soon stands for them, a term of one row can hardly remember it.
+    """
+    evidence, seen, w, bias = np.zeros(size), np.zeros(size), np.zeros(size), 0.0
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            t = rows[k]
+            own = w[t]
+            err = (1 / (1 + np.exp(-np.clip(bias + own.sum(), -30, 30))) - labels[k]) * weights[k]
+            bias -= 0.02 * err
+            before = seen[t]
+            seen[t] = after = before + err * err
+            evidence[t] = z = evidence[t] + err - (np.sqrt(after) - np.sqrt(before)) * own
+            w[t] = -np.sign(z) * np.maximum(np.abs(z) - l1, 0) / (2 + np.sqrt(after))
+    return bias, w
+
+
+def _pairs(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, start: Machine, rank: int, shrink: float, rate: float, epochs: int, rng) -> Machine:
+    """Factors of all terms by Adagrad steps on the errors that the linear part leaves."""
+    size = len(start.linear)
+    factors = rng.normal(0, 0.01, (size, rank))
+    seen = np.full((size, rank), 1e-2)
+    m = start._replace(factors=factors)
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            t = rows[k]
+            z, v = _raw(m, t)
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[k]) * weights[k]
+            if abs(err) < 0.01 or not len(t):
+                continue
+            g = err * (v.sum(0) - v) + shrink * v
+            seen[t] += g * g
+            factors[t] = v - rate * g / np.sqrt(seen[t])
+    return m
+
+
+def _loss(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    p = np.clip(scores, 1e-6, 1 - 1e-6)
+    return float((weights * -np.log(np.where(labels > 0, p, 1 - p))).sum())
+
+
+def _shift(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray, clean: float) -> float:
+    """What to add to the logits for the least loss, rows without the label counting ``clean`` times.
+
+    The loss is convex in the shift, so its slope's zero is found by halving.
+    """
+    z = np.log(np.clip(scores, 1e-9, 1 - 1e-9) / np.clip(1 - scores, 1e-9, 1))
+    cost = weights * np.where(labels > 0, 1.0, clean)
+    low, high = -5.0, 5.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        slope = (cost * (1 / (1 + np.exp(-(z + middle))) - labels)).sum()
+        low, high = (low, middle) if slope > 0 else (middle, high)
+    return (low + high) / 2
+
+
 def train(
     rows: list[np.ndarray],
     labels: np.ndarray,
     bits: int = 18,
     rank: int = 4,
-    max_terms: int | None = None,
-    min_docs: int = 1,
-    epochs: int = 16,
-    rate: float = 0.3,
+    l1: float = 15.0,
+    epochs: int = 6,
+    pair_epochs: int = 12,
     shrink: float = 2e-4,
+    rate: float = 0.09,
+    clean: float = 2.0,
     seed: int = 5,
 ) -> Machine:
-    """Fit by stochastic gradient descent (Adagrad steps, L2 shrinkage) on presence features.
-
-    Every bucket of the sample has a weight and factors: a term that tells nothing alone may
-    tell with another. ``2^bits`` bounds the model; ``max_terms`` and ``min_docs`` cut it
-    further on request. Without rows, or with one label only, the machine answers the label's share.
+    """Fit a machine on presence features; both labels weigh alike in total.
+
+    Every bucket of the sample has a weight and factors; ``2^bits`` bounds the model. The
+    linear part is learned first, the factors on what it leaves. A first fit on three
+    quarters of the rows tells, on the fourth, how far to trust the pairs (a scale of
+    0 to 1 by its loss) and where the scores part (a shift of the bias, in which a row without
+    the label weighs ``clean`` times); the fit on all rows
+    takes both over. Without rows, or with one label only, the machine answers the label's share.
     """
     size = 1 << bits
     labels = np.asarray(labels, float)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
-    bias = float(np.log(share / (1 - share)))
-    linear, factors = np.zeros(size, np.float32), np.zeros((size, rank), np.float32)
+    known = np.zeros(size, bool)
+    none = Machine(float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, rank), np.float32), known)
     if len(labels) == 0 or labels.min() == labels.max():
-        return Machine(bias, linear, factors, np.zeros(size, bool))
-    known = select_terms(rows, labels, bits, max_terms, min_docs)
-    rng = np.random.default_rng(seed)
-    factors[known] = rng.normal(0, 0.01, (int(known.sum()), rank))
-    rows = [r[known[r]] for r in rows]
-    g_linear, g_factors = np.full(size, 1e-2, np.float32), np.full((size, rank), 1e-2, np.float32)
-    for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            t = rows[k]
-            m = Machine(bias, linear, factors, known)
-            z, v = _raw(m, t)
-            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[k]
-            bias -= 0.01 * err
-            if not len(t):
-                continue
-            gl = err + shrink * linear[t]
-            g_linear[t] += gl * gl
-            linear[t] -= rate * gl / np.sqrt(g_linear[t])
-            gv = err * (v.sum(0) - v) + shrink * v
-            g_factors[t] += gv * gv
-            factors[t] = v - 0.3 * rate * gv / np.sqrt(g_factors[t])
-    return Machine(float(bias), linear, factors, known)
+        return none
+    weights = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+
+    def fit(idx: np.ndarray) -> Machine:
+        rng = np.random.default_rng(seed)
+        some = [rows[k] for k in idx]
+        bias, linear = _linear(some, labels[idx], weights[idx], size, l1, epochs, rng)
+        return _pairs(some, labels[idx], weights[idx], Machine(bias, linear, none.factors, known), rank, shrink, rate, pair_epochs, rng)
+
+    fourth = np.random.default_rng(seed).permutation(len(rows)) % 4 == 0
+    scale, shift = 1.0, 0.0
+    for side in (fourth, ~fourth):
+        if labels[side].min(initial=1) == labels[side].max(initial=0) or side.sum() < 2:
+            break
+    else:
+        machine = fit(np.flatnonzero(~fourth))
+        tried = [rows[k] for k in np.flatnonzero(fourth)]
+        y, cost = labels[fourth], weights[fourth]
+        scored = {s: score_terms(machine._replace(factors=machine.factors * np.sqrt(s)), tried) for s in (0.0, 0.1, 0.3, 1.0)}
+        scale = min(scored, key=lambda s: _loss(scored[s], y, cost))
+        shift = _shift(scored[scale], y, cost, clean)
+    machine = fit(np.arange(len(rows)))
+    known[np.concatenate(rows)] = True
+    return Machine(machine.bias + shift, machine.linear.astype(np.float32), (machine.factors * np.sqrt(scale)).astype(np.float32), known)
 
 
 def score_terms(machine: Machine, rows: list[np.ndarray]) -> np.ndarray:

@@ -101,8 +101,8 @@ def test_tree_cut_anywhere_sums_up_alike(spark, monkeypatch):
                 f = [(u - v) ** 2 // (u + v) for u, v in ((p, q), (p, y), (x, q), (x, y))]
                 wanted[lang, a, b] += times * (f[0] - f[1] - f[2] + f[3])
     frame = spark.createDataFrame(rows, "lang string, row array<struct<source:string,n:long,p:long,p0:long>>, times long")
-    for parts, bound in ((1, 4_000_000), (3, 4_000_000), (5, 2)):
-        monkeypatch.setattr("gleaner.llm.divergence.SUMS", bound)
+    for parts, bound in ((1, 1_000_000), (3, 50), (5, 1)):
+        monkeypatch.setattr("gleaner.llm.divergence.TREE_CELLS", bound)
         got = Counter()
         for r in tree_sums(frame.repartition(parts).sortWithinPartitions("lang", "row")).collect():
             got[r["lang"], r["a"], r["b"]] += r["value"]

@@ -17,7 +17,7 @@ from gleaner.llm.lm import lm_scores, pack, pack_hashes, unpack, unpack_hashes
 from gleaner.llm.mixing import mix
 from gleaner.llm.quality import quality
 from gleaner.llm.queries import mixed
-from gleaner.llm.toxicity import Buckets, score_terms, toxicity, train
+from gleaner.llm.toxicity import Buckets, Machine, score_terms, toxicity, train
 
 
 def test_packing_round_trip():
@@ -122,7 +122,7 @@ def test_machine_learns_what_terms_mean_together():
     buckets = Buckets(14)
     terms = [buckets.terms(t.encode()) for t, _ in docs]
     y = np.array([x for _, x in docs])
-    machine = train(terms[:900], y[:900], bits=14, epochs=60, max_terms=64, shrink=1e-4)
+    machine = train(terms[:900], y[:900], bits=14, pair_epochs=60, shrink=1e-4)
     got = score_terms(machine, terms[900:]) >= 0.5
     assert (got == y[900:]).mean() > 0.95
 
@@ -153,6 +153,34 @@ def test_held_out_accuracy(spark):
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out.limit(50).collect())
 
 
+def test_held_out_toxic_documents_are_told_apart(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity(docs, labels).where("held_out").join(labels.where("toxic is not null"), "doc_id").collect()
+    toxic, clean = ([r["score"] for r in rows if r["toxic"] == k] for k in (1, 0))
+    # about one in ten toxic labels is of a text without any word that others share
+    assert sum(s >= 0.5 for s in toxic) / len(toxic) >= 0.85
+    assert sum(s < 0.5 for s in clean) / len(clean) >= 0.95
+    assert sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / len(toxic) / len(clean) >= 0.97
+
+
+def test_scores_are_the_plain_formula():
+    rng = np.random.default_rng(3)
+    machine = Machine(0.3, rng.normal(size=32).astype(np.float32), rng.normal(size=(32, 3)).astype(np.float32), np.ones(32, bool))
+    rows = [np.sort(rng.choice(32, n, False)).astype(np.int32) for n in (0, 1, 2, 5, 20)]
+    for t, got in zip(rows, score_terms(machine, rows)):
+        z = machine.bias + sum(float(machine.linear[i]) for i in t)
+        z += sum(float(machine.factors[i].astype(float) @ machine.factors[j].astype(float)) for i in t for j in t if i < j)
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_an_id_is_learned_from_once(spark):
+    docs = frame(spark, ["t"] * 200).unionByName(spark.createDataFrame([(7, f"u{i}") for i in range(500)], "doc_id long, text string"), True)
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, "toxic", 150, 1).collect()
+    assert len(rows) == len({r["__id"] for r in rows}) == 150
+
+
 def test_training_sample_is_bounded(spark):
     docs = frame(spark, ["t"] * 200)
     labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
