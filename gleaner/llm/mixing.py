@@ -3,8 +3,10 @@
 DataFrame functions only. Documents are counted into cells (one per combination of
 the dimensions, with its tokens); cell weights are raked to each dimension's target
 shares in turn until no factor differs from 1 by more than ``tol``; each document is
-then drawn by its cell's calibrated rate. Only per-dimension shares and one
-convergence number per sweep are small; cells and documents stay distributed.
+then drawn by its cell's calibrated rate. A margin is a windowed sum over the cells of a
+category (cells, not documents, meet in a task), several sweeps run in one job, and only one
+convergence number per job reaches the driver. Only a text's words are counted, so a very
+long one is as any other.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.scratch import Scratch
@@ -22,6 +24,8 @@ from gleaner.llm.text import uniform
 UNKNOWN = "unknown"
 #: Cells a task rakes at once; more cells mean more tasks.
 CELLS_PER_TASK = 200_000
+#: Sweeps of one job, between two written tables.
+SWEEPS = 4
 
 
 def flattened_shares(cells: DataFrame, dim: str, exponent: float) -> DataFrame:
@@ -67,26 +71,26 @@ def rake(
     targets that contradict each other end at ``max_sweeps`` on the last fit.
     """
     n = cells.count()
-    parts = max(1, math.ceil(n / CELLS_PER_TASK))
-    shares = {d: scratch.save(_normalised(cells, d, t).coalesce(1)) for d, t in targets.items()}
-    now = scratch.save(cells.withColumn("mass", F.col("tokens").cast("double")).coalesce(parts))
-    for _ in range(max_sweeps if n else 0):
-        w = now.select(*cells.columns, "mass")
-        for d, share in shares.items():
-            margin = w.groupBy(d).agg(F.sum("mass").alias("m"))
-            factor = margin.join(share, d, "left").select(
-                d, F.when(F.col("m") > 0, F.coalesce("share", F.lit(0.0)) / F.col("m")).otherwise(0.0).alias(f"f_{d}")
-            )
-            w = w.join(factor, d).withColumn("mass", F.col("mass") * F.col(f"f_{d}"))
-        moved = F.greatest(F.lit(0.0), *[F.abs(F.col(f"f_{d}") - 1) for d in shares])
-        after = scratch.save(
-            w.select(*cells.columns, "mass", F.when(F.col("mass") > 0, moved).otherwise(0.0).alias("moved")).coalesce(parts)
-        )
+    now = cells.withColumn("mass", F.col("tokens").cast("double"))
+    for d, t in targets.items():
+        share = _normalised(cells, d, t).select(d, F.col("share").alias(f"s_{d}"))
+        now = now.join(share, d, "left").fillna(0.0, [f"s_{d}"])
+    now = scratch.save(now.coalesce(max(1, math.ceil(n / CELLS_PER_TASK))))
+    done = 0
+    while n and done < max_sweeps:
+        w = now.withColumn("moved", F.lit(0.0))
+        for _ in range(min(SWEEPS, max_sweeps - done)):
+            w, done = w.withColumn("moved", F.lit(0.0)), done + 1
+            for d in targets:
+                margin = F.sum("mass").over(Window.partitionBy(d))
+                w = w.withColumn("factor", F.when(margin > 0, F.col(f"s_{d}") / margin).otherwise(0.0))
+                w = w.withColumn("moved", F.greatest("moved", F.abs(F.col("factor") - 1))).withColumn("mass", F.col("mass") * F.col("factor"))
+        after = scratch.save(w.withColumn("moved", F.when(F.col("mass") > 0, F.col("moved")).otherwise(0.0)).drop("factor"))
         scratch.drop(now)
         now = after
         if (now.agg(F.max("moved")).first()[0] or 0.0) <= tol:
             break
-    return now.drop("moved")
+    return now.select(*cells.columns, "mass")
 
 
 def mix(

@@ -99,7 +99,7 @@ MIX_TARGETS = {
 
 
 def topic(text):
-    """A document's topic by its markers."""
+    """A stand-in for a topic (the table has none): three substring tests."""
     t = F.coalesce(text, F.lit(""))
     return (
         F.when(t.contains(" | "), "table")
@@ -123,8 +123,15 @@ def mixed(docs: DataFrame) -> DataFrame:
 def _mix_sql(sweeps: int = 40) -> str:
     """The fit unrolled: a sweep is one window per dimension."""
 
-    def fixed(d):
-        return "CASE " + d + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_TARGETS[d].items()) + " ELSE 0 END"
+    def given(d):
+        return "CASE " + d + " " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in MIX_TARGETS[d].items()) + " END"
+
+    def listed(d):
+        """A category without a target keeps its tokens' worth beside the listed ones."""
+        return (
+            f"coalesce(g_{d}, t_{d} * (SELECT CASE WHEN sum(t) > 0 THEN sum(g) / sum(t) ELSE 1 END "
+            f"FROM (SELECT DISTINCT {d}, g_{d} AS g, t_{d} AS t FROM own WHERE g_{d} IS NOT NULL AND t_{d} > 0)))"
+        )
 
     w = "SELECT source, lang, topic, tokens, s_source, s_lang, s_topic, CAST(tokens AS DOUBLE) AS mass FROM shares"
     for _ in range(sweeps):
@@ -143,9 +150,13 @@ WITH t AS (
   FROM documents),
 cells AS MATERIALIZED (
   SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM t GROUP BY ALL),
+own AS MATERIALIZED (
+  SELECT *, {given("lang")} AS g_lang, {given("topic")} AS g_topic,
+    CAST(sum(tokens) OVER (PARTITION BY lang) AS DOUBLE) AS t_lang, CAST(sum(tokens) OVER (PARTITION BY topic) AS DOUBLE) AS t_topic
+  FROM cells),
 raw AS (
-  SELECT *, sqrt(sum(tokens) OVER (PARTITION BY source)) AS r_source, {fixed("lang")} AS r_lang,
-    {fixed("topic")} AS r_topic FROM cells),
+  SELECT *, sqrt(sum(tokens) OVER (PARTITION BY source)) AS r_source, {listed("lang")} AS r_lang,
+    {listed("topic")} AS r_topic FROM own),
 shares AS MATERIALIZED (
   SELECT source, lang, topic, tokens,
     r_source / (SELECT sum(r) FROM (SELECT DISTINCT source, r_source AS r FROM raw WHERE tokens > 0)) AS s_source,

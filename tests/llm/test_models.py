@@ -5,6 +5,8 @@ import random
 import zlib
 from collections import Counter
 
+
+import duckdb
 import numpy as np
 from conftest import frame, sentence
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from gleaner.llm.labelled import training_rows
 from gleaner.llm.lm import lm_scores, pack, pack_hashes, unpack, unpack_hashes
 from gleaner.llm.mixing import mix
 from gleaner.llm.quality import quality
-from gleaner.llm.queries import mixed
+from gleaner.llm.queries import ORACLES, QUERIES, mixed
 from gleaner.llm.toxicity import Buckets, Machine, score_terms, toxicity, train
 
 
@@ -111,6 +113,22 @@ def test_languages_without_a_target_keep_their_share(spark):
     assert drawn["unknown"] > 150 and drawn["it"] > 70
 
 
+def test_mixing_equals_its_sql_with_null_and_unlisted_categories(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [
+        (i, None if i % 50 == 0 else sentence(rng, rng.randint(1, 60)) + rng.choice(["", " a | b", " !!", " x=1"]),
+         rng.choice(["en", "en", "de", "fr", "it", None, "es"]), rng.choice(["a", "b", "c", None]), 0)
+        for i in range(600)
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(ORACLES["op2_mixing"])
+    got = QUERIES["op2_mixing"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    assert min(r["weight"] for r in got if r["lang"] in ("it", "unknown") and r["n_tokens"]) > 0
+
+
 def test_machine_learns_what_terms_mean_together():
     rng = random.Random(5)
     docs = []
