@@ -36,12 +36,11 @@ from ..functions.text import py_strip
 from ..functions.urls import complete_url, is_http, link_key, valid_url
 from ..session import checkpoint_dir, ensure_shipped
 from ..sources.pages import normalise_html, resolve_pages
-from . import htmltree
+from . import htmltree, structure
 from .content import collect_content
 from .links import link_xpaths
 from .nodes import dealt
-from .treematch import select
-from .xpath import Unsupported, XPath, compile_xpath
+from .xpath import Unsupported
 
 #: Rule sets evaluated on one page row; a page that more want comes in several rows.
 RULES_PER_ROW = 500
@@ -60,26 +59,31 @@ def spider_rules(spiders: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=4096)
-def _compiled(xpath: str) -> XPath | None | str:
+def _read(xpath: str) -> tuple | str:
+    """The branches of a rule's XPath that select elements, or why it is not supported; none if invalid."""
     try:
-        return compile_xpath(xpath)
+        return tuple(b for b in structure.read(xpath) if b[3] is None)
     except Unsupported as exc:
-        return str(exc)
+        return f"{xpath!r}: {exc}"
+    except (ValueError, IndexError):
+        return ()
 
 
 def page_finds(url: str, html: str, rules: list[dict]) -> Iterator[tuple]:
     """``rules_id, src_url, kind, sel, node, href, text`` of the links each rule finds on a page;
-    kind ``rejected`` for an XPath that is valid but not supported."""
+    kind ``rejected`` for an XPath that is valid but not supported. All rules go over one
+    ``structure.Page``: what they have in common is walked once."""
     _, tree = htmltree.build(html)
+    page = structure.Page(tree)
     links: dict[str, list | str] = {}
     for rule in rules:
         for kind in ("target", "expand"):
             for sel, xpath in enumerate(link_xpaths(rule[f"{kind}_links"])):
                 if xpath not in links:
-                    xp = _compiled(xpath)
-                    links[xpath] = xp if isinstance(xp, str) else [
+                    branches = _read(xpath)
+                    links[xpath] = branches if isinstance(branches, str) else [
                         (n, tree.attrs[n]["href"], "".join(tree.lead[n]))
-                        for n in (select(xp, tree) if xp else ()) if tree.attrs[n].get("href")
+                        for n in sorted({n for b in branches for n in page.select(b)}) if tree.attrs[n].get("href")
                     ]
                 got = links[xpath]
                 if isinstance(got, str):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..session import ensure_shipped
-from . import htmltree
+from . import htmltree, structure
 
 ATTRS_T = T.MapType(T.StringType(), T.StringType())
 PATH_T = T.ArrayType(
@@ -72,6 +72,7 @@ NODES_SCHEMA = T.StructType(
         T.StructField("markup", T.StringType()),
         T.StructField("texts", T.ArrayType(T.StringType())),
         T.StructField("path", PATH_T),
+        T.StructField("marks", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -93,6 +94,21 @@ FLUSH_CHARS = 32 << 20
 FLUSH_PATH = 200_000
 
 
+def _marks(tree, xpaths) -> dict[int, list[str]]:
+    """Marks by element: of each XPath branch that selects it, ``^`` after those that select its
+    parent where text nodes are the result (the element's tail is one of them)."""
+    out: dict[int, list[str]] = {}
+    page = structure.Page(tree) if xpaths else None
+    for xpath in xpaths:
+        for k, path in enumerate(structure.read(xpath)):
+            mark = structure.mark(xpath, k)
+            for n in page.select(path):
+                out.setdefault(n, []).append(mark)
+                for kid in tree.kids[n] if path[3] == ("text",) else ():
+                    out.setdefault(kid, []).append(f"{mark}^")
+    return out
+
+
 class _Batch:
     """Node rows of several pages, built as flat Arrow columns."""
 
@@ -108,11 +124,12 @@ class _Batch:
     def full(self) -> bool:
         return self.rows >= FLUSH_ROWS or self.chars >= FLUSH_CHARS or len(self.p_tag) >= FLUSH_PATH
 
-    def add_page(self, page_id, url, html, attrs, content_tags, path_tags, text_tags=frozenset()):
+    def add_page(self, page_id, url, html, attrs, content_tags, path_tags, text_tags=frozenset(), xpaths=()):
         """Add a page's rows; yields whenever the batch is full, for the caller to take it."""
         src, b = htmltree.build(html)
         text = htmltree.doc_text(b) if content_tags is None or content_tags else ""
         n = len(b.tag)
+        marks = _marks(b, xpaths)
         kept = [d if attrs is None else {k: v for k, v in d.items() if k in attrs} for d in b.attrs]
         depth = [0] * n
         for i in range(n):
@@ -153,6 +170,7 @@ class _Batch:
                 out["texts"].append(nodes_txt)
             else:
                 out["texts"].append(None)
+            out["marks"].append(marks.get(i))
             if _wanted(path_tags, tag):
                 chain = []
                 j = i
@@ -203,8 +221,8 @@ class _Batch:
                 arrays.append(pa.ListArray.from_arrays(pa.array(self.p_off, i32), path_struct))
             elif f.name == "attrs":
                 arrays.append(pa.array(self.out["attrs"], _MAP))
-            elif f.name == "texts":
-                arrays.append(pa.array(self.out["texts"], pa.list_(pa.string())))
+            elif f.name in ("texts", "marks"):
+                arrays.append(pa.array(self.out[f.name], pa.list_(pa.string())))
             elif f.name == "page_id":
                 arrays.append(pa.array(self.out[f.name], pa.int64()))
             elif isinstance(f.dataType, T.IntegerType):
@@ -215,12 +233,12 @@ class _Batch:
 
 
 def _convert(batches: Iterable[pa.RecordBatch], attrs, content_tags, path_tags,
-             text_tags=frozenset()) -> Iterator[pa.RecordBatch]:
+             text_tags=frozenset(), xpaths=()) -> Iterator[pa.RecordBatch]:
     acc = _Batch()
     for batch in batches:
         cols = batch.to_pydict()
         for page_id, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
-            for _ in acc.add_page(page_id, url, html, attrs, content_tags, path_tags, text_tags):
+            for _ in acc.add_page(page_id, url, html, attrs, content_tags, path_tags, text_tags, xpaths):
                 yield acc.take()
     if acc.rows:
         yield acc.take()
@@ -244,14 +262,17 @@ def parse_nodes(
     path_tags: Iterable[str] | None = None,
     partitions: int | None = None,
     text_tags: Iterable[str] | None = (),
+    xpaths: Iterable[str] = (),
 ) -> DataFrame:
     """Element rows of every page (``page_id, url, html`` in); ``texts`` (an element's
-    direct text nodes) only for ``text_tags`` (``None`` = every element). ``partitions``
+    direct text nodes) only for ``text_tags`` (``None`` = every element); ``marks`` names the
+    ``xpaths`` (those evaluated here, see ``structure``) that select the element. ``partitions``
     overrides the setting PARSE_PARTITIONS."""
     a = None if attrs is None else frozenset(attrs)
     c = None if content_tags is None else frozenset(content_tags)
     p = None if path_tags is None else frozenset(path_tags)
     t = None if text_tags is None else frozenset(text_tags)
+    x = tuple(xpaths)
     ensure_shipped(pages.sparkSession)
     src = dealt(pages.select("page_id", "url", "html"), partitions)
-    return src.mapInArrow(lambda it: _convert(it, a, c, p, t), NODES_SCHEMA)
+    return src.mapInArrow(lambda it: _convert(it, a, c, p, t, x), NODES_SCHEMA)

@@ -67,8 +67,8 @@ def parse_options(xpaths: Iterable[str], content: bool = True, extra_attrs: Iter
     """Pruned ``parse_nodes`` options for a set of XPaths (and their tbody fallbacks):
     the attributes they name, ``text``/``markup`` for the tags they can return
     (when ``content``, or when a predicate reads ``.``), ``path`` for the tags a
-    multi-step path can end on."""
-    attrs, tags, path_tags, text_tags = set(extra_attrs), set(extra_tags), set(), set()
+    multi-step path can end on, and the XPaths to evaluate in the parse."""
+    attrs, tags, path_tags, text_tags, structural = set(extra_attrs), set(extra_tags), set(), set(), set()
     any_tag = any_path = any_text = False
     for top in _compiled(xpaths):
         if top is None:
@@ -77,6 +77,8 @@ def parse_options(xpaths: Iterable[str], content: bool = True, extra_attrs: Iter
             if xp is None:
                 continue
             attrs |= xp.attr_names
+            if xp.structural:
+                structural.add(xp.source)
             last = xp.last_tags
             if content or xp.needs_text:
                 if last is None:
@@ -98,6 +100,7 @@ def parse_options(xpaths: Iterable[str], content: bool = True, extra_attrs: Iter
         "content_tags": None if any_tag else tags,
         "path_tags": None if any_path else path_tags,
         "text_tags": None if any_text else text_tags,
+        "xpaths": sorted(structural),
     }
 
 

@@ -22,8 +22,9 @@ holds when any of them matches, string functions see the first (XPath 1.0's
 conversions of a node set); ``.`` is the whole text. Both only on a path's last
 step. A syntax error compiles to ``None``: the selector yields no rows, as the
 reference's invalid XPath does, and the caller logs a warning. A valid XPath outside
-this subset (other axes, functions, relative paths in predicates) raises
-``Unsupported``: it must not look like a page without matches.
+this subset (other axes, functions, relative paths in predicates) is evaluated on the
+tree where the page is parsed (``structure``), and its rows carry its mark; what is not
+supported there either raises ``Unsupported``: it must not look like a page without matches.
 
 A location path s1..sn matches a node when a fold over its ancestors leaves
 bit n-1 set (in ``exact`` for a child step, ``any`` for a descendant step) and
@@ -65,6 +66,7 @@ class Path:
     steps: tuple
     terminal: tuple | None  # ("attr", name) | ("text",) | None
     late: tuple | None = None  # position predicate after filtering ones, on the last step
+    mark: str | None = None  # of a path evaluated where the page is parsed (structure.py)
 
 
 @dataclass(frozen=True)
@@ -102,7 +104,12 @@ class XPath:
 
     @property
     def needs_path(self) -> bool:
-        return any(b.terminal == ("text",) or len(b.steps) > 1 for b in self.branches)
+        return any(not b.mark and (b.terminal == ("text",) or len(b.steps) > 1) for b in self.branches)
+
+    @property
+    def structural(self) -> bool:
+        """Whether node rows must come with the marks of this XPath."""
+        return any(b.mark for b in self.branches)
 
     @property
     def needs_text(self) -> bool:
@@ -161,6 +168,13 @@ def _tokens(src: str):
     return out
 
 
+def evaluable(tokens: list) -> list:
+    """The tokens, unless there is arithmetic or a variable among them."""
+    if any(kind in ("arith", "var") for kind, _ in tokens):
+        raise Unsupported("arithmetic or a variable")
+    return tokens
+
+
 class _Parser:
     def __init__(self, toks):
         self.t = toks
@@ -339,7 +353,7 @@ def compile_xpath(source) -> XPath | None:
     if not isinstance(source, str) or not source.strip():
         return None
     try:
-        p = _Parser(_tokens(source))
+        p = _Parser(evaluable(_tokens(source)))
         branches, gpred = p.union()
         if p.i != len(p.t):
             raise ValueError("trailing tokens")
@@ -359,12 +373,28 @@ def compile_xpath(source) -> XPath | None:
             raise Unsupported("only positions in (…)[…]")
         return XPath(source, tuple(_late(b) for b in branches), gpred)
     except Unsupported as exc:
-        raise Unsupported(f"{source!r}: {exc}") from None
+        return _structural(source, exc)
     except (ValueError, IndexError) as exc:
         log.warning("invalid XPath %r: %s", source, exc)
         return None
 
 
+def _structural(source: str, why: Unsupported) -> XPath:
+    """An XPath that needs more than an element and its ancestors."""
+    from . import structure
+
+    try:
+        branches = structure.read(source)
+    except (ValueError, IndexError) as exc:
+        raise Unsupported(f"{source!r}: {exc if isinstance(exc, Unsupported) else why}") from None
+    paths = []
+    for k, (_, _, steps, result) in enumerate(branches):
+        test = steps[-1][1] if steps else "*"
+        last = Step("desc", None if test in ("*", "node()") else test, ())
+        paths.append(Path((last,), result, None, structure.mark(source, k)))
+    return XPath(source, tuple(paths), None)
+
+
 def _late(b: Path) -> Path:
     """The path with a last position predicate after other predicates set apart."""
     last = b.steps[-1]
@@ -553,8 +583,15 @@ def _ancestors(path: str = "path") -> Column:
     return F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))
 
 
+def _marked(mark: str) -> Column:
+    """True for rows that the parse marked (``^``: children of a marked element)."""
+    return F.coalesce(F.array_contains("marks", mark), F.lit(False))
+
+
 def branch_match(b: Path, path: str = "path") -> Column:
     """True for node rows selected by one location path (before ``(…)[…]``)."""
+    if b.mark:
+        return _marked(b.mark)
     last = b.steps[-1]
     n = len(b.steps)
     self_ok = _step_test(last, F.col("tag"), F.col("attrs"), F.col("sib"), F.col("pos"), F.col("nsib"),
@@ -570,6 +607,8 @@ def branch_match(b: Path, path: str = "path") -> Column:
 
 def branch_parent_match(b: Path, path: str = "path") -> Column:
     """True for node rows whose parent the location path selects (for ``text()``)."""
+    if b.mark:
+        return _marked(f"{b.mark}^")
     p = F.col(path)
     n = len(b.steps)
     st = _fold(_ancestors(path), b.steps)

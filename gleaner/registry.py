@@ -127,6 +127,15 @@ COUNTED_XPATHS = [
     "//li[",
     "//li[not(@class)][2]",
     "//ul/li[not(@id)][last()]",
+    "//ul[li]",
+    "//li/..",
+    "//nav[.//a/@href]",
+    "//li/following-sibling::li",
+    "(//nav/ul/li)[1]/a",
+    "//p[b]",
+    "//article/*[self::p]",
+    "//li[count(preceding-sibling::li) = 1]/a",
+    "//title/ancestor::html",
     "",
 ]
 BLACK_WORDS = ["casino", "free", "thing"]
