@@ -10,26 +10,31 @@ Rules (D = crawl_depth; ``target`` and ``expand`` are tracked separately):
    at d+1 and its expand links too unless d+1 = D;
 5. a URL enters once per kind, at its smallest depth.
 
-Spark plan: the traversal is level-synchronous and touches only what a frontier asks
-for. At each level the (rule set, URL) pairs that may still lead on and were not asked
-before are joined with the snapshot; only those pages are parsed, each once, and only
-the rule sets that want a page are evaluated on it (rule sets are rows: neither the plan
-nor the driver grows with the number of spiders). The links found are added to the edge
-table in the shared checkpoint folder, and frontier ⋈ edges → depth rules → smallest
-depth → ``left_anti`` against the visited set gives the next level. Every level is a
-written table, so lost executors repeat at most one level. Joins are plain equi-joins:
-a URL in many frontiers is a skewed key that adaptive execution splits. The driver sees
-one emptiness test per level.
+Spark plan: spiders with the same rules and depth walk together. They are numbered, and a row
+of the frontier or of the visited table stands for 64 of them: a walk (rule set, depth, word of
+numbers), a kind, a URL, and a mask with a bit for each spider. The traversal is
+level-synchronous: frontier ⋈ edges → depth rules → ``bit_or`` of the masks → without the bits
+that the visited table has, gives the next level, so each spider enters a URL at its smallest
+depth, and a URL that all reach costs a row per 64 spiders, not one each.
+
+It touches only what a frontier asks for. At each level the (rule set, URL) pairs that may
+still lead on and were not asked before are joined with the snapshot; only those pages are
+parsed, each once, and only the rule sets that want a page are evaluated on it, in one walk
+over its tree (rule sets are rows: neither the plan nor the driver grows with the number of
+spiders). Every level is a written table in the shared checkpoint folder, so lost executors repeat at
+most one level. Joins are plain equi-joins: a URL in many frontiers is a skewed key that
+adaptive execution splits. The driver sees one row of observed counts per level, gathered by
+the job that writes it; no job of its own asks whether the frontier is empty.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
@@ -47,6 +52,8 @@ RULES_PER_ROW = 500
 RULE = "struct<rules_id:string,target_links:array<string>,expand_links:array<string>>"
 _FOUND = "rules_id string, src_url string, kind string, sel int, node int, href string, text string"
 
+#: A walk: spiders with one rule set and depth, 64 to a word.
+WALK = ("rules_id", "crawl_depth", "word")
 SPIDER_COLUMNS = ("spider_id", "url", "crawl_root", "target_links", "expand_links", "crawl_depth")
 
 
@@ -101,9 +108,9 @@ def link_edges(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     ensure_shipped(pages.sparkSession)
     rule = F.struct("rules_id", "target_links", "expand_links").cast(RULE)
     asked = wanted.select("url", rule.alias("rule")).distinct()
-    most = asked.groupBy("url").count().agg(F.max("count")).first()[0] or 0
-    chunk = F.pmod(F.xxhash64("rule.rules_id"), F.lit(-(-most // RULES_PER_ROW) or 1))
-    per_page = asked.groupBy("url", chunk.alias("chunk")).agg(F.collect_list("rule").alias("rules"))
+    nth = F.row_number().over(Window.partitionBy("url").orderBy("rule.rules_id"))
+    chunk = F.floor((nth - 1) / RULES_PER_ROW)
+    per_page = asked.withColumn("chunk", chunk).groupBy("url", "chunk").agg(F.collect_list("rule").alias("rules"))
     found = resolve_pages(per_page, pages).where("found").select("url", normalise_html(F.col("html")).alias("html"), "rules", F.xxhash64("url").alias("page_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +141,18 @@ def link_edges(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def merge_frontier(candidates: DataFrame, visited: DataFrame | None) -> DataFrame:
     """O-30b: a (spider, kind, URL) enters once, at its smallest depth, valid URLs only (O-03);
-    an expand link at exactly the depth limit never enters."""
+    an expand link at exactly the depth limit never enters.
+
+    Rows are masks of spiders: ``rules_id, crawl_depth, word, kind, url, depth, mask``, all
+    ``candidates`` of one depth. What ``visited`` has of a key is taken out of the mask.
+    """
     c = candidates.where(valid_url(F.col("url")))
     c = c.where(~((F.col("kind") == "expand") & (F.col("depth") == F.col("crawl_depth"))))
-    best = c.groupBy("spider_id", "kind", "url").agg(
-        F.min("depth").alias("depth"), F.first("crawl_depth").alias("crawl_depth"), F.first("rules_id").alias("rules_id")
-    )
-    if visited is None:
-        return best
-    return best.join(visited.select("spider_id", "kind", "url"), ["spider_id", "kind", "url"], "left_anti")
+    new = c.groupBy(*WALK, "kind", "url").agg(F.min("depth").alias("depth"), F.bit_or("mask").alias("mask"))
+    if visited is not None:
+        seen = visited.groupBy(*WALK, "kind", "url").agg(F.bit_or("mask").alias("seen"))
+        new = new.join(seen, [*WALK, "kind", "url"], "left").withColumn("mask", F.expr("mask & ~coalesce(seen, 0L)"))
+    return new.where("mask != 0").select(*WALK, "kind", "url", "depth", "mask")
 
 
 class _Crawl:
@@ -162,44 +172,70 @@ class _Crawl:
         return self.spark.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(f"{self.base}/{name}")
 
 
-def crawl(spiders: DataFrame, pages: DataFrame) -> DataFrame:
+def walkers(spiders: DataFrame) -> DataFrame:
+    """Spiders with their walk and their ``bit`` in its masks.
+
+    Numbered within a rule set and depth. A spider id that stands with several starts or rules
+    is a spider of each.
+    """
+    sp = spider_rules(spiders.select(*SPIDER_COLUMNS)).withColumn("crawl_depth", F.coalesce("crawl_depth", F.lit(1)))
+    sp = sp.where(valid_url(F.col("url"))).dropDuplicates(["spider_id", "url", "rules_id", "crawl_depth"])
+    number = F.row_number().over(Window.partitionBy("rules_id", "crawl_depth").orderBy("spider_id", "url")) - 1
+    return sp.withColumn("word", F.floor(number / 64)).withColumn("bit", number % 64).withColumn("mask", F.expr("shiftleft(1L, bit)"))
+
+
+def _entered(kind: str) -> Column:
+    return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.bit_count("mask"))), F.lit(0)).alias(kind)
+
+
+def crawl(spiders: DataFrame, pages: DataFrame, progress: Callable[[int, dict], None] | None = None) -> DataFrame:
     """O-30 / O-30c / O-30e: every spider's crawl, ``spider_id, kind, url, depth``.
 
     ``spiders``: ``spider_id, url, crawl_root, target_links, expand_links, crawl_depth``.
     ``pages``: the snapshot the crawl reads (``page_id, url, html``); a URL it does
-    not hold is an empty page (O-02): no links, no error.
+    not hold is an empty page (O-02): no links, no error. ``progress`` is called after each
+    level with its depth and the observed numbers of ``target`` and ``expand`` entries (O-30f).
     """
     run = _Crawl(spiders.sparkSession)
-    sp = spider_rules(spiders.select(*SPIDER_COLUMNS)).withColumn("crawl_depth", F.coalesce("crawl_depth", F.lit(1)))
-    sp = sp.where(valid_url(F.col("url"))).dropDuplicates(["spider_id", "url", "rules_id"])
+    sp = run.add("spiders", 0, walkers(spiders))
     rules = run.add("rules", 0, sp.select("rules_id", "target_links", "expand_links").dropDuplicates(["rules_id"]))
     limit = sp.agg(F.max("crawl_depth")).first()[0]
-    entry = lambda kind: [F.lit(kind).alias("kind"), "url", F.lit(0).alias("depth")]
+
+    def entry(who: DataFrame, kind: str) -> DataFrame:
+        return who.groupBy(*WALK, F.lit(kind).alias("kind"), "url").agg(F.lit(0).alias("depth"), F.bit_or("mask").alias("mask"))
+
+    def add(level: int, rows: DataFrame) -> tuple[DataFrame, dict]:
+        entries = Observation()
+        counted = rows.observe(entries, F.count(F.lit(1)).alias("rows"), _entered("target"), _entered("expand"))
+        out, got = run.add("visited", level, counted), entries.get
+        if progress:
+            progress(level, {k: got[k] for k in ("target", "expand")})
+        return out, got
+
     # rule 1: the root as a target at depth 0; rule 2 through a "start" row for each spider
-    start = sp.select("spider_id", "rules_id", "crawl_depth", *entry("start"))
-    root = sp.where(F.coalesce("crawl_root", F.lit(False))).select("spider_id", "rules_id", "crawl_depth", *entry("target"))
-    visited = run.add("visited", 0, root.dropDuplicates(["spider_id", "kind", "url"]))
-    frontier = start.unionByName(visited)
-    kind, d, lim = F.col("kind"), F.col("depth"), F.col("crawl_depth")
+    visited, _ = add(0, entry(sp.where(F.coalesce("crawl_root", F.lit(False))), "target"))
+    frontier = entry(sp, "start").unionByName(visited)
+    kind, lim, link = F.col("kind"), F.col("crawl_depth"), F.col("link")
     for level in range(1, (limit or 0) + 2):
+        d = level - 1
         wanted = frontier.where((kind == "start") | (d < lim)).select("rules_id", "url").distinct()
         if level > 1:
             wanted = wanted.join(run.all("asked", asked), ["rules_id", "url"], "left_anti")
         asked = run.add("asked", level, wanted)
         found_edges = run.add("edges", level, link_edges(pages, asked.join(rules, "rules_id")))
         edges = run.all("edges", found_edges).select("rules_id", F.col("kind").alias("link"), F.col("src_url").alias("url"), "dst_url")
-        link = F.col("link")
         from_start = (kind == "start") & ((link == "target") | ((link == "expand") & (lim != 1)))
         from_target = (kind == "target") & (d < lim) & ((link == "target") | ((link == "expand") & (d < lim - 1)))
         from_expand = (kind == "expand") & (d < lim) & ((link == "target") | ((link == "expand") & (d + 1 < lim)))
-        found = frontier.join(edges, ["rules_id", "url"]).where(from_start | from_target | from_expand).select(
-            "spider_id", "rules_id", "crawl_depth", link.alias("kind"), F.col("dst_url").alias("url"), (d + 1).alias("depth")
-        )
-        new = merge_frontier(found, run.all("visited", visited)).select(*visited.columns)
-        frontier = run.add("visited", level, new)
-        if frontier.isEmpty():
+        found = frontier.join(edges, ["rules_id", "url"]).where(from_start | from_target | from_expand)
+        found = found.select(*WALK, link.alias("kind"), F.col("dst_url").alias("url"), F.lit(level).alias("depth"), "mask")
+        frontier, entries = add(level, merge_frontier(found, run.all("visited", visited)))
+        if not entries["rows"]:
             break
-    return run.all("visited", visited).select("spider_id", "kind", "url", F.col("depth").cast("int").alias("depth"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("bit_get", "mask", b) == 1)
+    each = run.all("visited", visited).select(*WALK, F.explode(bits).alias("bit"), "kind", "url", "depth")
+    named = each.join(sp.select(*WALK, "bit", "spider_id"), [*WALK, "bit"])
+    return named.groupBy("spider_id", "kind", "url").agg(F.min("depth").cast("int").alias("depth"))
 
 
 def crawl_stats(crawled: DataFrame) -> DataFrame:

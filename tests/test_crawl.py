@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 from fixtures import EXPAND, TARGET
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,3 +149,42 @@ def test_unsupported_rules_are_rejected_and_seen(spark, pages):
     edges = link_edges(pages, spider_rules(sp)).collect()
     assert [(r.kind, r.dst_url) for r in edges] == [("rejected", "//a[1 + 1]")]
     assert crawl(sp, pages).count() == 0
+
+
+def test_spiders_with_the_same_rules_walk_together(spark):
+    """Hundreds of spiders, three rule sets, different starts and depths, against a walk per spider."""
+    rng = random.Random(4)
+    out = {i: rng.sample(range(40), 3) for i in range(40)}
+    pages = spark.createDataFrame(
+        [(i, url(i), "".join(f'<a class="{"te"[k % 2]}" href="{url(k)}">{k}</a>' for k in ks)) for i, ks in out.items()], PAGE_SCHEMA
+    )
+    kinds = [(["//a[@class='t']"], ["//a[@class='e']"]), (["//a"], ["//b"]), (["//b"], ["//a"])]
+    rows = [(i, url(rng.randrange(40)), i % 5 == 0, *kinds[i % 3], rng.choice([1, 2, 3])) for i in range(300)]
+    levels = []
+    got = crawl(spark.createDataFrame(rows, SPIDER_SCHEMA), pages, lambda level, n: levels.append((level, n))).collect()
+    want = {}
+    for i, start, root, t, e, limit in rows:
+        links = {
+            "target": {k: [x for x in ks if t == ["//a"] or (t != ["//b"] and x % 2 == 0)] for k, ks in out.items()},
+            "expand": {k: [x for x in ks if e == ["//a"] or (e != ["//b"] and x % 2 == 1)] for k, ks in out.items()},
+        }
+        first = next(k for k in out if url(k) == start)
+        here, depth = {("start", first)}, 0
+        seen = {("target", first): 0} if root else {}
+        here |= set(seen)
+        while here:
+            depth, new = depth + 1, set()
+            for kind, k in here:
+                d = depth - 1
+                if kind != "start" and d >= limit:
+                    continue
+                new |= {("target", x) for x in links["target"][k]}
+                more = {"start": limit > 1, "target": d < limit - 1, "expand": d + 1 < limit}[kind]
+                new |= {("expand", x) for x in links["expand"][k]} if more and depth != limit else set()
+            here = new - set(seen)
+            seen |= dict.fromkeys(here, depth)
+        want |= {(i, kind, url(k)): d for (kind, k), d in seen.items()}
+    assert {(r.spider_id, r.kind, r.url): r.depth for r in got} == want and len(got) == len(want)
+    # what each level observed is what the result holds
+    counts = Counter((r.depth, r.kind) for r in got)
+    assert {(level, k): n for level, row in levels for k, n in row.items() if n} == dict(counts)
