@@ -2,32 +2,42 @@
 
 Blocks are judged by shallow text features alone: a container's score is the text of
 the paragraphs directly inside it, times the share of its text that is not link text.
-The best container wins (the first in document order on a tie); a page without a
-paragraph of ``MIN_PARAGRAPH`` characters gives its body, one without a body the empty
-document. Every page has a row.
+The best container wins (the body, then the first in document order on a tie); a page
+without a paragraph of ``MIN_PARAGRAPH`` characters gives its body, one without a body the
+empty document. Every page has a row.
 
-Everything is DataFrame work over the ``nodes`` table, and only numbers are shuffled:
-element ids, lengths and source offsets. The winner's markup is cut from the page's own
-HTML at the end, and elements that are no reading matter are cut from it.
+The block is chosen where the page is parsed: elements come in document order, so one pass
+from the last to the first adds every element's link text to its parent when the element's
+own is complete. A page yields one row with its title and the winner's markup; no HTML and
+no element crosses an exchange. Elements that are no reading matter are cut from the markup
+by Columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from .nodes import parse_nodes
+from ..session import ensure_shipped
+from . import htmltree
+from .nodes import FLUSH_CHARS, FLUSH_ROWS, dealt
 
 #: Tags that can hold the article.
-CONTAINERS = ("article", "main", "section", "div", "td", "blockquote", "body")
-PARAGRAPHS = ("p", "pre", "blockquote")
+CONTAINERS = frozenset({"article", "main", "section", "div", "td", "blockquote", "body"})
+PARAGRAPHS = frozenset({"p", "pre", "blockquote"})
 MIN_PARAGRAPH = 25
 #: Elements cut from the article: code, widgets and controls.
 UNREADABLE = ("script", "style", "noscript", "iframe", "object", "form", "button", "select", "textarea")
 UNREADABLE_VOID = ("input", "embed")
 ARTICLE_OPEN, ARTICLE_CLOSE = "<html><body><div>", "</div></body></html>"
 
+BEST = "page_id long, url string, title string, block string"
+BEST_TYPE = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in ("url", "title", "block"))])
+
 
 def readable(markup: Column) -> Column:
     """Markup without scripts, forms and the like."""
@@ -36,46 +46,49 @@ def readable(markup: Column) -> Column:
     return F.regexp_replace(markup, rf"(?is)<({'|'.join(UNREADABLE_VOID)})\b[^>]*>", "")
 
 
-def extract_article(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """``page_id, url, title, content`` for every page (``nodes``: an existing parse
-    of ``pages`` with at least these columns, e.g. one shared by several operations)."""
-    if nodes is None:
-        nodes = parse_nodes(pages, attrs=(), content_tags={*PARAGRAPHS, "title"}, path_tags={"a"})
-    length = F.length(py_strip(F.coalesce("text", F.lit(""))))
-    ancestors = F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda p: p["id"])
-    number = "array<struct<block:int,para:bigint,link:bigint,own:bigint,s0:int,s1:int,body:boolean>>"
-
-    def item(block, para=F.lit(0), link=F.lit(0), own=F.lit(None), s0=F.lit(None), s1=F.lit(None), body=F.lit(None)):
-        return F.struct(
-            block.cast("int").alias("block"), para.cast("long").alias("para"), link.cast("long").alias("link"),
-            own.cast("long").alias("own"), s0.cast("int").alias("s0"), s1.cast("int").alias("s1"), body.cast("boolean").alias("body"),
-        )
-
-    none = F.array().cast(number)
-    tag = F.col("tag")
-    items = F.concat(
-        F.when(tag.isin(*PARAGRAPHS) & (length >= MIN_PARAGRAPH), F.array(item(F.col("parent_id"), para=length))).otherwise(none),
-        F.when(tag == "a", F.transform(ancestors, lambda a: item(a, link=F.col("text_len")))).otherwise(none),
-        F.when(
-            tag.isin(*CONTAINERS),
-            F.array(item(F.col("node_id"), own=F.col("text_len"), s0=F.col("src_start"), s1=F.col("src_end"), body=tag == "body")),
-        ).otherwise(none),
-    )
-    narrow = nodes.select("page_id", F.explode(items).alias("i")).select("page_id", "i.*").where("block is not null")
-    blocks = narrow.repartition("page_id").groupBy("page_id", "block").agg(
-        F.sum("para").alias("para"), F.sum("link").alias("link"), F.max("own").alias("own"),
-        F.max("s0").alias("s0"), F.max("s1").alias("s1"), F.max("body").alias("body"),
-    ).where("own is not null")
-    free = F.when(F.col("own") > 0, F.greatest(1 - F.col("link") / F.col("own"), F.lit(0.0))).otherwise(F.lit(0.0))
-    score = F.col("para") * free
-    order = Window.partitionBy("page_id").orderBy(score.desc(), F.col("body").desc(), "block")
-    best = blocks.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
-    best = best.where((score > 0) | F.col("body")).select("page_id", "s0", "s1")
-    titles = nodes.where(tag == "title").groupBy("page_id").agg(F.min_by(py_strip(F.col("text")), "node_id").alias("title"))
-    out = pages.select("page_id", "url", "html").join(best, "page_id", "left").join(titles, "page_id", "left")
-    cut = F.expr("substring(html, s0 + 1, s1 - s0)")
-    body = F.when(F.col("s0").isNotNull(), py_strip(readable(cut))).otherwise(F.lit(""))
-    return out.select(
-        "page_id", "url", F.coalesce("title", F.lit("")).alias("title"),
-        F.concat(F.lit(ARTICLE_OPEN), body, F.lit(ARTICLE_CLOSE)).alias("content"),
+def best_block(html: str | None) -> tuple[str, str | None]:
+    """Title of a page and the source of its best block, None without any."""
+    source, tree = htmltree.build(html)
+    text = htmltree.doc_text(tree)
+    title, best, block = "", None, None
+    paragraphs, links = [0] * len(tree.tag), [0] * len(tree.tag)
+    for i in range(len(tree.tag) - 1, -1, -1):
+        tag, parent, size = tree.tag[i], tree.parent[i], tree.t1[i] - tree.t0[i]
+        if tag == "title":
+            title = text[tree.t0[i] : tree.t1[i]].strip()
+        if parent >= 0:
+            links[parent] += links[i] + (size if tag == "a" else 0)
+            if tag in PARAGRAPHS:
+                length = len(text[tree.t0[i] : tree.t1[i]].strip())
+                paragraphs[parent] += length if length >= MIN_PARAGRAPH else 0
+        if tag in CONTAINERS:
+            score = paragraphs[i] * max(1 - links[i] / size, 0.0) if size else 0.0
+            # an equal one that stands earlier wins, but not over the body
+            rank = (score, tag == "body")
+            if (score > 0 or tag == "body") and (best is None or rank >= best):
+                best, block = rank, i
+    return title, None if block is None else source[tree.s0[block] : tree.s1[block]]
+
+
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, chars = [], 0
+    for batch in batches:
+        for page_id, url, html in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html"))):
+            title, block = best_block(html)
+            rows.append({"page_id": page_id, "url": url, "title": title, "block": block})
+            chars += len(title) + len(block or "")
+            if len(rows) >= FLUSH_ROWS or chars >= FLUSH_CHARS:
+                yield pa.RecordBatch.from_pylist(rows, schema=BEST_TYPE)
+                rows, chars = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=BEST_TYPE)
+
+
+def extract_article(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``page_id, url, title, content`` for every page; ``partitions`` as in ``parse_nodes``."""
+    ensure_shipped(pages.sparkSession)
+    best = dealt(pages.select("page_id", "url", "html"), partitions).mapInArrow(_best, BEST)
+    body = F.coalesce(py_strip(readable(F.col("block"))), F.lit(""))
+    return best.select(
+        "page_id", "url", "title", F.concat(F.lit(ARTICLE_OPEN), body, F.lit(ARTICLE_CLOSE)).alias("content")
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import sort_by
 from ..functions.urls import page_identity
-from ..operators.article import PARAGRAPHS, extract_article
+from ..operators.article import extract_article
 from ..operators.content import IMG_XPATH, ROOT_XPATH, collect_content
 from ..operators.crawl import crawl, crawl_content
 from ..operators.links import links_as_array, page_links
@@ -63,8 +63,8 @@ def _shared_options(ops, selectors) -> dict:
     own = [s.xpath for s in as_selectors(selectors)]
     options = parse_options(["//a", IMG_XPATH, ROOT_XPATH, *own], content=False, extra_attrs={"href", "src", "alt"})
     tags = parse_options(own)["content_tags"]
-    options["content_tags"] = None if tags is None else {*tags, *PARAGRAPHS, "title"}
-    # the article and the images look at all ancestors of anchors and images
+    options["content_tags"] = tags
+    # links and images look at all ancestors of anchors and images
     tags = options["path_tags"]
     options["path_tags"] = None if tags is None else {*tags, "a", "img"}
     return options
@@ -145,9 +145,9 @@ def run_operations(
     spider = F.col("page_id").alias("spider_id")
     ids = starts.select(spider, "url", page_identity(F.col("url"), F.lit(run_id), F.col("page_id")).alias("id"))
     every = ids.select("spider_id")
-    # one parse of the start pages, shared by the page operations (links, article, content)
+    # one parse of the start pages, shared by links and content; the article is chosen in a parse of its own
     shared = None
-    if sum((a, t) in (("get", "links"), ("get", "article"), ("get", "content")) for a, t in ops) > 1:
+    if sum((a, t) in (("get", "links"), ("get", "content")) for a, t in ops) > 1:
         shared = parse_nodes(starts, **_shared_options(ops, selectors)).persist(StorageLevel.MEMORY_AND_DISK)
     datums = []
     for i, (a, t) in enumerate(ops):
@@ -159,7 +159,7 @@ def run_operations(
             links = F.coalesce(F.col("links"), F.array().cast("array<struct<url:string,text:string>>"))
             d = d.select("spider_id", datum(links, a, t).alias("datum"))
         elif (a, t) == ("get", "article"):
-            art = extract_article(starts, nodes=shared)
+            art = extract_article(starts)
             d = every.join(art.withColumnRenamed("page_id", "spider_id"), "spider_id", "left")
             d = d.select("spider_id", datum(F.struct("title", "content"), a, t).alias("datum"))
         elif (a, t) == ("get", "content"):

@@ -17,11 +17,14 @@ from .functions import timefmt, urls
 from .operators.links import page_links
 from .session import checkpoint_dir, table
 from .sources.config import broadcast_if_small
-from .sources.pages import read_pages, read_pages_from, resolve_pages
+from .sources.pages import read_byte_pages, read_pages, read_pages_from, resolve_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: The declaration of the given pages, and the one of their ISO-8859-1 form.
+UTF8, LATIN = '<meta charset="utf-8">', '<meta charset="iso-8859-1">'
+
 
 def register(name: str):
     def deco(fn: Query) -> Query:
@@ -43,6 +46,20 @@ def q_read_pages(spark, sf):
     return read_pages(spark, sf)
 
 
+@register("byte_pages")
+def q_byte_pages(spark, sf):
+    """O-01 over bytes: the pages in three character sets (UTF-8, UTF-16 with a mark, ISO-8859-1
+    where its characters suffice and the page declares it), each found from the bytes."""
+    p, html = table(spark, sf, "pages"), F.col("html")
+    kind, western = F.pmod("page_id", F.lit(3)), html.rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
+    content = (
+        F.when(kind == 1, F.encode(html, "UTF-16"))
+        .when((kind == 2) & western, F.encode(F.replace(html, F.lit(UTF8), F.lit(LATIN)), "ISO-8859-1"))
+        .otherwise(F.encode(html, "UTF-8"))
+    )
+    return read_byte_pages(p.select("page_id", "url", content.alias("content")))
+
+
 @register("get_page")
 def q_get_page(spark, sf):
     """O-14: the whole (stripped) page as content."""

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..functions.urls import valid_url
-from ..session import table
+from ..session import ensure_shipped, table
+from .charset import page_text
 
 EMPTY_PAGE = "<html></html>"
 
@@ -37,16 +38,24 @@ def read_pages_from(df: DataFrame) -> DataFrame:
     return df.select("page_id", "url", normalise_html(F.col("html")).alias("html"))
 
 
-def read_page_files(spark: SparkSession, glob: str, encoding: str = "UTF-8") -> DataFrame:
+def read_byte_pages(df: DataFrame) -> DataFrame:
+    """O-01 over ``page_id, url, content`` with pages as fetched bytes, each in its own
+    character set (``charset``)."""
+    ensure_shipped(df.sparkSession)
+    return df.select("page_id", "url", normalise_html(page_text(F.col("content"))).alias("html"))
+
+
+def read_page_files(spark: SparkSession, glob: str, encoding: str | None = None) -> DataFrame:
     """O-01 for a folder of HTML files: one page per file, the file URI as URL, the
-    path hash as ``page_id``. (Spark's file sources skip zero-length files; an empty
+    path hash as ``page_id``. Each file's character set is found from its bytes unless
+    ``encoding`` names one for all. (Spark's file sources skip zero-length files; an empty
     ``html`` value in a page table becomes the empty document as usual.)"""
-    raw = spark.read.format("binaryFile").load(glob).select(
-        F.col("path").alias("url"), F.decode(F.col("content"), encoding).alias("html")
-    )
-    return raw.select(
-        F.xxhash64("url").alias("page_id"), "url", normalise_html(F.col("html")).alias("html")
+    files = spark.read.format("binaryFile").load(glob).select(
+        F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), "content"
     )
+    if encoding is None:
+        return read_byte_pages(files)
+    return read_pages_from(files.withColumn("html", F.decode("content", encoding)))
 
 
 def valid_urls(df: DataFrame, col: str = "url") -> tuple[DataFrame, DataFrame]:

@@ -176,3 +176,40 @@ def test_print_time_any_and_valid_url_split(spark):
     ok, rejected = valid_urls(urls_df)
     assert [r.url for r in ok.collect()] == ["http://a.test/x"]
     assert sorted(str(r.url) for r in rejected.collect()) == ["/x", "None", "mailto:a@b"]
+
+
+def test_charset_of_a_page():
+    from gleaner.sources.charset import decode_page
+
+    text = "<p>Grüße, façade – €</p>"
+    western = text.replace(" – €", "")
+    assert decode_page(text.encode()) == decode_page(b"\xef\xbb\xbf" + text.encode()) == text
+    for name in ("utf-16", "utf-32"):
+        assert decode_page(text.encode(name)) == text  # written with a mark
+    # a mark wins over a declaration, a declaration over what the bytes look like
+    assert decode_page(b"\xfe\xff" + f"<meta charset=utf-8>{text}".encode("utf-16-be")) == f"<meta charset=utf-8>{text}"
+    for head, name in [
+        ('<meta charset="koi8-r">', "koi8-r"),
+        ("<META http-equiv=Content-Type content='text/html; charset=Shift_JIS'>", "shift_jis"),
+        ("<?xml version='1.0' encoding='iso-8859-5'?>", "iso-8859-5"),
+    ]:
+        page = head + ("Привет" if name != "shift_jis" else "日本語")
+        assert decode_page(page.encode(name)) == page
+    # ISO-8859-1 means windows-1252; what is not declared and not UTF-8 is that too
+    assert decode_page(f"<meta charset=iso-8859-1>{text}".encode("cp1252")) == f"<meta charset=iso-8859-1>{text}"
+    assert decode_page(western.encode("latin-1")) == western and decode_page(text.encode("cp1252")) == text
+    # not a character set of pages, in a comment, or too late: not a declaration
+    for head in ("<meta charset=rot13>", "<meta charset=no-such>", "<!-- <meta charset=koi8-r> -->", " " * 1024 + "<meta charset=koi8-r>"):
+        assert decode_page((head + text).encode()) == head + text
+    assert decode_page(b"") == "" and decode_page(b"<meta charset=utf-8>\xff") == "<meta charset=utf-8>�"
+
+
+def test_byte_pages_with_nulls(spark):
+    from gleaner.sources.pages import read_byte_pages
+
+    rows = [(1, "a", " <p>é</p>\n".encode("latin-1")), (2, None, None), (None, "c", b""), (4, "d", b"\xef\xbb\xbfx"), (4, "d", b"\xef\xbb\xbfx")]
+    got = read_byte_pages(spark.createDataFrame(rows, "page_id bigint, url string, content binary")).collect()
+    empty = "<html></html>"
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(
+        map(str, [(1, "a", "<p>é</p>"), (2, None, empty), (None, "c", empty), (4, "d", "x"), (4, "d", "x")])
+    )

@@ -106,3 +106,66 @@ def test_article(spark):
     assert got[1].title == "The title"
     assert got[1].content.startswith("<html><body><div><div id='story'>") and "comment" not in got[1].content
     assert got[2].content == "<html><body><div><p>short</p></div></body></html>"  # no block: the (implied) body
+
+
+def plain_article(html):
+    """The stated rules read element by element: all descendants and ancestors of every one."""
+    from gleaner.operators import htmltree
+    from gleaner.operators.article import CONTAINERS, MIN_PARAGRAPH, PARAGRAPHS
+
+    source, t = htmltree.build(html)
+    text = htmltree.doc_text(t)
+    size = [e - s for s, e in zip(t.t0, t.t1)]
+    found = []
+    for i, tag in enumerate(t.tag):
+        if tag not in CONTAINERS:
+            continue
+        inside = [j for j in range(i + 1, t.end[i] + 1)]
+        link = sum(size[j] for j in inside if t.tag[j] == "a")
+        direct = [len(text[t.t0[j] : t.t1[j]].strip()) for j in inside if t.parent[j] == i and t.tag[j] in PARAGRAPHS]
+        score = sum(x for x in direct if x >= MIN_PARAGRAPH) * max(1 - link / size[i], 0.0) if size[i] else 0.0
+        if score > 0 or tag == "body":
+            found.append((-score, tag != "body", i))
+    titles = [text[t.t0[i] : t.t1[i]].strip() for i, tag in enumerate(t.tag) if tag == "title"]
+    best = min(found)[2] if found else None
+    return (titles or [""])[0], None if best is None else source[t.s0[best] : t.s1[best]]
+
+
+def test_article_block_equals_the_plain_rules():
+    import random
+
+    from gleaner.operators.article import best_block
+
+    rng = random.Random(5)
+    words = "some plain words that fill a paragraph until it is long enough to count".split()
+
+    def markup(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "section", "p", "p", "a", "blockquote", "pre", "td", "title", "span"])
+            inner = markup(depth - 1) if depth and rng.random() < 0.6 else " ".join(rng.choices(words, k=rng.randint(0, 9)))
+            out.append(f"<{tag}>{inner}</{tag}>")
+        return "".join(out)
+
+    for _ in range(300):
+        html = markup(4)
+        assert best_block(html) == plain_article(html)
+    # ties: the body, then the first; empty and null pages
+    p = f"<p>{' '.join(words)}</p>"
+    assert best_block(f"<body><div id=a>{p}</div><div id=b>{p}</div></body>")[1].startswith("<div id=a>")
+    assert best_block(f"<body>{p}<div>{p}</div></body>")[1].startswith("<body>")
+    assert best_block("") == best_block(None) == ("", None)
+    deep = "<div>" * 20_000 + p
+    assert best_block(deep)[1].startswith("<div>")
+
+
+def test_article_moves_no_html(spark):
+    from gleaner.operators.article import extract_article
+
+    before = spark.conf.get("spark.gleaner.parsePartitions", "0")
+    spark.conf.set("spark.gleaner.parsePartitions", "0")
+    try:
+        df = extract_article(spark.range(3).selectExpr("id page_id", "'u' url", "'<p>x' html"))
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.gleaner.parsePartitions", before)
