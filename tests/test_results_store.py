@@ -264,3 +264,29 @@ def test_stream_with_event_time_across_batches(spark, pages):
     got = spark.read.parquet(sink)
     assert got.select("epoch").distinct().count() >= 2  # more than one micro-batch
     assert got.count() == pages.count() and got.select("url").distinct().count() == pages.count()
+
+
+def test_stream_state_knows_what_the_sink_holds(spark):
+    from gleaner.streaming.collect import collect_stream
+
+    schema = "page_id bigint, url string, html string"
+    src = tempfile.mkdtemp(prefix="gleaner-state-src-")
+    sink = tempfile.mkdtemp(prefix="gleaner-state-") + "/sink"
+
+    def arrive(name, rows, **options):
+        spark.createDataFrame(rows, schema).write.parquet(f"{src}/{name}")
+        q, _ = collect_stream(spark, src + "/*", {"t": ("//title", "text")}, sink_path=sink, **options)
+        q.awaitTermination()
+        return sorted((r.epoch, r.url or "", r.page_id, r.content["t"]) for r in spark.read.parquet(sink).collect())
+
+    page = "<title>{}</title>".format
+    # ties: the least page id, then the least text; rows without a URL are one
+    rows = [(3, "http://a/", page("3")), (1, "http://a/", page("z")), (1, "http://a/", page("b")),
+            (2, "http://b/", None), (7, None, page("n")), (8, None, page("m"))]
+    first = arrive("1", rows)
+    assert first == [(0, "", 7, ["n"]), (0, "http://a/", 1, ["b"]), (0, "http://b/", 2, [])]
+    more = arrive("2", [*rows, (0, "http://a/", page("0")), (9, "http://c/", page("c"))])
+    assert more == [*first, (1, "http://c/", 9, ["c"])]  # restarted on its own checkpoint
+    # another checkpoint reads all arrivals again, and begins with what the sink holds
+    other = arrive("3", [(5, "http://d/", page("d"))], checkpoint_location=sink + "/_other")
+    assert [x[1:] for x in other if x not in more] == [("http://d/", 5, ["d"])] and len(other) == len(more) + 1
