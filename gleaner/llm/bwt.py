@@ -51,7 +51,11 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
 
     A place is an index into the shards' suffix orders, one after the other.
     """
+    if depth % STEP:
+        raise ValueError(f"depth {depth} is no multiple of {STEP}")
     offsets = np.cumsum([0, *[len(s.text) for s in shards]])
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError(f"{offsets[-1]} places in one merge: take smaller groups")
     mapping = np.concatenate([s.mapping + o for s, o in zip(shards, offsets)]).astype(np.int32)
     symbols = np.concatenate([s.transform for s in shards])
     places = np.concatenate([s.grown + o for s, o in zip(shards, offsets)]).astype(np.int32)

@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.bwt import shared_windows
+from gleaner.llm.bwt import STEP, shared_windows
 from gleaner.llm.lm import edges, pack, pack_hashes, unpack, unpack_hashes
 from gleaner.llm.scratch import Scratch
-from gleaner.llm.segments import segments
+from gleaner.llm.segments import MER, segments
 from gleaner.llm.text import pieces as text_pieces
 
 #: Rows (id and a few numbers) that may be broadcast: under 64 MB.
@@ -215,6 +215,8 @@ def repeated_spans(
     shard_bytes: int = 128 << 10,
 ) -> DataFrame:
     """``doc, starts, ends``: the bytes of each document to remove, as disjoint runs."""
+    if length % STEP or length < MER:
+        raise ValueError(f"length {length}: even numbers from {MER} on are searched")
     scratch = Scratch(docs.sparkSession, "exactdedup")
     texts = _texts(docs)
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -257,7 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     Texts are UTF-8 bytes; null and empty texts have no bytes. Rows with a null id are
     kept whole and not compared. Rows of one id are one document and should hold one
     text; runs found in one are cut from all. Empty tables give an empty result; other
-    columns are not read.
+    columns are not read. An odd ``length``, or one under the minimizer's, raises.
     """
     spans = repeated_spans(docs, length, **options)
     total = spans.agg(F.count(F.lit(1)) * 24 + F.sum(16 * F.size("spans"))).first()[0] or 0

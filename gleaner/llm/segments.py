@@ -55,6 +55,8 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     """
     if len(data) < length:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(data) > 1 << POSITION_BITS:
+        raise ValueError(f"{len(data)} bytes in one call, {1 << POSITION_BITS} at most: take smaller buffers")
     h = mer_hashes(data)
     low = np.uint64((1 << POSITION_BITS) - 1)
     ranked = (h & ~low) | np.arange(len(h), dtype=np.uint64)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from conftest import frame, sentence
 
 from gleaner.llm import linededup, minhash
@@ -160,6 +161,15 @@ def test_repeats_against_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_lengths_that_are_not_searched_raise(spark):
+    docs = spark.createDataFrame([(1, "a" * 300)], "doc_id long, text string")
+    for length in (99, 101, 30, 0):
+        with pytest.raises(ValueError, match="length"):
+            remove_repeats(docs, length=length)
+    with pytest.raises(ValueError, match="multiple"):
+        shared_windows([b"abcabc", b"abcabc"], 3, 100)
+
+
 def test_merged_shards_find_every_shared_window():
     rng = random.Random(6)
     base = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(6)]
