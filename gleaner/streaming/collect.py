@@ -6,8 +6,8 @@ Structured Streaming: a file source of page snapshots (explicit schema) →
 * Each URL once: with an event time by ``dropDuplicatesWithinWatermark``, whose state
   the watermark bounds; without one, ``transformWithState`` remembers the hash of every URL
   that came (on RocksDB) and passes the first page of a URL on, the least of its
-  micro-batch. A batch so costs what arrives, whatever the sink holds. The hashes are kept:
-  with a time to live Spark runs empty batches without end, so a drained stream never stops.
+  micro-batch. A batch so costs what arrives, whatever the sink holds. The hashes are
+  kept, without a time to live.
 * The checkpoint belongs to the sink: a second call on the same sink goes on where the
   first ended. Another checkpoint on it begins with the URLs that the sink then holds as
   its state. Every epoch of every checkpoint has a folder of its own, written with
