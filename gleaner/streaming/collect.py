@@ -36,24 +36,30 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class FirstOfUrl(StatefulProcessor):
-    """Passes a URL's first page on, of several in a micro-batch the least ``(page_id, html)``, nulls first."""
+def _first_of_url() -> StatefulProcessor:
+    """The processor of ``first_of_each``. Spark's streaming runner on the driver loads it without
+    the shipped package, so its class is defined here and travels whole."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
+    class FirstOfUrl(StatefulProcessor):
+        """Passes a URL's first page on, of several in a micro-batch the least ``(page_id, html)``, nulls first."""
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.seen.exists():
-            return
-        least = min(rows, key=lambda r: (r.page_id is not None, r.page_id or 0, r.html is not None, r.html or ""))
-        self.seen.update((True,))
-        yield Row(**{c: v for c, v in least.asDict().items() if c != "key"})
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.seen = handle.getValueState("seen", "seen boolean")
 
-    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.seen.update((True,))
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            if self.seen.exists():
+                return
+            least = min(rows, key=lambda r: (r.page_id is not None, r.page_id or 0, r.html is not None, r.html or ""))
+            self.seen.update((True,))
+            yield Row(**{c: v for c, v in least.asDict().items() if c != "key"})
 
-    def close(self) -> None:
-        pass
+        def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+            self.seen.update((True,))
+
+        def close(self) -> None:
+            pass
+
+    return FirstOfUrl()
 
 
 def _key(url: str = "url") -> Column:
@@ -66,7 +72,7 @@ def first_of_each(pages: DataFrame, held: DataFrame | None = None) -> DataFrame:
     ensure_shipped(pages.sparkSession)
     initial = held.select(_key()).distinct().groupBy("key") if held is not None else None
     return pages.select(_key(), "*").groupBy("key").transformWithState(
-        FirstOfUrl(), pages.schema, "Append", "None", initialState=initial
+        _first_of_url(), pages.schema, "Append", "None", initialState=initial
     )
 
 
