@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.scratch import Scratch
+
 #: End of an interval that no removal ends.
 OPEN_END = "9999-12-31"
+#: Bytes of intervals up to which every task gets them all.
+BROADCAST_BYTES = 32 << 20
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -74,21 +78,33 @@ def url_keys(url: Column) -> Column:
 
 
 def filter_captures(
-    captures: DataFrame, entries: DataFrame, url_col: str = "url", fetched_col: str = "fetched_on"
+    captures: DataFrame,
+    entries: DataFrame,
+    url_col: str = "url",
+    fetched_col: str = "fetched_on",
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``captures`` with ``lists`` (sorted names active at fetch time) and ``blocked``.
 
     Each distinct (URL, date) is judged once. Intervals are split at year ends and
     joined by (key, year) with the date test as residual, so a capture meets at most
-    the intervals one key has within one year (under 184 per list), and a hot host's
-    rows stay an ordinary join key that adaptive execution can split. Captures with a
+    the intervals one key has within one year (under 184 per list). The intervals are
+    written first and measured: up to ``broadcast_bytes`` they meet the keys where these
+    are made, and only hits shuffle; beyond, both sides shuffle by (key, year), where a hot
+    host's rows stay an ordinary join key that adaptive execution can split. Captures with a
     null URL, a URL without a host or a null date match nothing; repeated rows all stay;
-    empty inputs are fine; columns named ``lists`` or ``blocked`` are replaced.
+    empty inputs are fine; columns named ``lists`` or ``blocked`` are replaced; a very
+    long URL has one key for each of its path steps.
     """
+    spark = captures.sparkSession
+    scratch = Scratch(spark, "urllists")
     kept = [c for c in captures.columns if c not in ("lists", "blocked")]
     seen = captures.select(
         F.col(url_col).cast("string").alias("__url"), F.col(fetched_col).cast("date").alias("__day")
-    ).where("__url is not null and __day is not null").distinct()
+    ).where("__url is not null and __day is not null")
+    # a number of partitions of our own: keys are many times their URLs, which adaptive
+    # execution would gather into one task by the size of the URLs
+    seen = seen.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "__url", "__day").distinct()
     asked = seen.select("__url", "__day", F.year("__day").alias("year"), F.explode(url_keys(F.col("__url"))).alias("key"))
     years = captures.agg(F.min(F.year(F.col(fetched_col).cast("date"))), F.max(F.year(F.col(fetched_col).cast("date")))).first()
     first, last = years if years[0] is not None else (1, 0)
@@ -97,6 +113,9 @@ def filter_captures(
     yearly = validity_intervals(entries).where(start <= end).select(
         "list_name", "key", "valid_from", "valid_to", F.explode(F.sequence(start, end)).alias("year")
     )
+    yearly = scratch.save(yearly)
+    size = yearly.agg(F.sum(F.octet_length("list_name") + F.octet_length("key") + 64)).first()[0] or 0
+    yearly = F.broadcast(yearly) if size <= broadcast_bytes else yearly
     hits = asked.join(yearly, ["key", "year"]).where("__day >= valid_from and __day < valid_to")
     verdicts = hits.groupBy("__url", "__day").agg(F.sort_array(F.collect_set("list_name")).alias("lists"))
     out = captures.select(
