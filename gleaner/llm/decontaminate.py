@@ -8,8 +8,8 @@ question and its answer share with the passage.
 
 Index weights are computed by Spark over all items. Items are indexed by length class,
 as windows follow the class; beyond ``index_bytes`` of item text they are dealt into
-shards, gathered and broadcast one at a time, so no broadcast exceeds that bound, and
-each shard searches every text.
+shards. A shard is gathered, broadcast, searched for in every text and taken back before
+the next, so driver and executors hold one shard at a time.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.scratch import Scratch, ship
 from gleaner.llm.text import words
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\"
@@ -255,21 +256,37 @@ def shards(items: DataFrame, index_bytes: int = 32 << 20) -> Iterator[Shard]:
 
 
 def leaks(
-    items: DataFrame, text: Column, min_score: float = 0.5, min_overlap: float = 0.5, index_bytes: int = 32 << 20
-) -> Column:
-    """Column of the verified items of each text: ``array<struct<item_id, score, ...>>``.
-
-    ``min_score`` is the retrieved share of an item's own score, ``min_overlap`` the share
-    of its question and answer shingles that one passage must hold. Null and empty texts,
-    and a benchmark without words, have no hits.
+    docs: DataFrame,
+    items: DataFrame,
+    keep: list[str],
+    min_score: float = 0.5,
+    min_overlap: float = 0.5,
+    index_bytes: int = 32 << 20,
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``hits`` of every row with a verified item in ``text``.
+
+    ``hits`` is ``array<struct<item_id, score, ...>>``; a row stands once for each shard that
+    hits it. ``min_score`` is the retrieved share of an item's own score, ``min_overlap`` the
+    share of its question and answer shingles that one passage must hold. Null and empty
+    texts, and a benchmark without words, have no hits; a very long text is searched whole,
+    a window at a time, in the task that reads it.
+
+    Shards are searched one after the other: one is gathered, broadcast, its hits are
+    written, and it is taken back from the executors before the next.
     """
-    content = F.lower(text.cast("string")).cast("binary")
-    # nondeterministic: a filter on the hits must not run the search a second time
-    columns = [
-        _finder(items.sparkSession.sparkContext.broadcast(shard), min_score, min_overlap).asNondeterministic()(content)
-        for shard in shards(items, index_bytes)
-    ]
-    return F.flatten(F.array(*columns)) if columns else F.array().cast(HITS)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "decontaminate")
+    content = F.lower(F.col("text").cast("string")).cast("binary")
+    held = docs.select(*keep, content.alias("__content"))
+    found = held.where(F.lit(False)).select(*keep, F.lit(None).cast(HITS).alias("hits"))
+    for shard in shards(items, index_bytes):
+        shared = spark.sparkContext.broadcast(shard)
+        # nondeterministic: the filter on the hits must not run the search a second time
+        search_of = _finder(shared, min_score, min_overlap).asNondeterministic()
+        hits = held.select(*keep, search_of("__content").alias("hits")).where(F.size("hits") > 0)
+        found = found.unionByName(scratch.save(hits))
+        shared.destroy()
+    return found
 
 
 def _finder(shared, min_score: float, min_overlap: float):
@@ -298,5 +315,19 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     each get theirs; null ids stay null; empty tables give an empty result; other columns
     are not read.
     """
-    found = docs.select("doc_id", F.explode(leaks(items, F.col("text"), **options)).alias("hit"))
-    return found.select("doc_id", "hit.*")
+    found = leaks(docs, items, ["doc_id"], **options)
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows whose text holds an item.
+
+    Rows go by their text (128 bits of hash), so null ids and repeated rows are judged like any
+    others; null texts stay; columns stay as they are; empty tables give all rows back.
+    """
+    text = F.col("text").cast("string")
+    mark = [F.xxhash64(text).alias("__h"), F.xxhash64(F.lit("second"), text).alias("__h2")]
+    found = leaks(docs.select("text", *mark), items, ["__h", "__h2"], **options)
+    gone = ship(Scratch(docs.sparkSession, "leaks").save(found.select("__h", "__h2").distinct()))
+    marked = docs.withColumn("__h", mark[0]).withColumn("__h2", mark[1])
+    return marked.join(gone, ["__h", "__h2"], "left_anti").select(*docs.columns)

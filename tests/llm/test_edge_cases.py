@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm.cascade import cascade
-from gleaner.llm.decontaminate import contaminated
+from gleaner.llm.decontaminate import contaminated, without_leaks
 from gleaner.llm.exactdedup import remove_repeats
 from gleaner.llm.linededup import near_lines, without_lines
 from gleaner.llm.lm import lm_scores
@@ -85,6 +85,12 @@ def test_contamination_of_odd_tables(spark, odd_docs, no_docs):
     assert {(r["doc_id"], r["item_id"]) for r in hits} == {(7, 1)}
     assert contaminated(odd_docs, items.limit(0)).count() == 0
     assert contaminated(no_docs, items).count() == 0
+    named = odd_docs.withColumn("hits", F.lit("mine")).withColumn("item_id", F.lit(5))
+    left = without_leaks(named, items)
+    assert left.columns == named.columns and {r["hits"] for r in left.collect()} == {"mine"}
+    gone = named.exceptAll(left).collect()
+    assert [r["doc_id"] for r in gone] == [7] and left.where("doc_id is null").count() == 1
+    assert without_leaks(named, items.limit(0)).count() == named.count() and without_leaks(no_docs, items).count() == 0
 
 
 def test_url_lists_of_odd_tables(spark):
@@ -100,9 +106,11 @@ def test_url_lists_of_odd_tables(spark):
          ("late", "host", "a.b.com", "add", "2020-05-06"), ("odd", "port", "80", "add", "2020-01-01")],
         "list_name string, kind string, pattern string, action string, entry_date string",
     )
-    got = [(r["page_id"], r["lists"], r["blocked"]) for r in filter_captures(pages, entries).collect()]
-    assert sorted(got) == sorted(
-        [(1, ["ads", "adult"], True)] * 2 + [(i, [], False) for i in (2, 3, 4, 5)]
-    )
+    pages = pages.withColumn("key", F.lit("k")).withColumn("year", F.lit(1)).withColumn("list_name", F.lit("x"))
+    # intervals met where the keys are made, and intervals too many for that
+    for options in ({}, {"broadcast_bytes": 0}):
+        got = [(r["page_id"], r["lists"], r["blocked"]) for r in filter_captures(pages, entries, **options).collect()]
+        assert sorted(got) == sorted([(1, ["ads", "adult"], True)] * 2 + [(i, [], False) for i in (2, 3, 4, 5)])
+    assert "key" in filter_captures(pages, entries).columns
     assert filter_captures(pages.limit(0), entries).count() == 0
     assert not any(r["blocked"] for r in filter_captures(pages, entries.limit(0)).collect())
