@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.decontaminate import leaks
+from gleaner.llm.decontaminate import without_leaks
 from gleaner.llm.linededup import near_lines, without_lines
 from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.queries import mixed
@@ -78,7 +78,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (operator 9)."""
     ensure_shipped(spark)
-    return docs.where(F.size(leaks(table(spark, sf_dir, "benchmark"), F.col("text"))) == 0)
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
