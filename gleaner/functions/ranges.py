@@ -58,39 +58,62 @@ def template_parts(t: Column) -> Column:
     return F.transform(literals, lambda x, i: F.struct(plain(x).alias("literal"), number(i).alias("index")))
 
 
-def generate_urls(df: DataFrame, template: str = "template", elements: str = "elements") -> DataFrame:
+#: URLs made from one row of a range.
+RANGE_URLS = 1 << 12
+
+
+def generate_urls(
+    df: DataFrame, template: str = "template", elements: str = "elements", range_urls: int = RANGE_URLS
+) -> DataFrame:
     """O-06: every row's template × cartesian product of its element lists.
 
     Adds ``url_rank`` (0-based position in product order, last list varying fastest) and
     ``url``; ``{i}`` (or the i-th ``{}``) in the template is the i-th value, as in
     ``str.format``. Values are placed into the cut template, so braces inside a value stay
     as they are; a placeholder without a list stays as text. A value with a ``-`` that is
-    no interval of numbers (``en-us``) is taken literally. The product is unrolled one
-    list at a time with ``posexplode``, so no row ever holds the product.
+    no interval of numbers (``en-us``) is taken literally. A row without lists gives its
+    template alone, a row with an empty list nothing; a product beyond 64 bits raises.
+
+    A rank is a number in a mixed radix whose digits are the places in the lists, so each
+    URL follows from its rank alone. The ranks of every row are cut into ranges of
+    ``range_urls``, which are dealt evenly over the tasks: a product of any size is
+    equal work for all, no row holds it, and no job asks how many lists there are.
     """
-    lists = F.transform(F.col(elements), expand_values)
-    depth = df.select(F.max(F.size(elements)).alias("n")).first()["n"] or 0
-    cur = df.withColumn("_lists", lists).withColumn("_values", F.array().cast("array<string>")).withColumn(
-        "url_rank", F.lit(0).cast("long")
-    )
-    for k in range(depth):
-        has = F.size("_lists") > k
-        lst = F.when(has, F.element_at("_lists", k + 1)).otherwise(F.array(F.lit(None).cast("string")))
-        cur = cur.select("*", F.posexplode(lst).alias("_pos", "_val"))
-        cur = cur.withColumn("_values", F.when(has, F.concat("_values", F.array("_val"))).otherwise(F.col("_values")))
-        cur = cur.withColumn(
-            "url_rank",
-            F.when(has, F.col("url_rank") * F.size(F.element_at("_lists", k + 1)) + F.col("_pos")).otherwise(
-                F.col("url_rank")
-            ),
-        ).drop("_pos", "_val")
-        if k == 0 and depth > 1:
-            # spread big products over tasks before they multiply further
-            cur = cur.repartition(int(cur.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    values = F.col("_values")
-
-    def placed(p):
-        value = F.coalesce(F.get(values, p["index"]), F.concat(F.lit("{"), p["index"].cast("string"), F.lit("}")))
-        return F.concat(p["literal"], F.when(p["index"].isNull(), F.lit("")).otherwise(value))
-
-    return cur.withColumn("url", F.array_join(F.transform(template_parts(F.col(template)), placed), "")).drop("_lists", "_values")
+    lists = F.coalesce(F.transform(F.col(elements), expand_values), F.array().cast("array<array<string>>"))
+    sizes = F.transform("_lists", lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long"))
+
+    def product(numbers):
+        return F.aggregate(numbers, F.lit(1).cast("long"), lambda a, n: a * n)
+
+    def divided(a, b):
+        return F.call_function("div", a, b)
+
+    def once(rows, name, value):
+        """A column made once a row: behind an explode, the optimizer does not repeat it where it is used."""
+        return rows.withColumn(name, F.explode(F.array(value)))
+
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = F.lit(range_urls).cast("long")
+    counted = once(once(df, "_lists", lists), "_total", product(sizes)).drop("_lists").where("_total > 0")
+    ranges = counted.withColumn("_range", F.explode(F.sequence(F.lit(0).cast("long"), divided(F.col("_total") - 1, step))))
+    ends = F.least(F.col("_total"), (F.col("_range") + 1) * step) - 1
+    worth = F.transform("_sizes", lambda _, i: product(F.slice("_sizes", i + 2, F.size("_sizes"))))
+    # the lists are made again behind the exchange, which carries intervals, not their values
+    dealt = once(once(ranges.repartition(spread), "_lists", lists), "_sizes", sizes)
+    rows = once(once(dealt, "_worth", worth), "_parts", template_parts(F.col(template)))
+
+    def value(rank, index):
+        digit = divided(rank, F.get("_worth", index)) % F.get("_sizes", index)
+        return F.get(F.get("_lists", index), digit.cast("int"))
+
+    def placed(rank, p):
+        text = F.coalesce(value(rank, p["index"]), F.concat(F.lit("{"), p["index"].cast("string"), F.lit("}")))
+        return F.concat(p["literal"], F.when(p["index"].isNull(), F.lit("")).otherwise(text))
+
+    def url(rank):
+        text = F.array_join(F.transform("_parts", lambda p: placed(rank, p)), "")
+        return F.struct(rank.alias("url_rank"), text.alias("url"))
+
+    # a range's URLs are made in one array, so its lists are not copied for each of them
+    urls = F.transform(F.sequence(F.col("_range") * step, ends), url)
+    return rows.select(*df.columns, F.inline(urls))

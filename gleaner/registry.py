@@ -94,6 +94,7 @@ def q_storage_partition(spark, sf):
 
 from pyspark.sql import Window  # noqa: E402
 
+from .functions.blackwords import blocked_by  # noqa: E402
 from .functions.ranges import generate_urls, interval_to_list  # noqa: E402
 from .functions.text import contains_any, py_strip, refine  # noqa: E402
 from .operators.links import link_info, link_nodes  # noqa: E402
@@ -314,6 +315,20 @@ def q_black_words(spark, sf):
     return d.select("doc_id", contains_any(F.col("text"), BLACK_WORDS).alias("blocked"))
 
 
+@register("black_word_table")
+def q_black_word_table(spark, sf):
+    """O-27 on documents with words from a table: every run of three to five words of a
+    benchmark item is a black word (thousands), looked for in one pass over the texts."""
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    items = table(spark, sf, "benchmark").select(tokens.alias("w"))
+    n = F.explode(F.sequence(F.lit(3), F.least(F.lit(5), F.size("w")))).alias("n")
+    starts = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
+    runs = items.where(F.size("w") >= 3).select("w", n).select(
+        F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("word")
+    )
+    return blocked_by(table(spark, sf, "documents").select("doc_id", "text"), "text", runs).select("doc_id", "blocked")
+
+
 @register("blocked_pages")
 def q_blocked_pages(spark, sf):
     """O-27 on pages: selected article text checked for black words, per page."""

@@ -4,6 +4,7 @@ O-27/O-28, O-36/O-37."""
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import math
 import re
 from urllib.parse import urljoin
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleaner.functions import ranges, text, timefmt, urls
+from gleaner.functions import blackwords, ranges, text, timefmt, urls
 
 
 def evaluate(spark, rows, schema, *cols):
@@ -130,6 +131,34 @@ def test_generated_urls_are_the_whole_product(spark, lists):
     assert got[0] == "/".join(str(x[0]) for x in lists) and got[-1] == "/".join(str(x[-1]) for x in lists)
 
 
+def test_generated_urls_by_rank(spark):
+    rows = [
+        (1, "{0}-{1}-{2}", [["1-7"], ["a", "b", "3-5"], ["x", "y"]]),
+        (2, "{1}{0}", [["1-3"], ["q"]]),
+        (3, "none", []),
+        (4, "null", None),
+        (5, "{0}", [["1"], None]),
+        (6, "{0}", [[], ["1"]]),
+    ]
+    df = spark.createDataFrame(rows, "id int, template string, elements array<array<string>>")
+    lists = {1: [map(str, range(1, 8)), ["a", "b", "3", "4", "5"], ["x", "y"]], 2: [["1", "2", "3"], ["q"]], 3: [], 4: []}
+    want = {(i, k, rows[i - 1][1].format(*v)) for i, x in lists.items() for k, v in enumerate(itertools.product(*x))}
+    for size in (1, 3, 1 << 14):
+        out = ranges.generate_urls(df, range_urls=size)
+        assert out.columns == ["id", "template", "elements", "url_rank", "url"]
+        got = [(r["id"], r["url_rank"], r["url"]) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_one_large_product_is_equal_work_for_all_tasks(spark):
+    df = spark.createDataFrame([("{0}/{1}/{2}", [["1-100"]] * 3)], "template string, elements array<array<string>>")
+    out = ranges.generate_urls(df, range_urls=1000)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 10**6 and len(sizes) == 8 and max(sizes) <= 1.1 * min(sizes)
+    last = out.where("url_rank = 999999 or url_rank = 10203").orderBy("url_rank").collect()
+    assert [r["url"] for r in last] == ["2/3/4", "100/100/100"]
+
+
 def test_refine(spark):
     rules = ["<aside .*?>", "[0-9]+ comments"]
     cases = {
@@ -155,6 +184,23 @@ def test_black_words(spark):
     assert text.normalise_words(" A, ,b ") == ["a", "b"]
 
 
+@settings(max_examples=8, deadline=None)
+@given(
+    st.lists(st.one_of(st.none(), st.text("aAbBé ", max_size=12)), max_size=12),
+    st.lists(st.one_of(st.none(), st.text("aAbBé ", max_size=4)), max_size=8),
+    st.sampled_from([1, 8, 1 << 20]),
+)
+def test_black_words_of_a_table(spark, texts, words, shard_bytes):
+    rows = [(k, t, "mine") for k, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "id int, t string, word string")
+    listed = {w.strip(" ").lower() for w in words if w and w.strip(" ")}
+    want = [(k, None if t is None else any(w in t.lower() for w in listed), "mine") for k, t, _ in rows]
+    given_words = spark.createDataFrame([(w, 1) for w in words], "word string, id int")
+    got = blackwords.blocked_by(df, "t", given_words, shard_bytes=shard_bytes)
+    assert got.columns == ["id", "t", "word", "blocked"]
+    assert sorted((r["id"], r["blocked"], r["word"]) for r in got.collect()) == sorted(want, key=lambda x: x[0])
+
+
 def test_print_time_and_partition(spark):
     ts = dt.datetime(2024, 1, 2, 15, 4, 5)
     got = evaluate(spark, [(ts,)], "t timestamp", timefmt.print_time(F.col("t")), *timefmt.storage_partition(F.col("t")))
