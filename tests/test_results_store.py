@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 
+import pytest
 from fixtures import EXPAND, TARGET
 from pyspark.sql import functions as F
 
@@ -290,3 +291,19 @@ def test_stream_state_knows_what_the_sink_holds(spark):
     # another checkpoint reads all arrivals again, and begins with what the sink holds
     other = arrive("3", [(5, "http://d/", page("d"))], checkpoint_location=sink + "/_other")
     assert [x[1:] for x in other if x not in more] == [("http://d/", 5, ["d"])] and len(other) == len(more) + 1
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_stream_reads_a_table_of_part_files_or_one_file(spark, folder):
+    from gleaner.registry import QUERIES
+
+    sf = tempfile.mkdtemp(prefix="gleaner-stream-sf-")
+    rows = [(i, f"http://h{i}.test/", f"<title>t{i}</title><article><h1>x</h1></article>") for i in range(1, 7)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    if folder:
+        table.repartition(3).write.parquet(f"{sf}/pages.parquet")
+    else:
+        table.toPandas().to_parquet(f"{sf}/pages.parquet")
+    got = QUERIES["collect_stream"](spark, sf)
+    assert {r.joined for r in got.where("key = 'title'").collect()} == {f"t{i}" for i in range(1, 7)}
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, QUERIES["collect_content"](spark, sf).collect()))
