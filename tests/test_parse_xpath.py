@@ -248,3 +248,35 @@ def test_text_predicates_see_all_direct_text_nodes(spark):
     assert one(spark, page, "//a[starts-with(text(), 'Prev')]/@href") == ["/p"]  # first text node
     assert one(spark, page, "//a[contains(text(), 'page')]/@href") == []  # only the first counts
     assert one(spark, page, "//b[not(text())]") == []
+
+
+def test_rows_only_for_what_the_xpaths_can_select(spark):
+    df = spark.createDataFrame(
+        [(1, "u", "<nav><ul><li><a href='/x'>x</a><li>y</ul></nav><p>text</p>")], "page_id long, url string, html string"
+    )
+    tags = lambda xps: sorted(r.tag for r in nodes_for(df, xps).collect())
+    assert tags(["//nav/ul/li/a", "/*"]) == ["a", "html"]
+    assert tags(["//li[a]"]) == ["html", "li"]  # evaluated in the parse: the marked elements
+    whole = ["a", "body", "html", "li", "li", "nav", "p", "ul"]
+    assert tags(["//nav/*"]) == tags(["//a/text()"]) == tags(["//a", "/html/*"]) == whole
+
+
+def test_strip_is_pythons(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.functions.text import WS_CHARS, py_strip
+
+    given = [f"{w}a{w}b{w}{w}" for w in WS_CHARS] + [WS_CHARS, "", "​x​", "ä\n", "\r\n x \n\n", None]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, g string")
+    got = {r.i: r.s for r in df.select("i", py_strip(F.col("g")).alias("s")).collect()}
+    assert got == {i: g if g is None else g.strip() for i, g in enumerate(given)}
+
+
+def test_an_input_batch_is_taken_in_slices():
+    import pyarrow as pa
+
+    from gleaner.operators import nodes
+
+    batch = pa.record_batch([list(range(1000)), ["u"] * 1000, ["<p>x"] * 1000], ["page_id", "url", "html"])
+    parts = list(nodes.sliced([batch]))
+    assert max(p.num_rows for p in parts) <= nodes.SLICE and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
