@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\"
 CLASS_BASE = 4
 BLOCK = 4
 SHINGLE = 5
-CACHE_WORDS = 200_000
+#: Windows of a text that are bounded at once, and cells of window and block at most.
+WINDOWS, CELLS = 256, 1 << 16
 EPS = 1e-9
 HITS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
@@ -100,8 +102,7 @@ def block_max_wand(index: Index, terms: np.ndarray, least: float) -> list[tuple[
     at-a-time WAND picks pivots by the terms' block maxima.
     """
     least -= EPS
-    lo, n = index.ptr[terms], index.ptr[terms + 1] - index.ptr[terms]
-    rows = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+    rows = spread(index.ptr[terms], index.ptr[terms + 1] - index.ptr[terms])
     blocks = index.block_no[rows]
     bounds = np.bincount(blocks, weights=index.block_max[rows], minlength=index.n_blocks)
     found = []
@@ -143,48 +144,75 @@ def _wand(cursors: list, least: float) -> list[tuple[int, float]]:
     return found
 
 
-class Terms(dict):
-    """Word to term number: -1 for words the index lacks, -2 for bare punctuation."""
+def term_numbers(texts: pa.Array, vocabulary: pa.Array) -> list[np.ndarray]:
+    """Of each text (bytes) the term numbers of its words, bare punctuation left out: -1 for words the index lacks."""
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    # the ASCII kernels read strings as bytes
+    plain = pa.Array.from_buffers(kind, len(texts), texts.buffers(), offset=texts.offset)
+    split = pc.ascii_split_whitespace(plain)
+    bare = pc.ascii_trim(split.flatten(), characters=PUNCTUATION)
+    ids = pc.fill_null(pc.index_in(bare, value_set=vocabulary.cast(kind)), -1).to_numpy(zero_copy_only=False)
+    real = pc.binary_length(bare).to_numpy(zero_copy_only=False) > 0
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))
+    return np.split(ids[real], np.r_[0, np.cumsum(real)][ends][:-1])
 
-    def __init__(self, numbers: dict[bytes, int]):
-        super().__init__()
-        self.numbers, self.strip = numbers, PUNCTUATION.encode()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        bare = word.strip(self.strip)
-        got = self[word] = self.numbers.get(bare, -1) if bare else -2
-        return got
+def bare_words(text: bytes) -> list[bytes]:
+    """The words that ``term_numbers`` numbers."""
+    strip = PUNCTUATION.encode()
+    return [x for x in (w.strip(strip) for w in text.split()) if x]
 
 
-def search(shard: Shard, known: Terms, text: bytes, min_score: float, min_overlap: float) -> list[dict]:
-    """Verified items of a lower-cased text, each with its best passage."""
-    w = text.split()
-    ids = np.fromiter(map(known.__getitem__, w), np.int32, len(w))
-    if (ids == -2).any():
-        real = np.flatnonzero(ids != -2)
-        ids, w = ids[real], [w[i] for i in real]
+def search(shard: Shard, text: pa.Scalar, ids: np.ndarray, min_score: float, min_overlap: float) -> list[dict]:
+    """Verified items of a lower-cased text with its term numbers, each with its best passage."""
+    w = None
     best: dict[int, dict] = {}
     for index in shard.indexes if len(ids) else ():
         # a window's terms cannot score more than their largest weights together
         sums = np.concatenate([[0.0], np.cumsum(index.most[ids])])
         starts = np.arange(0, max(1, len(ids) - index.stride), index.stride)
         ends = np.minimum(starts + index.window, len(ids))
-        for k in np.flatnonzero(sums[ends] - sums[starts] >= min_score - EPS):
-            s, e = int(starts[k]), int(ends[k])
-            terms = np.unique(ids[s:e])
-            terms = terms[terms >= 0]
-            if index.most[terms].sum() >= min_score - EPS:
+        asked = np.flatnonzero(sums[ends] - sums[starts] >= min_score - EPS)
+        at_once = max(1, min(WINDOWS, CELLS // index.n_blocks))
+        for at in range(0, len(asked), at_once):
+            some = asked[at : at + at_once]
+            for k, terms in live_windows(index, ids, starts[some], ends[some], min_score):
                 found = block_max_wand(index, terms, min_score)
                 if found:
-                    passage = [x.strip(known.strip) for x in w[s:e]]
+                    w = bare_words(text.as_py()) if w is None else w
+                    passage = w[starts[some[k]] : ends[some[k]]]
                     for hit in verified(index, found, passage, min_overlap):
                         if hit["item_id"] not in best or hit["score"] > best[hit["item_id"]]["score"]:
                             best[hit["item_id"]] = hit
     return [best[i] for i in sorted(best)]
 
 
+def spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``lo[i]`` to ``lo[i] + n[i]``, one range behind the other."""
+    return np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+
+
+def live_windows(
+    index: Index, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: float
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Of some windows of a text those with a block whose maxima reach ``least``, and their distinct terms.
+
+    The block bounds of all the windows are summed at once, a cell for each window and block.
+    """
+    least -= EPS
+    n, v = ends - starts, len(index.most)
+    term, window = ids[spread(starts, n)], np.repeat(np.arange(len(starts)), n)
+    window, term = np.divmod(np.unique((window * v + term)[term >= 0]), v)
+    enough = np.bincount(window, weights=index.most[term], minlength=len(starts)) >= least
+    window, term = window[enough[window]], term[enough[window]]
+    lo, n = index.ptr[term], index.ptr[term + 1] - index.ptr[term]
+    rows = spread(lo, n)
+    cells = np.repeat(window, n) * index.n_blocks + index.block_no[rows]
+    bounds = np.bincount(cells, weights=index.block_max[rows], minlength=1)
+    for k in np.unique(np.flatnonzero(bounds >= least) // index.n_blocks):
+        yield int(k), term[window == k]
+
+
 def verified(index: Index, found: list[tuple[int, float]], passage: list[bytes], min_overlap: float) -> Iterator[dict]:
     """The retrieved items whose question and answer shingles the passage holds enough of."""
     grams: dict[int, set] = {}
@@ -296,13 +324,13 @@ def _finder(shared, min_score: float, min_overlap: float):
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         numbers = [(k, pa.float64()) for k in ("score", "question_overlap", "answer_overlap")]
         found_type = pa.list_(pa.struct([("item_id", pa.int64()), *numbers]))
-        known = Terms(shared.value.numbers)
+        vocabulary = pa.array([t.decode() for t in shared.value.numbers], pa.string())
         for texts in batches:
-            hits = [
-                search(shared.value, known, x, min_score, min_overlap) if x else []
-                for at in range(0, len(texts), 256)
-                for x in texts.slice(at, 256).to_pylist()
-            ]
+            hits = []
+            for at in range(0, len(texts), 256):
+                some = texts.slice(at, 256)
+                for x, ids in zip(some, term_numbers(some, vocabulary)):
+                    hits.append(search(shared.value, x, ids, min_score, min_overlap) if len(ids) else [])
             yield pa.array(hits, found_type)
 
     return find
