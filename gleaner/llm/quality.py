@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +27,8 @@ from gleaner.llm.text import fold, pieces
 NGRAMS = (3, 4)
 #: Words a task remembers before it starts its table anew.
 CACHE_WORDS = 200_000
+#: Texts whose words are looked up together.
+TEXTS = 64
 
 
 def subwords(word: bytes, mask: int) -> list[int]:
@@ -36,6 +40,26 @@ def subwords(word: bytes, mask: int) -> list[int]:
     return out
 
 
+#: What a byte does to a CRC-32.
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, (CRC >> 1) ^ np.uint32(0xEDB88320), CRC >> 1)
+
+
+def subwords_alike(words: list[bytes], mask: int) -> np.ndarray:
+    """``subwords`` of ASCII words of one length, a row each: a byte is a character, and an n-gram's
+    checksum is the one of its first bytes gone on with."""
+    plain = np.frombuffer(b"".join([b"<%b>" % x for x in words]), np.uint8).reshape(len(words), -1)
+    out = [np.array([zlib.crc32(x) for x in words], np.uint32)[:, None]]
+    crc = np.full(plain.shape, 0xFFFFFFFF, np.uint32)
+    for n in range(1, min(max(NGRAMS), plain.shape[1]) + 1):
+        crc = crc[:, : plain.shape[1] - n + 1]
+        crc = CRC[(crc ^ plain[:, n - 1 :]) & 255] ^ (crc >> 8)
+        if n in NGRAMS:
+            out.append(~crc)
+    return np.hstack(out) & np.uint32(mask)
+
+
 def pair(a: bytes, b: bytes, mask: int) -> int:
     """Bucket of a word bigram; a word said twice in a row is one and the same bigram."""
     return zlib.crc32(b" =" if a == b else a + b" " + b) & mask
@@ -111,31 +135,44 @@ SCALE = 100.0
 
 
 class Projected(dict):
-    """Word to (summed projection, features), remembered."""
+    """Word to (summed projection, features, checksum of the word and a space), remembered."""
 
     def __init__(self, margin: np.ndarray, bits: int):
         super().__init__()
         self.margin, self.mask = margin, (1 << bits) - 1
 
-    def __missing__(self, word: bytes) -> tuple[float, int]:
-        if len(self) >= CACHE_WORDS:
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Make all words of ``texts`` known; ASCII words of one length are summed together."""
+        words = set().union(*texts)
+        new = [x for x in words if x not in self]
+        if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-        ids = subwords(word, self.mask)
-        got = self[word] = (float(self.margin[ids].sum()), len(ids))
-        return got
-
-
-def score_text(text: bytes, projected: Projected, bias: float) -> float:
-    """Probability of label 1: softmax of two classes is a sigmoid of their margin."""
-    w = text.split()
+            new = list(words)
+        ascii: dict[int, list] = {}
+        for x in new:
+            if x.isascii():
+                ascii.setdefault(len(x), []).append(x)
+            else:
+                self.keep([x], np.array([subwords(x, self.mask)]))
+        for alike in ascii.values():
+            self.keep(alike, subwords_alike(alike, self.mask))
+
+    def keep(self, words: list[bytes], ids: np.ndarray) -> None:
+        for x, s in zip(words, self.margin[ids].sum(axis=1).tolist()):
+            self[x] = (s, ids.shape[1], zlib.crc32(x + b" "))
+
+
+def score_words(w: list[bytes], projected: Projected, bias: float) -> float:
+    """Probability of label 1 of a text's words, all known: softmax of two classes is a sigmoid of their margin."""
     total, n = 0.0, 0
-    for s, k in map(projected.__getitem__, w):
-        total += s
-        n += k
+    if w:
+        sums, sizes, begun = zip(*map(projected.__getitem__, w))
+        total, n = reduce(add, sums, total), sum(sizes)
     if len(w) > 1:
-        mask, margin = projected.mask, projected.margin
-        pairs = [pair(a, b, mask) for a, b in zip(w, w[1:])]
-        total += float(margin[pairs].sum())
+        # the bigrams' buckets as in ``pair``, each checksum going on from its first word's
+        same, crc32 = zlib.crc32(b" ="), zlib.crc32
+        pairs = [same if a == b else crc32(b, c) for a, b, c in zip(w, w[1:], begun)]
+        total += float(projected.margin[np.array(pairs, np.uint32) & projected.mask].sum())
         n += len(pairs)
     z = bias + (total / n if n else 0.0)
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
@@ -182,7 +219,11 @@ def quality(
         margin, bias = shared.value
         projected = Projected(margin, bits)
         for b in pieces(batches):
-            scores = [score_text(x, projected, bias) for x in b["text"].to_pylist()]
+            scores = []
+            for at in range(0, b.num_rows, TEXTS):
+                texts = [x.split() for x in b["text"].slice(at, TEXTS).to_pylist()]
+                projected.learn(texts)
+                scores += [score_words(w, projected, bias) for w in texts]
             yield pa.record_batch([b["doc_id"], b["held_out"], pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     given = docs.select(

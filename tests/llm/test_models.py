@@ -278,3 +278,57 @@ def test_cascade_prefers_rejection_per_cost(spark):
     names = [r.name for r in order_rules(sample, rules, floor=10.0)]
     # once the most selective has run, what it let through counts, not a rule's own share
     assert names[:2] == ["most", "few"]
+
+
+def test_subwords_of_alike_words():
+    from gleaner.llm.quality import Projected, pair, score_words, subwords, subwords_alike
+
+    mask = (1 << 17) - 1
+    for words in ([b"a", b"~"], [b"to", b"\x00\x01"], [b"their", b"quick", b"<<>>="]):
+        assert subwords_alike(words, mask).tolist() == [subwords(x, mask) for x in words]
+    margin = np.random.default_rng(1).normal(size=mask + 1).astype(np.float32)
+    texts = [t.encode().split() for t in ("a to to their straße", "", "x", "é é \u4e2d\u6587 quick to")]
+    known = Projected(margin, 17)
+    known.learn(texts)
+    for w in texts:
+        total, n = 0.0, 0
+        for x in w:
+            ids = subwords(x, mask)
+            total, n = total + float(margin[ids].sum()), n + len(ids)
+        ids = [pair(a, b, mask) for a, b in zip(w, w[1:])]
+        total, n = total + float(margin[ids].sum()) if ids else total, n + len(ids)
+        assert score_words(w, known, 0.5) == 1 / (1 + np.exp(-(0.5 + (total / n if n else 0.0))))
+
+
+def test_term_numbers_are_those_of_the_bare_words():
+    import pyarrow as pa
+
+    from gleaner.llm.decontaminate import bare_words, term_numbers
+
+    terms = [b"a", b"b-c", "é".encode()]
+    texts = [None, b"", b" .. ", b"a, (b-c) \xe9 x\x1ca", "\té\u00a0 \"é\"\n\x0b a\x0c".encode(), b"...a...", b"a\x00"]
+    vocabulary = pa.array([t.decode() for t in terms], pa.string())
+    for kind in (pa.binary(), pa.large_binary()):
+        got = term_numbers(pa.array([b"a a", *texts], kind).slice(1), vocabulary)
+        want = [[terms.index(w) if w in terms else -1 for w in bare_words(x or b"")] for x in texts]
+        assert [g.tolist() for g in got] == want
+
+
+def test_live_windows_are_those_with_a_live_block():
+    from gleaner.llm.decontaminate import Index, block_max_wand, live_windows
+
+    rng = np.random.default_rng(4)
+    postings = {i: [(b"%d" % t, float(rng.uniform(0.1, 0.4))) for t in rng.choice(40, 6, False)] for i in range(30)}
+    index = Index({b"%d" % t: t for t in range(40)}, postings, {i: [(b"x", False)] for i in postings}, 8)
+    ids = rng.integers(-1, 40, 400).astype(np.int32)
+    starts = np.arange(0, 392, 4)
+    live = dict(live_windows(index, ids, starts, starts + 8, 0.9))
+    hits = 0
+    for k, s in enumerate(starts):
+        terms = np.unique(ids[s : s + 8])
+        terms = terms[terms >= 0]
+        found = block_max_wand(index, terms, 0.9)
+        hits += len(found)
+        assert k not in live or live[k].tolist() == terms.tolist()
+        assert not found or k in live
+    assert hits and len(live) < len(starts)
