@@ -280,3 +280,26 @@ def test_an_input_batch_is_taken_in_slices():
     batch = pa.record_batch([list(range(1000)), ["u"] * 1000, ["<p>x"] * 1000], ["page_id", "url", "html"])
     parts = list(nodes.sliced([batch]))
     assert max(p.num_rows for p in parts) <= nodes.SLICE and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
+def test_arrow_batches_are_bounded_where_the_session_names_no_size(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.session import BATCHES, ensure_shipped
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    own = spark.newSession()
+    for key in BATCHES:
+        own.conf.unset(key)
+    ensure_shipped(own)
+    for width, rows in ((20_000, 1500), (10, 5000)):
+        pages = own.range(0, rows, numPartitions=1).select(F.repeat(F.lit("x"), width).alias("html"))
+        got = pages.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == rows
+        assert max(r["n"] for r in got) <= 1024 and max(r["size"] for r in got) < 9 << 20
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    ensure_shipped(own)
+    assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "300"
