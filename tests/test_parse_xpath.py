@@ -299,7 +299,7 @@ def test_arrow_batches_are_bounded_where_the_session_names_no_size(spark):
         pages = own.range(0, rows, numPartitions=1).select(F.repeat(F.lit("x"), width).alias("html"))
         got = pages.mapInArrow(sizes, "n long, size long").collect()
         assert sum(r["n"] for r in got) == rows
-        assert max(r["n"] for r in got) <= 1024 and max(r["size"] for r in got) < 9 << 20
+        assert max(r["n"] for r in got) <= 1024 and max(r["size"] for r in got) < 2 << 20
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
     ensure_shipped(own)
     assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "300"
