@@ -2,8 +2,8 @@
 
 A text is encoded by two tokenizers, A (byte-level BPE, given a space in front) and B (pieces,
 which adds the space itself). The byte lengths of either id list add up to its tokens' ends in
-the text; a dictionary maps each end to the index of its token. The ends that both
-dictionaries hold, sorted, slice the two id lists into groups that cover the same bytes.
+the text; a dictionary (an array with a place for every byte) maps each end of A to the index
+of its token. B's ends that it holds slice the two id lists into groups that cover the same bytes.
 Within a slice every A token and B token with the same end are linked: those at the slice's
 end (one pair, since a token covers a byte at least).
 
@@ -31,6 +31,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -145,31 +146,39 @@ def pair_bound(a: list[bytes], b: list[bytes]) -> int:
 
 
 def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many A and B tokens there are up to each common end, ends ascending."""
-    a_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1)))
-    b_at = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
-    common = sorted(a_at.keys() & b_at.keys())
-    return tuple(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (a_at, b_at))
+    """How many A and B tokens there are up to each common end; either side's ends ascend.
 
+    The dictionary from A's ends to its tokens is an array with a place for every byte.
+    """
+    a_at = np.zeros(max(a_ends[-1:].max(initial=0), b_ends[-1:].max(initial=0)) + 1, np.int32)
+    a_at[a_ends] = np.arange(1, len(a_ends) + 1, dtype=np.int32)
+    i = a_at[b_ends]
+    j = np.flatnonzero(i) + 1
+    return i[j - 1].astype(np.int64), j
+
+
+@cache
+def decimals(n: int) -> pa.Array:
+    """``0,`` ``0|`` ``0;`` ``1,`` and so on below ``n``: an id as it stands in a group."""
+    return pa.array([f"{k}{mark}" for k in range(n) for mark in ",|;"], pa.large_binary())
 
-def written(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The groups as ``a1,a2|b1;a3|b2;`` and where each group ends in that; ``i``, ``j`` as by ``common_ends``."""
+
+def written(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, width: int) -> tuple[memoryview, np.ndarray]:
+    """The groups as ``a1,a2|b1;a3|b2;`` and where each group ends in that; ``i``, ``j`` as by ``common_ends``.
+
+    All ids are below ``width``.
+    """
     in_i, in_j = np.diff(i, prepend=0), np.diff(j, prepend=0)
-    n = len(a) + len(b)
-    ids, mark = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
+    shown = np.empty(len(a) + len(b), np.int64)
     # a group's A tokens stand after the B tokens of the groups before, its B tokens after its A tokens
-    ids[np.arange(len(a)) + np.repeat(j - in_j, in_i)] = a
-    ids[np.arange(len(b)) + np.repeat(i, in_j)] = b
-    mark[i + j - in_j - 1] = ord("|")
-    mark[i + j - 1] = ord(";")
-    digits = len(str(ids.max(initial=0)))
-    powers = 10 ** np.arange(digits)[::-1]
-    shown = np.empty((n, digits + 1), np.uint8)
-    shown[:, :digits] = ids[:, None] // powers % 10 + ord("0")
-    shown[:, digits] = mark
-    kept = np.ones((n, digits + 1), bool)
-    kept[:, : digits - 1] = ids[:, None] >= powers[:-1]
-    return shown[kept].tobytes(), kept.sum(1).cumsum()[i + j - 1]
+    shown[np.arange(len(a)) + np.repeat(j - in_j, in_i)] = a
+    shown[np.arange(len(b)) + np.repeat(i, in_j)] = b
+    shown *= 3
+    shown[i + j - in_j - 1] += 1
+    shown[i + j - 1] += 2
+    # strings of an array lie end to end
+    _, ends, text = decimals(width).take(pa.array(shown)).buffers()
+    return memoryview(text or b""), np.frombuffer(ends, np.int64, len(shown) + 1)[i + j]
 
 
 class Aligner:
@@ -229,14 +238,14 @@ class Aligner:
         n_groups = np.diff(last, prepend=0)
         pairs = np.concatenate([[0], np.cumsum(np.diff(i, prepend=0) * np.diff(j, prepend=0))])
         n_pairs = np.diff(pairs[last], prepend=0)
-        shown, ends = written(*ids, i, j)
+        shown, ends = written(*ids, i, j, max(map(len, self.sizes)))
         ends = np.concatenate([[0], ends])
         # a token covers a byte at least, so one pair of a slice ends together: its last tokens
         links = ids[0][i - 1].astype(np.int64) * len(self.sizes[1]) + ids[1][j - 1]
         first = last - n_groups
         return (
             n_a, n_b, n_groups, n_pairs,
-            [shown[ends[x] : ends[y] - 1] if y > x else b"" for x, y in zip(first, last)],
+            [bytes(shown[ends[x] : ends[y] - 1]) if y > x else b"" for x, y in zip(first, last)],
             [links[x:y].tobytes() for x, y in zip(first, last)],
         )
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import frame
 from sentencepiece import SentencePieceProcessor
@@ -106,6 +108,31 @@ def test_forgotten_chunks(monkeypatch, plain):
         assert len(aligner.known[0]) <= 20
 
 
+def test_common_ends_without_an_object_per_token():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 100_000):
+        a, b = (np.append(np.unique(rng.integers(1, 2 * n + 1, n)), 2 * n + 1)[: n + 1] if n else np.zeros(0, np.int64) for _ in "ab")
+        tracemalloc.start()
+        i, j = A.common_ends(a, b)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        common = sorted({*a.tolist()} & {*b.tolist()})
+        assert a[i - 1].tolist() == b[j - 1].tolist() == common
+        assert peak < 60 * n + 10_000
+
+
+def test_written_groups():
+    rng = random.Random(4)
+    groups = [([rng.randrange(50_257) for _ in range(rng.randrange(1, 4))], [rng.randrange(32_000) for _ in range(rng.randrange(1, 4))]) for _ in range(500)]
+    groups += [([0], [0]), ([50_256, 9, 10], [99, 100, 31_999])]
+    a, b = (np.array([k for g in groups for k in g[side]], np.int32) for side in (0, 1))
+    i, j = (np.cumsum([len(g[side]) for g in groups]) for side in (0, 1))
+    shown, ends = A.written(a, b, i, j, 50_257)
+    wanted = [",".join(map(str, x)) + "|" + ",".join(map(str, y)) + ";" for x, y in groups]
+    assert bytes(shown).decode() == "".join(wanted)
+    assert ends.tolist() == np.cumsum([len(w) for w in wanted]).tolist()
+
+
 def test_linked_pairs_are_suffixes(spark, odd_docs):
     a, b = A.vocabularies()
     counts = A.link_counts(A.align(odd_docs)).collect()
