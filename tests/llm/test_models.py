@@ -12,6 +12,7 @@ from conftest import frame, sentence
 from pyspark.sql import functions as F
 
 from gleaner.llm import lm as lm_module
+from gleaner.llm import mixing
 from gleaner.llm.cascade import Rule, cascade, default_rules, order_rules
 from gleaner.llm.decontaminate import Shard, block_max_wand, contaminated, weighted_postings, without_leaks
 from gleaner.llm.labelled import training_rows
@@ -102,6 +103,32 @@ def test_mixture_meets_its_marginals(spark):
     assert out.where("n_copies > 0 and n_copies > weight + 1").count() == 0
 
 
+def test_raking_without_exchanges_as_cells_fit_a_task(spark, monkeypatch):
+    rows = [(i, f"s{i * i % 7}", ["en", "de", None][i % 5 % 3], 1 + i % 4) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n long")
+    plans, save = [], mixing.Scratch.save
+
+    def saved(self, df, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, *by)
+
+    monkeypatch.setattr(mixing.Scratch, "save", saved)
+
+    def mixed_by(cells_per_task):
+        monkeypatch.setattr(mixing, "CELLS_PER_TASK", cells_per_task)
+        plans.clear()
+        targets = {"source": 0.5, "lang": {"en": 0.6, "de": 0.3, "unknown": 0.1}}
+        out = mix(docs, {"source": F.col("source"), "lang": F.col("lang")}, targets, F.col("n"), F.col("doc_id"))
+        weights = {r["doc_id"]: r["weight"] for r in out.collect()}
+        return weights, [p for p in plans if "Window" in p]
+
+    one, whole = mixed_by(mixing.CELLS_PER_TASK)
+    many, dealt = mixed_by(3)
+    assert whole and not any("Exchange" in p for p in whole)
+    assert dealt and all("Exchange" in p for p in dealt)
+    assert len(one) == 900 and all(abs(one[k] - many[k]) < 1e-9 for k in one)
+
+
 def test_languages_without_a_target_keep_their_share(spark):
     langs = ["en"] * 500 + ["de"] * 200 + [None] * 200 + ["it"] * 100
     rows = [(i, f"s{i % 3}", x, "ten words " * 5) for i, x in enumerate(langs)]
